@@ -21,7 +21,7 @@ REASON_NO_NEXT_DATA = "no_next_data"
 REASON_NO_STORE = "no_inline_store"
 REASON_EMPTY_TITLE = "empty_title"
 
-EXTRACTED_COLS = ["page_id", "url", "domain", "publisher", "route", "recipe", "reason"]
+EXTRACTED_COLS = ["page_id", "url", "domain", "publisher", "route", "recipe", "reason", "source_file"]
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -54,8 +54,37 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
                     F.coalesce(F.col("_dom.reason"), F.lit("dom_parse_error")))
               .when(~F.col("_title_ok"), F.lit(REASON_EMPTY_TITLE)))
     df = df.withColumn("reason", reason)
+    # ``source_file``: provenance of each page.
     return df.select(key, "url", "domain", "publisher", "route",
-                     F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason")
+                     F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason",
+                     F.input_file_name().alias("source_file"))
+
+
+def run_extraction(pages: DataFrame, out_path: str, key: str = "page_id") -> DataFrame:
+    """Write the extraction result once and return its scan.
+
+    One pass over the pages produces both outputs (recipes and rejects); the
+    written table cuts the lineage, so a lost executor never re-runs the
+    extraction of finished partitions, and downstream filters on ``reason``
+    work on a plain scan instead of being pushed into (and substituted through)
+    the extraction expressions.
+    """
+    extract(pages, key).write.mode("overwrite").parquet(out_path)
+    return pages.sparkSession.read.parquet(out_path)
+
+
+_SESSION_CACHE: dict[tuple, str] = {}
+
+
+def extracted(spark, name: str, pages_fn, sf_dir: str, key: str = "page_id") -> DataFrame:
+    """Extraction table of a named corpus, written once per session."""
+    from ..session import scratch_path
+    ck = (id(spark), name, sf_dir)
+    if ck not in _SESSION_CACHE:
+        path = scratch_path(spark, f"extracted-{name}")
+        run_extraction(pages_fn(spark, sf_dir), path, key)
+        _SESSION_CACHE[ck] = path
+    return spark.read.parquet(_SESSION_CACHE[ck])
 
 
 def recipes_of(extracted: DataFrame, key: str = "page_id") -> DataFrame:

@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "mise",
         builder = builder.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        # Only takes effect when this call launches the JVM (local runs, tests).
+        "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

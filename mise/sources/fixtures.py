@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import PUBLISHERS
+from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
+FIXTURE_VERSION = "v1"
+
 # --- fixed values (fixture layout) ------------------------------------------
 LDJSON_DOMAINS = ["www.bonappetit.com", "www.foodnetwork.com", "cooking.nytimes.com",
                   "www.food.com", "www.thechunkychef.com", "www.allrecipes.com",
@@ -30,6 +33,26 @@ REMAP_DOMAINS = [d for d, _ in PUBLISHERS] + ["unknown.example.net"]
 # ---------------------------------------------------------------------------
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived corpus once as parquet under the shared checkpoint folder
+    and scan it from there, exactly as captured pages would be scanned.
+
+    Generated page text is a very large expression; scanning it from parquet
+    keeps the extraction plan the production plan (scan -> project).
+    """
+    tag = sf_dir.rstrip("/").replace("/", "_").strip("_")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mise-fixtures/{FIXTURE_VERSION}/{tag}/{name}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def jq(c: Column) -> Column:
     """JSON string literal (quoted, escaped) of a string column."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
@@ -88,6 +111,16 @@ def _script(k: Column, body: Column) -> Column:
 
 
 def ldjson_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 corpus (materialised once per scale factor)."""
+    return materialized(spark, sf_dir, "ldjson_pages", build_ldjson_pages)
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 corpus (materialised once per scale factor)."""
+    return materialized(spark, sf_dir, "site_pages", build_site_pages)
+
+
+def build_ldjson_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one JSON-LD recipe page per ``part`` row, ``page_id = p_partkey``."""
     p = read_table(spark, sf_dir, "part")
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -119,3 +152,105 @@ def remapped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     dom = _pick(F.col("page_id"), REMAP_DOMAINS)
     url = F.regexp_replace(F.col("url"), "^([a-z]+://)[^/?#]*", "")
     return pages.select("page_id", _cat("https://", dom, url).alias("url"), "html")
+
+
+def html_escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one site-specific recipe page per ``documents`` row (``page_id = doc_id``).
+
+    ``doc_id % 4`` picks the layout: 0 next-data (three hosts), 1 inline store,
+    2 DOM layout A, 3 DOM layout B (``doc_id % 8 = 7`` without the row wrapper).
+    Title = first six words of the first line, description = first line,
+    ingredients = the words of the first line, directions = every line.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = F.col("doc_id")
+    lines = F.split(F.col("text"), "\n")
+    l1 = F.get(lines, 0)
+    words = F.split(l1, " ")
+    title = F.array_join(F.slice(words, 1, 6), " ")
+    variant = d % 4
+
+    # next-data document (nested struct -> JSON keeps field order)
+    item = lambda w, i: F.struct(F.struct(
+        (i + 1).cast("string").alias("qty"),
+        F.when(i % 2 == 0, F.lit("cup")).otherwise(F.lit("")).alias("preText"),
+        F.when(i % 3 == 0, F.lit(", chopped")).otherwise(F.lit("")).alias("postText"),
+        F.struct(F.struct(w.alias("title")).alias("fields")).alias("ingredient")).alias("fields"))
+    group_main = F.struct(F.struct(F.lit("For the base").alias("title"),
+                                   F.transform(words, item).alias("recipeIngredientItems")).alias("fields"))
+    group_finish = F.struct(F.struct(F.lit("To finish").alias("title"), F.array(F.struct(F.struct(
+        F.lit("1").alias("qty"), F.lit("pinch").alias("preText"), F.lit("").alias("postText"),
+        F.struct(F.struct(F.lit("salt").alias("title")).alias("fields")).alias("ingredient")).alias("fields")))
+        .alias("recipeIngredientItems")).alias("fields"))
+    nd_doc = F.to_json(F.struct(
+        title.alias("title"),
+        F.concat((d % 8 + 1).cast("string"), F.lit(" servings")).alias("yields"),
+        F.when(d % 3 == 0, F.lit("")).otherwise(F.concat((d % 90 + 5).cast("string"), F.lit(" minutes")))
+         .alias("recipeTimeNote"),
+        F.concat(F.lit("<p>"), l1, F.lit("</p>")).alias("headnote"),
+        F.struct(F.struct(l1.alias("description"),
+                          F.when(d % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Test Kitchen "), (d % 5).cast("string")))
+                          .alias("source")).alias("fields")).alias("metaData"),
+        F.when(d % 3 == 0, F.array(group_main, group_finish)).otherwise(F.array(group_main)).alias("ingredientGroups"),
+        F.transform(lines, lambda l: F.struct(F.struct(l.alias("content")).alias("fields"))).alias("instructions")))
+    nd_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><div id=\"app\"></div>",
+                   '<script id="__NEXT_DATA__" type="application/json">{"props":{"initialState":{"content":'
+                   '{"documents":{"doc-', d.cast("string"), '":', nd_doc, ',"related":{"title":"x"}}}}},"page":"/r"}',
+                   "</script></body></html>")
+
+    # inline store
+    author = (F.when(d % 3 == 0, _cat('[{"name":', jq(_cat("Cook ", (d % 7).cast("string"))), "}]"))
+              .when(d % 3 == 1, _cat('{"name":', jq(_cat("Cook ", (d % 7).cast("string"))), "}"))
+              .otherwise(F.lit('"Epicurious Staff"')))
+    ingr_groups = F.to_json(F.when(d % 2 == 0, F.array(
+        F.struct(F.lit("Main").alias("hed"), F.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")),
+        F.struct(F.lit("Sauce").alias("hed"), F.array(F.struct(F.lit("salt &amp; pepper").alias("description"))).alias("ingredients"))))
+        .otherwise(F.array(F.struct(F.lit("Main").alias("hed"),
+                                    F.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")))))
+    prep_groups = F.to_json(F.array(F.struct(F.lit("Steps").alias("hed"),
+                                             F.transform(lines, lambda l: F.struct(l.alias("description"))).alias("steps"))))
+    content = _cat('{"hed":', jq(title), ',"dek":', jq(_cat("<p>", l1, "</p>")),
+                   ',"servingSizeInfo":{"servingSizeDescription":', jq(_cat("Serves ", (d % 6 + 1).cast("string"))), "}",
+                   ',"formattedPrepTime":"PT', (d % 50).cast("string"), 'M"',
+                   ',"formattedCookTime":"PT', (d % 4).cast("string"), "H", (d % 60).cast("string"), 'M"',
+                   ',"author":', author, ',"ingredientGroups":', ingr_groups, ',"preparationGroups":', prep_groups, "}")
+    store_line = _cat('root.__INITIAL_STATE__.store = {"validation":{"email":{"regExp":/^\\S+@\\S+$/,'
+                      '"password":{"regExp":/^.{6,}$/,"messages":{"ok":1}}},"content":', content, "};")
+    st_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title>",
+                   "<script>window.app = {};</script></head><body><script>\nvar a = 1;\n", store_line,
+                   "\nvar b = 2;\n</script></body></html>")
+
+    # DOM layout A
+    li = lambda cls, arr: F.array_join(F.transform(arr, lambda x: _cat('<li class="', cls, '">', html_escape(x), "</li>")), "")
+    a_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><article>",
+                  '<h1 class="entry-title">', html_escape(title), "</h1>",
+                  '<div property="description"><p>', html_escape(l1), "</p></div>",
+                  '<div class="yield"><span>Makes ', (d % 6 + 1).cast("string"), "</span></div>",
+                  '<div class="cook-time"><meta content="PT', (d % 120).cast("string"), 'M"></div>',
+                  "<ul>", li("ingredient", words), "</ul><ol>", li("instruction", lines), "</ol></article></body></html>")
+
+    # DOM layout B
+    plain_li = lambda arr: F.array_join(F.transform(arr, lambda x: _cat("<li>", html_escape(x), "</li>")), "")
+    paras = _cat("<p>Serves ", (d % 6 + 1).cast("string"), "</p><p>", html_escape(l1), "</p>")
+    b_rows = _cat('<div class="sqs-layout"><div class="row"><div class="sqs-block"><div class="sqs-block-content">',
+                  paras, "</div></div></div></div>",
+                  '<div class="sqs-block"><div class="sqs-block-content"><ul>', plain_li(lines),
+                  '<li class="note">not a step</li></ul></div></div>')
+    b_flat = _cat('<div class="sqs-block"><div class="sqs-block-content">', paras, "<ul>", plain_li(words),
+                  '<li class="note">skip</li></ul></div></div>')
+    b_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), " | SAM THE COOKING GUY</title></head><body>",
+                  F.when(d % 8 == 7, b_flat).otherwise(b_rows), "</body></html>")
+
+    domain = (F.when(variant == 0, _pick(d, NEXT_DATA_DOMAINS))
+              .when(variant == 1, F.lit("www.epicurious.com"))
+              .when(variant == 2, F.lit("www.saveur.com"))
+              .otherwise(F.lit("www.thecookingguy.com")))
+    html = (F.when(variant == 0, nd_html).when(variant == 1, st_html)
+            .when(variant == 2, a_html).otherwise(b_html))
+    return docs.select(d.alias("page_id"), _cat("https://", domain, "/recipes/", d.cast("string")).alias("url"),
+                       html.alias("html"))
