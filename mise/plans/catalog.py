@@ -297,3 +297,223 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which recipes are in this crawl, who published them, how long do they take?"""
     flat = _f2_flat(spark, sf_dir)
     return flat.select("page_id", "title", "totaltime", "n_ingredients", "author")
+
+
+# ------------------------------------------------ site routes (F7 from documents)
+def _sites_extracted(spark, d) -> DataFrame:
+    return X.extracted(spark, "sites", FX.site_pages, d)
+
+
+def _sites_flat(spark, d) -> DataFrame:
+    ex = _sites_extracted(spark, d)
+    return _flat(X.recipes_of(ex)).join(ex.select("page_id", "route"), "page_id")
+
+
+def _ws(words_expr: str, fn) -> str:
+    return f"list_transform({words_expr}, lambda w: {fn('w')})"
+
+
+_ND_INGR = ("list_transform(words, lambda w, i: " +
+            O.strip_tags("CAST(i AS VARCHAR) || ' ' || (CASE WHEN (i - 1) % 2 = 0 THEN 'cup' ELSE '' END) || ' ' || "
+                         + O.clean_text("w") + " || (CASE WHEN (i - 1) % 3 = 0 THEN ', chopped' ELSE '' END)", True) + ")")
+_F7_BASE = f"""
+f7 AS (SELECT doc_id AS d, string_split(text, chr(10)) AS lines FROM documents),
+f7a AS (SELECT d, lines, lines[1] AS l1, string_split(lines[1], ' ') AS words FROM f7),
+f7b AS (SELECT *, array_to_string(words[1:6], ' ') AS title0 FROM f7a),
+nd AS (SELECT d AS page_id, 'next_data' AS route,
+  'https://' || {O.pick('d', FX.NEXT_DATA_DOMAINS)} || '/recipes/' || CAST(d AS VARCHAR) AS url,
+  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text('l1'), True)} AS description,
+  CAST(d % 8 + 1 AS VARCHAR) || ' servings' AS yield, '' AS preptime, '' AS cooktime,
+  CASE WHEN d % 3 = 0 THEN 'TBD' ELSE CAST(d % 90 + 5 AS VARCHAR) || ' minutes' END AS totaltime,
+  CASE WHEN d % 2 = 0 THEN {O.publisher(O.pick('d', FX.NEXT_DATA_DOMAINS))} ELSE 'Test Kitchen ' || CAST(d % 5 AS VARCHAR) END AS author,
+  CASE WHEN d % 3 = 0 THEN 2 ELSE 1 END AS n_ingredient_groups,
+  CASE WHEN d % 3 = 0 THEN list_append({_ND_INGR}, '1 pinch salt') ELSE {_ND_INGR} END AS ingr,
+  {_ws('lines', lambda l: O.strip_tags(O.clean_text(l), True))} AS dirs,
+  {O.strip_tags(O.clean_text("'<p>' || l1 || '</p>'"), True)} AS notes
+  FROM f7b WHERE d % 4 = 0),
+st AS (SELECT d AS page_id, 'inline_store' AS route, 'https://www.epicurious.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text("'<p>' || l1 || '</p>'"))} AS description,
+  'Serves ' || CAST(d % 6 + 1 AS VARCHAR) AS yield,
+  {O.minutes_text('(d % 50)', '')} AS preptime, {O.minutes_text('((d % 4) * 60 + d % 60)', '')} AS cooktime,
+  {O.minutes_text('(d % 50 + (d % 4) * 60 + d % 60)')} AS totaltime,
+  CASE WHEN d % 3 = 2 THEN 'Epicurious Staff' ELSE 'Epicurious (Cook ' || CAST(d % 7 AS VARCHAR) || ')' END AS author,
+  CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS n_ingredient_groups,
+  CASE WHEN d % 2 = 0 THEN list_append({_ws('words', lambda w: O.strip_tags(O.clean_text(w)))}, 'salt &amp; pepper')
+       ELSE {_ws('words', lambda w: O.strip_tags(O.clean_text(w)))} END AS ingr,
+  {_ws('lines', lambda l: O.strip_tags(O.clean_text(l)))} AS dirs, '' AS notes
+  FROM f7b WHERE d % 4 = 1),
+da AS (SELECT d AS page_id, 'dom_saveur' AS route, 'https://www.saveur.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  title0 AS title, l1 AS description, 'Makes ' || CAST(d % 6 + 1 AS VARCHAR) AS yield, '' AS preptime,
+  {O.minutes_text('(d % 120)', '')} AS cooktime, {O.minutes_text('(d % 120)')} AS totaltime,
+  'Saveur' AS author, 1 AS n_ingredient_groups,
+  {_ws('words', O.leaf_text)} AS ingr, {_ws('lines', O.leaf_text)} AS dirs, '' AS notes
+  FROM f7b WHERE d % 4 = 2),
+db AS (SELECT d AS page_id, 'dom_squarespace' AS route, 'https://www.thecookingguy.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  title0 || ' ' AS title, l1 AS description, 'Serves ' || CAST(d % 6 + 1 AS VARCHAR) AS yield,
+  '' AS preptime, '' AS cooktime, '' AS totaltime, 'Sam the Cooking Guy (Sam Zien)' AS author, 1 AS n_ingredient_groups,
+  CASE WHEN d % 8 = 7 THEN {_ws('words', O.leaf_text)} ELSE ['Serves ' || CAST(d % 6 + 1 AS VARCHAR), {O.leaf_text('l1')}] END AS ingr,
+  CASE WHEN d % 8 = 7 THEN {_ws('words', O.leaf_text)} ELSE {_ws('lines', O.leaf_text)} END AS dirs, '' AS notes
+  FROM f7b WHERE d % 4 = 3),
+f7x AS (
+  SELECT page_id, route, url, title, description, yield, preptime, cooktime, totaltime, author,
+         CAST(n_ingredient_groups AS INTEGER) AS n_ingredient_groups,
+         CAST(len(ingr) AS INTEGER) AS n_ingredients, array_to_string(ingr, ' | ') AS ingredients,
+         CAST(len(dirs) AS INTEGER) AS n_directions, array_to_string(dirs, ' | ') AS directions, notes, ingr, dirs
+  FROM (SELECT * FROM nd UNION ALL SELECT * FROM st UNION ALL SELECT * FROM da UNION ALL SELECT * FROM db))
+"""
+
+_FLAT_ROUTE = ", ".join(FLAT_COLS + ["route"])
+register("recipes_sites", f"WITH {_F7_BASE} SELECT {_FLAT_ROUTE} FROM f7x")(_sites_flat)
+
+
+def _route_subset(routes: list[str], cols: list[str] | None = None):
+    def q(spark, d):
+        df = _sites_flat(spark, d).filter(F.col("route").isin(routes))
+        return df.select(*(cols or FLAT_COLS))
+    return q
+
+
+_in = lambda rs: ", ".join(f"'{r}'" for r in rs)
+for _name, _routes, _cols in [
+        ("extract_next_data", [U.ROUTE_NEXT_DATA], None),
+        ("extract_inline_store", [U.ROUTE_INLINE_STORE], None),
+        ("extract_dom_fields", [U.ROUTE_DOM_A, U.ROUTE_DOM_B], None),
+        ("notes_rule", [U.ROUTE_NEXT_DATA], ["page_id", "notes"]),
+        ("ingredients_nested", [U.ROUTE_NEXT_DATA, U.ROUTE_INLINE_STORE], ["page_id", "n_ingredient_groups", "ingredients"]),
+        ("directions_nested", [U.ROUTE_NEXT_DATA, U.ROUTE_INLINE_STORE], ["page_id", "n_directions", "directions"])]:
+    register(_name, f"WITH {_F7_BASE} SELECT {', '.join(_cols or FLAT_COLS)} FROM f7x WHERE route IN ({_in(_routes)})")(
+        _route_subset(_routes, _cols))
+
+
+@register("assemble_groups", f"""WITH {_F7_BASE},
+g AS (SELECT page_id, route, d FROM f7x JOIN f7b ON f7b.d = f7x.page_id)
+SELECT page_id, CAST(0 AS INTEGER) AS group_pos,
+       CASE WHEN route = 'next_data' AND d % 3 = 0 THEN 'For the base' ELSE '' END AS group_title,
+       CAST(CASE WHEN route = 'dom_squarespace' AND d % 8 <> 7 THEN 2 ELSE len(f7b.words) END AS INTEGER) AS n_items
+FROM g JOIN f7b USING (d)
+UNION ALL
+SELECT page_id, CAST(1 AS INTEGER), CASE WHEN route = 'next_data' THEN 'To finish' ELSE '' END, CAST(1 AS INTEGER)
+FROM g WHERE (route = 'next_data' AND d % 3 = 0) OR (route = 'inline_store' AND d % 2 = 0)""")
+def q_assemble_groups(spark, d):
+    rec = X.recipes_of(_sites_extracted(spark, d))
+    return rec.select("page_id", F.posexplode("recipe.ingredient_groups").alias("group_pos", "g")) \
+        .select("page_id", "group_pos", F.col("g.title").alias("group_title"),
+                F.size("g.ingredients").alias("n_items"))
+
+
+@register("flatten_items", f"""WITH {_F7_BASE}
+SELECT page_id, 'ingredients' AS section, CAST(CASE WHEN i > len(ingr) - 1 AND n_ingredient_groups = 2 THEN 1 ELSE 0 END AS INTEGER) AS group_pos,
+       CAST(CASE WHEN i > len(ingr) - 1 AND n_ingredient_groups = 2 THEN 1 ELSE i END AS INTEGER) AS item_no, ingr[i] AS item
+FROM f7x, generate_series(1, len(ingr)) AS t(i)
+UNION ALL
+SELECT page_id, 'directions', CAST(0 AS INTEGER), CAST(i AS INTEGER), dirs[i] FROM f7x, generate_series(1, len(dirs)) AS t(i)""")
+def q_flatten_items(spark, d):
+    rec = X.recipes_of(_sites_extracted(spark, d))
+    return R.flatten_items(rec).select("page_id", "section", "group_pos", "item_no", "item")
+
+
+@register("split_instructions", """
+SELECT doc_id, CAST(i AS INTEGER) AS step_no, string_split(text, chr(10))[i] AS step
+FROM documents, generate_series(1, len(string_split(text, chr(10)))) AS t(i)""")
+def q_split_instructions(spark, d):
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "step")) \
+        .select("doc_id", (F.col("i") + 1).alias("step_no"), "step")
+
+
+# ------------------------------------------------------------- rendering
+from ..operators import render as RD  # noqa: E402
+from ..sources import recipe_json as RJ  # noqa: E402
+
+
+def _f2_recipes(spark, d) -> DataFrame:
+    return X.recipes_of(_f2_extracted(spark, d))
+
+
+def _sites_recipes(spark, d) -> DataFrame:
+    return X.recipes_of(_sites_extracted(spark, d))
+
+
+_F2_DOC = f"WITH {_F2_BASE}, ok AS (SELECT * FROM f2x WHERE reason IS NULL) "
+
+
+@register("doc_header", _F2_DOC + """
+SELECT page_id, '## ' || title || chr(10) || chr(10) AS md_header,
+       title || chr(10) || repeat('=', CAST(length(title) AS BIGINT)) || chr(10) || chr(10) AS rst_header FROM ok""")
+def q_doc_header(spark, d):
+    t = RD._s(F.col("recipe.title"))
+    return _f2_recipes(spark, d).select("page_id", RD.header(t, "md", 1).alias("md_header"),
+                                         RD.header(t, "rst", 1).alias("rst_header"))
+
+
+_INFO_SQL = ("rtrim('| ' || (CASE WHEN p <> '' THEN 'Prep: ' || p || ' | ' ELSE '' END) || "
+             "(CASE WHEN t <> '' THEN 'Total: ' || t || ' | ' ELSE '' END) || "
+             "(CASE WHEN y <> '' THEN 'Yield: ' || y || ' | ' ELSE '' END))")
+
+
+@register("doc_info_line", _F2_DOC + f""",
+i AS (SELECT page_id, {_INFO_SQL} AS info FROM (SELECT page_id, {O.clean_text('preptime')} AS p,
+      {O.clean_text('totaltime')} AS t, {O.clean_text('yield')} AS y FROM ok))
+SELECT page_id, CASE WHEN info = '|' THEN '' ELSE regexp_replace(info, '[^|]', '-', 'g') || chr(10) || info || chr(10)
+       || regexp_replace(info, '[^|]', '-', 'g') || chr(10) || chr(10) END AS md_info,
+       CASE WHEN info = '|' THEN '' ELSE replace(regexp_replace(info, '[^|]', '-', 'g'), '|', '+') || chr(10) || info
+       || chr(10) || replace(regexp_replace(info, '[^|]', '-', 'g'), '|', '+') || chr(10) || chr(10) END AS rst_info
+FROM i""")
+def q_doc_info_line(spark, d):
+    r = F.col("recipe")
+    p, t, y = RD._s(r["preptime"]), RD._s(r["totaltime"]), RD._s(r["yield"])
+    return _f2_recipes(spark, d).select("page_id", RD.info_line(p, t, y, "md").alias("md_info"),
+                                         RD.info_line(p, t, y, "rst").alias("rst_info"))
+
+
+@register("doc_source_line", _F2_DOC + f"""
+SELECT page_id, 'Source: [' || (CASE WHEN author = '' THEN {O.url_domain('url')} ELSE author END) || '](' || url || ')' || chr(10) || chr(10) AS md_source,
+       'Source: `' || (CASE WHEN author = '' THEN {O.url_domain('url')} ELSE author END) || ' <' || url || '>`__' || chr(10) || chr(10) AS rst_source
+FROM ok""")
+def q_doc_source_line(spark, d):
+    r = F.col("recipe")
+    u, a = RD._s(r["url"]), RD._s(r["author"])
+    return _f2_recipes(spark, d).select("page_id", RD.source_line(u, a, "md").alias("md_source"),
+                                         RD.source_line(u, a, "rst").alias("rst_source"))
+
+
+@register("format_fanout", _F2_DOC + """
+SELECT f.format, count(*) AS n_docs FROM ok, (VALUES ('json'), ('md'), ('rst')) AS f(format) GROUP BY f.format""")
+def q_format_fanout(spark, d):
+    docs = RD.render_docs(_f2_recipes(spark, d), ["json", "md", "rst"])
+    return docs.groupBy("format").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@register("filename_collision", _F2_DOC + """
+SELECT regexp_replace(title, '[^\\p{L}\\p{N}_]+', '', 'g') || '.md' AS filename, max(page_id) AS page_id,
+       count(*) AS n_candidates FROM ok GROUP BY 1""")
+def q_filename_collision(spark, d):
+    docs = RD.render_docs(_f2_recipes(spark, d), ["md"])
+    return RD.filename_collision(docs).select("filename", "page_id", "n_candidates")
+
+
+for _fmt in ["md", "rst", "json"]:
+    register(f"render_{_fmt}")((lambda fmt: lambda spark, d: RD.render_docs(
+        _sites_recipes(spark, d).unionByName(_f2_recipes(spark, d)), [fmt]))(_fmt))
+
+
+@register("doc_wrap")
+def q_doc_wrap(spark, d):
+    """Directions of every document line wrapped at 75 with numbered prefixes."""
+    docs = read_table(spark, d, "documents")
+    block = RD.wrap_groups(F.array(F.split("text", "\n")), "numbered")
+    return docs.select("doc_id", F.size(F.split(block, "\n")).alias("n_lines"), F.length(block).alias("n_chars"))
+
+
+@register("sink_json", _F2_DOC + "SELECT page_id, title, CAST(n_ingredients AS INTEGER) AS n_ingredients FROM ok")
+def q_sink_json(spark, d):
+    path = RJ.sink_json(_f2_recipes(spark, d), spark)
+    back = spark.read.json(path)
+    return back.select("page_id", F.col("recipe.title").alias("title"),
+                       F.size(F.col("recipe.ingredient_groups")[0]["ingredients"]).alias("n_ingredients"))
+
+
+@register("scan_recipe_json", f"WITH {_F2_BASE} SELECT {', '.join(FLAT_COLS)} FROM f2x WHERE reason IS NULL")
+def q_scan_recipe_json(spark, d):
+    path = RJ.sink_recipe_files(_f2_recipes(spark, d), spark)
+    return _flat(RJ.scan_recipe_json(spark, path))
