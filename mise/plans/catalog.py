@@ -517,3 +517,107 @@ def q_sink_json(spark, d):
 def q_scan_recipe_json(spark, d):
     path = RJ.sink_recipe_files(_f2_recipes(spark, d), spark)
     return _flat(RJ.scan_recipe_json(spark, path))
+
+
+# ----------------------------------------------------------------------- QA
+from ..operators import golden as G  # noqa: E402
+from ..sources import manifest as M  # noqa: E402
+
+_MANIFEST_SQL = """
+m0 AS (SELECT page_id * 2 AS line_no, CASE WHEN page_id % 10 = 0 THEN '# section ' || CAST(page_id AS VARCHAR)
+                                          WHEN page_id % 7 = 0 THEN ' ' || chr(9) || ' ' END AS value FROM pages
+       UNION ALL
+       SELECT page_id * 2 + CASE WHEN page_id % 10 = 0 OR page_id % 7 = 0 THEN 1 ELSE 0 END,
+              CASE WHEN page_id % 6 = 2 THEN '  ' ELSE '' END || url || '|page_' || CAST(page_id AS VARCHAR) || '.' ||
+              (['rst', 'md', 'json'])[page_id % 3 + 1] || CASE WHEN page_id % 4 = 1 THEN '  # checked' ELSE '' END
+       FROM pages),
+m1 AS (SELECT line_no, regexp_replace(regexp_replace(value, '#.*$', ''), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t
+       FROM m0 WHERE value IS NOT NULL),
+m2 AS (SELECT line_no, CASE WHEN contains(t, '|') THEN split_part(t, '|', 1) ELSE t END AS url,
+              CASE WHEN contains(t, '|') THEN split_part(t, '|', 2) ELSE t END AS ref_file FROM m1 WHERE t <> '')
+"""
+
+
+def _manifest(spark, d) -> DataFrame:
+    return M.parse_manifest(M.manifest_lines_from_pages(read_table(spark, d, "pages")))
+
+
+@register("scan_manifest", f"""WITH {_MANIFEST_SQL}
+SELECT line_no, url, ref_file, CASE regexp_extract(ref_file, '[^.]*$') WHEN 'rst' THEN 'rst' WHEN 'md' THEN 'md'
+       WHEN 'json' THEN 'json' END AS format FROM m2""")
+def q_scan_manifest(spark, d):
+    return _manifest(spark, d)
+
+
+@register("manifest_append", f"""WITH {_MANIFEST_SQL}
+SELECT count(*) * 2 AS n_tests, count(DISTINCT ref_file) AS n_ref_files FROM m2""")
+def q_manifest_append(spark, d):
+    m = _manifest(spark, d)
+    both = M.manifest_append(m, m)
+    return both.agg(F.count(F.lit(1)).alias("n_tests"), F.count_distinct("ref_file").alias("n_ref_files"))
+
+
+def _golden_inputs(spark, d):
+    """documents as reference files; the 'actual' output of each test is the
+    document altered by ``doc_id % 5`` (0: extra line, 1: trailing blanks and
+    blank lines only); references of ``doc_id % 7 = 3`` are absent."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    did = F.col("doc_id")
+    ref_file = F.concat(F.lit("doc_"), did.cast("string"), F.lit(".rst"))
+    tests = docs.select(did.alias("line_no"), F.concat(F.lit("https://docs.example/"), did.cast("string")).alias("url"),
+                        ref_file.alias("ref_file"))
+    act = (F.when(did % 5 == 0, F.concat("text", F.lit("\nALTERED LINE")))
+           .when(did % 5 == 1, F.concat(F.replace(F.col("text"), F.lit("\n"), F.lit("  \n\n")), F.lit("\t ")))
+           .otherwise(F.col("text")))
+    actual = docs.select(did.alias("line_no"), act.alias("body"))
+    reference = docs.filter(did % 7 != 3).select(ref_file.alias("ref_file"), F.col("text").alias("body"))
+    return tests, actual, reference
+
+
+_GOLDEN_SQL = """
+g0 AS (SELECT doc_id, 'https://docs.example/' || CAST(doc_id AS VARCHAR) AS url, 'doc_' || CAST(doc_id AS VARCHAR) || '.rst' AS ref_file,
+              CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'ALTERED LINE'
+                   WHEN doc_id % 5 = 1 THEN replace(text, chr(10), '  ' || chr(10) || chr(10)) || chr(9) || ' '
+                   ELSE text END AS act, CASE WHEN doc_id % 7 <> 3 THEN text END AS ref FROM documents),
+g1 AS (SELECT doc_id, url, ref_file, act, ref,
+              list_filter(list_transform(string_split(act, chr(10)), lambda l: rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda l: l <> '') AS a,
+              list_filter(list_transform(string_split(ref, chr(10)), lambda l: rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda l: l <> '') AS r
+       FROM g0),
+g2 AS (SELECT doc_id AS line_no, url, ref_file, act,
+              CASE WHEN coalesce(length(ref), 0) = 0 THEN 'MISSING' WHEN act IS NULL THEN 'ERROR'
+                   WHEN a = r THEN 'PASS' ELSE 'FAIL' END AS status FROM g1)
+"""
+
+
+def _verdicts(spark, d):
+    return G.golden_diff(*_golden_inputs(spark, d))
+
+
+register("golden_diff", f"WITH {_GOLDEN_SQL} SELECT line_no, url, ref_file, status FROM g2")(
+    lambda spark, d: _verdicts(spark, d).select("line_no", "url", "ref_file", "status"))
+register("golden_join", f"WITH {_GOLDEN_SQL} SELECT line_no, ref_file, (status <> 'MISSING') AS has_reference FROM g2")(
+    lambda spark, d: _verdicts(spark, d).select("line_no", "ref_file", (F.col("status") != G.MISSING).alias("has_reference")))
+register("golden_missing", f"WITH {_GOLDEN_SQL} SELECT ref_file, act AS body FROM g2 WHERE status = 'MISSING'")(
+    lambda spark, d: G.golden_missing(_verdicts(spark, d)))
+register("status_counts", f"WITH {_GOLDEN_SQL} SELECT status, count(*) AS n_tests FROM g2 GROUP BY status")(
+    lambda spark, d: G.status_counts(_verdicts(spark, d)))
+
+
+def _coverage_sql() -> str:
+    return f"""WITH {_F2_BASE}, {_F7_BASE}
+SELECT route, sum(n_pages) AS n_pages, sum(n_recipes) AS n_recipes, sum(n_rejected) AS n_rejected FROM (
+  SELECT 'ldjson' AS route, count(*) AS n_pages, 0 AS n_recipes, count(*) AS n_rejected FROM pages
+  UNION ALL SELECT 'ldjson', count(*), count(*) FILTER (WHERE reason IS NULL), count(*) FILTER (WHERE reason IS NOT NULL) FROM f2x
+  UNION ALL SELECT route, count(*), count(*), 0 FROM f7x GROUP BY route) GROUP BY route"""
+
+
+@register("route_coverage", _coverage_sql())
+def q_route_coverage(spark, d):
+    real = X.extracted(spark, "pages", lambda s, dd: scan_pages(s, dd), d)
+    allx = real.unionByName(_f2_extracted(spark, d)).unionByName(_sites_extracted(spark, d))
+    return G.route_coverage(allx)
+
+
+@register("reject_pages_crawl", "SELECT page_id, url, 'ldjson' AS route, 'no_ldjson' AS reason FROM pages")
+def q_reject_pages_crawl(spark, d):
+    return X.rejects_of(X.extracted(spark, "pages", lambda s, dd: scan_pages(s, dd), d))
