@@ -22,7 +22,10 @@ from ..functions.urls import PUBLISHERS
 from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
-FIXTURE_VERSION = "v1"
+FIXTURE_VERSION = "v2"
+# Files per derived corpus: a crawl arrives as many files, so scans get
+# parallel splits (a single small parquet file is one row group, one task).
+FIXTURE_FILES_PER_CORE = 2
 
 # --- fixed values (fixture layout) ------------------------------------------
 LDJSON_DOMAINS = ["www.bonappetit.com", "www.foodnetwork.com", "cooking.nytimes.com",
@@ -49,7 +52,8 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     tag = sf_dir.rstrip("/").replace("/", "_").strip("_")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mise-fixtures/{FIXTURE_VERSION}/{tag}/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+        n = max(1, spark.sparkContext.defaultParallelism * FIXTURE_FILES_PER_CORE)
+        build(spark, sf_dir).repartition(n).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
