@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from . import hof as H
+from .text import clean_text, register_sql_functions
 
 
 def vtype(v: Column) -> Column:
@@ -44,6 +45,9 @@ def clean_value(v: Column, default: Column | str = "") -> Column:
     strip + strip tags; any other type -> its JSON text.
     """
     d = F.lit(default) if isinstance(default, str) else default
+    if not H.in_lambda():
+        register_sql_functions()
+        return F.coalesce(F.call_function("mise_clean_value", v), d)
     return (F.when(v.isNull(), d)
             .when(F.is_variant_null(v), F.lit(""))
             .when(v_is_string(v), clean_text(v_string(v)))
@@ -141,7 +145,7 @@ def first_typed_element(list_text: Column, type_value: str = "Recipe") -> Column
     """
     elems = F.from_json(list_text, "array<string>")
     typ = lambda e: F.from_json(e, "struct<`@type`: string>").getField("@type")
-    return F.get(F.filter(elems, lambda e: typ(e) == F.lit(type_value)), 0)
+    return F.get(H.filter(elems, lambda e: typ(e) == F.lit(type_value)), 0)
 
 
 def json_list_items(t: Column) -> Column:

@@ -6,9 +6,11 @@ All functions map Column -> Column and stay inside whole-stage codegen
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .hof import in_lambda
+
 # --- fixed values -----------------------------------------------------------
 # Python's Unicode whitespace set (str.isspace / re \s), as a Java regex class.
 # Java's \s is ASCII-only and (?U)\s misses U+001C..U+001F, so it is spelled out.
@@ -55,9 +57,105 @@ def _apply(col: Column, rules) -> Column:
     return col
 
 
+def _expanded_strip_tags(col: Column, strip_newline: bool) -> Column:
+    out = _apply(col, STRIP_TAGS_RULES_HEAD)
+    if strip_newline:
+        out = F.translate(out, "\n", " ")
+    out = _apply(out, STRIP_TAGS_RULES_TAIL)
+    # After the collapse every whitespace run is one ASCII space, so the
+    # final strip only has to drop spaces.
+    return F.trim(F.regexp_replace(out, f"{WS_CLASS}+", " "))
+
+
+# ------------------------------------------------ session SQL functions
+# The same rules as SQL text.  A rule chain is ~25 expressions; building it
+# through the DataFrame API costs one driver->JVM call per node at every use,
+# while a SQL function is one call and the analyzer inlines its body (the
+# plan and the generated code are the same as the expanded form).
+
+def sql_str(v: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") \
+        .replace("\r", "\\r").replace("\t", "\\t") + "'"
+
+
+def _apply_sql(x: str, rules) -> str:
+    fn = {"lit": "replace", "re": "regexp_replace", "tr": "translate"}
+    for kind, a, b in rules:
+        x = f"{fn[kind]}({x}, {sql_str(a)}, {sql_str(b)})"
+    return x
+
+
+def _py_strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {sql_str(f'^{WS_CLASS}+|{WS_CLASS}+$')}, '')"
+
+
+def _strip_tags_sql(x: str, strip_newline: bool) -> str:
+    out = _apply_sql(x, STRIP_TAGS_RULES_HEAD)
+    if strip_newline:
+        out = f"translate({out}, {sql_str(chr(10))}, ' ')"
+    out = _apply_sql(out, STRIP_TAGS_RULES_TAIL)
+    return f"trim(regexp_replace({out}, {sql_str(WS_CLASS + '+')}, ' '))"
+
+
+def _iso_minutes_sql(s: str) -> str:
+    def num(i: int, typ: str) -> str:
+        return f"coalesce(try_cast(nullif(regexp_extract({s}, {sql_str(ISO_DURATION_RX)}, {i}), '') AS {typ}), 0)"
+    total = f"({num(1, 'BIGINT')} * 86400 + {num(2, 'BIGINT')} * 3600 + {num(3, 'BIGINT')} * 60 + {num(4, 'DOUBLE')})"
+    return f"CAST(floor({total} / 60) AS INT)"
+
+
+def _minutes_text_sql(m: str, d: str) -> str:
+    h = f"floor({m} / 60)"
+    r = f"({m} - {h} * 60)"
+    return (f"CASE WHEN {m} > 0 THEN concat("
+            f"CASE WHEN {h} > 1 THEN concat(CAST({h} AS STRING), ' hours ') WHEN {h} = 1 THEN '1 hour ' ELSE '' END, "
+            f"CASE WHEN {r} > 1 THEN concat(CAST({r} AS STRING), ' minutes') WHEN {r} = 1 THEN '1 minute' ELSE '' END)"
+            f" ELSE {d} END")
+
+
+def _sql_functions() -> dict[str, tuple[str, str, str]]:
+    return {
+        "mise_py_strip": ("x STRING", "STRING", _py_strip_sql("x")),
+        "mise_strip_tags": ("x STRING", "STRING", _strip_tags_sql("x", False)),
+        "mise_strip_tags_nl": ("x STRING", "STRING", _strip_tags_sql("x", True)),
+        "mise_clean_text": ("x STRING", "STRING", _strip_tags_sql(_py_strip_sql("x"), False)),
+        "mise_clean_text_nl": ("x STRING", "STRING", _strip_tags_sql(_py_strip_sql("x"), True)),
+        "mise_iso_minutes_of": ("s STRING", "INT", _iso_minutes_sql("s")),
+        "mise_minutes_text": ("m BIGINT, d STRING", "STRING", _minutes_text_sql("m", "d")),
+        # Value-cleaning rule on a VARIANT field; NULL (key absent) is left to the caller's default.
+        "mise_clean_value": ("v VARIANT", "STRING",
+                             "CASE WHEN v IS NULL THEN NULL WHEN is_variant_null(v) THEN '' "
+                             "WHEN schema_of_variant(v) = 'STRING' THEN "
+                             + _strip_tags_sql(_py_strip_sql("try_variant_get(v, '$', 'string')"), False)
+                             + " ELSE to_json(v) END"),
+    }
+
+
+_REGISTERED: set[int] = set()
+
+
+def register_sql_functions(spark: SparkSession | None = None) -> None:
+    """Create the package's temporary SQL functions in ``spark`` (once)."""
+    spark = spark or SparkSession.getActiveSession()
+    key = spark._jsparkSession.hashCode()
+    if key in _REGISTERED:
+        return
+    for name, (params, ret, body) in _sql_functions().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} RETURN {body}")
+    _REGISTERED.add(key)
+
+
+def _call(name: str, *cols: Column) -> Column:
+    register_sql_functions()
+    return F.call_function(name, *cols)
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    if in_lambda():
+        return F.regexp_replace(col, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return _call("mise_py_strip", col)
 
 
 def collapse_ws(col: Column) -> Column:
@@ -71,18 +169,16 @@ def strip_tags(col: Column, strip_newline: bool = False) -> Column:
     The rules run in the order of the fixed table above; a final collapse of
     whitespace runs and a strip.  ``&amp;``/``&lt;``/``&quot;`` are kept as is.
     """
-    out = _apply(col, STRIP_TAGS_RULES_HEAD)
-    if strip_newline:
-        out = F.translate(out, "\n", " ")
-    out = _apply(out, STRIP_TAGS_RULES_TAIL)
-    # After the collapse every whitespace run is one ASCII space, so the
-    # final strip only has to drop spaces.
-    return F.trim(collapse_ws(out))
+    if in_lambda():
+        return _expanded_strip_tags(col, strip_newline)
+    return _call("mise_strip_tags_nl" if strip_newline else "mise_strip_tags", col)
 
 
 def clean_text(col: Column, strip_newline: bool = False) -> Column:
     """String branch of the value-cleaning rule: strip, then strip tags."""
-    return strip_tags(py_strip(col), strip_newline)
+    if in_lambda():
+        return _expanded_strip_tags(py_strip(col), strip_newline)
+    return _call("mise_clean_text_nl" if strip_newline else "mise_clean_text", col)
 
 
 def leaf_text(col: Column) -> Column:
@@ -95,6 +191,8 @@ def minutes_text(minutes: Column, default: str = "TBD") -> Column:
 
     Exact hours keep a trailing space; ``minutes <= 0`` (or NULL) gives ``default``.
     """
+    if not in_lambda():
+        return _call("mise_minutes_text", minutes.cast("bigint"), F.lit(default))
     m = minutes.cast("bigint")
     h = F.floor(m / 60).cast("bigint")
     r = m - h * 60
@@ -112,6 +210,8 @@ ISO_DURATION_RX = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?
 def iso_minutes(col: Column) -> Column:
     """Whole minutes of an ISO-8601 duration text; 0 when empty or not a duration."""
     s = F.coalesce(py_strip(col), F.lit(""))
+    if not in_lambda():
+        return _call("mise_iso_minutes_of", s)
 
     def num(i: int, typ: str) -> Column:
         g = F.regexp_extract(s, ISO_DURATION_RX, i)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hof as H
 from ..session import maybe_broadcast
 
 # --- fixed values -----------------------------------------------------------
@@ -21,8 +22,8 @@ PASS, FAIL, MISSING, ERROR = "PASS", "FAIL", "MISSING", "ERROR"
 
 
 def normalized_lines(body: Column) -> Column:
-    lines = F.transform(F.split(body, "\n"), lambda l: F.regexp_replace(l, TRAILING_SPACE, ""))
-    return F.filter(lines, lambda l: l != "")
+    lines = H.transform(F.split(body, "\n"), lambda l: F.regexp_replace(l, TRAILING_SPACE, ""))
+    return H.filter(lines, lambda l: l != "")
 
 
 def golden_diff(tests: DataFrame, actual: DataFrame, reference: DataFrame) -> DataFrame:

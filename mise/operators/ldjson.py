@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hof as H
 from ..functions import jsonkeys as J
 from ..functions.text import clean_text, iso_minutes, strip_tags
 from . import recipes as R
@@ -47,27 +48,27 @@ def has_ldjson(html: Column) -> Column:
 def script_infos(bodies: Column) -> Column:
     """Per script body: struct<pos, kind, raw, cand>, built by chained
     ``transform`` stages so each parse runs once per script."""
-    s1 = F.transform(bodies, lambda b, i: F.struct(
+    s1 = H.transform(bodies, lambda b, i: F.struct(
         i.alias("pos"), F.regexp_replace(b, LEAD_RX, "").alias("raw")))
-    s2 = F.transform(s1, lambda s: F.struct(
+    s2 = H.transform(s1, lambda s: F.struct(
         s["pos"].alias("pos"), s["raw"].alias("raw"),
         F.from_json(s["raw"], _HEAD_DDL).alias("head"),
         s["raw"].startswith("[").alias("is_list"),
         J.json_list_items(s["raw"]).isNotNull().alias("list_ok"),
         F.json_object_keys(s["raw"]).isNotNull().alias("obj_ok")))
-    s3 = F.transform(s2, lambda s: F.struct(
+    s3 = H.transform(s2, lambda s: F.struct(
         s["pos"].alias("pos"), s["raw"].alias("raw"), s["head"].alias("head"),
         (F.when(s["is_list"] & s["list_ok"], F.lit(KIND_LIST))
           .when(s["is_list"], F.lit(KIND_BAD))
           .when(F.coalesce(s["head"].getField("@graph").startswith("["), F.lit(False)), F.lit(KIND_GRAPH))
           .when(s["obj_ok"], F.lit(KIND_OBJECT))
           .otherwise(F.lit(KIND_BAD))).alias("kind")))
-    s4 = F.transform(s3, lambda s: F.struct(
+    s4 = H.transform(s3, lambda s: F.struct(
         s["pos"].alias("pos"), s["kind"].alias("kind"), s["raw"].alias("raw"), s["head"].alias("head"),
         F.when(s["kind"] == KIND_LIST, J.first_typed_element(s["raw"], RECIPE_TYPE))
          .when(s["kind"] == KIND_GRAPH, J.first_typed_element(s["head"].getField("@graph"), RECIPE_TYPE))
          .alias("first")))
-    return F.transform(s4, lambda s: F.struct(
+    return H.transform(s4, lambda s: F.struct(
         s["pos"].alias("pos"), s["kind"].alias("kind"), s["raw"].alias("raw"),
         F.when(s["kind"].isin(KIND_LIST, KIND_GRAPH)
                & F.from_json(s["first"], _HEAD_DDL).getField("recipeIngredient").isNotNull(), s["first"])
@@ -107,7 +108,7 @@ def pick_candidate(scripts: Column) -> Column:
                  .when((s["kind"] == KIND_OBJECT) & acc["raw"].isNull(), here)
                  .otherwise(acc))
 
-    return F.aggregate(scripts, zero, step)
+    return H.aggregate(scripts, zero, step)
 
 
 def _instruction_steps(t: Column) -> Column:
@@ -115,7 +116,7 @@ def _instruction_steps(t: Column) -> Column:
     items = J.json_list_items(t)
     step = lambda e: strip_tags(F.coalesce(
         F.when(e.startswith("{"), F.get_json_object(e, "$.text")), e))
-    as_list = F.transform(items, step)
+    as_list = H.transform(items, step)
     empty = F.array().cast("array<string>")
     return (F.when(t.isNull(), empty)
             .when(t.startswith("["), F.coalesce(as_list, empty))
@@ -128,7 +129,7 @@ def _ingredient_items(t: Column) -> Column:
     items = J.json_list_items(t)
     empty = F.array().cast("array<string>")
     return (F.when(t.isNull(), empty)
-            .when(t.startswith("["), F.coalesce(F.transform(items, lambda e: strip_tags(e)), empty))
+            .when(t.startswith("["), F.coalesce(H.transform(items, lambda e: strip_tags(e)), empty))
             .when(t.startswith('"'), F.array(strip_tags(J.json_unquote(t))))
             .otherwise(F.array(strip_tags(t))))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hof as H
 from ..functions.text import minutes_text
 
 RECIPE_DDL = (
@@ -97,8 +98,8 @@ def author_rule(author: Column, publisher: Column) -> Column:
 def flat_recipe(recipes: DataFrame, key: str = "page_id", sep: str = " | ") -> DataFrame:
     """Scalar view of a recipe struct column ``recipe`` (for checks and export)."""
     r = F.col("recipe")
-    ingr = F.flatten(F.transform(r["ingredient_groups"], lambda g: g["ingredients"]))
-    dirs = F.flatten(F.transform(r["direction_groups"], lambda g: g["directions"]))
+    ingr = F.flatten(H.transform(r["ingredient_groups"], lambda g: g["ingredients"]))
+    dirs = F.flatten(H.transform(r["direction_groups"], lambda g: g["directions"]))
     return recipes.select(
         key,
         *[F.coalesce(r[c], F.lit("")).alias(c) for c in
@@ -120,11 +121,11 @@ def flatten_items(recipes: DataFrame, key: str = "page_id") -> DataFrame:
     """
     r = F.col("recipe")
     sect = "struct<section: string, group_pos: int, group_title: string, items: array<string>>"
-    ingr = F.transform(F.coalesce(r["ingredient_groups"], F.array().cast(
+    ingr = H.transform(F.coalesce(r["ingredient_groups"], F.array().cast(
         "array<struct<title:string,ingredients:array<string>>>")), lambda g, i: F.struct(
         F.lit("ingredients").alias("section"), i.alias("group_pos"),
         F.coalesce(g["title"], F.lit("")).alias("group_title"), g["ingredients"].alias("items")))
-    dirs = F.transform(F.coalesce(r["direction_groups"], F.array().cast(
+    dirs = H.transform(F.coalesce(r["direction_groups"], F.array().cast(
         "array<struct<group:string,directions:array<string>>>")), lambda g, i: F.struct(
         F.lit("directions").alias("section"), i.alias("group_pos"),
         F.coalesce(g["group"], F.lit("")).alias("group_title"), g["directions"].alias("items")))
@@ -141,7 +142,7 @@ def assemble_groups(titles: Column, items: Column) -> Column:
     The group title is kept only when there is more than one group.
     """
     n = F.size(titles)
-    return F.transform(
+    return H.transform(
         F.arrays_zip(titles.alias("t"), items.alias("i")),
         lambda z: F.struct(F.when(n > 1, F.coalesce(z["t"], F.lit(""))).otherwise(F.lit("")).alias("title"),
                            F.coalesce(z["i"], F.array().cast("array<string>")).alias("ingredients")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import hof as H
 from ..functions.text import clean_text, title_filename
 from ..functions.urls import url_domain
 
@@ -85,7 +86,7 @@ def _prefixed_lines(text: Column, prefix: Column) -> Column:
              .when(p == 3, _native_wrap(text, WRAP_WIDTH - 3))
              .when(p == 4, _native_wrap(text, WRAP_WIDTH - 4))
              .otherwise(_native_wrap(text, WRAP_WIDTH - 5)))
-    return F.transform(lines, lambda l, i: F.concat(F.when(i == 0, prefix).otherwise(pad), l))
+    return H.transform(lines, lambda l, i: F.concat(F.when(i == 0, prefix).otherwise(pad), l))
 
 
 def _native_ok_prefixed(text: Column, prefix: Column) -> Column:
@@ -130,15 +131,15 @@ def wrap_groups(groups: Column, mode: str, bullet: str = "", blank_after: bool =
         return F.lit("")
 
     empty = F.array().cast("array<string>")
-    ok = F.forall(groups, lambda g: F.forall(
-        F.transform(F.coalesce(g, empty), lambda x, i: _native_ok_prefixed(F.coalesce(x, F.lit("")), prefix(i))),
+    ok = H.forall(groups, lambda g: H.forall(
+        H.transform(F.coalesce(g, empty), lambda x, i: _native_ok_prefixed(F.coalesce(x, F.lit("")), prefix(i))),
         lambda b: b))
     item_text = lambda x, i: F.concat(
-        F.array_join(F.transform(F.when(F.coalesce(x, F.lit("")) == "", empty).otherwise(_prefixed_lines(x, prefix(i))),
+        F.array_join(H.transform(F.when(F.coalesce(x, F.lit("")) == "", empty).otherwise(_prefixed_lines(x, prefix(i))),
                                  lambda l: F.concat(l, F.lit("\n"))), ""),
         F.lit("\n" if blank_after else ""))
-    native = F.array_join(F.transform(groups, lambda g: F.array_join(
-        F.transform(F.coalesce(g, empty), item_text), "")), "")
+    native = F.array_join(H.transform(groups, lambda g: F.array_join(
+        H.transform(F.coalesce(g, empty), item_text), "")), "")
     slow = wrap_groups_udf(F.when(~ok, groups), F.lit(mode), F.lit(bullet), F.lit(blank_after))
     return F.when(groups.isNull(), F.lit("")).when(ok, native).otherwise(slow)
 
@@ -151,25 +152,25 @@ def _ingredient_block(groups: Column, fmt: str) -> Column:
         t = _s(g["title"])
         head = F.when(t != "", F.concat(F.when(gi > 0, F.lit("\n")).otherwise(F.lit("")), header(t, fmt, 3))) \
             .otherwise(F.lit(""))
-        items = F.array_join(F.transform(F.coalesce(g["ingredients"], F.array().cast("array<string>")),
+        items = F.array_join(H.transform(F.coalesce(g["ingredients"], F.array().cast("array<string>")),
                                          lambda it: F.concat(F.lit(bullet + " "), F.coalesce(it, F.lit("")), F.lit("\n"))), "")
         return F.concat(head, items)
 
-    return F.coalesce(F.array_join(F.transform(groups, group), ""), F.lit(""))
+    return F.coalesce(F.array_join(H.transform(groups, group), ""), F.lit(""))
 
 
 def add_documents_staging(recipes: DataFrame, recipe: str = "recipe") -> DataFrame:
     """Stage the cleaned scalar fields and wrapped blocks shared by md and rst."""
     r = F.col(recipe)
     empty = F.array().cast("array<string>")
-    dir_groups = F.transform(
+    dir_groups = H.transform(
         F.coalesce(r["direction_groups"], F.array().cast("array<struct<group:string,directions:array<string>>>")),
         lambda g: F.coalesce(g["directions"], empty))
     staged = recipes.withColumns({
         "_title": _s(r["title"]), "_yield": _s(r["yield"]), "_prep": _s(r["preptime"]),
         "_total": _s(r["totaltime"]), "_url": _s(r["url"]), "_author": _s(r["author"]),
         "_desc": _s(r["description"]),
-        "_notes": F.transform(r["notes"], lambda n: F.replace(F.coalesce(n, F.lit("")), F.lit("***"), F.lit(""))),
+        "_notes": H.transform(r["notes"], lambda n: F.replace(F.coalesce(n, F.lit("")), F.lit("***"), F.lit(""))),
     })
     return staged.withColumns({
         "_desc_block": wrap_groups(F.array(F.array(F.col("_desc"))), "plain"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import hof as H
 from ..functions import jsonkeys as J
 from ..functions.text import clean_text, iso_minutes, leaf_text, minutes_text, strip_tags
 from . import recipes as R
@@ -84,10 +85,10 @@ def add_next_data_recipe(df: DataFrame, doc: str, url: str = "url", publisher: s
         return strip_tags(F.concat(cv(f["qty"]), F.lit(" "), cv(f["preText"]), F.lit(" "),
                                    item, cv(f["postText"])), strip_newline=True)
 
-    ingredient_groups = F.transform(groups, lambda g: F.struct(
+    ingredient_groups = H.transform(groups, lambda g: F.struct(
         F.when(n > 1, cv(g["fields"]["title"])).otherwise(F.lit("")).alias("title"),
-        F.coalesce(F.transform(g["fields"]["recipeIngredientItems"], line), _empty()).alias("ingredients")))
-    steps = F.coalesce(F.transform(d["instructions"], lambda s: strip_tags(cv(s["fields"]["content"]), True)),
+        F.coalesce(H.transform(g["fields"]["recipeIngredientItems"], line), _empty()).alias("ingredients")))
+    steps = F.coalesce(H.transform(d["instructions"], lambda s: strip_tags(cv(s["fields"]["content"]), True)),
                        _empty())
     note, author = F.col("_nd_note"), F.col("_nd_author")
     rec = R.recipe_struct(
@@ -108,8 +109,8 @@ def add_next_data_recipe(df: DataFrame, doc: str, url: str = "url", publisher: s
 def inline_store_content(html: Column) -> Column:
     """Raw JSON text of ``content`` from the last store line of any script."""
     scripts = F.regexp_extract_all(html, F.lit(SCRIPT_RX), 1)
-    lines = F.flatten(F.transform(scripts, lambda s: F.split(s, SPLITLINES_RX)))
-    hits = F.filter(lines, lambda l: l.contains(STORE_MARKER))
+    lines = F.flatten(H.transform(scripts, lambda s: F.split(s, SPLITLINES_RX)))
+    hits = H.filter(lines, lambda l: l.contains(STORE_MARKER))
     line = F.try_element_at(hits, F.lit(-1))
     text = F.regexp_replace(F.regexp_replace(line, "[^}]*$", ""), "^[^{]*", "")
     for pat, rep in STORE_FIXES:
@@ -135,13 +136,13 @@ def add_inline_store_recipe(df: DataFrame, content: str, url: str = "url",
     df = df.withColumn("_st_total_m", F.col("_st_prep_m") + F.col("_st_cook_m"))
     df = R.add_derived_times(df, "_st_prep_m", "_st_cook_m", "_st_total_m", fill_total=False, prefix="_st")
     # Group titles always come out empty (the rule reads the new, empty group).
-    ingr = F.coalesce(F.transform(d["ingredientGroups"], lambda g: F.struct(
+    ingr = F.coalesce(H.transform(d["ingredientGroups"], lambda g: F.struct(
         F.lit("").alias("title"),
-        F.coalesce(F.transform(g["ingredients"], lambda i: strip_tags(cv(i["description"]))), _empty())
+        F.coalesce(H.transform(g["ingredients"], lambda i: strip_tags(cv(i["description"]))), _empty())
          .alias("ingredients"))), F.array().cast("array<struct<title:string,ingredients:array<string>>>"))
-    dirs = F.coalesce(F.transform(d["preparationGroups"], lambda g: F.struct(
+    dirs = F.coalesce(H.transform(d["preparationGroups"], lambda g: F.struct(
         F.lit("").alias("group"),
-        F.coalesce(F.transform(g["steps"], lambda s: strip_tags(cv(s["description"]))), _empty())
+        F.coalesce(H.transform(g["steps"], lambda s: strip_tags(cv(s["description"]))), _empty())
          .alias("directions"))), F.array().cast("array<struct<group:string,directions:array<string>>>"))
     rec = R.recipe_struct(
         url=F.col(url), title=cv(d["hed"]), description=strip_tags(cv(d["dek"])),

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hof as H
 from ..functions import jsonkeys as J
 from ..functions import text as T
 from ..functions import urls as U
@@ -250,7 +251,7 @@ FROM part JOIN layouts l ON l.layout = p_partkey % 9 GROUP BY p_partkey""")
 def q_valid_recipe(spark, d):
     pages = FX.ldjson_pages(spark, d).filter(L.has_ldjson(F.col("html")))
     s = pages.select("page_id", L.scripts_of(F.col("html")).alias("s"))
-    return s.select("page_id", F.size(F.filter("s", lambda x: x["cand"].isNotNull())).cast("bigint").alias("n_valid"))
+    return s.select("page_id", F.size(H.filter("s", lambda x: x["cand"].isNotNull())).cast("bigint").alias("n_valid"))
 
 
 @register("pick_candidate", """
@@ -461,9 +462,13 @@ SELECT page_id, CASE WHEN info = '|' THEN '' ELSE regexp_replace(info, '[^|]', '
 FROM i""")
 def q_doc_info_line(spark, d):
     r = F.col("recipe")
-    p, t, y = RD._s(r["preptime"]), RD._s(r["totaltime"]), RD._s(r["yield"])
-    return _f2_recipes(spark, d).select("page_id", RD.info_line(p, t, y, "md").alias("md_info"),
-                                         RD.info_line(p, t, y, "rst").alias("rst_info"))
+    # Clean each field once: the info line references every field several
+    # times, and inlining the cleaning chain there overflows generated code.
+    staged = _f2_recipes(spark, d).select("page_id", RD._s(r["preptime"]).alias("p"),
+                                          RD._s(r["totaltime"]).alias("t"), RD._s(r["yield"]).alias("y"))
+    p, t, y = F.col("p"), F.col("t"), F.col("y")
+    return staged.select("page_id", RD.info_line(p, t, y, "md").alias("md_info"),
+                         RD.info_line(p, t, y, "rst").alias("rst_info"))
 
 
 @register("doc_source_line", _F2_DOC + f"""

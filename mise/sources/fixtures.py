@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hof as H
 from ..functions.urls import PUBLISHERS
 from ..session import ensure_checkpoint_dir
 from .tables import read_table
@@ -186,7 +187,7 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, F.lit(", chopped")).otherwise(F.lit("")).alias("postText"),
         F.struct(F.struct(w.alias("title")).alias("fields")).alias("ingredient")).alias("fields"))
     group_main = F.struct(F.struct(F.lit("For the base").alias("title"),
-                                   F.transform(words, item).alias("recipeIngredientItems")).alias("fields"))
+                                   H.transform(words, item).alias("recipeIngredientItems")).alias("fields"))
     group_finish = F.struct(F.struct(F.lit("To finish").alias("title"), F.array(F.struct(F.struct(
         F.lit("1").alias("qty"), F.lit("pinch").alias("preText"), F.lit("").alias("postText"),
         F.struct(F.struct(F.lit("salt").alias("title")).alias("fields")).alias("ingredient")).alias("fields")))
@@ -201,7 +202,7 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.when(d % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Test Kitchen "), (d % 5).cast("string")))
                           .alias("source")).alias("fields")).alias("metaData"),
         F.when(d % 3 == 0, F.array(group_main, group_finish)).otherwise(F.array(group_main)).alias("ingredientGroups"),
-        F.transform(lines, lambda l: F.struct(F.struct(l.alias("content")).alias("fields"))).alias("instructions")))
+        H.transform(lines, lambda l: F.struct(F.struct(l.alias("content")).alias("fields"))).alias("instructions")))
     nd_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><div id=\"app\"></div>",
                    '<script id="__NEXT_DATA__" type="application/json">{"props":{"initialState":{"content":'
                    '{"documents":{"doc-', d.cast("string"), '":', nd_doc, ',"related":{"title":"x"}}}}},"page":"/r"}',
@@ -212,12 +213,12 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(d % 3 == 1, _cat('{"name":', jq(_cat("Cook ", (d % 7).cast("string"))), "}"))
               .otherwise(F.lit('"Epicurious Staff"')))
     ingr_groups = F.to_json(F.when(d % 2 == 0, F.array(
-        F.struct(F.lit("Main").alias("hed"), F.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")),
+        F.struct(F.lit("Main").alias("hed"), H.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")),
         F.struct(F.lit("Sauce").alias("hed"), F.array(F.struct(F.lit("salt &amp; pepper").alias("description"))).alias("ingredients"))))
         .otherwise(F.array(F.struct(F.lit("Main").alias("hed"),
-                                    F.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")))))
+                                    H.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")))))
     prep_groups = F.to_json(F.array(F.struct(F.lit("Steps").alias("hed"),
-                                             F.transform(lines, lambda l: F.struct(l.alias("description"))).alias("steps"))))
+                                             H.transform(lines, lambda l: F.struct(l.alias("description"))).alias("steps"))))
     content = _cat('{"hed":', jq(title), ',"dek":', jq(_cat("<p>", l1, "</p>")),
                    ',"servingSizeInfo":{"servingSizeDescription":', jq(_cat("Serves ", (d % 6 + 1).cast("string"))), "}",
                    ',"formattedPrepTime":"PT', (d % 50).cast("string"), 'M"',
@@ -230,7 +231,7 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                    "\nvar b = 2;\n</script></body></html>")
 
     # DOM layout A
-    li = lambda cls, arr: F.array_join(F.transform(arr, lambda x: _cat('<li class="', cls, '">', html_escape(x), "</li>")), "")
+    li = lambda cls, arr: F.array_join(H.transform(arr, lambda x: _cat('<li class="', cls, '">', html_escape(x), "</li>")), "")
     a_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><article>",
                   '<h1 class="entry-title">', html_escape(title), "</h1>",
                   '<div property="description"><p>', html_escape(l1), "</p></div>",
@@ -239,7 +240,7 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                   "<ul>", li("ingredient", words), "</ul><ol>", li("instruction", lines), "</ol></article></body></html>")
 
     # DOM layout B
-    plain_li = lambda arr: F.array_join(F.transform(arr, lambda x: _cat("<li>", html_escape(x), "</li>")), "")
+    plain_li = lambda arr: F.array_join(H.transform(arr, lambda x: _cat("<li>", html_escape(x), "</li>")), "")
     paras = _cat("<p>Serves ", (d % 6 + 1).cast("string"), "</p><p>", html_escape(l1), "</p>")
     b_rows = _cat('<div class="sqs-layout"><div class="row"><div class="sqs-block"><div class="sqs-block-content">',
                   paras, "</div></div></div></div>",
