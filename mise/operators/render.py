@@ -228,3 +228,14 @@ def filename_collision(docs: DataFrame, order_col: str = "page_id") -> DataFrame
                  F.count(F.lit(1)).alias("n_candidates"))
             .select("filename", F.col(f"w.{order_col}").alias(order_col), F.col("w.format").alias("format"),
                     F.col("w.body").alias("body"), "n_candidates"))
+
+
+def sink_documents(docs: DataFrame, path: str) -> str:
+    """Write rendered documents as one table partitioned by format.
+
+    A corpus-scale stand-in for one file per recipe: each format is a folder
+    of parquet files holding ``(key, filename, body)``; readers prune by
+    format through the partition column.
+    """
+    docs.write.mode("overwrite").partitionBy("format").parquet(path)
+    return path

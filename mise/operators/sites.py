@@ -34,6 +34,8 @@ STORE_FIXES = [
 ]
 STORE_PUBLISHER = "Epicurious"
 DOM_B_TITLE_SUFFIX_RX = "(?d). SAM THE COOKING GUY"
+# DOM-layout pages have every em dash turned into a space before parsing.
+EM_DASH = "\u2014"
 # ---------------------------------------------------------------------------
 
 _NEXT_DOC_DDL = (
@@ -157,6 +159,11 @@ def add_inline_store_recipe(df: DataFrame, content: str, url: str = "url",
 
 
 # ----------------------------------------------------------------------- DOM
+def em_dash_to_space(html: Column) -> Column:
+    """Em dash -> space, applied to DOM-layout pages ahead of the HTML parse."""
+    return F.translate(html, EM_DASH, " ")
+
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
          "param", "source", "track", "wbr"}
 _AUTOCLOSE = {"p": {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "table"}, "li": {"li"}}
@@ -330,7 +337,7 @@ def _dom_rows(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
             continue
         t = _Tree()
         try:
-            t.feed(h.replace("—", " "))
+            t.feed(h)
             t.close()
             recs.append(_dom_a(t.root) if lay == "a" else _dom_b(t.root))
         except Exception:  # noqa: BLE001 - an unparseable page becomes a reject
@@ -370,5 +377,5 @@ def add_dom_recipe(df: DataFrame, fields: str, layout: str, url: str = "url",
               .drop("_dm_cook", "_dm_prep", "_dm_total"))
 
 
-__all__ = ["next_data_document", "add_next_data_recipe", "inline_store_content",
+__all__ = ["em_dash_to_space", "next_data_document", "add_next_data_recipe", "inline_store_content",
            "add_inline_store_recipe", "dom_fields", "add_dom_recipe", "leaf_text", "minutes_text"]

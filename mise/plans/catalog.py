@@ -18,6 +18,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import ldjson as L
 from ..operators import recipes as R
+from ..operators import sites as S
+from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources.tables import read_table, scan_pages
 from . import extract as X
@@ -386,6 +388,30 @@ for _name, _routes, _cols in [
         _route_subset(_routes, _cols))
 
 
+@register("compose_ingredient", f"""WITH {_F7_BASE},
+x AS (SELECT page_id, ingr, unnest(generate_series(1, len(ingr))) AS i FROM f7x WHERE route = 'next_data')
+SELECT page_id, CAST(i AS INTEGER) AS ingredient_no, ingr[i] AS ingredient FROM x""")
+def q_compose_ingredient(spark, d):
+    """Next-data ingredient lines: quantity, unit text, item and modifier composed, tags stripped."""
+    rec = X.recipes_of(_sites_extracted(spark, d)).filter(F.col("route") == U.ROUTE_NEXT_DATA)
+    items = F.flatten(H.transform(F.col("recipe.ingredient_groups"), lambda g: g["ingredients"]))
+    return (rec.select("page_id", F.posexplode(items).alias("pos", "ingredient"))
+            .select("page_id", (F.col("pos") + 1).cast("int").alias("ingredient_no"), "ingredient"))
+
+
+@register("em_dash_to_space", """
+SELECT page_id, CAST(length(html) - length(replace(html, chr(8212), '')) AS INTEGER) AS n_em_dash,
+       CAST(length(translate(html, chr(8212), ' ')) AS INTEGER) AS html_chars,
+       strpos(translate(html, chr(8212), ' '), chr(8212)) = 0 AS dash_free FROM pages""")
+def q_em_dash_to_space(spark, d):
+    html = F.col("html")
+    out = S.em_dash_to_space(html)
+    n = F.length(html) - F.length(F.replace(html, F.lit(S.EM_DASH), F.lit("")))
+    return read_table(spark, d, "pages").select(
+        "page_id", n.cast("int").alias("n_em_dash"), F.length(out).cast("int").alias("html_chars"),
+        (F.locate(S.EM_DASH, out) == 0).alias("dash_free"))
+
+
 @register("assemble_groups", f"""WITH {_F7_BASE},
 g AS (SELECT page_id, route, d FROM f7x JOIN f7b ON f7b.d = f7x.page_id)
 SELECT page_id, CAST(0 AS INTEGER) AS group_pos,
@@ -502,6 +528,21 @@ for _fmt in ["md", "rst", "json"]:
         _sites_recipes(spark, d).unionByName(_f2_recipes(spark, d)), [fmt]))(_fmt))
 
 
+def _sink_query(fmt: str):
+    def q(spark, d):
+        docs = RD.render_docs(_f2_recipes(spark, d), [fmt])
+        path = RD.sink_documents(docs, scratch_path(spark, f"documents-{fmt}"))
+        back = spark.read.parquet(path).filter(F.col("format") == fmt)
+        return back.select("page_id", "filename", (F.length("body") > 0).alias("has_body"))
+    return q
+
+
+for _fmt in ["md", "rst"]:
+    register(f"sink_{_fmt}", _F2_DOC + f"""
+SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.{_fmt}' AS filename,
+       true AS has_body FROM ok""")(_sink_query(_fmt))
+
+
 @register("doc_wrap")
 def q_doc_wrap(spark, d):
     """Directions of every document line wrapped at 75 with numbered prefixes."""

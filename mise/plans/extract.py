@@ -37,7 +37,7 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
         S.inline_store_content(F.when(route == U.ROUTE_INLINE_STORE, html)).alias("_store"),
         layout.alias("_layout"),
         # The DOM UDF gets NULL html for pages of any other route.
-        S.dom_fields(F.when(layout.isNotNull(), html), layout).alias("_dom"))
+        S.dom_fields(F.when(layout.isNotNull(), S.em_dash_to_space(html)), layout).alias("_dom"))
     df = df.withColumn("_cand", L.pick_candidate(F.col("_scripts")))
     df = L.add_ldjson_recipe(df, "_cand.raw")
     df = S.add_next_data_recipe(df, "_nd")
@@ -60,6 +60,19 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
                      F.input_file_name().alias("source_file"))
 
 
+def spread_for_cores(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Extraction is CPU-bound per page and map-only, so its parallelism is the
+    number of input splits.  When pages arrive in fewer splits than there are
+    cores (a few files with one row group each), hash-distribute them by page
+    key first; with enough splits, the normal case for a large crawl, the
+    plan stays shuffle-free.  The split count is read from the planned scan,
+    no data is touched."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores, key)
+
+
 def run_extraction(pages: DataFrame, out_path: str, key: str = "page_id") -> DataFrame:
     """Write the extraction result once and return its scan.
 
@@ -69,7 +82,7 @@ def run_extraction(pages: DataFrame, out_path: str, key: str = "page_id") -> Dat
     work on a plain scan instead of being pushed into (and substituted through)
     the extraction expressions.
     """
-    extract(pages, key).write.mode("overwrite").parquet(out_path)
+    extract(spread_for_cores(pages, key), key).write.mode("overwrite").parquet(out_path)
     return pages.sparkSession.read.parquet(out_path)
 
 
