@@ -148,6 +148,16 @@ def first_typed_element(list_text: Column, type_value: str = "Recipe") -> Column
     return F.get(H.filter(elems, lambda e: typ(e) == F.lit(type_value)), 0)
 
 
+def is_whole_json(t: Column) -> Column:
+    """The text is exactly one JSON value (surrounding whitespace allowed).
+
+    Spark's JSON readers stop after the first value and ignore what follows;
+    inside ``[`` ... ``]`` any trailing text becomes a syntax error instead.
+    """
+    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")) == 1,
+                      F.lit(False))
+
+
 def json_list_items(t: Column) -> Column:
     """Elements of a JSON list text as strings (objects stay JSON text)."""
     return F.from_json(t, "array<string>")

@@ -54,8 +54,8 @@ def script_infos(bodies: Column) -> Column:
         s["pos"].alias("pos"), s["raw"].alias("raw"),
         F.from_json(s["raw"], _HEAD_DDL).alias("head"),
         s["raw"].startswith("[").alias("is_list"),
-        J.json_list_items(s["raw"]).isNotNull().alias("list_ok"),
-        F.json_object_keys(s["raw"]).isNotNull().alias("obj_ok")))
+        (J.json_list_items(s["raw"]).isNotNull() & J.is_whole_json(s["raw"])).alias("list_ok"),
+        (F.json_object_keys(s["raw"]).isNotNull() & J.is_whole_json(s["raw"])).alias("obj_ok")))
     s3 = H.transform(s2, lambda s: F.struct(
         s["pos"].alias("pos"), s["raw"].alias("raw"), s["head"].alias("head"),
         (F.when(s["is_list"] & s["list_ok"], F.lit(KIND_LIST))

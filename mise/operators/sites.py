@@ -114,10 +114,14 @@ def inline_store_content(html: Column) -> Column:
     lines = F.flatten(H.transform(scripts, lambda s: F.split(s, SPLITLINES_RX)))
     hits = H.filter(lines, lambda l: l.contains(STORE_MARKER))
     line = F.try_element_at(hits, F.lit(-1))
-    text = F.regexp_replace(F.regexp_replace(line, "[^}]*$", ""), "^[^{]*", "")
+    # Trim to the outer braces.  Up to the last '}' via the reversed string:
+    # an unanchored "[^}]*$" would rescan from every position (quadratic).
+    from_end = F.instr(F.reverse(line), "}")
+    upto_last = F.when(from_end > 0, F.substring(line, F.lit(1), F.length(line) - from_end + 1)).otherwise(F.lit(""))
+    text = F.regexp_replace(upto_last, "^[^{]*", "")
     for pat, rep in STORE_FIXES:
         text = F.regexp_replace(text, "(?d)" + pat, rep)
-    return F.get_json_object(text, "$.content")
+    return F.when(J.is_whole_json(text), F.get_json_object(text, "$.content"))
 
 
 def add_inline_store_recipe(df: DataFrame, content: str, url: str = "url",

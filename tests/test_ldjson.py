@@ -47,6 +47,20 @@ def test_script_layouts_and_fold(spark):
     assert got[9] == ("Soup", None)
 
 
+def test_trailing_text_makes_script_malformed(spark):
+    """A valid JSON value followed by more text does not parse as a whole: the
+    script is skipped, as json.loads would reject it."""
+    first = json.dumps(dict(RECIPE, name="first"))
+    html = {
+        1: script(first + " } junk") + script(json.dumps(RECIPE)),   # skipped, later object used
+        2: script("[" + first + "] tail"),                             # malformed list
+        3: script(first + "   "),                                      # whitespace is fine
+    }
+    df = pages(spark, [(k, "https://www.bonappetit.com/r/" + str(k), v) for k, v in html.items()])
+    got = {r.page_id: (r.recipe.title if r.recipe else None, r.reason) for r in X.extract(df).collect()}
+    assert got == {1: ("Soup", None), 2: (None, "no_recipe_candidate"), 3: ("first", None)}
+
+
 def test_field_rules(spark):
     df = pages(spark, [(1, "https://www.bonappetit.com/r/1", script(json.dumps(RECIPE)))])
     r = X.extract(df).collect()[0].recipe

@@ -57,3 +57,37 @@ def test_dom_layouts(spark):
     assert rb.ingredient_groups[0].ingredients == ["shells"] and rb.direction_groups[0].directions == ["shells"]
     assert rb.totaltime is None
     assert rows[3].reason == "dom_field_missing"
+
+
+def _py_store_content(html):
+    """Plain statement of the store rule: last store line, trimmed to the outer braces."""
+    import re
+    hits = [ln for body in re.findall(r"(?is)<script[^>]*>(.*?)</script>", html)
+            for ln in body.splitlines() if "root.__INITIAL_STATE__.store" in ln]
+    if not hits:
+        return None
+    ln = hits[-1]
+    ln = ln[:ln.rfind("}") + 1] if "}" in ln else ""
+    ln = ln[ln.find("{"):] if "{" in ln else ""
+    try:
+        content = json.loads(ln).get("content")
+    except ValueError:
+        return None
+    return None if content is None else json.dumps(content, separators=(",", ":"))
+
+
+def test_inline_store_brace_trim(spark):
+    from pyspark.sql import functions as F
+    from mise.operators import sites as S
+    long_text = "x" * 5000
+    lines = [
+        'root.__INITIAL_STATE__.store = {"content":{"a":1}};  // trailing } no',
+        'root.__INITIAL_STATE__.store = {"content":{"t":"' + long_text + '"}} ; tail without braces',
+        'root.__INITIAL_STATE__.store = no braces at all',
+        'prefix {"content":{"n":[1,2]}} root.__INITIAL_STATE__.store',
+    ]
+    rows = [(i, "u", "<script>\n" + ln + "\n</script>") for i, ln in enumerate(lines)]
+    df = pages(spark, rows).select("page_id", S.inline_store_content(F.col("html")).alias("c"))
+    got = {r.page_id: (None if r.c is None else json.dumps(json.loads(r.c), separators=(",", ":")))
+           for r in df.collect()}
+    assert got == {i: _py_store_content(h) for i, _, h in rows}
