@@ -11,3 +11,24 @@ def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 50
+
+
+def test_udf_queries_run_outside_the_repo(tmp_path):
+    """The driver may call queries() from any working directory: Python workers
+    must not need to import the package from the current folder."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "df = E.queries()['doc_wrap'](spark, '/root/testdata/sf0.001')\n"
+        # Aggregate the UDF-derived column so the optimizer cannot prune the UDF away.
+        "print('ROWS', df.filter('n_lines >= 0').count())\n" % repo)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
