@@ -3,6 +3,8 @@
 Every route is a CASE branch of one projection; the DOM UDF sees NULL for
 pages of other routes.  No shuffle: the plan is scan -> project (-> filter),
 so it scales with the number of input splits and is immune to domain skew.
+(The one exception: an input with fewer splits than cores is first spread
+by page key, see ``spread_for_cores``.)
 """
 
 from __future__ import annotations
