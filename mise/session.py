@@ -27,6 +27,11 @@ def build_session(master: str | None = None, app: str = "mise",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # No broadcast chosen from plan-time estimates; AQE may still broadcast
+        # a join side once its shuffle output has been measured.  Explicit hints
+        # (a fixed dimension, or a side checked by maybe_broadcast) still apply.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Pages are wide rows (the html column); keep Arrow batches modest.
@@ -69,8 +74,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (scan statistics, after pruning)."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        # py4j hands a Scala BigInt over as a Python int.
+        return int(size) if isinstance(size, int) else int(size.toString())
     except Exception:  # pragma: no cover - no estimate: treat as large
         return 1 << 62
 
