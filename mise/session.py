@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Broadcast a dimension only below this estimated size; above it the join is
 # left to a shuffle join with AQE skew splitting.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+# Session key holding the fallback folder when the cluster names none.
+LOCAL_DIR_KEY = "mise.fallback.checkpoint.dir"
 
 
 def build_session(master: str | None = None, app: str = "mise",
@@ -56,10 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting always wins; a local folder is chosen only when the
     session has none (tests, a laptop).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR_KEY, None)
     if not path:
+        # spark.checkpoint.dir is a core setting and cannot be changed at
+        # runtime; the fallback is kept under this package's own key.
         path = os.path.join("/tmp", "mise-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(LOCAL_DIR_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

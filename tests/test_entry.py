@@ -14,8 +14,9 @@ def test_registry_consistent():
 
 
 def test_udf_queries_run_outside_the_repo(tmp_path):
-    """The driver may call queries() from any working directory: Python workers
-    must not need to import the package from the current folder."""
+    """The driver may call queries() from any working directory and with its own
+    session: Python workers must not need to import the package from the current
+    folder, and no spark.checkpoint.dir may be preset."""
     import os
     import subprocess
     import sys
@@ -27,8 +28,15 @@ def test_udf_queries_run_outside_the_repo(tmp_path):
         "import __spark_entry__ as E\n"
         "df = E.queries()['doc_wrap'](spark, '/root/testdata/sf0.001')\n"
         # Aggregate the UDF-derived column so the optimizer cannot prune the UDF away.
-        "print('ROWS', df.filter('n_lines >= 0').count())\n" % repo)
+        "print('ROWS', df.filter('n_lines >= 0').count())\n"
+        # Extraction writes tables: the checkpoint fallback must work when the
+        # session names no spark.checkpoint.dir.
+        "print('ENTRY', E.entry(spark).count() > 0)\n" % repo)
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    (conf / "spark-defaults.conf").write_text("", encoding="utf-8")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["SPARK_CONF_DIR"] = str(conf)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
                          timeout=600)
-    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
+    assert "ROWS 200" in out.stdout and "ENTRY True" in out.stdout, out.stderr[-2000:]
