@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bench_decontam, quality_rules, secret_scans, sentencepiece_codec, simhash_neardup
-from .common import read
+from . import (bench_decontam, chat_quotes, lang_id, license_scans, pii, quality_rules, secret_scans, sentencepiece_codec,
+               simhash_neardup, toxicity)
+from .common import crc_mod3, read
+
+
+def op1_chat_quotes(spark, sf_dir):
+    return chat_quotes.reply_ordered(read(spark, sf_dir, "conversations"))
 
 
 def op2_bench_decontam(spark, sf_dir):
@@ -18,11 +23,31 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.report(docs, order).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op4_license_scans(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scans.scan(docs, license_scans.fit(docs))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), license_scans.families().alias("families"),
+                        F.size(F.filter("licenses", lambda x: x["confirmed"])).cast("long").alias("n_confirmed"),
+                        F.size(F.filter("licenses", lambda x: x["family"] == license_scans.UNKNOWN)).cast("long").alias("n_unknown"))
+
+
+def op5_pii(spark, sf_dir):
+    found = pii.scan(read(spark, sf_dir, "documents"))
+    counts = [pii.n_of("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op6_sentencepiece(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode(docs, keep_text=False)
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model, keep_text=False)
+
+
 def op8_secret_scans(spark, sf_dir):
     found = secret_scans.with_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *(secret_scans.n_base(k).alias(f"n_{k}") for k in secret_scans.KINDS),
@@ -30,6 +55,13 @@ def op8_secret_scans(spark, sf_dir):
                         "n_layers", "max_depth", "n_oversized")
 
 
+def op9_lang_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)))
+    model = lang_id.fit(docs.where(crc_mod3(F.col("doc_id")) != 1))
+    return lang_id.predict(docs.drop("lang"), model, keep_text=False)
+
+
 def op10_simhash_neardup(spark, sf_dir):
     found = simhash_neardup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_neardup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,7 +73,9 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_bench_decontam, op3_quality_rules, op6_sentencepiece, op8_secret_scans, op10_simhash_neardup, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_quotes, op2_bench_decontam, op3_quality_rules, op4_license_scans, op5_pii, op6_sentencepiece, op7_toxicity,
+    op8_secret_scans, op9_lang_id, op10_simhash_neardup, pipeline)}
 
 ORACLE = {
     "op3_quality_rules": r"""
