@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import apart, map_rows, together
 
 K1, B = 1.2, 0.75
 CHUNK_WORDS = 48
@@ -260,5 +260,5 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without those that hold a test item."""
-    found = with_matches(docs, items, text, "__matches")
-    return found.where(F.size("__matches") == 0).select(*docs.columns)
+    own, names = apart(docs)
+    return together(with_matches(own, items, names[text]).where(F.size("matches") == 0), names)

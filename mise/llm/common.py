@@ -58,6 +58,17 @@ def map_rows(df: DataFrame, text: str, fields: list[T.StructField],
     return df.mapInArrow(run, schema)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with every column under a name that no operator uses, and the names."""
+    names = {c: f"in{i}__" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(own) for c, own in names.items()]), names
+
+
+def together(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``apart`` renamed, under their own names again."""
+    return df.select(*[F.col(own).alias(c) for c, own in names.items()])
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most_bytes`` of text, one row at least."""
     sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()

@@ -181,7 +181,9 @@ def calibrate(model: Model, held: list) -> Model:
     order = np.argsort(-score, kind="stable")
     bins = np.array_split(order, max(1, len(order) // 20))
     low = [score[b].max() for b in bins if right[b].mean() < TARGET]
-    model.reject_below = float(max(low)) if low else 0.0
+    if low:
+        above = score[score > max(low)]
+        model.reject_below = float((max(low) + (above.min() if len(above) else 1.0)) / 2)
     return model
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, map_rows
+from .common import apart, hash_sample, map_rows, together
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -173,8 +173,7 @@ def plan_rules(docs: DataFrame, rules: dict = RULES, text: str = "text", sample_
     return order_rules(measure_rules(sample, rules, text).collect(), rules)
 
 
-def cascade(docs: DataFrame, order: list[str], rules: dict = RULES, text: str = "text",
-            names: tuple[str, str] = ("kept", "rejected_by")) -> DataFrame:
+def cascade(docs: DataFrame, order: list[str], rules: dict = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` and ``rejected_by`` (the first rule in ``order`` that rejects, or null)."""
 
     def make():
@@ -188,13 +187,14 @@ def cascade(docs: DataFrame, order: list[str], rules: dict = RULES, text: str =
             return [pa.array([b is None for b in by], pa.bool_()), pa.array(by, pa.string())]
         return work
 
-    return map_rows(docs, text, [T.StructField(names[0], T.BooleanType()), T.StructField(names[1], T.StringType())], make)
+    return map_rows(docs, text, [T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType())], make)
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, their columns unchanged."""
-    judged = cascade(docs, plan_rules(docs, text=text), text=text, names=("__kept", "__rejected_by"))
-    return judged.where("__kept").select(*docs.columns)
+    own, names = apart(docs)
+    judged = cascade(own, plan_rules(docs, text=text), text=names[text])
+    return together(judged.where("kept"), names)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import apart, map_rows
 
 KINDS = ("assign", "access", "hex")
 NAMES = ("passw", "secret", "token", "api")
@@ -269,10 +269,10 @@ def joined_spans() -> Column:
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with secrets masked in ``text`` (and ``n_chars``, where there is one, set anew for masked rows)."""
-    hidden = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # no column can clash with the scan's
-    found = with_secrets(docs.withColumnsRenamed(hidden), hidden[text])
+    own_docs, names = apart(docs)
+    found = with_secrets(own_docs, names[text])
     out = []
-    for c, own in hidden.items():
+    for c, own in names.items():
         value = F.col(own)
         if c == text:
             value = F.coalesce("redacted", own)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, written
+from .common import apart, map_rows, together, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -169,14 +169,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = written(near_duplicates(docs, doc_id, text), "simhash-found")
     shared = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     lead = found.where("doc_id = component_id").join(shared, "doc_id", "left_anti").select(F.col("doc_id").alias(doc_id))
-    kept = docs.join(lead, doc_id, "left_semi")
+    kept = docs.join(lead, doc_id, "left_semi").select(*docs.columns)
     if shared.isEmpty():
         return kept
-    ids = shared.select(F.col("doc_id").alias("__id"))
-    rows = with_fingerprint(docs.join(ids, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi"), text, "__fp")
-    member = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__f"),
-                                                          F.col("root").alias("__root")).distinct()
-    rows = rows.join(member, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
-    picked = rows.groupBy("__root").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]),
-                                                 F.struct("__fp", F.xxhash64(text))).alias("__row"))
-    return kept.unionByName(picked.select("__row.*"))
+    own, names = apart(docs)
+    own_id, own_text = names[doc_id], names[text]
+    rows = with_fingerprint(own.join(shared, F.col(own_id).eqNullSafe(F.col("doc_id")), "left_semi"), own_text)
+    member = found.where("doc_id <=> component_id").select("doc_id", F.col("fp").alias("member"), "root").distinct()
+    rows = rows.join(member, F.col(own_id).eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("member")))
+    picked = rows.groupBy("root").agg(F.min_by(F.struct(*names.values()), F.struct("fp", F.xxhash64(own_text))).alias("row"))
+    return kept.unionByName(together(picked.select("row.*"), names))
