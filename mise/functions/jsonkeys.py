@@ -86,55 +86,68 @@ def _dfs_first(node, key):
     return False, None
 
 
-def _find_key_series(raw: pd.Series, key: str) -> pd.Series:
-    out = []
+def _find_keys(raw: pd.Series, keys: tuple[str, ...]) -> pd.DataFrame:
+    """JSON text of the first value under each key; every text is parsed once."""
+    out: dict[str, list] = {k: [] for k in keys}
     for s in raw:
-        if s is None:
-            out.append(None)
-            continue
         try:
-            obj = json.loads(s)
+            obj = json.loads(s) if s is not None else None
         except ValueError:
-            out.append(None)
-            continue
-        found, val = _dfs_first(obj, key) if isinstance(obj, dict) else (False, None)
-        out.append(json.dumps(val, ensure_ascii=False) if found and val is not None else None)
-    return pd.Series(out, dtype=object)
+            obj = None
+        for key in keys:
+            found, val = _dfs_first(obj, key) if isinstance(obj, dict) else (False, None)
+            out[key].append(json.dumps(val, ensure_ascii=False) if found and val is not None else None)
+    return pd.DataFrame(out, dtype=object)
 
 
-def _udf_for(key: str):
-    @F.pandas_udf("string")
-    def find(raw: pd.Series) -> pd.Series:
-        return _find_key_series(raw, key)
+def _udf_for(keys: tuple[str, ...]):
+    @F.pandas_udf(", ".join(f"`{k}` string" for k in keys))
+    def find(raw: pd.Series) -> pd.DataFrame:
+        return _find_keys(raw, keys)
     return find
 
 
-_UDFS: dict[str, object] = {}
+_UDFS: dict[tuple[str, ...], object] = {}
 
 
-def find_key_first_udf(raw: Column, key: str) -> Column:
-    """Exact first-match key search (Arrow-batched Python, stdlib ``json``)."""
-    if key not in _UDFS:
-        _UDFS[key] = _udf_for(key)
-    return _UDFS[key](raw)
+def find_keys_first_udf(raw: Column, keys: tuple[str, ...]) -> Column:
+    """Exact first-match search of several keys (Arrow-batched Python, stdlib ``json``)."""
+    if keys not in _UDFS:
+        _UDFS[keys] = _udf_for(keys)
+    return _UDFS[keys](raw)
 
 
-def find_key_first(raw: Column, key: str, top_v: Column, top_raw: Column) -> Column:
+def _is_fast(raw: Column, key: str, top_v: Column) -> Column:
+    """The quoted key does not occur, or it occurs once and the top level holds it."""
+    n = occurrences(raw, json.dumps(key))
+    return (n == 0) | ((n == 1) & top_v.isNotNull())
+
+
+def find_keys_residual(raw: Column, tops: dict[str, Column]) -> Column:
+    """Struct of the searched values for texts that the native paths cannot settle.
+
+    Python UDFs are evaluated for every row regardless of CASE branches, so a text
+    all of whose keys take a fast path is handed over as NULL.
+    """
+    fast = F.lit(True)
+    for key, top in tops.items():
+        fast = fast & _is_fast(raw, key, top)
+    return find_keys_first_udf(F.when(~fast, raw), tuple(tops))
+
+
+def find_key_first(raw: Column, key: str, top_v: Column, top_raw: Column, residual: Column | None = None) -> Column:
     """JSON text of the first value under ``key`` anywhere in ``raw`` (DFS order).
 
     Native fast paths: the quoted key does not occur -> NULL; it occurs once
     and the top level holds it -> that top-level value.  Only the residual
-    rows (several occurrences, or nested only) go through the Arrow UDF.
+    rows (several occurrences, or nested only) go through the Arrow UDF;
+    ``residual`` is its value where the caller staged it for several keys.
     """
     n = occurrences(raw, json.dumps(key))
-    top = json_text(top_v, top_raw)
-    fast_none = n == 0
-    fast_top = (n == 1) & top_v.isNotNull()
-    # Python UDFs are evaluated for every row regardless of CASE branches, so
-    # fast-path rows hand the UDF a NULL instead of their JSON text.
-    residual = find_key_first_udf(F.when(~(fast_none | fast_top), raw), key)
-    return (F.when(fast_none, F.lit(None).cast("string"))
-            .when(fast_top, top)
+    if residual is None:
+        residual = find_keys_residual(raw, {key: top_v})[key]
+    return (F.when(n == 0, F.lit(None).cast("string"))
+            .when((n == 1) & top_v.isNotNull(), json_text(top_v, top_raw))
             .otherwise(residual))
 
 

@@ -99,10 +99,11 @@ def _strip_tags_sql(x: str, strip_newline: bool) -> str:
 
 
 def _iso_minutes_sql(s: str) -> str:
-    def num(i: int, typ: str) -> str:
-        return f"coalesce(try_cast(nullif(regexp_extract({s}, {sql_str(ISO_DURATION_RX)}, {i}), '') AS {typ}), 0)"
-    total = f"({num(1, 'BIGINT')} * 86400 + {num(2, 'BIGINT')} * 3600 + {num(3, 'BIGINT')} * 60 + {num(4, 'DOUBLE')})"
-    return f"CAST(floor({total} / 60) AS INT)"
+    # In DOUBLE, where no product or sum can overflow; minutes beyond INT count as 0.
+    def num(i: int) -> str:
+        return f"coalesce(try_cast(nullif(regexp_extract({s}, {sql_str(ISO_DURATION_RX)}, {i}), '') AS DOUBLE), 0D)"
+    total = f"({num(1)} * 86400 + {num(2)} * 3600 + {num(3)} * 60 + {num(4)})"
+    return f"coalesce(try_cast(floor({total} / 60) AS INT), 0)"
 
 
 def _minutes_text_sql(m: str, d: str) -> str:
@@ -158,11 +159,6 @@ def py_strip(col: Column) -> Column:
     return _call("mise_py_strip", col)
 
 
-def collapse_ws(col: Column) -> Column:
-    """Python ``re.sub(r'\\s+', ' ', s)``."""
-    return F.regexp_replace(col, f"{WS_CLASS}+", " ")
-
-
 def strip_tags(col: Column, strip_newline: bool = False) -> Column:
     """Remove markup and normalise entities, fractions and whitespace.
 
@@ -213,13 +209,17 @@ def iso_minutes(col: Column) -> Column:
     if not in_lambda():
         return _call("mise_iso_minutes_of", s)
 
-    def num(i: int, typ: str) -> Column:
+    def num(i: int) -> Column:
         g = F.regexp_extract(s, ISO_DURATION_RX, i)
-        return F.coalesce(F.nullif(g, F.lit("")).try_cast(typ), F.lit(0))
+        return F.coalesce(F.nullif(g, F.lit("")).try_cast("double"), F.lit(0.0))
+
+    total_s = num(1) * 86400 + num(2) * 3600 + num(3) * 60 + num(4)
+    return F.coalesce(F.floor(total_s / 60).try_cast("int"), F.lit(0))
+
 
-    total_s = (num(1, "bigint") * 86400 + num(2, "bigint") * 3600
-               + num(3, "bigint") * 60 + num(4, "double"))
-    return F.floor(total_s / 60).cast("int")
+def add_minutes(a: Column, b: Column) -> Column:
+    """Sum of minutes; 0 where it is beyond INT."""
+    return F.coalesce(F.try_add(a, b), F.lit(0))
 
 
 # --- fixed values -----------------------------------------------------------

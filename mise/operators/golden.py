@@ -4,7 +4,7 @@ Documents are compared whole, inside the row: split into lines, trailing
 whitespace trimmed, blank lines dropped, then array equality.  This is the
 verdict of ``diff --ignore-trailing-space --ignore-blank-lines`` (equality
 only, no edit script).  No window or per-line shuffle is needed, so a
-reference file shared by many tests (a hot key) is just one probe row.
+reference file shared by many tests (a hot key) is one small digest row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hof as H
-from ..session import maybe_broadcast
 
 # --- fixed values -----------------------------------------------------------
 TRAILING_SPACE = r"[ \t\n\x0B\f\r]+$"
@@ -26,27 +25,34 @@ def normalized_lines(body: Column) -> Column:
     return H.filter(lines, lambda l: l != "")
 
 
+def _digest(body: Column) -> Column:
+    return F.sha2(F.array_join(normalized_lines(body), "\n"), 256)
+
+
 def golden_diff(tests: DataFrame, actual: DataFrame, reference: DataFrame) -> DataFrame:
-    """``(line_no, url, ref_file, status)``.
+    """``(line_no, url, ref_file, status, has_output)``.
 
     ``tests``: parsed manifest; ``actual``: ``(line_no, body)`` produced for each
     test (NULL body = the run failed); ``reference``: ``(ref_file, body)``.
-    The reference side is broadcast only when its estimated size is small.
+    Bodies are reduced to digests of their normalised lines before the joins, so
+    no body is shuffled; the join strategy is left to Spark's measured sizes.
     """
-    ref = reference.select("ref_file", F.col("body").alias("ref_body"))
-    joined = (tests.join(actual.select("line_no", F.col("body").alias("act_body")), "line_no", "left")
-              .join(maybe_broadcast(ref), "ref_file", "left"))
-    status = (F.when(F.coalesce(F.length("ref_body"), F.lit(0)) == 0, F.lit(MISSING))
-              .when(F.col("act_body").isNull(), F.lit(ERROR))
-              .when(normalized_lines(F.col("act_body")) == normalized_lines(F.col("ref_body")), F.lit(PASS))
+    ref = reference.select("ref_file", _digest(F.col("body")).alias("ref_digest"), (F.length("body") > 0).alias("has_ref"))
+    act = actual.select("line_no", F.when(F.col("body").isNotNull(), _digest(F.col("body"))).alias("act_digest"))
+    joined = tests.join(act, "line_no", "left").join(ref, "ref_file", "left")
+    status = (F.when(~F.coalesce("has_ref", F.lit(False)), F.lit(MISSING))
+              .when(F.col("act_digest").isNull(), F.lit(ERROR))
+              .when(F.col("act_digest") == F.col("ref_digest"), F.lit(PASS))
               .otherwise(F.lit(FAIL)))
-    return joined.select("line_no", "url", "ref_file", status.alias("status"), "act_body")
+    return joined.select("line_no", "url", "ref_file", status.alias("status"), F.col("act_digest").isNotNull().alias("has_output"))
 
 
-def golden_missing(verdicts: DataFrame) -> DataFrame:
-    """Rows that become new reference files (MISSING tests with output)."""
-    return (verdicts.filter((F.col("status") == MISSING) & F.col("act_body").isNotNull())
-            .select("ref_file", F.col("act_body").alias("body")))
+def golden_missing(verdicts: DataFrame, actual: DataFrame) -> DataFrame:
+    """New reference files: for each one that is missing, the output of its first
+    test (by line) that produced any.  Only these bodies are fetched."""
+    first = (verdicts.filter((F.col("status") == MISSING) & F.col("has_output"))
+             .groupBy("ref_file").agg(F.min("line_no").alias("line_no")))
+    return actual.join(first, "line_no").select("ref_file", "body")
 
 
 def status_counts(verdicts: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ from ..functions.text import clean_text, iso_minutes, strip_tags
 from . import recipes as R
 
 # --- fixed values -----------------------------------------------------------
-# <script ... type="application/ld+json" ...> body </script>, any quoting and
-# case; the body is group 1.  A "</script>" inside the JSON ends it, as in HTML.
-LDJSON_RX = r"""(?is)<script[^>]*\btype=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+# <script ... type="application/ld+json" ...> body </script>, any quoting; the
+# attribute stands after white space and has exactly this value; the body is
+# group 1.  A "</script>" inside the JSON ends it, as in HTML.
+LDJSON_RX = (r"""(?is)<script(?=\s)[^>]*\stype\s*=\s*(?-i:"application/ld\+json"|'application/ld\+json'"""
+             r"""|application/ld\+json(?=[\s>]))[^>]*>(.*?)</script>""")
 # Cheap test ahead of extraction.
 LDJSON_MARKER = "application/ld+json"
 # Text before the first '{' or '[' of a script body is cut.
@@ -29,7 +31,11 @@ RECIPE_TYPE = "Recipe"
 
 KIND_LIST, KIND_GRAPH, KIND_OBJECT, KIND_BAD = "list", "graph", "object", "malformed"
 
-_HEAD_DDL = "struct<`@type`: string, `@graph`: string, recipeIngredient: string>"
+_HEAD_DDL = "struct<`@type`: string, `@graph`: string>"
+
+# Why a chosen candidate is no recipe after all.
+REASON_NULL_INGREDIENTS = "null_ingredients"
+REASON_NO_INSTRUCTIONS = "no_instructions"
 
 # Fields read from a chosen candidate: typed once as VARIANT ...
 LD_VARIANT_DDL = (
@@ -37,6 +43,7 @@ LD_VARIANT_DDL = (
     "totalTime: variant, cookTime: variant, prepTime: variant, author: variant, "
     "recipeIngredient: variant, recipeInstructions: variant, itemListElement: variant>")
 # ... and once as order-preserving raw text for the list-valued ones.
+DEEP_KEYS = ("recipeIngredient", "recipeInstructions", "itemListElement")
 LD_RAW_DDL = "struct<recipeIngredient: string, recipeInstructions: string, itemListElement: string>"
 
 
@@ -45,6 +52,11 @@ def has_ldjson(html: Column) -> Column:
     return F.coalesce(html.contains(LDJSON_MARKER), F.lit(False))
 
 
+def _has_key(text: Column, key: str) -> Column:
+    """The object has the key at top level, whatever its value."""
+    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
+
+
 def script_infos(bodies: Column) -> Column:
     """Per script body: struct<pos, kind, raw, cand>, built by chained
     ``transform`` stages so each parse runs once per script."""
@@ -60,7 +72,7 @@ def script_infos(bodies: Column) -> Column:
         s["pos"].alias("pos"), s["raw"].alias("raw"), s["head"].alias("head"),
         (F.when(s["is_list"] & s["list_ok"], F.lit(KIND_LIST))
           .when(s["is_list"], F.lit(KIND_BAD))
-          .when(F.coalesce(s["head"].getField("@graph").startswith("["), F.lit(False)), F.lit(KIND_GRAPH))
+          .when(s["obj_ok"] & F.coalesce(s["head"].getField("@graph").startswith("["), F.lit(False)), F.lit(KIND_GRAPH))
           .when(s["obj_ok"], F.lit(KIND_OBJECT))
           .otherwise(F.lit(KIND_BAD))).alias("kind")))
     s4 = H.transform(s3, lambda s: F.struct(
@@ -71,9 +83,9 @@ def script_infos(bodies: Column) -> Column:
     return H.transform(s4, lambda s: F.struct(
         s["pos"].alias("pos"), s["kind"].alias("kind"), s["raw"].alias("raw"),
         F.when(s["kind"].isin(KIND_LIST, KIND_GRAPH)
-               & F.from_json(s["first"], _HEAD_DDL).getField("recipeIngredient").isNotNull(), s["first"])
+               & _has_key(s["first"], "recipeIngredient"), s["first"])
          .when((s["kind"] == KIND_OBJECT) & (s["head"].getField("@type") == RECIPE_TYPE)
-               & s["head"].getField("recipeIngredient").isNotNull(), s["raw"])
+               & _has_key(s["raw"], "recipeIngredient"), s["raw"])
          .alias("cand")))
 
 
@@ -153,18 +165,23 @@ def add_ldjson_recipe(df: DataFrame, cand: str, url: str = "url", publisher: str
                        .when(J.v_is_array(a), F.coalesce(J.v_string(a, "$[0].name"), F.lit("")))
                        .when(J.v_is_object(a), F.coalesce(J.v_string(a, "$.name"), F.lit("")))
                        .otherwise(F.lit(""))),
-        "_ld_ingr_t": J.find_key_first(c, "recipeIngredient", v["recipeIngredient"], raw["recipeIngredient"]),
-        "_ld_steps_t": F.coalesce(
-            J.find_key_first(c, "itemListElement", v["itemListElement"], raw["itemListElement"]),
-            J.find_key_first(c, "recipeInstructions", v["recipeInstructions"], raw["recipeInstructions"])),
+        "_ld_deep": J.find_keys_residual(c, {k: v[k] for k in DEEP_KEYS}),
     })
+    found = {k: J.find_key_first(c, k, v[k], raw[k], F.col("_ld_deep")[k]) for k in DEEP_KEYS}
+    df = df.withColumns({"_ld_ingr_t": found["recipeIngredient"],
+                         "_ld_steps_t": F.coalesce(found["itemListElement"], found["recipeInstructions"])})
+    df = df.withColumn("_ld_reason", F.when(c.isNotNull() & F.col("_ld_ingr_t").isNull(), F.lit(REASON_NULL_INGREDIENTS))
+                       .when(c.isNotNull() & F.col("_ld_steps_t").isNull(), F.lit(REASON_NO_INSTRUCTIONS)))
     df = df.withColumns({"_ld_total_m": iso_minutes(F.col("_ld_total_s")),
                          "_ld_cook_m": iso_minutes(F.col("_ld_cook_s")),
                          "_ld_prep_m": iso_minutes(F.col("_ld_prep_s"))})
     df = R.add_derived_times(df, "_ld_prep_m", "_ld_cook_m", "_ld_total_m", fill_total=True, prefix="_ld")
     ry = v["recipeYield"]
-    yield_ = F.when(J.v_is_array(ry),
-                    F.coalesce(F.array_max(F.try_variant_get(ry, "$", "array<string>")), F.lit(""))) \
+    yields = F.try_variant_get(ry, "$", "array<string>")
+    # Numbers compare as numbers, texts as texts.
+    largest = F.array_max(H.transform(yields, lambda y: F.struct(y.try_cast("double").alias("n"), y.alias("text"))))["text"]
+    numeric = F.schema_of_variant(ry).rlike(r"^ARRAY<(?:BIGINT|DOUBLE|DECIMAL)")
+    yield_ = F.when(J.v_is_array(ry), F.coalesce(F.when(numeric, largest).otherwise(F.array_max(yields)), F.lit(""))) \
               .otherwise(cv(ry))
     rec = R.recipe_struct(
         url=F.col(url),
@@ -175,5 +192,5 @@ def add_ldjson_recipe(df: DataFrame, cand: str, url: str = "url", publisher: str
         ingredient_groups=R.single_ingredient_group(_ingredient_items(F.col("_ld_ingr_t"))),
         direction_groups=R.single_direction_group(_instruction_steps(F.col("_ld_steps_t"))))
     df = df.withColumn(out, F.when(c.isNotNull(), rec))
-    return df.drop("_ldv", "_ldr", "_ld_total_s", "_ld_cook_s", "_ld_prep_s", "_ld_author", "_ld_ingr_t",
+    return df.drop("_ldv", "_ldr", "_ld_deep", "_ld_total_s", "_ld_cook_s", "_ld_prep_s", "_ld_author", "_ld_ingr_t",
                    "_ld_steps_t", "_ld_total_m", "_ld_cook_m", "_ld_prep_m", "_ld_prep", "_ld_total", "_ld_cook")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hof as H
-from ..functions.text import minutes_text
+from ..functions.text import add_minutes, minutes_text
 
 RECIPE_DDL = (
     "url string, title string, description string, yield string, "
@@ -58,7 +58,7 @@ def times_derive(prep: Column, cook: Column, total: Column, fill_total: bool = T
     prep2 = F.when((prep == 0) & (total > 0) & (cook > 0), total - cook).otherwise(prep)
     total2 = total
     if fill_total:
-        total2 = F.when((total == 0) & ((prep2 > 0) | (cook > 0)), prep2 + cook).otherwise(total)
+        total2 = F.when((total == 0) & ((prep2 > 0) | (cook > 0)), add_minutes(prep2, cook)).otherwise(total)
     return prep2, total2
 
 
@@ -77,7 +77,7 @@ def add_derived_times(df: DataFrame, prep: str, cook: str, total: str, fill_tota
     df = df.withColumn(f"{prefix}_prep", p2)
     if fill_total:
         t2 = F.when((F.col(total) == 0) & ((F.col(f"{prefix}_prep") > 0) | (F.col(cook) > 0)),
-                    F.col(f"{prefix}_prep") + F.col(cook)).otherwise(F.col(total))
+                    add_minutes(F.col(f"{prefix}_prep"), F.col(cook))).otherwise(F.col(total))
     df = df.withColumn(f"{prefix}_total", t2)
     return df.withColumn(f"{prefix}_cook", F.col(cook))
 

@@ -70,12 +70,14 @@ def _native_ok(text: Column, width: int) -> Column:
     # textwrap breaks only at ASCII whitespace and after hyphens.  Written as a
     # negative test of flat classes: a repeated group would recurse per word
     # in java.util.regex and overflow the stack on long texts.
-    return ~text.rlike(r"[\t\n\x0B\f\r]|  |^ | $|-") & ~text.rlike(r"[^ ]{%d,}" % (width + 1))
+    # A word of other Unicode spaces only is dropped by textwrap at a line's ends.
+    return ~text.rlike(r"(?d)[\t\n\x0B\f\r\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]|  |^ | $|-") \
+        & ~text.rlike(r"[^ ]{%d,}" % (width + 1))
 
 
 def _native_wrap(text: Column, width: int) -> Column:
-    out = F.regexp_replace(text, r"(.{1,%d})(?: +|$)" % width, "$1\n")
-    return F.split(F.regexp_replace(out, "\n$", ""), "\n")
+    out = F.regexp_replace(text, r"(?d)(.{1,%d})(?: +|$)" % width, "$1\n")
+    return F.split(F.regexp_replace(out, "(?d)\n$", ""), "\n")
 
 
 def _prefixed_lines(text: Column, prefix: Column) -> Column:
@@ -221,13 +223,17 @@ def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str =
 
 def filename_collision(docs: DataFrame, order_col: str = "page_id") -> DataFrame:
     """Files are written in input order and overwritten, so the *last* document
-    per file name wins.  ``max_by`` is a partial (map-side) aggregate: a file
-    name shared by a third of all rows still leaves one small row per task."""
-    return (docs.groupBy("filename")
-            .agg(F.max_by(F.struct(order_col, "format", "body"), F.col(order_col)).alias("w"),
-                 F.count(F.lit(1)).alias("n_candidates"))
-            .select("filename", F.col(f"w.{order_col}").alias(order_col), F.col("w.format").alias("format"),
-                    F.col("w.body").alias("body"), "n_candidates"))
+    per file name wins.
+
+    The last position and the number of documents per file name are hash
+    aggregates over (filename, position) only: a file name shared by a third of all
+    rows leaves one small row per task.  Bodies are then fetched by
+    (filename, position); no body is sorted or gathered per name.
+    """
+    last = docs.groupBy("filename").agg(F.max(order_col).alias("_last"), F.count(F.lit(1)).alias("n_candidates"))
+    held = docs.select(F.col("filename").alias("_name"), F.col(order_col), "format", "body")
+    same = (F.col("filename") == F.col("_name")) & F.col(order_col).eqNullSafe(F.col("_last"))
+    return held.join(last, same).select("filename", order_col, "format", "body", "n_candidates")
 
 
 def sink_documents(docs: DataFrame, path: str) -> str:

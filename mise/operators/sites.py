@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import hof as H
 from ..functions import jsonkeys as J
-from ..functions.text import clean_text, iso_minutes, leaf_text, minutes_text, strip_tags
+from ..functions.text import add_minutes, clean_text, iso_minutes, leaf_text, minutes_text, strip_tags
 from . import recipes as R
 
 # --- fixed values -----------------------------------------------------------
@@ -108,12 +108,17 @@ def add_next_data_recipe(df: DataFrame, doc: str, url: str = "url", publisher: s
 
 
 # -------------------------------------------------------------- inline store
-def inline_store_content(html: Column) -> Column:
-    """Raw JSON text of ``content`` from the last store line of any script."""
+def inline_store_line(html: Column) -> Column:
+    """The last store line of any script; pages without the marker are not split."""
+    html = F.when(html.contains(STORE_MARKER), html)
     scripts = F.regexp_extract_all(html, F.lit(SCRIPT_RX), 1)
     lines = F.flatten(H.transform(scripts, lambda s: F.split(s, SPLITLINES_RX)))
     hits = H.filter(lines, lambda l: l.contains(STORE_MARKER))
-    line = F.try_element_at(hits, F.lit(-1))
+    return F.try_element_at(hits, F.lit(-1))
+
+
+def inline_store_text(line: Column) -> Column:
+    """The line's JSON text, known breakages mended."""
     # Trim to the outer braces.  Up to the last '}' via the reversed string:
     # an unanchored "[^}]*$" would rescan from every position (quadratic).
     from_end = F.instr(F.reverse(line), "}")
@@ -121,6 +126,22 @@ def inline_store_content(html: Column) -> Column:
     text = F.regexp_replace(upto_last, "^[^{]*", "")
     for pat, rep in STORE_FIXES:
         text = F.regexp_replace(text, "(?d)" + pat, rep)
+    return text
+
+
+def inline_store_content(html: Column) -> Column:
+    """Raw JSON text of ``content`` from the last store line of any script."""
+    return inline_store_json(inline_store_text(inline_store_line(html)))
+
+
+def add_inline_store_content(df: DataFrame, html: Column, out: str = "_store") -> DataFrame:
+    """Raw JSON text of ``content``; line and text are staged, so each is computed once a page."""
+    df = df.withColumn("_st_line", inline_store_line(html))
+    df = df.withColumn("_st_text", inline_store_text(F.col("_st_line")))
+    return df.withColumn(out, inline_store_json(F.col("_st_text"))).drop("_st_line", "_st_text")
+
+
+def inline_store_json(text: Column) -> Column:
     return F.when(J.is_whole_json(text), F.get_json_object(text, "$.content"))
 
 
@@ -139,7 +160,7 @@ def add_inline_store_recipe(df: DataFrame, content: str, url: str = "url",
                        .when(J.v_is_array(a), F.coalesce(J.v_string(a, "$[0].name"), F.lit("")))
                        .when(J.v_is_object(a), F.coalesce(J.v_string(a, "$.name"), F.lit("")))
                        .otherwise(F.lit("")))})
-    df = df.withColumn("_st_total_m", F.col("_st_prep_m") + F.col("_st_cook_m"))
+    df = df.withColumn("_st_total_m", add_minutes(F.col("_st_prep_m"), F.col("_st_cook_m")))
     df = R.add_derived_times(df, "_st_prep_m", "_st_cook_m", "_st_total_m", fill_total=False, prefix="_st")
     # Group titles always come out empty (the rule reads the new, empty group).
     ingr = F.coalesce(H.transform(d["ingredientGroups"], lambda g: F.struct(

@@ -149,11 +149,13 @@ f2a AS (SELECT k AS page_id,
   'https://' || domain || '/recipe/' || CAST(k AS VARCHAR) || '/' || replace(name, ' ', '-') AS url,
   {O.publisher('domain')} AS pub, k % 9 AS layout,
   CASE WHEN k % 9 = 7 THEN 'no_ldjson' WHEN k % 9 IN (6, 8) THEN 'no_recipe_candidate'
+       WHEN k % 13 = 6 THEN 'null_ingredients' WHEN k % 6 = 5 THEN 'no_instructions'
        WHEN k % 11 = 4 THEN 'empty_title' END AS reason,
   CASE WHEN k % 11 = 3 THEN upper(name) WHEN k % 11 = 4 THEN '' ELSE {O.clean_text("'  ' || name || '  '")} END AS title,
   {O.strip_tags("'<p>' || ptype || ' &amp; ' || brand || ' &frac12; cup</p>'")} AS description,
   CASE k % 3 WHEN 0 THEN CAST(s AS VARCHAR) || ' servings'
-       WHEN 1 THEN greatest(CAST(s AS VARCHAR), CAST(s AS VARCHAR) || ' servings') ELSE CAST(s AS VARCHAR) END AS yield,
+       WHEN 1 THEN CASE WHEN k % 12 = 1 THEN CAST(s + 4 AS VARCHAR)
+                        ELSE greatest(CAST(s AS VARCHAR), CAST(s AS VARCHAR) || ' servings') END ELSE CAST(s AS VARCHAR) END AS yield,
   CASE k % 5 WHEN 0 THEN s WHEN 2 THEN 60 * (s % 3) + s ELSE 0 END AS total0,
   CASE k % 5 WHEN 0 THEN s % 7 WHEN 1 THEN 60 + s WHEN 3 THEN s ELSE 0 END AS cook,
   CASE k % 5 WHEN 1 THEN s ELSE 0 END AS prep0,
@@ -644,7 +646,7 @@ register("golden_diff", f"WITH {_GOLDEN_SQL} SELECT line_no, url, ref_file, stat
 register("golden_join", f"WITH {_GOLDEN_SQL} SELECT line_no, ref_file, (status <> 'MISSING') AS has_reference FROM g2")(
     lambda spark, d: _verdicts(spark, d).select("line_no", "ref_file", (F.col("status") != G.MISSING).alias("has_reference")))
 register("golden_missing", f"WITH {_GOLDEN_SQL} SELECT ref_file, act AS body FROM g2 WHERE status = 'MISSING'")(
-    lambda spark, d: G.golden_missing(_verdicts(spark, d)))
+    lambda spark, d: G.golden_missing(_verdicts(spark, d), _golden_inputs(spark, d)[1]))
 register("status_counts", f"WITH {_GOLDEN_SQL} SELECT status, count(*) AS n_tests FROM g2 GROUP BY status")(
     lambda spark, d: G.status_counts(_verdicts(spark, d)))
 

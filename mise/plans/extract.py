@@ -23,20 +23,18 @@ REASON_NO_NEXT_DATA = "no_next_data"
 REASON_NO_STORE = "no_inline_store"
 REASON_EMPTY_TITLE = "empty_title"
 
-EXTRACTED_COLS = ["page_id", "url", "domain", "publisher", "route", "recipe", "reason", "source_file"]
-
-
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """``(page_id, url, domain, publisher, route, recipe, reason)``; exactly one of
     ``recipe`` / ``reason`` is set per page."""
     routed = U.route_pages(pages)
     route, html = F.col("route"), F.col("html")
     layout = F.when(route == U.ROUTE_DOM_A, F.lit("a")).when(route == U.ROUTE_DOM_B, F.lit("b"))
+    routed = S.add_inline_store_content(routed, F.when(route == U.ROUTE_INLINE_STORE, html), "_store")
     df = routed.select(
         key, "url", "domain", "publisher", "route",
         L.scripts_of(F.when(route == U.ROUTE_LDJSON, html)).alias("_scripts"),
         S.next_data_document(F.when(route == U.ROUTE_NEXT_DATA, html)).alias("_nd"),
-        S.inline_store_content(F.when(route == U.ROUTE_INLINE_STORE, html)).alias("_store"),
+        "_store",
         layout.alias("_layout"),
         # The DOM UDF gets NULL html for pages of any other route.
         S.dom_fields(F.when(layout.isNotNull(), S.em_dash_to_space(html)), layout).alias("_dom"))
@@ -50,27 +48,25 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     is_ld = route == U.ROUTE_LDJSON
     reason = (F.when(is_ld & (F.coalesce(F.size("_scripts"), F.lit(0)) == 0), F.lit(REASON_NO_LDJSON))
               .when(is_ld & F.col("_cand.raw").isNull(), F.lit(REASON_NO_CANDIDATE))
+              .when(is_ld & F.col("_ld_reason").isNotNull(), F.col("_ld_reason"))
               .when((route == U.ROUTE_NEXT_DATA) & F.col("_nd").isNull(), F.lit(REASON_NO_NEXT_DATA))
               .when((route == U.ROUTE_INLINE_STORE) & F.col("_store").isNull(), F.lit(REASON_NO_STORE))
               .when(F.col("_layout").isNotNull() & ~F.coalesce(F.col("_dom.ok"), F.lit(False)),
                     F.coalesce(F.col("_dom.reason"), F.lit("dom_parse_error")))
               .when(~F.col("_title_ok"), F.lit(REASON_EMPTY_TITLE)))
     df = df.withColumn("reason", reason)
-    # ``source_file``: provenance of each page.
     return df.select(key, "url", "domain", "publisher", "route",
-                     F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason",
-                     F.input_file_name().alias("source_file"))
+                     F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason")
 
 
 def spread_for_cores(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Extraction is CPU-bound per page and map-only, so its parallelism is the
-    number of input splits.  When pages arrive in fewer splits than there are
-    cores (a few files with one row group each), hash-distribute them by page
-    key first; with enough splits, the normal case for a large crawl, the
-    plan stays shuffle-free.  The split count is read from the planned scan,
-    no data is touched."""
+    number of input splits.  Pages that arrive in fewer files than there are
+    cores are hash-distributed by page key first; with enough files, the normal
+    case for a large crawl, the plan stays shuffle-free.  Only the file listing is
+    looked at, and no output column depends on the split."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
+    if len(pages.inputFiles()) >= cores:
         return pages
     return pages.repartition(cores, key)
 
@@ -94,7 +90,7 @@ _SESSION_CACHE: dict[tuple, str] = {}
 def extracted(spark, name: str, pages_fn, sf_dir: str, key: str = "page_id") -> DataFrame:
     """Extraction table of a named corpus, written once per session."""
     from ..session import scratch_path
-    ck = (id(spark), name, sf_dir)
+    ck = (spark.sparkContext.applicationId, name, sf_dir)
     if ck not in _SESSION_CACHE:
         path = scratch_path(spark, f"extracted-{name}")
         run_extraction(pages_fn(spark, sf_dir), path, key)

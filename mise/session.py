@@ -1,16 +1,12 @@
-"""Session construction and cluster-safe helpers (checkpoint dir, sized broadcast)."""
+"""Session construction and the shared scratch folder."""
 
 from __future__ import annotations
 
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-# Broadcast a dimension only below this estimated size; above it the join is
-# left to a shuffle join with AQE skew splitting.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 # Session key holding the fallback folder when the cluster names none.
 LOCAL_DIR_KEY = "mise.fallback.checkpoint.dir"
 
@@ -31,7 +27,7 @@ def build_session(master: str | None = None, app: str = "mise",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # No broadcast chosen from plan-time estimates; AQE may still broadcast
         # a join side once its shuffle output has been measured.  Explicit hints
-        # (a fixed dimension, or a side checked by maybe_broadcast) still apply.
+        # (a fixed dimension) still apply.
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
@@ -55,17 +51,20 @@ def build_session(master: str | None = None, app: str = "mise",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a local folder is chosen only when the
-    session has none (tests, a laptop).
+    The cluster's setting wins, then a folder already set on the context; a local
+    folder is chosen only on a local master that has neither (tests, a laptop).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR_KEY, None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get(LOCAL_DIR_KEY, None)
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # spark.checkpoint.dir is a core setting and cannot be changed at
         # runtime; the fallback is kept under this package's own key.
         path = os.path.join("/tmp", "mise-checkpoints")
         spark.conf.set(LOCAL_DIR_KEY, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -73,24 +72,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (scan statistics, after pruning)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        # py4j hands a Scala BigInt over as a Python int.
-        return int(size) if isinstance(size, int) else int(size.toString())
-    except Exception:  # pragma: no cover - no estimate: treat as large
-        return 1 << 62
-
-
-def maybe_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its estimated size is proven below ``max_bytes``.
-
-    Otherwise the frame is returned as is and Spark plans a shuffle join
-    (sort-merge, with AQE splitting skewed partitions).
-    """
-    if estimated_bytes(df) <= max_bytes:
-        return F.broadcast(df)
-    return df

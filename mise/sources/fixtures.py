@@ -15,6 +15,8 @@ page, no grouping), so their size grows with the scale factor:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from ..functions.urls import PUBLISHERS
 from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
-FIXTURE_VERSION = "v2"
+FIXTURE_VERSION = "v3"
+FIXTURE_TABLES = {"ldjson_pages": ["part"], "site_pages": ["documents"]}
 # Files per derived corpus: a crawl arrives as many files, so scans get
 # parallel splits (a single small parquet file is one row group, one task).
 FIXTURE_FILES_PER_CORE = 2
@@ -43,6 +46,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def listing_digest(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the files under ``paths`` (name, size, modification time): a corpus
+    derived from them is used again only while they are the same."""
+    jvm = spark.sparkContext._jvm
+    seen = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        seen += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(p))
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:24]
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write a derived corpus once as parquet under the shared checkpoint folder
     and scan it from there, exactly as captured pages would be scanned.
@@ -50,7 +65,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     Generated page text is a very large expression; scanning it from parquet
     keeps the extraction plan the production plan (scan -> project).
     """
-    tag = sf_dir.rstrip("/").replace("/", "_").strip("_")
+    tag = listing_digest(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in FIXTURE_TABLES[name]])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mise-fixtures/{FIXTURE_VERSION}/{tag}/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
         n = max(1, spark.sparkContext.defaultParallelism * FIXTURE_FILES_PER_CORE)
@@ -79,6 +94,7 @@ def ldjson_recipe_object(k: Column, name: Column, brand: Column, ptype: Column,
                 .when(k % 11 == 4, F.lit('"headline":null,'))
                 .otherwise(F.lit("")))
     yld = (F.when(k % 3 == 0, _cat('"recipeYield":', jq(_cat("<b>", s, "</b> servings")), ","))
+           .when(k % 12 == 1, _cat('"recipeYield":[', s, ",", (size + 4).cast("string"), "],"))
            .when(k % 3 == 1, _cat('"recipeYield":[', jq(s), ",", jq(_cat(s, " servings")), "],"))
            .otherwise(_cat('"recipeYield":', s, ",")))
     times = (F.when(k % 5 == 0, _cat('"totalTime":"PT', s, 'M","cookTime":"PT', (size % 7).cast("string"), 'M",'))
@@ -90,8 +106,8 @@ def ldjson_recipe_object(k: Column, name: Column, brand: Column, ptype: Column,
               .when(k % 4 == 1, _cat('"author":[{"@type":"Person","name":', jq(brand), '},{"name":"Other"}],'))
               .when(k % 4 == 2, _cat('"author":', jq(_cat("<span>", brand, "</span>")), ","))
               .otherwise(F.lit("")))
-    ingredients = _cat('"recipeIngredient":[', jq(_cat("<b>", brand, "</b>")), ",",
-                       jq(_cat(ptype, " &frac12;")), ",", jq(_cat("((", s, " g)) of ", name)), "],")
+    ingredients = F.when(k % 13 == 6, F.lit('"recipeIngredient":null,')).otherwise(_cat('"recipeIngredient":[', jq(_cat("<b>", brand, "</b>")), ",",
+                       jq(_cat(ptype, " &frac12;")), ",", jq(_cat("((", s, " g)) of ", name)), "],"))
     steps = (F.when(k % 6 == 0, _cat('"recipeInstructions":[{"@type":"HowToStep","text":',
                                      jq(_cat("Mix the ", name, ".")),
                                      '},{"@type":"HowToStep","text":', jq(_cat("Bake ", s, " minutes.")), "}]"))

@@ -41,9 +41,16 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_append(loaded: DataFrame, extra: DataFrame) -> DataFrame:
-    """Ad-hoc tests appended after the loaded ones; no de-duplication."""
-    offset = F.lit(1 << 40)
-    return loaded.unionByName(extra.withColumn("line_no", F.col("line_no") + offset))
+    """Ad-hoc tests appended after the loaded ones; no de-duplication.
+
+    Their lines are numbered on from the last loaded line (one aggregate over
+    ``line_no``), whatever the numbers of either side are.
+    """
+    last = loaded.agg(F.max("line_no")).first()[0]
+    first = extra.agg(F.min("line_no")).first()[0]
+    if last is None or first is None:
+        return loaded.unionByName(extra)
+    return loaded.unionByName(extra.withColumn("line_no", F.col("line_no") - F.lit(first) + F.lit(last + 1)))
 
 
 def manifest_lines_from_pages(pages: DataFrame) -> DataFrame:

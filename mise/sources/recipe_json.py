@@ -29,7 +29,11 @@ def sink_recipe_files(recipes: DataFrame, spark: SparkSession, path: str | None
 def scan_recipe_json(spark: SparkSession, path: str, key: str = "page_id", multi_line: bool = False) -> DataFrame:
     """Stored recipe records -> ``(key, recipe)``, schema given (no inference pass).
 
-    ``multi_line=True`` reads pretty-printed single-record files.
+    ``multi_line=True`` reads pretty-printed single-record files.  A record without a
+    key gets one from its file, its place in it and its content, so that it stays
+    apart from others and keeps it when it is read again.
     """
     df = spark.read.schema(f"{key} bigint, {RECIPE_DDL}").option("multiLine", multi_line).json(path)
-    return df.select(key, F.struct(*[c for c in df.columns if c != key]).alias("recipe"))
+    recipe = F.struct(*[c for c in df.columns if c != key])
+    own = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.to_json(recipe))
+    return df.select(F.coalesce(F.col(key), own).alias(key), recipe.alias("recipe"))

@@ -117,3 +117,56 @@ def test_extract_ldjson_rows(spark):
     df = pages(spark, [(1, "u", script("[]") + script(json.dumps(RECIPE)))])
     rows = L.extract_ldjson(df).collect()
     assert [(r.pos, r.kind, r.is_candidate) for r in rows] == [(0, "list", False), (1, "object", True)]
+
+
+def _reasons(spark, html):
+    df = pages(spark, [(k, "https://www.bonappetit.com/r/" + str(k), v) for k, v in html.items()])
+    return {r.page_id: (r.recipe.title if r.recipe else None, r.reason) for r in X.extract(df).collect()}
+
+
+def test_malformed_graph_and_exact_script_type(spark):
+    graph = json.dumps({"@graph": [RECIPE]})
+    rec = json.dumps(RECIPE)
+    def typed(attributes):
+        return f"<script {attributes}>{rec}</script>"
+
+    got = _reasons(spark, {1: script(graph + " trailing junk"), 2: script(graph), 3: typed('type="application/ld+json; charset=utf-8"'),
+                           4: typed('data-type="application/ld+json"'), 5: typed("async type=application/ld+json"),
+                           6: typed('id="x" TYPE = \'application/ld+json\' data-x'), 7: typed('type="application/LD+JSON"')})
+    assert got[1][0] is None and got[3][0] is None and got[4][0] is None and got[7][0] is None
+    assert got[2] == got[5] == got[6] == ("Soup", None)
+
+
+def test_null_ingredients_and_missing_instructions(spark):
+    no_steps = {k: v for k, v in RECIPE.items() if k != "recipeInstructions"}
+    got = _reasons(spark, {1: script(json.dumps(dict(RECIPE, recipeIngredient=None))), 2: script(json.dumps(no_steps)),
+                           3: script(json.dumps(dict(no_steps, extra={"itemListElement": [{"text": "x"}]}))),
+                           4: script(json.dumps(dict(RECIPE, recipeInstructions=[])))})
+    assert got[1] == (None, "null_ingredients") and got[2] == (None, "no_instructions")
+    assert got[3] == got[4] == ("Soup", None)
+
+
+def test_yields_compare_by_type(spark):
+    values = {1: [8, 12], 2: ["8", "12"], 3: [2.5, 10.25], 4: 6, 5: []}
+    df = pages(spark, [(k, "https://www.bonappetit.com/r", script(json.dumps(dict(RECIPE, recipeYield=v)))) for k, v in values.items()])
+    got = {r.page_id: r.recipe["yield"] for r in X.extract(df).collect()}
+    assert got == {1: "12", 2: "8", 3: "10.25", 4: "6", 5: ""}
+
+
+def test_huge_durations_do_not_end_the_job(spark):
+    rec = dict(RECIPE, totalTime="PT200000000000S", cookTime="P9999999999999999D", prepTime="PT2147483647M")
+    both = dict(RECIPE, totalTime="", cookTime="PT2147483647M", prepTime="PT2147483647M")
+    assert _reasons(spark, {1: script(json.dumps(rec)), 2: script(json.dumps(both))}) == {1: ("Soup", None), 2: ("Soup", None)}
+
+
+def test_rows_do_not_depend_on_the_split(spark, tmp_path):
+    """One file, many files and packed files of the same pages give equal rows."""
+    from mise.sources import fixtures as FX
+    source = FX.ldjson_pages(spark, "/root/testdata/sf0.001")
+    seen = []
+    for i, n in enumerate((1, 8, 3)):
+        path = str(tmp_path / f"p{i}")
+        source.repartition(n).write.parquet(path)
+        out = X.run_extraction(spark.read.parquet(path), str(tmp_path / f"out{i}"))
+        seen.append(sorted(map(str, out.collect())))
+    assert seen[0] == seen[1] == seen[2]

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from mise.operators import golden as G
 from mise.operators import render as RD
 from mise.sources import manifest as M
-import pyrules as P
 
 LONG = ("Stir the well-known mixture " * 6).strip()
 RECIPES = [
@@ -25,6 +24,96 @@ RECIPES = [
 ]
 
 
+TEA = """%s
+
+%s
+
+%s
+
+{desc1}
+{desc2}
+
+%s
+
+%s leaves
+%s 
+
+%s
+
+1. Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil
+   Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil
+   Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil Boil
+3. Stir the well-known mixture Stir the well-known mixture Stir the well-
+   known mixture Stir the well-known mixture Stir the well-known mixture
+   Stir the well-known mixture
+4. {long}
+   {rest} tail
+""".replace("{desc1}", " ".join(["Hot"] * 19)).replace("{desc2}", " ".join(["Hot"] * 11)).replace("{long}", "A" * 72).replace("{rest}", "A" * 18)
+CAKE = """%s
+
+Source: Me
+
+
+%s
+
+%s
+
+%s flour
+
+%s
+
+%s sugar
+
+%s
+
+1. Mix
+1. Bake
+2. Cool
+
+%s
+
+%s A bold note A bold note A bold note A bold note A bold note A bold note A
+  bold note A bold note
+
+%s second
+
+"""
+SOUP = """%s
+
+%s
+
+%s
+
+d
+
+%s
+
+
+%s
+
+
+%s
+
+only one note
+
+"""
+DOCUMENTS = {
+    (0, "md"): TEA % ("## Tea", "|-----------------|---------------|----------|\n| Prep: 5 minutes | Total: 1 hour | Yield: 2 |\n"
+                      "|-----------------|---------------|----------|", "Source: [www.food.com](https://www.food.com/r/1)",
+                      "### Ingredients", "*", "*", "### Directions"),
+    (0, "rst"): TEA % ("Tea\n===", "+-----------------+---------------+----------+\n| Prep: 5 minutes | Total: 1 hour | Yield: 2 |\n"
+                       "+-----------------+---------------+----------+", "Source: `www.food.com <https://www.food.com/r/1>`__",
+                       "Ingredients\n-----------", "-", "-", "Directions\n----------"),
+    (1, "md"): CAKE % ("## Cake (v2)", "### Ingredients", "#### Base", "*", "#### Top", "*", "### Directions", "### Notes", "*", "*"),
+    (1, "rst"): CAKE % ("Cake (v2)\n=========", "Ingredients\n-----------", "Base\n^^^^", "-", "Top\n^^^", "-", "Directions\n----------",
+                        "Notes\n-----", "-", "-"),
+    (2, "md"): SOUP % ("## Soup", "|------------|\n| Total: TBD |\n|------------|", "Source: [x.example](https://x.example/3)",
+                       "### Ingredients", "### Directions", "### Notes"),
+    (2, "rst"): SOUP % ("Soup\n====", "+------------+\n| Total: TBD |\n+------------+", "Source: `x.example <https://x.example/3>`__",
+                        "Ingredients\n-----------", "Directions\n----------", "Notes\n-----"),
+}
+
+
 def _df(spark):
     rows = [(i, r) for i, r in enumerate(RECIPES)]
     st = ("struct<url: string, title: string, description: string, yield: string, preptime: string, "
@@ -34,13 +123,13 @@ def _df(spark):
     return spark.createDataFrame(rows, f"page_id bigint, recipe {st}")
 
 
-def test_render_matches_python(spark):
+def test_render_matches_documents_written_by_hand(spark):
     docs = RD.render_docs(_df(spark), ["md", "rst", "json"]).collect()
     by = {(d.page_id, d.format): d for d in docs}
     assert (3, "md") not in by  # empty title: no document
     for i, rec in enumerate(RECIPES[:3]):
         for fmt in ["md", "rst"]:
-            assert by[(i, fmt)].body == P.render(rec, fmt), (i, fmt)
+            assert by[(i, fmt)].body == DOCUMENTS[i, fmt], (i, fmt)
     assert by[(0, "md")].filename == "Tea.md" and by[(1, "rst")].filename == "Cakev2.rst"
 
 
@@ -71,5 +160,41 @@ def test_golden_statuses(spark):
     v = G.golden_diff(tests, actual, ref)
     got = {r.line_no: r.status for r in v.collect()}
     assert got == {1: "PASS", 2: "FAIL", 3: "MISSING", 4: "PASS", 5: "ERROR"}
-    assert [r.ref_file for r in G.golden_missing(v).collect()] == ["c.rst"]
+    assert [(r.ref_file, r.body) for r in G.golden_missing(v, actual).collect()] == [("c.rst", "new")]
     assert {r.status: r.n_tests for r in G.status_counts(v).collect()} == {"PASS": 2, "FAIL": 1, "MISSING": 1, "ERROR": 1}
+
+
+def test_one_new_reference_per_missing_file(spark):
+    tests = spark.createDataFrame([(k, "u", "new.rst") for k in range(5)], "line_no bigint, url string, ref_file string")
+    actual = spark.createDataFrame([(0, None), (1, "first"), (2, "second"), (3, "third"), (4, None)], "line_no bigint, body string")
+    none = spark.createDataFrame([], "ref_file string, body string")
+    v = G.golden_diff(tests, actual, none)
+    assert [(r.ref_file, r.body) for r in G.golden_missing(v, actual).collect()] == [("new.rst", "first")]
+    assert "act_body" not in v.columns
+
+
+def test_collision_without_positions_or_hot_names(spark):
+    df = spark.createDataFrame([(None, "a.md", "md", "x"), (1, "b.md", "md", "y"), (None, "b.md", "md", "z")],
+                               "page_id bigint, filename string, format string, body string")
+    got = {r.filename: (r.page_id, r.body, r.n_candidates) for r in RD.filename_collision(df).collect()}
+    assert got == {"a.md": (None, "x", 1), "b.md": (1, "y", 2)}
+    plan = RD.filename_collision(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_appended_manifest_lines_stay_apart(spark):
+    def lines(numbers):
+        return spark.createDataFrame([(n, "u", "r", "md") for n in numbers], "line_no bigint, url string, ref_file string, format string")
+    loaded = lines([n << 33 for n in range(200)])
+    both = M.manifest_append(loaded, lines([n << 33 for n in range(200)]))
+    assert both.select("line_no").distinct().count() == 400
+    assert M.manifest_append(lines([]), lines([3])).count() == M.manifest_append(lines([3]), lines([])).count() == 1
+
+
+def test_wrap_of_unicode_line_ends(spark):
+    import textwrap
+    texts = ["one\u2028two " * 20, "a\x85b " * 40, "word \u2029 word " * 15, "x \u00a0 y " * 20, "plain words only " * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.b for r in df.select(RD.wrap_groups(F.array(F.array("t")), "numbered").alias("b")).collect()]
+    for t, b in zip(texts, got):
+        assert b == "".join(x + "\n" for x in textwrap.wrap(t, 75, initial_indent="1. ", subsequent_indent="   "))
