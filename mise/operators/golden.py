@@ -37,9 +37,13 @@ def golden_diff(tests: DataFrame, actual: DataFrame, reference: DataFrame) -> Da
     Bodies are reduced to digests of their normalised lines before the joins, so
     no body is shuffled; the join strategy is left to Spark's measured sizes.
     """
-    ref = reference.select("ref_file", _digest(F.col("body")).alias("ref_digest"), (F.length("body") > 0).alias("has_ref"))
     act = actual.select("line_no", F.when(F.col("body").isNotNull(), _digest(F.col("body"))).alias("act_digest"))
-    joined = tests.join(act, "line_no", "left").join(ref, "ref_file", "left")
+    return _verdicts(tests.join(act, "line_no", "left"), reference)
+
+
+def _verdicts(tested: DataFrame, reference: DataFrame) -> DataFrame:
+    ref = reference.select("ref_file", _digest(F.col("body")).alias("ref_digest"), (F.length("body") > 0).alias("has_ref"))
+    joined = tested.join(ref, "ref_file", "left")
     status = (F.when(~F.coalesce("has_ref", F.lit(False)), F.lit(MISSING))
               .when(F.col("act_digest").isNull(), F.lit(ERROR))
               .when(F.col("act_digest") == F.col("ref_digest"), F.lit(PASS))
@@ -47,6 +51,29 @@ def golden_diff(tests: DataFrame, actual: DataFrame, reference: DataFrame) -> Da
     return joined.select("line_no", "url", "ref_file", status.alias("status"), F.col("act_digest").isNotNull().alias("has_output"))
 
 
+def produced(tests: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(line_no, body)``: the document of each test, by address and format (NULL: none was produced)."""
+    made = documents.select("url", "format", "body")
+    return tests.join(made, ["url", "format"], "left").select("line_no", "body")
+
+
+def golden_run(tests: DataFrame, documents: DataFrame, reference: DataFrame) -> DataFrame:
+    """Manifest, rendered documents ``(url, format, body)`` and references to verdicts.
+
+    Digests are taken per document before it meets its tests, so one document that
+    many tests name is digested once and no body is shuffled.
+    """
+    made = documents.select("url", "format", _digest(F.col("body")).alias("act_digest"))
+    return _verdicts(tests.join(made, ["url", "format"], "left"), reference)
+
+
+def golden_reset(tests: DataFrame, documents: DataFrame) -> DataFrame:
+    """All references anew: for each file, the document of its first test that has one."""
+    first = (tests.join(documents.select("url", "format"), ["url", "format"], "left_semi")
+             .groupBy("ref_file").agg(F.min_by(F.struct("url", "format"), "line_no").alias("t")))
+    return documents.join(first.select("ref_file", "t.url", "t.format"), ["url", "format"]).select("ref_file", "body")
+
+
 def golden_missing(verdicts: DataFrame, actual: DataFrame) -> DataFrame:
     """New reference files: for each one that is missing, the output of its first
     test (by line) that produced any.  Only these bodies are fetched."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hof as H
-from ..functions.text import clean_text, title_filename
+from ..functions.text import clean_text, output_filename, title_filename
 from ..functions.urls import url_domain
 
 # --- fixed values -----------------------------------------------------------
@@ -203,10 +203,12 @@ def render_body(fmt: str, recipe: str = "recipe") -> Column:
 
 
 def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str = "page_id",
-                recipe: str = "recipe") -> DataFrame:
+                recipe: str = "recipe", outfile: str | None = None) -> DataFrame:
     """``(key, format, filename, body)``: one document per recipe and format.
 
     No format given -> rst; recipes with an empty title produce no document.
+    ``outfile`` names every document (the last one written stays, see
+    ``filename_collision``); without it the title does.
     Narrow: fan-out is a generator over a literal array, no shuffle.
     """
     fmts = formats or DEFAULT_FORMATS
@@ -217,7 +219,8 @@ def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str =
         body = F.when(F.col("format") == f, b).otherwise(body)
     out = (staged.withColumn("format", F.explode(F.array(*[F.lit(f) for f in fmts])))
            .withColumn("body", body)
-           .withColumn("filename", title_filename(F.col("_title"), F.col("format"))))
+           .withColumn("filename", title_filename(F.col("_title"), F.col("format")) if outfile is None
+                       else output_filename(F.lit(outfile), F.col("format"))))
     return out.select(key, "format", "filename", "body")
 
 

@@ -33,7 +33,32 @@ STORE_FIXES = [
     ('"password":\\{"regExp":.*,"messages"', '"password":{"regExp":""},"messages"'),
 ]
 STORE_PUBLISHER = "Epicurious"
-DOM_B_TITLE_SUFFIX_RX = "(?d). SAM THE COOKING GUY"
+DOM_B_TITLE_SUFFIX = ". SAM THE COOKING GUY"
+# Fields of the two DOM layouts: the path of an element, outermost step first,
+# each step (tag, class, (attribute, value)).
+DOM_A_FIELDS = {
+    "title": [(None, "entry-title", None)],
+    "description": [("div", None, ("property", "description"))],
+    "yield": [("div", "yield", None), ("span", None, None)],
+    "cook": [("div", "cook-time", None), ("meta", None, None)],
+    "ingredients": [("li", "ingredient", None)],
+    "directions": [("li", "instruction", None)],
+}
+DOM_B_FIELDS = {
+    "title": [("title", None, None)],
+    "content": [("div", "sqs-block-content", None)],
+    "paragraph": [("div", "sqs-block-content", None), ("p", None, None)],
+    "block": [("div", "sqs-block", None), ("div", "sqs-block-content", None)],
+    "list": [("div", "sqs-block-content", None), ("ul", None, None)],
+    "rte_list": [("div", "sqs-block-content", None), ("ul", None, ("data-rte-list", "default"))],
+    "row_paragraph": [("div", "sqs-layout", None), ("div", "row", None), ("div", "sqs-block", None),
+                      ("div", "sqs-block-content", None), ("p", None, None)],
+    "item": [("li", None, None)],
+}
+# Elements without an end tag, and those that another start tag closes.
+DOM_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
+            "param", "source", "track", "wbr"}
+DOM_AUTOCLOSE = {"p": {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "table"}, "li": {"li"}}
 # DOM-layout pages have every em dash turned into a space before parsing.
 EM_DASH = "\u2014"
 # ---------------------------------------------------------------------------
@@ -189,160 +214,110 @@ def em_dash_to_space(html: Column) -> Column:
     return F.translate(html, EM_DASH, " ")
 
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-         "param", "source", "track", "wbr"}
-_AUTOCLOSE = {"p": {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "table"}, "li": {"li"}}
+class _Collector(HTMLParser):
+    """One pass over a page: the texts of the layout's fields, nothing else kept.
 
+    Only the open elements are held.  An element that satisfies a field's path
+    (its last step is the element, the earlier ones are open around it, in order)
+    starts to gather text, until it is closed.
+    """
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def text(self) -> str:
-        out = []
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                stack.extend(reversed(n.children))
-        return "".join(out)
-
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, fields: dict):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.cur = self.root
+        self.fields = fields
+        self.found: dict[str, list] = {name: [] for name in fields}
+        self.open: list[tuple] = []      # (tag, attributes) of the open elements
+        self.gathering: list[tuple] = []  # (depth, pieces)
+
+    @staticmethod
+    def _fits(element: tuple, step: tuple) -> bool:
+        tag, cls, attr = step
+        return (tag in (None, element[0]) and (cls is None or cls in (element[1].get("class") or "").split())
+                and (attr is None or element[1].get(attr[0]) == attr[1]))
+
+    def _on_path(self, element: tuple, path: list) -> bool:
+        if not self._fits(element, path[-1]):
+            return False
+        around = iter(reversed(self.open))
+        return all(any(self._fits(e, step) for e in around) for step in reversed(path[:-1]))
+
+    def _begin(self, tag: str, attrs: list, stays: bool) -> None:
+        element = (tag, {k: (v if v is not None else "") for k, v in attrs})
+        for name, path in self.fields.items():
+            if self._on_path(element, path):
+                pieces: list[str] = []
+                # Which element of an earlier field it stands in: the first list, the first block.
+                inside = {other: found[0]["depth"] is not None for other, found in self.found.items() if found}
+                self.found[name].append({"pieces": pieces, "attrs": element[1], "depth": len(self.open) if stays else None, "inside": inside})
+                if stays:
+                    self.gathering.append((len(self.open), pieces))
+        if stays:
+            self.open.append(element)
+
+    def _close_to(self, depth: int) -> None:
+        del self.open[depth:]
+        self.gathering = [g for g in self.gathering if g[0] < depth]
+        for found in self.found.values():
+            if found and found[0]["depth"] is not None and found[0]["depth"] >= depth:
+                found[0]["depth"] = None
 
     def handle_starttag(self, tag, attrs):
-        closes = _AUTOCLOSE.get
-        n = self.cur
-        while n is not self.root and tag in (closes(n.tag) or ()):
-            n = n.parent
-            self.cur = n
-        node = _Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
-        if tag not in _VOID:
-            self.cur = node
+        while self.open and tag in DOM_AUTOCLOSE.get(self.open[-1][0], ()):
+            self._close_to(len(self.open) - 1)
+        self._begin(tag, attrs, tag not in DOM_VOID)
 
     def handle_startendtag(self, tag, attrs):
-        node = _Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
+        self._begin(tag, attrs, False)
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not self.root and n.tag != tag:
-            n = n.parent
-        if n is not self.root:
-            self.cur = n.parent
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth][0] == tag:
+                self._close_to(depth)
+                return
 
     def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-_SIMPLE = re.compile(r"([a-z0-9]*)((?:\.[\w-]+)*)((?:\[[\w-]+=[^\]]*\])*)")
-
-
-def _parse_selector(sel: str):
-    parts = []
-    for tok in sel.split():
-        m = _SIMPLE.fullmatch(tok)
-        tag, cls, attrs = m.group(1), m.group(2), m.group(3)
-        parts.append((tag or None, [c for c in cls.split(".") if c],
-                      re.findall(r"\[([\w-]+)=([^\]]*)\]", attrs)))
-    return parts
-
-
-def _simple_match(n: _Node, simple) -> bool:
-    tag, cls, attrs = simple
-    if tag and n.tag != tag:
-        return False
-    if cls and not set(cls) <= set(n.classes()):
-        return False
-    return all(n.attrs.get(k) == v.strip("'\"") for k, v in attrs)
+        for _, pieces in self.gathering:
+            pieces.append(data)
 
-
-def _iter(node: _Node):
-    stack = list(reversed([c for c in node.children if isinstance(c, _Node)]))
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(reversed([c for c in n.children if isinstance(c, _Node)]))
-
-
-def select(root: _Node, sel: str) -> list:
-    """Descendant-combinator CSS selection in document order."""
-    parts = _parse_selector(sel)
-    out = []
-    for n in _iter(root):
-        if not _simple_match(n, parts[-1]):
-            continue
-        i, p = len(parts) - 2, n.parent
-        while i >= 0 and p is not None:
-            if _simple_match(p, parts[i]):
-                i -= 1
-            p = p.parent
-        if i < 0:
-            out.append(n)
-    return out
-
-
-def select_one(root: _Node, sel: str):
-    found = select(root, sel)
-    return found[0] if found else None
-
-
-def _classless(node: _Node, tag: str) -> list:
-    return [n for n in _iter(node) if n.tag == tag and "class" not in n.attrs]
+    def texts(self, name: str) -> list[str]:
+        return ["".join(x["pieces"]) for x in self.found[name]]
 
 
 def _leaf(s: str) -> str:
     return s.replace("\n", "").strip()
 
 
-def _dom_a(root: _Node) -> dict:
-    """Layout A (entry-title / property=description / li.ingredient ...)."""
-    title = select_one(root, ".entry-title")
-    desc = select_one(root, "div[property=description]")
-    yld = select_one(root, "div.yield span")
-    cook = select_one(root, "div.cook-time meta")
-    if title is None or desc is None or yld is None or cook is None:
-        return {"ok": False, "reason": "dom_field_missing"}
-    return {"ok": True, "title": title.text(), "description": desc.text(), "yield": yld.text(),
-            "cook": cook.attrs.get("content", ""),
-            "ingredients": [_leaf(n.text()) for n in select(root, "li.ingredient")],
-            "directions": [_leaf(n.text()) for n in select(root, "li.instruction")]}
-
-
-def _dom_b(root: _Node) -> dict:
-    """Layout B (title / sqs-block-content paragraphs / class-less list items)."""
-    title = select_one(root, "title")
-    paras = select(root, "div.sqs-block-content p")
-    block = select_one(root, "div.sqs-block div.sqs-block-content")
-    first_ul = select_one(root, "div.sqs-block-content ul")
-    if title is None or len(paras) < 2 or block is None or first_ul is None:
+def _plain_items(page: _Collector, inside: str) -> list[str]:
+    """Class-less list items within the first element of ``inside``."""
+    return [_leaf("".join(x["pieces"])) for x in page.found["item"] if "class" not in x["attrs"] and x["inside"].get(inside)]
+
+
+def _dom_a(page: _Collector) -> dict:
+    """Layout A; a page without a field, or without the time's value, is a reject."""
+    one = {name: page.found[name][0] if page.found[name] else None for name in ("title", "description", "yield", "cook")}
+    if None in one.values() or "content" not in one["cook"]["attrs"]:
         return {"ok": False, "reason": "dom_field_missing"}
-    ingr = select(root, "div.sqs-layout div.row div.sqs-block div.sqs-block-content p")
-    if not ingr:
-        ingr = _classless(first_ul, "li")
-    dirs = _classless(first_ul, "li")
+    return {"ok": True, **{name: "".join(one[name]["pieces"]) for name in ("title", "description", "yield")},
+            "cook": one["cook"]["attrs"]["content"],
+            "ingredients": [_leaf(t) for t in page.texts("ingredients")], "directions": [_leaf(t) for t in page.texts("directions")]}
+
+
+def _dom_b(page: _Collector) -> dict:
+    """Layout B: paragraphs of the content blocks and class-less items of the first list in one."""
+    missing = {"ok": False, "reason": "dom_field_missing"}
+    title, paras = page.texts("title"), page.texts("paragraph")
+    if not title or len(paras) < 2 or not page.found["block"] or not page.found["list"]:
+        return missing
+    items = _plain_items(page, "list")
+    dirs = items
     if not dirs:
-        content = select_one(root, "div.sqs-block-content")
-        alt = [n for n in _iter(content) if n.tag == "ul" and n.attrs.get("data-rte-list") == "default"]
-        if not alt:
-            return {"ok": False, "reason": "dom_field_missing"}
-        dirs = _classless(alt[0], "li")
-    return {"ok": True, "title": re.sub(". SAM THE COOKING GUY", "", title.text()),
-            "yield": paras[0].text(), "description": paras[1].text(), "cook": None,
-            "ingredients": [_leaf(n.text()) for n in ingr],
-            "directions": [_leaf(n.text()) for n in dirs]}
+        # The fallback list must stand in the first content block.
+        if not page.found["rte_list"] or not page.found["rte_list"][0]["inside"].get("content"):
+            return missing
+        dirs = _plain_items(page, "rte_list")
+    ingr = [_leaf(t) for t in page.texts("row_paragraph")] or items
+    return {"ok": True, "title": re.sub(DOM_B_TITLE_SUFFIX, "", title[0]), "yield": paras[0], "description": paras[1], "cook": None,
+            "ingredients": ingr, "directions": dirs}
 
 
 DOM_SCHEMA = T.StructType([
@@ -360,11 +335,11 @@ def _dom_rows(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
         if h is None or lay is None:
             recs.append({"ok": None})
             continue
-        t = _Tree()
+        page = _Collector(DOM_A_FIELDS if lay == "a" else DOM_B_FIELDS)
         try:
-            t.feed(h)
-            t.close()
-            recs.append(_dom_a(t.root) if lay == "a" else _dom_b(t.root))
+            page.feed(h)
+            page.close()
+            recs.append(_dom_a(page) if lay == "a" else _dom_b(page))
         except Exception:  # noqa: BLE001 - an unparseable page becomes a reject
             recs.append({"ok": False, "reason": "dom_parse_error"})
     cols = ["ok", "reason", "title", "description", "yield", "cook", "ingredients", "directions"]

@@ -130,6 +130,20 @@ def q_iso_minutes(spark, d):
                                                   T.iso_minutes(txt).alias("minutes"))
 
 
+_HUGE = ("CASE event_id % 3 WHEN 0 THEN 'PT' || CAST(event_id + 200000000 AS VARCHAR) || '000000S' "
+         "WHEN 1 THEN 'P' || CAST(event_id + 1 AS VARCHAR) || '999999999999999D' ELSE 'PT' || CAST(2147480000 + event_id AS VARCHAR) || 'M' END")
+
+
+@register("iso_minutes_huge", f"""
+SELECT event_id, {_HUGE} AS duration,
+       CAST(CASE WHEN event_id % 3 = 2 AND 2147480000 + event_id <= 2147483647 THEN 2147480000 + event_id ELSE 0 END AS INTEGER) AS minutes
+FROM events""")
+def q_iso_minutes_huge(spark, d):
+    """Durations beyond INT minutes count as 0 and do not end the job."""
+    txt = F.expr(_HUGE.replace("VARCHAR", "STRING").replace("2147480000", "2147480000L"))
+    return read_table(spark, d, "events").select("event_id", txt.alias("duration"), T.iso_minutes(txt).alias("minutes"))
+
+
 @register("output_filename", f"""
 SELECT p_partkey, regexp_replace(p_name || ' (' || p_brand || ')', '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.md' AS md_file,
        p_type || '.rst' AS rst_file
@@ -169,7 +183,7 @@ f2a AS (SELECT k AS page_id,
 FROM f2),
 f2b AS (SELECT *, CASE WHEN prep0 = 0 AND total0 > 0 AND cook > 0 THEN total0 - cook ELSE prep0 END AS prep FROM f2a),
 f2c AS (SELECT *, CASE WHEN total0 = 0 AND (prep > 0 OR cook > 0) THEN prep + cook ELSE total0 END AS total FROM f2b),
-f2x AS (SELECT page_id, url, reason, layout, title, description, yield,
+f2x AS (SELECT page_id, url, pub AS publisher, reason, layout, title, description, yield,
   {O.minutes_text('prep', '')} AS preptime, {O.minutes_text('cook', '')} AS cooktime,
   {O.minutes_text('total')} AS totaltime, {O.author_rule('author0', 'pub')} AS author,
   CAST(1 AS INTEGER) AS n_ingredient_groups, CAST(3 AS INTEGER) AS n_ingredients, ingredients,
@@ -190,12 +204,17 @@ register("recipes_ldjson", f"WITH {_F2_BASE} SELECT {', '.join(FLAT_COLS)} FROM
 for _name, _cols in [("title_rule", ["title"]), ("times_derive", ["preptime", "cooktime", "totaltime"]),
                      ("author_rule", ["author"]), ("yield_max", ["yield"]),
                      ("ingredients_ldjson", ["n_ingredients", "ingredients"]),
-                     ("directions_ldjson", ["n_directions", "directions"]),
-                     ("publisher_effective", ["url", "author"])]:
+                     ("directions_ldjson", ["n_directions", "directions"])]:
     register(_name, f"WITH {_F2_BASE} SELECT page_id, {', '.join(_cols)} FROM f2x WHERE reason IS NULL")(
         (lambda cols: lambda spark, d: _f2_flat(spark, d).select("page_id", *cols))(_cols))
 
 
+@register("publisher_effective", f"WITH {_F2_BASE} SELECT page_id, url, publisher, author FROM f2x WHERE reason IS NULL")
+def q_publisher_effective(spark, d):
+    return _f2_extracted(spark, d).where("reason IS NULL").select(
+        "page_id", "url", "publisher", F.coalesce(F.col("recipe.author"), F.lit("")).alias("author"))
+
+
 @register("reject_pages", f"WITH {_F2_BASE} SELECT page_id, url, 'ldjson' AS route, reason FROM f2x WHERE reason IS NOT NULL")
 def q_reject_pages(spark, d):
     return X.rejects_of(_f2_extracted(spark, d))
@@ -404,9 +423,9 @@ def q_compose_ingredient(spark, d):
 @register("em_dash_to_space", """
 SELECT page_id, CAST(length(html) - length(replace(html, chr(8212), '')) AS INTEGER) AS n_em_dash,
        CAST(length(translate(html, chr(8212), ' ')) AS INTEGER) AS html_chars,
-       strpos(translate(html, chr(8212), ' '), chr(8212)) = 0 AS dash_free FROM pages""")
+       strpos(translate(html, chr(8212), ' '), chr(8212)) = 0 AS dash_free FROM (SELECT page_id, html || '— a—b' AS html FROM pages)""")
 def q_em_dash_to_space(spark, d):
-    html = F.col("html")
+    html = F.concat("html", F.lit("— a—b"))
     out = S.em_dash_to_space(html)
     n = F.length(html) - F.length(F.replace(html, F.lit(S.EM_DASH), F.lit("")))
     return read_table(spark, d, "pages").select(
@@ -535,14 +554,33 @@ def _sink_query(fmt: str):
         docs = RD.render_docs(_f2_recipes(spark, d), [fmt])
         path = RD.sink_documents(docs, scratch_path(spark, f"documents-{fmt}"))
         back = spark.read.parquet(path).filter(F.col("format") == fmt)
-        return back.select("page_id", "filename", (F.length("body") > 0).alias("has_body"))
+        return back.select("page_id", "filename", "body")
     return q
 
 
+def _document_sql(fmt: str) -> str:
+    """Whole documents of the JSON-LD recipes, whose lines are all shorter than the wrapping width."""
+    def head(text: str, level: int) -> str:
+        if fmt == "md":
+            return f"'{'#' * (level + 1)} ' || {text} || chr(10) || chr(10)"
+        return f"{text} || chr(10) || repeat('{'=-^'[level - 1]}', CAST(length({text}) AS BIGINT)) || chr(10) || chr(10)"
+    who = f"(CASE WHEN author = '' THEN {O.url_domain('url')} ELSE author END)"
+    source = f"'Source: [' || {who} || '](' || url || ')'" if fmt == "md" else f"'Source: `' || {who} || ' <' || url || '>`__'"
+    line = "regexp_replace(info, '[^|]', '-', 'g')" if fmt == "md" else "replace(regexp_replace(info, '[^|]', '-', 'g'), '|', '+')"
+    info = f"(CASE WHEN info = '|' THEN '' ELSE {line} || chr(10) || info || chr(10) || {line} || chr(10) || chr(10) END)"
+    bullet = "*" if fmt == "md" else "-"
+    items = f"array_to_string(['{bullet} ' || x || chr(10) for x in string_split(ingredients, ' | ')], '')"
+    steps = "array_to_string([CAST(i AS VARCHAR) || '. ' || x || chr(10) for x, i in string_split(directions, ' | ')], '')"
+    return _F2_DOC + f""",
+doc AS (SELECT *, {_INFO_SQL} AS info FROM (SELECT *, {O.clean_text('preptime')} AS p, {O.clean_text('totaltime')} AS t,
+        {O.clean_text('yield')} AS y FROM ok))
+SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.{fmt}' AS filename,
+       {head('title', 1)} || {info} || {source} || chr(10) || chr(10) || description || chr(10) || chr(10) ||
+       {head("'Ingredients'", 2)} || {items} || chr(10) || {head("'Directions'", 2)} || {steps} AS body FROM doc"""
+
+
 for _fmt in ["md", "rst"]:
-    register(f"sink_{_fmt}", _F2_DOC + f"""
-SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.{_fmt}' AS filename,
-       true AS has_body FROM ok""")(_sink_query(_fmt))
+    register(f"sink_{_fmt}", _document_sql(_fmt))(_sink_query(_fmt))
 
 
 @register("doc_wrap")
@@ -591,10 +629,18 @@ def _manifest(spark, d) -> DataFrame:
 
 
 @register("scan_manifest", f"""WITH {_MANIFEST_SQL}
-SELECT line_no, url, ref_file, CASE regexp_extract(ref_file, '[^.]*$') WHEN 'rst' THEN 'rst' WHEN 'md' THEN 'md'
+SELECT url, ref_file, CASE regexp_extract(ref_file, '[^.]*$') WHEN 'rst' THEN 'rst' WHEN 'md' THEN 'md'
        WHEN 'json' THEN 'json' END AS format FROM m2""")
 def q_scan_manifest(spark, d):
-    return _manifest(spark, d)
+    path = scratch_path(spark, "manifest")
+    M.manifest_lines_from_pages(read_table(spark, d, "pages")).select("value").write.text(path)
+    return M.scan_manifest(spark, path).select("url", "ref_file", "format")
+
+
+@register("manifest_write", f"WITH {_MANIFEST_SQL} SELECT url, ref_file FROM m2")
+def q_manifest_write(spark, d):
+    path = M.write_manifest(_manifest(spark, d), scratch_path(spark, "manifest"))
+    return M.scan_manifest(spark, path).select("url", "ref_file")
 
 
 @register("manifest_append", f"""WITH {_MANIFEST_SQL}
@@ -605,6 +651,45 @@ def q_manifest_append(spark, d):
     return both.agg(F.count(F.lit(1)).alias("n_tests"), F.count_distinct("ref_file").alias("n_ref_files"))
 
 
+def _run_inputs(spark, d):
+    """Tests over the JSON-LD pages, their rendered documents and references: the
+    document itself with other blanks, changed for ``page_id % 5 = 0``, absent for ``page_id % 7 = 3``."""
+    pages = FX.ldjson_pages(spark, d).select("page_id", "url")
+    tests = M.parse_manifest(M.manifest_lines_from_pages(pages))
+    docs = RD.render_docs(_f2_recipes(spark, d), ["json", "md", "rst"]).join(pages, "page_id")
+    ext = F.element_at(F.array(F.lit("rst"), F.lit("md"), F.lit("json")), (F.col("page_id") % 3 + 1).cast("int"))
+    named = pages.withColumn("format", ext).withColumn("ref_file", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit("."), ext))
+    body = F.coalesce(F.replace(F.col("body"), F.lit("\n"), F.lit(" \n\n")), F.lit("what was there before"))
+    reference = (named.where("page_id % 7 <> 3").join(docs.select("page_id", "format", "body"), ["page_id", "format"], "left")
+                 .select("ref_file", F.when(F.col("page_id") % 5 == 0, F.concat(body, F.lit("\nchanged"))).otherwise(body).alias("body")))
+    return tests, docs.select("url", "format", "body"), reference
+
+
+_RUN_SQL = f"""WITH {_F2_BASE},
+run AS (SELECT page_id, page_id * 2 + CASE WHEN page_id % 10 = 0 OR page_id % 7 = 0 THEN 1 ELSE 0 END AS line_no, url, reason,
+               'page_' || CAST(page_id AS VARCHAR) || '.' || (['rst', 'md', 'json'])[page_id % 3 + 1] AS ref_file FROM f2x)
+"""
+
+
+@register("golden_run", _RUN_SQL + """
+SELECT line_no, url, ref_file, CASE WHEN page_id % 7 = 3 THEN 'MISSING' WHEN reason IS NOT NULL THEN 'ERROR'
+       WHEN page_id % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, reason IS NULL AS has_output FROM run""")
+def q_golden_run(spark, d):
+    return G.golden_run(*_run_inputs(spark, d))
+
+
+@register("golden_new_references", _RUN_SQL + "SELECT ref_file FROM run WHERE reason IS NULL AND page_id % 7 = 3")
+def q_golden_new_references(spark, d):
+    tests, docs, reference = _run_inputs(spark, d)
+    return G.golden_missing(G.golden_run(tests, docs, reference), G.produced(tests, docs)).where("length(body) > 0").select("ref_file")
+
+
+@register("golden_reset", _RUN_SQL + "SELECT ref_file FROM run WHERE reason IS NULL")
+def q_golden_reset(spark, d):
+    tests, docs, _ = _run_inputs(spark, d)
+    return G.golden_reset(tests, docs).where("length(body) > 0").select("ref_file")
+
+
 def _golden_inputs(spark, d):
     """documents as reference files; the 'actual' output of each test is the
     document altered by ``doc_id % 5`` (0: extra line, 1: trailing blanks and

@@ -25,7 +25,7 @@ from ..functions.urls import PUBLISHERS
 from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
-FIXTURE_VERSION = "v3"
+FIXTURE_VERSION = "v4"
 FIXTURE_TABLES = {"ldjson_pages": ["part"], "site_pages": ["documents"]}
 # Files per derived corpus: a crawl arrives as many files, so scans get
 # parallel splits (a single small parquet file is one row group, one task).
@@ -251,13 +251,13 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     a_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><article>",
                   '<h1 class="entry-title">', html_escape(title), "</h1>",
                   '<div property="description"><p>', html_escape(l1), "</p></div>",
-                  '<div class="yield"><span>Makes ', (d % 6 + 1).cast("string"), "</span></div>",
+                  '<div class="yield"><span>Makes\u2014', (d % 6 + 1).cast("string"), "</span></div>",
                   '<div class="cook-time"><meta content="PT', (d % 120).cast("string"), 'M"></div>',
                   "<ul>", li("ingredient", words), "</ul><ol>", li("instruction", lines), "</ol></article></body></html>")
 
     # DOM layout B
     plain_li = lambda arr: F.array_join(H.transform(arr, lambda x: _cat("<li>", html_escape(x), "</li>")), "")
-    paras = _cat("<p>Serves ", (d % 6 + 1).cast("string"), "</p><p>", html_escape(l1), "</p>")
+    paras = _cat("<p>Serves\u2014", (d % 6 + 1).cast("string"), "</p><p>", html_escape(l1), "</p>")
     b_rows = _cat('<div class="sqs-layout"><div class="row"><div class="sqs-block"><div class="sqs-block-content">',
                   paras, "</div></div></div></div>",
                   '<div class="sqs-block"><div class="sqs-block-content"><ul>', plain_li(lines),

@@ -53,6 +53,13 @@ def manifest_append(loaded: DataFrame, extra: DataFrame) -> DataFrame:
     return loaded.unionByName(extra.withColumn("line_no", F.col("line_no") - F.lit(first) + F.lit(last + 1)))
 
 
+def write_manifest(tests: DataFrame, path: str) -> str:
+    """Tests back to manifest lines, in line order."""
+    line = F.concat_ws("|", "url", "ref_file")
+    tests.orderBy("line_no").select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def manifest_lines_from_pages(pages: DataFrame) -> DataFrame:
     """A manifest derived from a page table: one test per page, with comment-only
     lines, blank lines and trailing comments mixed in."""

@@ -198,3 +198,20 @@ def test_wrap_of_unicode_line_ends(spark):
     got = [r.b for r in df.select(RD.wrap_groups(F.array(F.array("t")), "numbered").alias("b")).collect()]
     for t, b in zip(texts, got):
         assert b == "".join(x + "\n" for x in textwrap.wrap(t, 75, initial_indent="1. ", subsequent_indent="   "))
+
+
+def test_explicit_output_name(spark):
+    docs = RD.render_docs(_df(spark), ["md", "rst"], outfile="all.md")
+    assert {r.filename for r in docs.select("filename").distinct().collect()} == {"all.md", "all.md.rst"}
+    assert {r.filename: (r.page_id, r.n_candidates) for r in RD.filename_collision(docs).collect()} == {"all.md": (2, 3), "all.md.rst": (2, 3)}
+
+
+def test_reset_and_write_back(spark, tmp_path):
+    tests = spark.createDataFrame([(1, "u1", "a.md", "md"), (2, "u2", "a.md", "md"), (3, "u3", "b.md", "md"), (4, "u1", "c.rst", "rst")],
+                                  "line_no bigint, url string, ref_file string, format string")
+    docs = spark.createDataFrame([("u2", "md", "two"), ("u1", "rst", "r"), ("u9", "md", "no test")], "url string, format string, body string")
+    assert sorted((r.ref_file, r.body) for r in G.golden_reset(tests, docs).collect()) == [("a.md", "two"), ("c.rst", "r")]
+    back = M.scan_manifest(spark, M.write_manifest(tests, str(tmp_path / "m"))).orderBy("line_no").collect()
+    assert [(r.url, r.ref_file, r.format) for r in back] == [(r.url, r.ref_file, r.format) for r in tests.orderBy("line_no").collect()]
+    v = {r.line_no: r.status for r in G.golden_run(tests, docs, spark.createDataFrame([("a.md", "two"), ("b.md", "x")], "ref_file string, body string")).collect()}
+    assert v == {1: "ERROR", 2: "PASS", 3: "ERROR", 4: "MISSING"}

@@ -91,3 +91,24 @@ def test_inline_store_brace_trim(spark):
     got = {r.page_id: (None if r.c is None else json.dumps(json.loads(r.c), separators=(",", ":")))
            for r in df.collect()}
     assert got == {i: _py_store_content(h) for i, _, h in rows}
+
+
+def test_dom_page_without_a_time_value_is_rejected(spark):
+    a = ('<h1 class="entry-title">Rice</h1><div property="description">d</div><div class="yield"><span>2</span></div>'
+         '<div class="cook-time"><meta {0}></div><li class="ingredient">rice</li>')
+    got = X.extract(pages(spark, [(1, "https://www.saveur.com/a", a.format("")), (2, "https://www.saveur.com/b", a.format("content=PT5M")),
+                                  (3, "https://www.saveur.com/c", a.format('content=""'))])).collect()
+    assert {r.page_id: r.reason for r in got} == {1: "dom_field_missing", 2: None, 3: None}
+
+
+def test_dom_layout_b_lists(spark):
+    """The first list in a content block, its class-less items at any depth; else the editor's list of the first block."""
+    head = "<title>T</title><div class='sqs-block x'><div class='sqs-block-content'><p>one<p>two"
+    nested = head + "<ul><li>a<ul><li>b</ul><li class=''>c</ul></div></div><ul><li>outside</ul>"
+    fallback = head + "<ul class=k><li class=k>no</ul><ul data-rte-list=default><li>yes</li></ul></div></div>"
+    second = head + "<ul><li class=k>no</ul></div></div><div class='sqs-block-content'><ul data-rte-list=default><li>late</ul></div>"
+    rows = [(i, f"https://www.thecookingguy.com/{i}", h) for i, h in enumerate((nested, fallback, second, head))]
+    got = {r.page_id: r for r in X.extract(pages(spark, rows)).collect()}
+    assert got[0].recipe.direction_groups[0].directions == ["ab", "b"] and got[0].recipe["yield"] == "one" and got[0].recipe.description == "two"
+    assert got[1].recipe.direction_groups[0].directions == ["yes"]
+    assert got[2].reason == got[3].reason == "dom_field_missing"
