@@ -141,8 +141,7 @@ def assemble_groups(titles: Column, items: Column) -> Column:
 
     The group title is kept only when there is more than one group.
     """
-    n = F.size(titles)
-    return H.transform(
-        F.arrays_zip(titles.alias("t"), items.alias("i")),
-        lambda z: F.struct(F.when(n > 1, F.coalesce(z["t"], F.lit(""))).otherwise(F.lit("")).alias("title"),
-                           F.coalesce(z["i"], F.array().cast("array<string>")).alias("ingredients")))
+    n = F.size(items)
+    none = F.array().cast("array<string>")
+    return F.zip_with(titles, items, lambda t, i: F.struct(
+        F.when(n > 1, F.coalesce(t, F.lit(""))).otherwise(F.lit("")).alias("title"), F.coalesce(i, none).alias("ingredients")))

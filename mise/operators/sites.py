@@ -104,7 +104,6 @@ def add_next_data_recipe(df: DataFrame, doc: str, url: str = "url", publisher: s
                          "_nd_author": cv(d["metaData"]["fields"]["source"]),
                          "_nd_groups": F.coalesce(d["ingredientGroups"], F.array().cast(_NEXT_GROUPS_TYPE))})
     groups = F.col("_nd_groups")
-    n = F.size(groups)
 
     def line(it: Column) -> Column:
         f = it["fields"]
@@ -112,9 +111,9 @@ def add_next_data_recipe(df: DataFrame, doc: str, url: str = "url", publisher: s
         return strip_tags(F.concat(cv(f["qty"]), F.lit(" "), cv(f["preText"]), F.lit(" "),
                                    item, cv(f["postText"])), strip_newline=True)
 
-    ingredient_groups = H.transform(groups, lambda g: F.struct(
-        F.when(n > 1, cv(g["fields"]["title"])).otherwise(F.lit("")).alias("title"),
-        F.coalesce(H.transform(g["fields"]["recipeIngredientItems"], line), _empty()).alias("ingredients")))
+    ingredient_groups = R.assemble_groups(
+        H.transform(groups, lambda g: cv(g["fields"]["title"])),
+        H.transform(groups, lambda g: F.coalesce(H.transform(g["fields"]["recipeIngredientItems"], line), _empty())))
     steps = F.coalesce(H.transform(d["instructions"], lambda s: strip_tags(cv(s["fields"]["content"]), True)),
                        _empty())
     note, author = F.col("_nd_note"), F.col("_nd_author")

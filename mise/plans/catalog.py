@@ -71,16 +71,7 @@ def q_publisher_lookup(spark, d):
         .select("page_id", "domain", "publisher")
 
 
-def _route_sql(domain: str) -> str:
-    def inl(xs):
-        return ", ".join(O.lit(x) for x in xs)
-    return (f"(CASE WHEN {domain} IN ({inl(U.NEXT_DATA_DOMAINS)}) THEN '{U.ROUTE_NEXT_DATA}' "
-            f"WHEN {domain} IN ({inl(U.INLINE_STORE_DOMAINS)}) THEN '{U.ROUTE_INLINE_STORE}' "
-            f"WHEN {domain} IN ({inl(U.DOM_A_DOMAINS)}) THEN '{U.ROUTE_DOM_A}' "
-            f"WHEN {domain} IN ({inl(U.DOM_B_DOMAINS)}) THEN '{U.ROUTE_DOM_B}' ELSE '{U.ROUTE_LDJSON}' END)")
-
-
-@register("route_pages", _REMAP_CTE + f"SELECT page_id, domain, {_route_sql('domain')} AS route FROM f1d")
+@register("route_pages", _REMAP_CTE + f"SELECT page_id, domain, {O.route('domain')} AS route FROM f1d")
 def q_route_pages(spark, d):
     return U.route_pages(FX.remapped_pages(spark, d).select("page_id", "url")).select("page_id", "domain", "route")
 
