@@ -48,6 +48,7 @@ GRAM = 5
 OVERLAP = 0.6
 INDEX_WORDS = 2_000_000
 ROUNDING = 1e-4
+CELLS = 1 << 21
 _PUNCTUATION = bytes(c for c in range(128) if not (chr(c).isalnum() or c >= 128))
 _SPACED = bytes(32 if c in _PUNCTUATION else c for c in range(256))
 
@@ -120,15 +121,26 @@ class Index:
         self.block = np.array([b for t in order for b in sorted(best[t])], np.int64)
         self.impact = np.array([best[t][b] for t in order for b in sorted(best[t])])
 
-    def passages(self, ids: np.ndarray, half: np.ndarray, n_half: int) -> Iterator[tuple[int, int]]:
-        """(passage, block) pairs whose bound reaches the block's need; passage p is halves p and p + 1."""
-        n = self.count[ids]
-        at = np.repeat(np.cumsum(n) - n, n)
-        posting = np.repeat(self.start[ids], n) + np.arange(len(at)) - at
-        cell = np.repeat(half, n) * self.n_blocks + self.block[posting]
-        sums = np.bincount(cell, self.impact[posting], minlength=(n_half + 1) * self.n_blocks).reshape(n_half + 1, self.n_blocks)
-        sums[:-1] += sums[1:].copy()
-        return zip(*(x.tolist() for x in np.nonzero(sums[:-1] >= self.need)))
+    def passages(self, ids: np.ndarray, half: np.ndarray, n_half: int, most_cells: int = CELLS) -> Iterator[tuple[int, int]]:
+        """(passage, block) pairs whose bound reaches the block's need; passage p is halves p and p + 1.
+
+        Sums are held for a run of halves at a time, so memory follows neither the
+        length of a text nor the size of the index.
+        """
+        run = max(1, min(n_half, most_cells // max(1, self.n_blocks)))
+        for first in range(0, n_half, run):
+            lo, hi = np.searchsorted(half, [first, first + run + 1])  # and the half that the run's last passage reaches into
+            some = ids[lo:hi]
+            n = self.count[some]
+            at = np.repeat(np.cumsum(n) - n, n)
+            posting = np.repeat(self.start[some], n) + np.arange(len(at)) - at
+            cell = np.repeat(half[lo:hi] - first, n) * self.n_blocks + self.block[posting]
+            sums = np.bincount(cell, self.impact[posting], minlength=(run + 1) * self.n_blocks).reshape(run + 1, self.n_blocks)
+            bound = sums[:-1] + sums[1:]
+            for p, b in zip(*(x.tolist() for x in np.nonzero(bound >= self.need))):
+                if first + p < n_half:
+                    yield first + p, b
+
 
     def retrieve(self, words: list[bytes], ids: np.ndarray, pairs: list[tuple[int, int]]) -> dict[int, list[tuple[int, float]]]:
         """item -> [(passage, score)] of the chunks at or above the threshold."""

@@ -51,6 +51,7 @@ def test_bounds_lose_no_passage_above_the_threshold():
         ids = np.array([index.vocab.get(w, len(index.vocab)) for w in text])
         n_half = -(-len(ids) // B.HALF) + 1
         pairs = list(index.passages(ids, np.arange(len(ids)) // B.HALF, n_half))
+        assert pairs == list(index.passages(ids, np.arange(len(ids)) // B.HALF, n_half, most_cells=5 * index.n_blocks))
         got = {(i, p) for i, hits in index.retrieve(text, ids, pairs).items() for p, _ in hits}
         want = set()
         for p in range(n_half):
