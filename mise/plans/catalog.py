@@ -582,12 +582,24 @@ def q_doc_wrap(spark, d):
     return docs.select("doc_id", F.size(F.split(block, "\n")).alias("n_lines"), F.length(block).alias("n_chars"))
 
 
-@register("sink_json", _F2_DOC + "SELECT page_id, title, CAST(n_ingredients AS INTEGER) AS n_ingredients FROM ok")
+_RECIPE_JSON_SQL = "'{' || " + " || ',' || ".join(
+    [f"'\"{c}\":' || to_json({c})" for c in ("url", "title", "description", "yield", "preptime", "cooktime", "totaltime", "author")]
+    + ["'\"ingredient_groups\":[{\"title\":\"\",\"ingredients\":' || to_json(string_split(ingredients, ' | ')) || '}]'",
+       "'\"direction_groups\":[{\"group\":\"\",\"directions\":' || to_json(string_split(directions, ' | ')) || '}]'"]) + " || '}'"
+
+
+@register("sink_json", _F2_DOC + f"""
+SELECT page_id, '{{"page_id":' || CAST(page_id AS VARCHAR) || ',"recipe":' || {_RECIPE_JSON_SQL} || '}}' AS line FROM ok""")
 def q_sink_json(spark, d):
-    path = RJ.sink_json(_f2_recipes(spark, d), spark)
-    back = spark.read.json(path)
-    return back.select("page_id", F.col("recipe.title").alias("title"),
-                       F.size(F.col("recipe.ingredient_groups")[0]["ingredients"]).alias("n_ingredients"))
+    """Whole records, as written."""
+    back = spark.read.text(RJ.sink_json(_f2_recipes(spark, d), spark))
+    return back.select(F.get_json_object("value", "$.page_id").cast("bigint").alias("page_id"), F.col("value").alias("line"))
+
+
+@register("render_json_ldjson", _F2_DOC + f"""
+SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.json' AS filename, {_RECIPE_JSON_SQL} AS body FROM ok""")
+def q_render_json_ldjson(spark, d):
+    return RD.render_docs(_f2_recipes(spark, d), ["json"]).select("page_id", "filename", "body")
 
 
 @register("scan_recipe_json", f"WITH {_F2_BASE} SELECT {', '.join(FLAT_COLS)} FROM f2x WHERE reason IS NULL")
