@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import hof as H
 from ..functions import jsonkeys as J
-from ..functions.text import add_minutes, clean_text, iso_minutes, leaf_text, minutes_text, strip_tags
+from ..functions.text import add_minutes, clean_text, iso_minutes, strip_tags
 from . import recipes as R
 
 # --- fixed values -----------------------------------------------------------
