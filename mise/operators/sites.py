@@ -223,7 +223,9 @@ class _Collector(HTMLParser):
 
     def __init__(self, fields: dict):
         super().__init__(convert_charrefs=True)
-        self.fields = fields
+        self.by_tag: dict = {}
+        for name, path in fields.items():
+            self.by_tag.setdefault(path[-1][0], []).append((name, path))
         self.found: dict[str, list] = {name: [] for name in fields}
         self.open: list[tuple] = []      # (tag, attributes) of the open elements
         self.gathering: list[tuple] = []  # (depth, pieces)
@@ -242,11 +244,11 @@ class _Collector(HTMLParser):
 
     def _begin(self, tag: str, attrs: list, stays: bool) -> None:
         element = (tag, {k: (v if v is not None else "") for k, v in attrs})
-        for name, path in self.fields.items():
+        for name, path in (*self.by_tag.get(tag, ()), *self.by_tag.get(None, ())):
             if self._on_path(element, path):
                 pieces: list[str] = []
-                # Which element of an earlier field it stands in: the first list, the first block.
-                inside = {other: found[0]["depth"] is not None for other, found in self.found.items() if found}
+                # Which first elements of other fields it stands in: the first list, the first block.
+                inside = {other for other, found in self.found.items() if found and found[0]["depth"] is not None}
                 self.found[name].append({"pieces": pieces, "attrs": element[1], "depth": len(self.open) if stays else None, "inside": inside})
                 if stays:
                     self.gathering.append((len(self.open), pieces))
@@ -255,7 +257,8 @@ class _Collector(HTMLParser):
 
     def _close_to(self, depth: int) -> None:
         del self.open[depth:]
-        self.gathering = [g for g in self.gathering if g[0] < depth]
+        while self.gathering and self.gathering[-1][0] >= depth:
+            self.gathering.pop()
         for found in self.found.values():
             if found and found[0]["depth"] is not None and found[0]["depth"] >= depth:
                 found[0]["depth"] = None
@@ -288,7 +291,7 @@ def _leaf(s: str) -> str:
 
 def _plain_items(page: _Collector, inside: str) -> list[str]:
     """Class-less list items within the first element of ``inside``."""
-    return [_leaf("".join(x["pieces"])) for x in page.found["item"] if "class" not in x["attrs"] and x["inside"].get(inside)]
+    return [_leaf("".join(x["pieces"])) for x in page.found["item"] if "class" not in x["attrs"] and inside in x["inside"]]
 
 
 def _dom_a(page: _Collector) -> dict:
@@ -311,7 +314,7 @@ def _dom_b(page: _Collector) -> dict:
     dirs = items
     if not dirs:
         # The fallback list must stand in the first content block.
-        if not page.found["rte_list"] or not page.found["rte_list"][0]["inside"].get("content"):
+        if not page.found["rte_list"] or "content" not in page.found["rte_list"][0]["inside"]:
             return missing
         dirs = _plain_items(page, "rte_list")
     ingr = [_leaf(t) for t in page.texts("row_paragraph")] or items
