@@ -78,6 +78,38 @@ QUERIES = {f.__name__: f for f in (
     op8_secret_scans, op9_lang_id, op10_simhash_neardup, pipeline)}
 
 ORACLE = {
+    "op1_chat_quotes": r"""
+WITH RECURSIVE
+m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM conversations),
+l0 AS (SELECT rid, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM m),
+l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS depth,
+              regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS bare FROM l0),
+l AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY rid ORDER BY i), 0) AS after,
+             i - row_number() OVER (PARTITION BY rid, depth ORDER BY i) AS run FROM l1),
+own AS (SELECT rid, trim(string_agg(bare, chr(10) ORDER BY i)) AS body FROM l
+        WHERE depth = 0 AND NOT (after > 0 AND regexp_matches(line, '(?i)^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb\b.*|el\b.*\bescribió)\s*:\s*$'))
+        GROUP BY rid),
+b AS (SELECT rid, conv_id, turn, role, coalesce(body, '') AS body FROM m LEFT JOIN own USING (rid)),
+runs AS (SELECT rid, conv_id, turn, depth, run, string_agg(bare, ' ' ORDER BY i) AS passage FROM l WHERE depth > 0 GROUP BY ALL),
+q0 AS (SELECT conv_id, turn, depth, passage AS u FROM runs UNION ALL SELECT conv_id, turn, depth, bare FROM l WHERE depth > 0),
+q AS (SELECT DISTINCT conv_id, turn, depth, lower(trim(regexp_replace(u, '[ \t\n\x0B\f\r>]+', ' ', 'g'))) AS u FROM q0
+      WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+h0 AS (SELECT conv_id, turn, body AS u FROM b UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM b),
+h AS (SELECT conv_id, u, min(turn) AS reply_to FROM (
+          SELECT conv_id, turn, lower(trim(regexp_replace(u, '[ \t\n\x0B\f\r>]+', ' ', 'g'))) AS u FROM h0)
+      WHERE length(u) >= 8 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+c AS (SELECT q.conv_id, q.turn, q.depth, h.reply_to, sum(length(q.u)) AS weight FROM q JOIN h ON q.conv_id = h.conv_id AND q.u = h.u
+      WHERE length(q.u) >= 8 AND h.reply_to < q.turn GROUP BY ALL),
+best AS (SELECT conv_id, turn, reply_to FROM c
+         QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth, weight DESC, reply_to DESC) = 1),
+chain AS (SELECT conv_id, turn, reply_to AS top, CAST(1 AS BIGINT) AS depth FROM best
+          UNION ALL SELECT chain.conv_id, chain.turn, best.reply_to, chain.depth + 1 FROM chain JOIN best ON best.conv_id = chain.conv_id AND best.turn = chain.top),
+thread AS (SELECT conv_id, turn, min(top) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
+n AS (SELECT rid, count(*) AS n_quotes, max(depth) AS quote_depth FROM runs GROUP BY rid)
+SELECT b.conv_id, b.turn, b.role, b.body, coalesce(n.n_quotes, 0)::BIGINT AS n_quotes, coalesce(n.quote_depth, 0)::BIGINT AS quote_depth,
+       best.reply_to, coalesce(thread.thread, b.turn) AS thread, coalesce(thread.depth, 0)::BIGINT AS depth
+FROM b LEFT JOIN n ON n.rid = b.rid LEFT JOIN best ON best.conv_id = b.conv_id AND best.turn = b.turn
+LEFT JOIN thread ON thread.conv_id = b.conv_id AND thread.turn = b.turn""",
     "op3_quality_rules": r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,

@@ -104,3 +104,17 @@ def test_matches_brute_force_on_derived_threads(spark):
 
 def test_empty_table(spark):
     assert C.reply_ordered(make(spark, [])).count() == 0
+
+
+def test_sql_states_the_same(spark, tmp_path):
+    """The oracle SQL over messages that do hold quotes."""
+    import duckdb
+    from mise.llm.queries import ORACLE
+    messages = make(spark, ROWS)
+    messages.coalesce(1).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    found = con.execute(ORACLE["op1_chat_quotes"])
+    names = [d[0] for d in found.description]
+    want = sorted(str(dict(zip(names, r))) for r in found.fetchall())
+    assert sorted(str({n: r[n] for n in names}) for r in C.reply_ordered(messages).collect()) == want
