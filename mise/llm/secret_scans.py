@@ -4,10 +4,13 @@ Every whole text is scanned for three kinds (leftmost, non-overlapping per kind)
 ``assign`` (a credential name given a value of 6+ characters), ``access`` (an
 access key id of 20+ characters) and ``hex`` (24+ hex digits).  Then a worklist
 unwraps layers until nothing new comes out: percent and Unicode escapes are
-decoded in place over the whole layer; base64 runs that hold text or a compressed
-stream become layers of their own.  Each layer is rescanned, and each layer keeps,
-for its characters, where they came from, so that spans are given in the text
-itself.  A layer met before (equal text and origin) is not unwrapped again.
+decoded in place over the whole layer, bytes that are no UTF-8 kept as they are;
+base64 runs on one line become layers of
+their own, and so does every compressed stream that begins anywhere in a decoded layer.  Each layer is
+rescanned whatever characters it holds, and each layer keeps where its characters
+came from, so that spans are given in the text itself.  A layer met before (equal
+text and origin) is not unwrapped again.  ``n_layers`` and ``max_depth`` count the
+layers that are text without control characters or hold a span.
 
 A null text counts as empty.  A stream that unfolds beyond ``MAX_LAYER_BYTES`` is
 not scanned and is counted in ``n_oversized``.
@@ -21,8 +24,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,7 @@ from pyspark.sql import types as T
 from .common import apart, map_rows
 
 KINDS = ("assign", "access", "hex")
+UNSCANNED = "unscanned"  # what a cut stream may still hide; masked like a secret
 NAMES = ("passw", "secret", "token", "api")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,7 +46,19 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+BREAK = r"[ \t]*+(?:\\r)?(?:\\n|\r?\n|\r)[ \t>]*+"
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+ESCAPED_BREAK = re.compile(r"\\[rn]")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+MIN_BODY, MIN_BYTES = 16, 12  # the shortest span is an assignment of 12 characters
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+# bytes without any of these hold neither a span nor a further layer
+WORTH = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:\\r)?(?:\\n|[\r\n])|"
+                   + MAGIC.pattern)
+# after these no span, escape or base64 run goes on
+SAFE = re.compile(rb"[A-Za-z0-9] (?=[A-Za-z0-9])|[,()!?<|~*@$^`\[\]\x00-\x08\x80-\xff]")
+ODD = re.compile("[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f\x7f\udc80-\udcff]")  # a layer with these is not counted as text
+STEP, PIECE, OVERLAP = 64, 1 << 16, 1 << 12
 MAX_LAYER_BYTES = 64 << 20
 MASK = "[SECRET]"
 
@@ -56,17 +74,88 @@ def scan(text: str) -> set[tuple[str, int, int]]:
     return found
 
 
+class Pieces:
+    """Where the characters of a layer decoded in place came from: copied stretches and decoded pieces."""
+
+    def __init__(self, above):
+        self.above, self.at, self.spans, self.copied = above, [], [], []
+
+    def put(self, at: int, start: int, end: int, copied: bool) -> None:
+        self.at.append(at)
+        self.spans.append((start, end))
+        self.copied.append(copied)
+
+    def one(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        a, b = self.spans[k]
+        return (a + i - self.at[k], a + i - self.at[k] + 1) if self.copied[k] else (a, b)
+
+    def up(self, start: int, end: int):
+        return self.one(start)[0], self.one(end - 1)[1], self.above
+
+
+class Decoded:
+    """Where the characters of decoded base64 came from: ``at`` and ``spans`` hold the run's stretches of one line."""
+
+    def __init__(self, above, text: str, at: list[int], spans: list[int], skip: int, n: int):
+        self.above, self.text, self.at, self.spans, self.skip, self.n = above, text, at, spans, skip, n
+        self.offsets = None
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.at, i) - 1
+        return self.spans[k] + i - self.at[k]
+
+    def bytes_up(self, start: int, end: int) -> tuple[int, int]:
+        return self.place(self.skip + start // 3 * 4), self.place(min(self.n, self.skip + (end - 1) // 3 * 4 + 4) - 1) + 1
+
+    def up(self, start: int, end: int):
+        if not self.text.isascii():
+            if self.offsets is None:
+                self.offsets = offsets(self.text)
+            start, end = int(self.offsets[start]), int(self.offsets[end])
+        return *self.bytes_up(start, end), self.above
+
+
+class Whole:
+    """Every character came from the same root span."""
+
+    def __init__(self, start: int, end: int):
+        self.span = (start, end)
+
+    def up(self, start: int, end: int):
+        return *self.span, None
+
+
+def offsets(text: str) -> np.ndarray:
+    """The byte offset of each character, and the end."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    width[(code >= 0xDC80) & (code < 0xDD00)] = 1
+    return np.concatenate([[0], np.cumsum(width)])
+
+
 class Layer:
-    """A text and, for each character, the root span it came from (None: the root)."""
+    """A text (bytes that are no UTF-8 as surrogate escapes), and where its characters came from (None: the root).
+    ``partial``: more of the same stream follows.  ``tail``: the root's end of the run with its padding."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, source=None, raw: bytes | None = None, partial: bool = False, tail: int | None = None):
+        self.text, self.source, self.raw, self.partial, self.tail = text, source, raw, partial, tail
+        self.offsets = None
 
     def root(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+        source = self.source
+        while source is not None:
+            start, end, source = source.up(start, end)
+        return start, end
+
+    def bytes_root(self, start: int, end: int) -> tuple[int, int]:
+        if self.offsets is None:
+            self.offsets = offsets(self.text)
+        a, b = self.root(int(np.searchsorted(self.offsets, start, "right")) - 1, int(np.searchsorted(self.offsets, end)))
+        return a, self.tail if self.tail and end == len(self.raw) else b
 
     def key(self) -> bytes:
-        origin = "" if self.starts is None else f"{self.starts[0]}:{self.ends[-1]}"
+        origin = "" if self.source is None else "{}:{}".format(*self.root(0, len(self.text)))
         return hashlib.sha256(f"{origin}|{self.text}".encode("utf-8", "surrogatepass")).digest()
 
 
@@ -74,33 +163,30 @@ def in_place(layer: Layer, rx: re.Pattern, decode) -> Layer | None:
     """``layer`` with each match of ``rx`` replaced by its decoded pieces (character, offset, width)."""
     if not rx.search(layer.text):
         return None
-    text, starts, ends, at = [], [], [], 0
+    text, source, at, n = [], Pieces(layer.source), 0, 0
 
-    def copy(a: int, b: int) -> None:
-        text.append(layer.text[a:b])
-        starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+    def copy(a: int, b: int) -> int:
+        if a < b:
+            text.append(layer.text[a:b])
+            source.put(n, a, b, True)
+        return n + b - a
 
     for m in rx.finditer(layer.text):
-        copy(at, m.start())
+        n = copy(at, m.start())
         for char, offset, width in decode(m.group()):
-            a, b = layer.root(m.start() + offset, m.start() + offset + width)
             text.append(char)
-            starts.extend([a] * len(char))
-            ends.extend([b] * len(char))
+            source.put(n, m.start() + offset, m.start() + offset + width, False)
+            n += len(char)
         at = m.end()
     copy(at, len(layer.text))
-    return Layer("".join(text), starts, ends)
+    return Layer("".join(text), source)
 
 
 def percent_pieces(run: str):
-    raw = bytes.fromhex(run.replace("%", ""))
     at = 0
-    for char in raw.decode("utf-8", "replace"):
-        n = len(char.encode()) if char != "�" or raw[at:at + 3] == b"\xef\xbf\xbd" else 1
-        n = min(n, len(raw) - at)
-        if n:
-            yield char, 3 * at, 3 * n
+    for char in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        n = len(char.encode("utf-8", "surrogateescape"))
+        yield char, 3 * at, 3 * n
         at += n
 
 
@@ -121,94 +207,136 @@ def unicode_pieces(run: str):
         yield "�", high[1], high[2]
 
 
-class Oversized(Exception):
-    pass
-
-
-def unfold(raw: bytes, most: int) -> bytes | None:
-    """The bytes of a compressed stream; None when ``raw`` is none."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None
-        out = d.decompress(raw, most + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
-    if len(out) > most:
-        raise Oversized
-    return out
-
-
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def base64_layers(layer: Layer, most: int, oversized: list[int]):
+class Stream:
+    """The unfolded pieces of the compressed members that follow each other from ``start`` of ``raw``.
+    Afterwards ``end`` is where they end; ``dry``: the input ended before the stream did."""
+
+    def __init__(self, raw: bytes, start: int):
+        self.raw, self.start, self.end, self.dry = raw, start, start, False
+
+    def __iter__(self):
+        while self.end < len(self.raw) and (m := MAGIC.match(self.raw, self.end)):
+            head = m.group()
+            d = (zlib.decompressobj(31) if head[:1] == b"\x1f" else zlib.decompressobj() if head[:1] == b"x"
+                 else bz2.BZ2Decompressor() if head[:1] == b"B" else lzma.LZMADecompressor())
+            fed = self.end
+            try:
+                while not d.eof:
+                    data = getattr(d, "unconsumed_tail", b"")
+                    if not data and getattr(d, "needs_input", True):
+                        data = self.raw[fed:fed + STEP]
+                        fed += len(data)
+                    out = d.decompress(data, PIECE)
+                    if out:
+                        yield out
+                    elif not data and not d.eof:
+                        self.dry = True
+                        return
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                return  # what came out before the fault has been given
+            self.end = fed - len(d.unused_data)
+            return
+
+
+def streams(raw: bytes):
+    at = 0
+    while m := MAGIC.search(raw, at):
+        yield (s := Stream(raw, m.start()))
+        at = max(s.end, m.start() + 1)
+
+
+def parts(stream: Stream, most: int):
+    """(bytes, whether more follow, whether a run may be cut) of a stream, in parts of about ``most`` bytes that end
+    where no span, escape or base64 run goes on."""
+    held = bytearray()
+    for out in stream:
+        held += out
+        if len(held) > most:
+            cut, back = 0, 1 << 12
+            while not cut and back < 2 * len(held):
+                cut = max((m.end() for m in SAFE.finditer(held, max(0, len(held) - back), len(held) - 1)), default=0)
+                back *= 8
+            yield bytes(held[:cut] if cut else held), True, not cut
+            del held[:cut or max(1, len(held) - OVERLAP)]
+    if held:
+        yield bytes(held), False, False
+
+
+def base64_layers(layer: Layer):
+    """Every base64 run, over line breaks, decoded from each of the first four characters: groups of four stand alone,
+    so one of these is right for a body that begins anywhere in the run."""
     for m in BASE64.finditer(layer.text):
-        run = m.group()
-        body = run.rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        text = None
-        try:
-            while (inner := unfold(raw, most)) is not None:
-                raw, text = inner, readable(inner)  # a stream may hold a stream
-        except Oversized:
-            oversized[0] += 1
+        at, spans, body = [], [], []
+        n = 0
+        blanked = ESCAPED_BREAK.sub(lambda x: " " * len(x.group()), m.group()) if "\\" in m.group() else m.group()
+        for x in BASE64_LINE.finditer(blanked):
+            at.append(n)
+            spans.append(m.start() + x.start())
+            body.append(x.group())
+            n += x.end() - x.start()
+        if n < MIN_BODY:
             continue
-        whole = layer.root(*m.span())
-        if text is not None:
-            yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
-        elif (text := readable(raw)) is not None:
-            starts, ends, at = [], [], 0
-            for char in text:
-                n = len(char.encode())
-                a, b = layer.root(m.start() + at // 3 * 4, m.start() + min(len(body), (at + n - 1) // 3 * 4 + 4))
-                starts.append(a)
-                ends.append(b)
-                at += n
-            yield Layer(text, starts, ends)
+        body = "".join(body).replace("-", "+").replace("_", "/")
+        for skip in range(1):
+            used = n - skip - ((n - skip) % 4 == 1)
+            raw = base64.b64decode(body[skip:skip + used] + "=" * (-used % 4))
+            text = raw.decode("utf-8", "surrogateescape")
+            if len(raw) >= MIN_BYTES and (WORTH.search(raw) or not ODD.search(text)):
+                yield Layer(text, Decoded(layer.source, text, at, spans, skip, skip + used), raw, tail=layer.root(m.end() - 1, m.end())[1])
 
 
 def find_secrets(text: str, most: int = MAX_LAYER_BYTES) -> dict:
-    """Base spans, spans added from decoded layers, layers seen, deepest layer, streams left out."""
-    root = Layer(text)
+    """Base spans, spans added from decoded layers, text layers seen, deepest of these, streams taken in parts."""
     base = scan(text)
     added: set[tuple[str, int, int]] = set()
-    oversized = [0]
-    work: deque[tuple[Layer, int]] = deque([(root, 0)])
     seen = set()
-    deepest = 0
-    while work:
-        layer, depth = work.popleft()
-        if depth:
-            key = layer.key()
-            if key in seen:
-                continue
-            seen.add(key)
-            deepest = max(deepest, depth)
-            added |= {(kind, *layer.root(a, b)) for kind, a, b in scan(layer.text)}
-        escapes = [(PERCENT, percent_pieces)] if "%" in layer.text else []
-        escapes += [(UNICODE, unicode_pieces)] if "\\" in layer.text or "&#" in layer.text else []
-        inner = [x for rx, pieces in escapes if (x := in_place(layer, rx, pieces)) is not None and x.text]
-        work.extend((x, depth + 1) for x in [*inner, *base64_layers(layer, most, oversized)])
-    return {"base": base, "added": added - base, "layers": len(seen), "depth": deepest, "oversized": oversized[0]}
+    n = {"layers": 0, "depth": 0, "oversized": 0}
+
+    def unfolded(layer: Layer, depth: int):
+        """The layers of the streams in ``layer``; a stream beyond ``most`` is explored part by part."""
+        for stream in streams(layer.raw):
+            whole, many, given = None, False, False
+            for raw, more, _ in parts(stream, most):
+                given = True
+                many |= more
+                if more:
+                    break
+                whole = raw
+            n["oversized"] += many
+            if layer.partial and stream.dry and given:
+                added.add((UNSCANNED, *layer.root(0, len(layer.text))))
+            if whole is not None and len(whole) >= MIN_BYTES:
+                end = stream.end if stream.end > stream.start else len(layer.raw)
+                yield Layer(whole.decode("utf-8", "surrogateescape"), Whole(*layer.bytes_root(stream.start, end)), whole)
+
+    def explore(first: Layer, first_depth: int) -> None:
+        work: deque[tuple[Layer, int]] = deque([(first, first_depth)])
+        while work:
+            layer, depth = work.popleft()
+            if depth:
+                key = layer.key()
+                if key in seen:
+                    continue
+                seen.add(key)
+                spans = {(kind, *layer.root(a, b)) for kind, a, b in scan(layer.text)}
+                added.update(spans)
+                if spans or isinstance(layer.source, Pieces) or not ODD.search(layer.text):
+                    n["layers"] += 1
+                    n["depth"] = max(n["depth"], depth)
+                if layer.raw is None:
+                    layer.raw = layer.text.encode("utf-8", "surrogateescape")
+                work.extend((x, depth + 1) for x in unfolded(layer, depth + 1))
+            escapes = [(PERCENT, percent_pieces)] if "%" in layer.text else []
+            escapes += [(UNICODE, unicode_pieces)] if "\\" in layer.text or "&#" in layer.text else []
+            inner = [x for rx, pieces in escapes if (x := in_place(layer, rx, pieces)) is not None and x.text]
+            work.extend((x, depth + 1) for x in [*inner, *base64_layers(layer)])
+
+    explore(Layer(text), 0)
+    return {"base": base, "added": added - base, **n}
 
 
 def in_order(spans) -> list[tuple[str, int, int]]:
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(spans, key=lambda s: (s[1], (*KINDS, UNSCANNED).index(s[0]), s[2]))
 
 
 def joined(spans) -> str:

@@ -92,3 +92,14 @@ def test_redaction(make_docs, odd_rows):
 
 def test_empty_table(make_docs):
     assert S.with_secrets(make_docs([])).count() == 0 and S.redact(make_docs([])).count() == 0
+
+
+def test_layers_with_any_characters_are_scanned():
+    for odd in (" ", "　", "​", "﻿", "­", " ", "\f", "\0", "\x1b[1m"):
+        for wrap in (lambda b: b, gzip.compress):
+            assert added("see " + base64.b64encode(wrap(f"{odd} password=hunter22 {odd}".encode())).decode())
+    assert added("see " + base64.b64encode("é password=hunter22 é".encode("latin-1")).decode())
+    packed = "".join(f"%{b:02X}" for b in gzip.compress(b"password=hunter22"))
+    assert added(f"see {packed} end") == {("assign", packed)}
+    assert added("see " + urllib.parse.quote(zlib.compress(b"password=hunter22 " * 3), safe="") + " end")
+    assert added("%FFpassword%3Dhunter22") == {("assign", "password%3Dhunter22")}
