@@ -5,8 +5,9 @@ Every whole text is scanned for three kinds (leftmost, non-overlapping per kind)
 access key id of 20+ characters) and ``hex`` (24+ hex digits).  Then a worklist
 unwraps layers until nothing new comes out: percent and Unicode escapes are
 decoded in place over the whole layer, bytes that are no UTF-8 kept as they are;
-base64 runs on one line become layers of
-their own, and so does every compressed stream that begins anywhere in a decoded layer.  Each layer is
+base64 runs, over line breaks and from each of four alignments, become layers of
+their own, and so does every compressed stream (all members that follow each
+other, also nested) that begins anywhere in a decoded layer.  Each layer is
 rescanned whatever characters it holds, and each layer keeps where its characters
 came from, so that spans are given in the text itself.  A layer met before (equal
 text and origin) is not unwrapped again.  ``n_layers`` and ``max_depth`` count the
@@ -47,7 +48,9 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 BREAK = r"[ \t]*+(?:\\r)?(?:\\n|\r?\n|\r)[ \t>]*+"
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# a run of 16+ characters, or one that a line break (also an escaped one, or a quoted line) interrupts
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=BREAK[A-Za-z0-9+/_-]))(?:BREAK[A-Za-z0-9+/_-]++)*+={0,2}"
+                    .replace("BREAK", BREAK))
 ESCAPED_BREAK = re.compile(r"\\[rn]")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 MIN_BODY, MIN_BYTES = 16, 12  # the shortest span is an assignment of 12 characters
@@ -235,7 +238,6 @@ class Stream:
             except (zlib.error, OSError, EOFError, lzma.LZMAError):
                 return  # what came out before the fault has been given
             self.end = fed - len(d.unused_data)
-            return
 
 
 def streams(raw: bytes):
@@ -277,7 +279,7 @@ def base64_layers(layer: Layer):
         if n < MIN_BODY:
             continue
         body = "".join(body).replace("-", "+").replace("_", "/")
-        for skip in range(1):
+        for skip in range(4):
             used = n - skip - ((n - skip) % 4 == 1)
             raw = base64.b64decode(body[skip:skip + used] + "=" * (-used % 4))
             text = raw.decode("utf-8", "surrogateescape")

@@ -103,3 +103,21 @@ def test_layers_with_any_characters_are_scanned():
     assert added(f"see {packed} end") == {("assign", packed)}
     assert added("see " + urllib.parse.quote(zlib.compress(b"password=hunter22 " * 3), safe="") + " end")
     assert added("%FFpassword%3Dhunter22") == {("assign", "password%3Dhunter22")}
+
+
+def test_base64_anywhere_over_lines_and_all_members():
+    run = base64.b64encode(b"token=abcdef123").decode()
+    for text in (f"https://h.com/cb/{run}", f"id_{run}", f"a-{run}", f"ab/{run}/more", f"x{run}", run + "A"):
+        assert {k for k, _ in added(text)} == {"assign"}, text
+    for width in (64, 76):
+        for wrap in (lambda b: b, gzip.compress, bz2.compress, lzma.compress):
+            body = base64.b64encode(wrap(b"an x " * 8 + b"token=abcdef123 " + hashlib.sha512(b"x").digest() * 4)).decode()
+            for end in ("\n", "\r\n", "\n  ", "\\n", "\n> "):
+                text = "é key:\n" + end.join(body[i:i + width] for i in range(0, len(body), width)) + "\n"
+                spans = S.find_secrets(text)["added"]
+                assert {k for k, _, _ in spans} == {"assign"} and all(a >= 7 for _, a, _ in spans)
+    lines = base64.encodebytes(b"." * 50 + b"token=abcdef123" + b" " * 40).decode()
+    (kind, a, b), = S.find_secrets(lines)["added"]
+    assert kind == "assign" and "\n" in lines[a:b] and b - a <= 26
+    for wrap in (gzip.compress, bz2.compress, lzma.compress):
+        assert added(base64.b64encode(wrap(b"nothing here") + wrap(b"tok") + wrap(b"en=abcdef123")).decode())
