@@ -14,7 +14,9 @@ text and origin) is not unwrapped again.  ``n_layers`` and ``max_depth`` count t
 layers that are text without control characters or hold a span.
 
 A null text counts as empty.  A stream that unfolds beyond ``MAX_LAYER_BYTES`` is
-not scanned and is counted in ``n_oversized``.
+counted in ``n_oversized`` and taken in parts of about that size that end where no
+span or run goes on; where there is no such place, or a stream inside runs over
+the end of a part, the run gets a span of kind ``unscanned`` and is masked too.
 """
 
 from __future__ import annotations
@@ -298,12 +300,16 @@ def find_secrets(text: str, most: int = MAX_LAYER_BYTES) -> dict:
         """The layers of the streams in ``layer``; a stream beyond ``most`` is explored part by part."""
         for stream in streams(layer.raw):
             whole, many, given = None, False, False
-            for raw, more, _ in parts(stream, most):
+            for raw, more, cut in parts(stream, most):
                 given = True
-                many |= more
-                if more:
+                if not (many or more):
+                    whole = raw
                     break
-                whole = raw
+                many = True
+                span = layer.bytes_root(stream.start, len(layer.raw))
+                if cut:
+                    added.add((UNSCANNED, *span))
+                explore(Layer(raw.decode("utf-8", "surrogateescape"), Whole(*span), raw, more), depth)
             n["oversized"] += many
             if layer.partial and stream.dry and given:
                 added.add((UNSCANNED, *layer.root(0, len(layer.text))))

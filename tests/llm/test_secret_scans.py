@@ -121,3 +121,22 @@ def test_base64_anywhere_over_lines_and_all_members():
     assert kind == "assign" and "\n" in lines[a:b] and b - a <= 26
     for wrap in (gzip.compress, bz2.compress, lzma.compress):
         assert added(base64.b64encode(wrap(b"nothing here") + wrap(b"tok") + wrap(b"en=abcdef123")).decode())
+
+
+def test_oversized_stream_is_scanned_in_parts(make_docs):
+    import random
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("ghijklmnopqrstuv", k=7)) for _ in range(n))
+    hidden = base64.b64encode(b"password=hunter22").decode()
+    for secret, kinds in (("token=abcdef123", {"assign"}), ("AKIA" + "B" * 16, {"access"}), (hidden, {"assign"})):
+        run = base64.b64encode(gzip.compress(f"{words(15000)} {secret} {words(15000)}".encode())).decode()
+        found = S.find_secrets(f"see {run}", most=70000)
+        assert found["oversized"] >= 1 and found["added"] == {(k, 4, 4 + len(run)) for k in kinds}
+    assert S.find_secrets(base64.b64encode(gzip.compress(words(30000).encode())).decode(), most=70000)["added"] == set()
+    # No place to cut, or a stream inside that runs over a cut: the run is named and masked.
+    nested = gzip.compress(rng.randbytes(300000))
+    for inner in (b"Q" * 400000, nested):
+        run = base64.b64encode(zlib.compress(inner)).decode()
+        assert {k for k, _, _ in S.find_secrets(run, most=1000)["added"]} == {S.UNSCANNED}
+    out = S.with_secrets(make_docs([(1, f"see {run} end")]), most=1000).first()
+    assert out.redacted == "see [SECRET] end" and out.n_oversized >= 1 and out.secrets[0].kind == S.UNSCANNED
