@@ -3,10 +3,11 @@
 Paragraphs are the lines of a text.  Features are word 1..3-grams of the ASCII
 words in lower case; a multinomial logistic regression over licence families and
 ``none`` is trained on the licence phrases below (whole, shortened and set among
-corpus words) against paragraphs of a bounded sample of documents that have no licence
-word.  The vocabulary leaves out words of ordinary paragraphs, so a paragraph
-without any vocabulary word is ``none`` by construction (checked after training) and only
-the others are scored.
+corpus words) against the n-grams of the paragraphs of a bounded sample of documents,
+also of those that use a licence word otherwise.  The vocabulary is every n-gram of the
+phrases, so a word that is ordinary too (German "mit") has the weights that training
+gives it.  Only paragraphs with an anchor, an n-gram of the phrases that no ordinary
+paragraph of the sample has, are scored; the others are ``none``.
 
 Unknown class: each family is left out of training once and its phrases are scored
 by the others; the probability below which such strangers fall more often than known
@@ -65,6 +66,7 @@ TEMPLATES = {
                     "Copyright the authors. All rights reserved.", "This material is proprietary and confidential."],
 }
 CUES = ("license", "licence", "licensed", "licenced", "copyright", "copyrighted", "redistribution", "proprietary", "spdx")
+GRANTS = ("released under", "licensed under", "licenced under", "distributed under", "available under", "rights reserved", "under the terms")
 NONE, UNKNOWN = "none", "unknown"
 ORDERS = (1, 2, 3)
 SAMPLE_DOCS = 400
@@ -88,20 +90,20 @@ def grams_of(words: list[str]) -> list[str]:
 class Model:
     """Families, one weight row per n-gram, biases, and the unknown threshold."""
 
-    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], threshold: float = 0.0):
-        self.classes, self.weights, self.bias, self.threshold = classes, weights, bias, threshold
+    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], anchors: list[str], threshold: float = 0.0):
+        self.classes, self.weights, self.bias, self.anchors, self.threshold = classes, weights, bias, anchors, threshold
 
     def probs(self, paragraph: str) -> np.ndarray:
         z = np.array(self.bias)
-        for g in grams_of(words_of(paragraph)):
+        grams = grams_of(words_of(paragraph))
+        if not set(grams) & set(self.anchors):
+            return np.array([float(c == NONE) for c in self.classes])
+        for g in grams:
             if g in self.weights:
                 z = z + np.array(self.weights[g])
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def vocabulary_words(self) -> list[str]:
-        return sorted(g for g in self.weights if " " not in g)
-
 
 def variants(template: str, filler: list[str], rng) -> list[str]:
     """The phrase whole, with words dropped, and with corpus words before or after."""
@@ -120,22 +122,16 @@ def train(templates: dict[str, list[str]], negatives: list[str], seed: int = 11)
     rng = np.random.default_rng(seed)
     classes = [*templates, NONE]
     filler = [w for p in negatives[:200] for w in p.split()]
-    own = [words_of(p) for p in negatives]
-    ordinary = {w for words in own for w in words}
+    own = [grams_of(words_of(p)) for p in negatives]
     rows = [(p, k) for k, family in enumerate(templates) for t in templates[family] for p in variants(t, filler, rng)]
-    telling = [set(words_of(t)) - ordinary for family in templates for t in templates[family]]
-    known = set().union(*telling) | set(CUES)
-    vocab: dict[str, int] = {}
-    for p, _ in rows:
-        for g in grams_of(words_of(p)):
-            # An n-gram stands for a word that ordinary paragraphs do not have.
-            if len(vocab) < MAX_VOCABULARY and all(w not in ordinary or n for n, w in enumerate(g.split())) and set(g.split()) & known:
-                if set(g.split()) <= known | {"the", "of", "to", "and", "is", "under", "by", "in", "or", "a"}:
-                    vocab.setdefault(g, len(vocab))
-    # Equal feature sets of one class are one row with their number.  Every n-gram of the
-    # vocabulary begins with a word that ordinary paragraphs lack: theirs is the empty set.
+    count = Counter(g for family in templates for t in templates[family] for g in grams_of(words_of(t)))
+    kept = sorted(count, key=lambda g: (g.count(" "), -count[g], g))[:MAX_VOCABULARY - len(CUES)]
+    vocab = {g: i for i, g in enumerate(dict.fromkeys([*CUES, *kept]))}
+    anchors = sorted((set(vocab) - {g for grams in own for g in grams}) | set(CUES))
+    # Equal feature sets of one class are one row with their number.
     patterns = Counter((tuple(sorted(vocab[g] for g in grams_of(words_of(p)) if g in vocab)), k) for p, k in rows)
-    patterns[((), len(classes) - 1)] += max(1, len(own))
+    patterns.update((tuple(sorted(vocab[g] for g in grams if g in vocab)), len(classes) - 1) for grams in own)
+    patterns[((), len(classes) - 1)] += 1
     x = np.zeros((len(patterns), len(vocab)), np.float32)
     y = np.zeros((len(patterns), len(classes)), np.float32)
     for i, (ids, k) in enumerate(patterns):
@@ -152,7 +148,7 @@ def train(templates: dict[str, list[str]], negatives: list[str], seed: int = 11)
         w -= 2.0 * (x.T @ g + 1e-4 * w)
         b -= 0.5 * g.sum(0)
     b[-1] = max(b[-1], float(b[:-1].max()) + 1.0)  # no vocabulary word: none
-    return Model(classes, {g: [round(float(v), 6) for v in w[i]] for g, i in vocab.items()}, [round(float(v), 6) for v in b])
+    return Model(classes, {g: [round(float(v), 6) for v in w[i]] for g, i in vocab.items()}, [round(float(v), 6) for v in b], anchors)
 
 
 def calibrate(model: Model, templates: dict[str, list[str]], negatives: list[str]) -> Model:
@@ -172,12 +168,24 @@ def calibrate(model: Model, templates: dict[str, list[str]], negatives: list[str
     return model
 
 
+def is_ordinary(paragraph: str, cue: bool) -> bool:
+    """No template stands in the paragraph; where it has a cue word, no two or three words of one with a cue either."""
+    grams = set(grams_of(words_of(paragraph)))
+    own = [set(grams_of(words_of(t))) for ts in TEMPLATES.values() for t in ts]
+    if cue and any(" " in g and set(g.split()) & set(CUES) for o in own for g in o & grams):
+        return False
+    if cue and any(g in grams for g in GRANTS):
+        return False
+    return all(len(o & grams) < CONFIRM * len(o) for o in own)
+
+
 def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model whose ordinary paragraphs come from about ``sample_docs`` documents."""
     sample = hash_sample(docs.select(F.col(text).alias("t")).where("t is not null"), ["t"], sample_docs)
     lines = sample.select(F.explode(F.split("t", "\n")).alias("p")).where(F.length("p") > 0)
-    plain = lines.where(~F.lower("p").rlike("|".join(CUES))).select("p", F.xxhash64("p").alias("h")).distinct()
-    negatives = [r.p for r in plain.orderBy("h", "p").limit(NEGATIVE_PARAGRAPHS).collect()]
+    lines = lines.select("p", F.xxhash64("p").alias("h"), F.lower("p").rlike("|".join(CUES)).alias("cue")).distinct()
+    some = [r for cue in (False, True) for r in lines.where(F.col("cue") == cue).orderBy("h", "p").limit(NEGATIVE_PARAGRAPHS).collect()]
+    negatives = [r.p for r in some if is_ordinary(r.p, r.cue)]
     return calibrate(train(TEMPLATES, negatives), TEMPLATES, negatives)
 
 
@@ -202,18 +210,17 @@ def _grams(words: Column) -> Column:
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``licenses``: paragraph (0-based line), family, probability, template
     share and whether the template confirms it."""
-    vocab = _literal(model.vocabulary_words(), "array<string>")
     every = _literal(sorted(model.weights), "array<string>")
     weights = _literal(model.weights, "map<string,array<double>>")
     bias = _literal(model.bias, "array<double>")
     classes = _literal(model.classes, "array<string>")
     templates = _literal({f: [grams_of(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
-    # Whole texts first: the lines of a text without a vocabulary word are not looked at.
-    cue = "(?i)(?<![a-z0-9])(?:" + trie(model.vocabulary_words()) + ")(?![a-z0-9])"
+    # Whole texts first: the lines of a text without an anchor are not looked at.
+    cue = "(?i)(?<![a-z0-9])(?:" + trie(model.anchors) + ")(?![a-z0-9])"
     lines = F.when(F.col(text).rlike(cue), F.split(F.col(text), "\n")).otherwise(F.array().cast("array<string>"))
-    hits = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), _words(p).alias("words"))),
-                    lambda s: F.arrays_overlap(s["words"], vocab))
-    gram = F.transform(hits, lambda s: F.struct(s["paragraph"].alias("paragraph"), _grams(s["words"]).alias("grams")))
+    hits = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"))), lambda s: s["p"].rlike(cue))
+    words = F.transform("__hits", lambda s: F.struct(s["paragraph"].alias("paragraph"), _words(s["p"]).alias("words")))
+    gram = F.transform("__words", lambda s: F.struct(s["paragraph"].alias("paragraph"), _grams(s["words"]).alias("grams")))
     logits = F.transform("__grams", lambda s: F.struct(
         s["paragraph"].alias("paragraph"), s["grams"].alias("grams"),
         F.aggregate(F.array_intersect(s["grams"], every), bias, lambda acc, g: F.zip_with(acc, weights[g], lambda a, b: a + b)).alias("z")))
@@ -230,12 +237,12 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         F.when((s["probability"] < model.threshold) & (s["template_share"] < CONFIRM), F.lit(UNKNOWN)).otherwise(s["best"]).alias("family"),
         s["probability"].alias("probability"), s["template_share"].alias("template_share"),
         (s["template_share"] >= CONFIRM).alias("confirmed")))
-    out = docs.withColumn("__grams", gram).withColumn("__logits", logits).withColumn("__scored", scored).withColumn("__shared", shared)
-    return out.withColumn("licenses", final).drop("__grams", "__logits", "__scored", "__shared")
+    out = docs.withColumn("__hits", hits).withColumn("__words", words).withColumn("__grams", gram).withColumn("__logits", logits).withColumn("__scored", scored).withColumn("__shared", shared)
+    return out.withColumn("licenses", final).drop("__hits", "__words", "__grams", "__logits", "__scored", "__shared")
 
 
 def trie(words: list[str]) -> str:
-    """An alternation that branches once per character."""
+    """An alternation that branches once per character; a space stands for what parts words."""
     tree: dict = {}
     for w in words:
         node = tree
@@ -244,7 +251,7 @@ def trie(words: list[str]) -> str:
         node[""] = {}
 
     def render(node: dict) -> str:
-        parts = [re.escape(c) + render(child) for c, child in sorted(node.items()) if c]
+        parts = [("[^a-z0-9]+" if c == " " else re.escape(c)) + render(child) for c, child in sorted(node.items()) if c]
         if not parts:
             return ""
         body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"

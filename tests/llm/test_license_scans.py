@@ -67,3 +67,14 @@ def test_odd_rows(model, make_docs, odd_rows):
     assert [x.paragraph for x in got.where("doc_id = 30").first().licenses] == [0, 2]
     assert L.scan(make_docs([]), model).count() == 0
     assert L.scan(make_docs([(1, twice)]), L.fit(make_docs([]))).first().licenses[0].family == "mit"
+
+
+def test_an_ordinary_word_of_a_licence_keeps_its_weight(spark, make_docs):
+    """German text, full of "mit", in the sample; a paragraph with a cue word that is no licence."""
+    german = [(i, f"Sie kam mit dem Zug {i}.\nEr fuhr mit ihr nach Hause und sprach mit dem Kind.\nHer driving license {i} was lost.") for i in range(300)]
+    model = L.fit(make_docs(german))
+    assert "mit" in model.weights and "the mit license" in model.weights
+    got = licenses(model, make_docs([(1, "Released under the MIT License."), (2, "Released under the Foo License."), (3, "Er kam mit der Version zu ihr."),
+                                     (4, "Her driving license 7 was lost."), (5, "Licensed under the MIT license")]))
+    assert [f for _, f, _ in got[1]] == [f for _, f, _ in got[5]] == ["mit"] and got[3] == got[4] == []
+    assert [(f, c) for _, f, c in got[2]] == [(L.UNKNOWN, False)]
