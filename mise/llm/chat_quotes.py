@@ -8,8 +8,9 @@ original of a hash is the earliest message that holds it in its own words; a
 quoting message replies to the earlier original that its outermost quotes cover
 most (by characters; of equal ones the latest).  Replies form threads: ``thread`` is
 the turn a chain of replies began with and ``depth`` its length, found by pointer
-doubling over the linked messages only.  Conversations read in the order (conv_id,
-thread, turn), quotes and attribution lines removed.
+doubling over the linked messages only, with ``path``, the turns from there to the
+message.  ``in_reply_order`` gives whole conversations, sorted by (conv_id, path): each
+reply follows what it answers, branch by branch, quotes and attribution lines removed.
 
 A null text counts as empty, with an empty body; a message without quotes or with
 quotes found nowhere begins a thread.  Repeated rows stay, each with the same link:
@@ -81,23 +82,26 @@ def links(parsed_messages: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, thread, depth) of every linked message, by pointer doubling."""
-    state = written(replies.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")),
-                    "chat-threads")
+    """(conv_id, turn, reply_to, thread, depth, path) of every linked message, by pointer doubling."""
+    state = written(replies.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"),
+                                   F.array("reply_to", "turn").alias("path")), "chat-threads")
     while True:
-        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("__up"), F.col("depth").alias("__more"))
+        up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("__up"), F.col("depth").alias("__more"),
+                          F.col("path").alias("__before"))
         step = state.join(up, ["conv_id", "thread"], "left")
         moved = written(step.select("conv_id", "turn", "reply_to", F.coalesce("__up", "thread").alias("thread"),
                                     (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"),
+                                    F.when(F.col("__up").isNull(), F.col("path")).otherwise(
+                                        F.concat("__before", F.slice("path", F.lit(2), F.size("path")))).alias("path"),
                                     F.col("__up").isNotNull().alias("__moved")), "chat-threads")
         state = moved.drop("__moved")
         if moved.where("__moved").isEmpty():
             return state
 
 
-def reply_ordered(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
-                  text: str = "text") -> DataFrame:
-    """One row per message: ids, role, body, quote counts, ``reply_to``, ``thread`` and ``depth``."""
+def in_reply_order(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
+                   text: str = "text") -> DataFrame:
+    """The rows of ``reply_ordered`` with ``path``, their position in reply order."""
     own = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     messages = written(with_quotes(own).drop("text"), "chat-messages")
     out = messages.select("conv_id", "turn", "role", "body", F.size("quotes").cast("long").alias("n_quotes"),
@@ -106,5 +110,14 @@ def reply_ordered(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     outermost = found.groupBy("conv_id", "turn").agg(F.min_by("reply_to", "depth").alias("reply_to"))
     placed = threads(outermost)
     out = out.join(placed, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "body", "n_quotes", "quote_depth", "reply_to",
-                      F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    out = out.select("conv_id", "turn", "role", "body", "n_quotes", "quote_depth", "reply_to",
+                     F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+                     F.coalesce("path", F.array("turn")).alias("path"))
+    # By path too, so that one large conversation is no one task.
+    return out.repartitionByRange("conv_id", "path").sortWithinPartitions("conv_id", "path")
+
+
+def reply_ordered(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
+                  text: str = "text") -> DataFrame:
+    """One row per message, in reply order: ids, role, body, quote counts, ``reply_to``, ``thread`` and ``depth``."""
+    return in_reply_order(conversations, conv_id, turn, role, text).drop("path")

@@ -118,3 +118,13 @@ def test_sql_states_the_same(spark, tmp_path):
     names = [d[0] for d in found.description]
     want = sorted(str(dict(zip(names, r))) for r in found.fetchall())
     assert sorted(str({n: r[n] for n in names}) for r in C.reply_ordered(messages).collect()) == want
+
+
+def test_branches_follow_what_they_answer(spark):
+    said = {t: f"what message {t} has to say" for t in range(1, 6)}
+    answers = {2: 1, 3: 1, 4: 2, 5: 3}
+    rows = [(c, t, "u", (f"> {said[answers[t]]}\n" if t in answers else "") + said[t]) for t in (5, 3, 1, 4, 2) for c in (9, 8)]
+    got = C.in_reply_order(make(spark, rows)).collect()
+    assert [(r.conv_id, r.turn) for r in got] == [(c, t) for c in (8, 9) for t in (1, 2, 4, 3, 5)]
+    assert got[2].path == [1, 2, 4]
+    assert [(r.conv_id, r.turn) for r in C.reply_ordered(make(spark, rows)).collect()] == [(r.conv_id, r.turn) for r in got]
