@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bench_decontam, chat_quotes, lang_id, license_scans, pii, quality_rules, secret_scans, sentencepiece_codec,
-               simhash_neardup, toxicity)
+from . import (bench_decontam, chat_quotes, fill_in_middle, lang_id, license_scans, pii, quality_rules, secret_scans,
+               sentencepiece_codec, simhash_neardup, token_counts, toxicity, vector_codes)
 from .common import crc_mod3, read
 
 
@@ -67,6 +67,20 @@ def op10_simhash_neardup(spark, sf_dir):
     return found.select("doc_id", simhash_neardup.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compressed(read(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.transform(docs, keep_text=False, keep_output=False)
+
+
+def op13_token_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, keep_text=False)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,7 +89,34 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_quotes, op2_bench_decontam, op3_quality_rules, op4_license_scans, op5_pii, op6_sentencepiece, op7_toxicity,
-    op8_secret_scans, op9_lang_id, op10_simhash_neardup, pipeline)}
+    op8_secret_scans, op9_lang_id, op10_simhash_neardup, op11_vector_codes, op12_fill_in_middle, op13_token_counts, pipeline)}
+
+
+def _codes_sql() -> str:
+    """Six rounds and the last assignment, each point measured against all 16 entries of its part."""
+    gap = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.x, b.x)])::BIGINT"
+    steps = [r"""
+v AS (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, q) AS rid, len(q) // 8 AS w FROM v),
+p AS MATERIALIZED (SELECT rid, k, q[k * w + 1:(k + 1) * w] AS x FROM r, range(8) AS t(k)),
+b0 AS (SELECT k, rid - 1 AS e, x FROM p WHERE rid <= 16)"""]
+    for i in range(7):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT p.rid, p.k, min({{'d': {gap}, 'e': b.e}}) AS best FROM p JOIN b{i} AS b ON b.k = p.k GROUP BY ALL)""")
+        if i < 6:
+            steps.append(f"""
+m{i} AS (SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+          SELECT k, e, i, sum(c) AS s, count(*) AS n FROM (
+              SELECT a.k, a.best.e AS e, unnest(range(1, len(p.x) + 1)) AS i, unnest(p.x) AS c
+              FROM a{i} AS a JOIN p ON p.rid = a.rid AND p.k = a.k) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce([x::BIGINT for x in m.x], b.x) AS x FROM b{i} AS b LEFT JOIN m{i} AS m ON m.k = b.k AND m.e = b.e)""")
+    return "WITH" + ",".join(steps) + """,
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM b6),
+c AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY k) AS code, sum(best.d)::BIGINT AS error FROM a6 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN c USING (rid), books"""
+
 
 ORACLE = {
     "op1_chat_quotes": r"""
@@ -135,4 +176,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR NOT (2 * n_words <= word_chars AND word_chars <= 25 * n_words) OR 100 * n_upper > 50 * (n_upper + n_lower)
             OR 10 * n_exclaim > 4 * n_words OR 100 * n_letter_words < 50 * n_words) AS kept
 FROM b""",
+    "op11_vector_codes": _codes_sql(),
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM u),
+x AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:len(l)], '') AS s,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, len(l)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM x""",
 }
