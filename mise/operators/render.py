@@ -226,17 +226,21 @@ def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str =
 
 def filename_collision(docs: DataFrame, order_col: str = "page_id") -> DataFrame:
     """Files are written in input order and overwritten, so the *last* document
-    per file name wins.
+    per file name wins: exactly one row for each name.
 
-    The last position and the number of documents per file name are hash
-    aggregates over (filename, position) only: a file name shared by a third of all
-    rows leaves one small row per task.  Bodies are then fetched by
-    (filename, position); no body is sorted or gathered per name.
+    Unset positions come first.  Of documents at one position the one with the greatest digest
+    of format and body wins, and equal documents are one.  Last position, count and digest are
+    hash aggregates without bodies: a file name shared by a third of all rows leaves one
+    small row per task.  Only winners' bodies are then fetched.
     """
-    last = docs.groupBy("filename").agg(F.max(order_col).alias("_last"), F.count(F.lit(1)).alias("n_candidates"))
-    held = docs.select(F.col("filename").alias("_name"), F.col(order_col), "format", "body")
-    same = (F.col("filename") == F.col("_name")) & F.col(order_col).eqNullSafe(F.col("_last"))
-    return held.join(last, same).select("filename", order_col, "format", "body", "n_candidates")
+    held = docs.select("filename", order_col, "format", "body").withColumn("_digest", F.xxhash64("format", "body"))
+    keys = held.select(F.col("filename").alias("_name"), F.col(order_col).alias("_pos"), F.col("_digest").alias("_dig"))
+    last = keys.groupBy("_name").agg(F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("n_candidates"))
+    at_last = keys.join(last.withColumnRenamed("_name", "_n"), F.col("_name").eqNullSafe(F.col("_n")) & F.col("_pos").eqNullSafe(F.col("_last")))
+    won = at_last.groupBy("_name", "_pos", "n_candidates").agg(F.max("_dig").alias("_dig"))
+    same = (F.col("filename").eqNullSafe(F.col("_name")) & F.col(order_col).eqNullSafe(F.col("_pos")) & (F.col("_digest") == F.col("_dig")))
+    return (held.join(won, same).dropDuplicates(["filename"])
+            .select("filename", order_col, "format", "body", "n_candidates"))
 
 
 def sink_documents(docs: DataFrame, path: str) -> str:

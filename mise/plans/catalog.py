@@ -290,6 +290,37 @@ def q_first_typed_element(spark, d):
         .filter(F.col("first_name").isNotNull())
 
 
+# ------------------------------------------------- fall-through of extractors
+_CHAIN_SQL = f"""WITH c AS (
+  SELECT p_partkey AS page_id, p_partkey % 5 AS have, p_partkey % 3 = 0 AS store, p_name AS name, p_brand AS brand, p_type AS ptype,
+         {O.minutes_text('p_size')} AS minutes FROM part),
+m AS (SELECT * FROM c, (VALUES ('default'), ('forced')) AS t(mode)),
+w AS (SELECT *, CASE WHEN mode = 'forced' AND have IN (1, 2, 4) THEN 'microdata'
+                     WHEN mode = 'default' AND NOT store AND have = 1 THEN 'microdata'
+                     WHEN have IN (0, 2) THEN CASE WHEN store THEN 'inline_store' ELSE 'ldjson' END END AS extractor FROM m)
+SELECT page_id, mode, extractor,
+       CASE WHEN extractor IS NOT NULL THEN NULL WHEN store THEN 'no_inline_store' WHEN have = 4 THEN 'no_instructions' ELSE 'no_ldjson' END AS reason,
+       CASE WHEN extractor = 'microdata' THEN 'Micro ' || name WHEN extractor IS NOT NULL THEN name END AS title,
+       CASE WHEN extractor IS NOT NULL THEN minutes END AS totaltime,
+       CASE WHEN extractor = 'microdata' THEN ptype || ' | ' || brand || ' & salt' WHEN extractor IS NOT NULL THEN brand END AS ingredients,
+       CASE WHEN extractor = 'microdata' THEN 'Chop ' || name || ' | Bake | Serve <hot>' WHEN extractor IS NOT NULL THEN 'Mix ' || name END AS directions
+FROM w"""
+
+
+@register("fallback_chain", _CHAIN_SQL)
+def q_fallback_chain(spark, d):
+    """Both orders over pages with either, both or neither kind of markup: who made each recipe, and what came out."""
+    def run(mode):
+        pages = FX.chain_pages(spark, d)
+        return X.extract(pages, fallback=mode).withColumn("mode", F.lit(mode))
+    both = run(X.FALLBACK_DEFAULT).unionByName(run(X.FALLBACK_FORCED))
+    r = F.col("recipe")
+    return both.select(
+        "page_id", "mode", "extractor", "reason", r["title"].alias("title"), r["totaltime"].alias("totaltime"),
+        F.array_join(F.flatten(H.transform(r["ingredient_groups"], lambda g: g["ingredients"])), " | ").alias("ingredients"),
+        F.array_join(F.flatten(H.transform(r["direction_groups"], lambda g: g["directions"])), " | ").alias("directions"))
+
+
 # ----------------------------------------------------------- key search (F4)
 _F4_JSON = ("CASE event_id % 4 WHEN 0 THEN '{\"a\":{\"b\":' || props || '},\"k\":\"top\"}' "
             "WHEN 1 THEN '{\"l\":[1,' || props || '],\"k\":-1}' "
@@ -631,13 +662,53 @@ def _manifest(spark, d) -> DataFrame:
     return M.parse_manifest(M.manifest_lines_from_pages(read_table(spark, d, "pages")))
 
 
-@register("scan_manifest", f"""WITH {_MANIFEST_SQL}
-SELECT url, ref_file, CASE regexp_extract(ref_file, '[^.]*$') WHEN 'rst' THEN 'rst' WHEN 'md' THEN 'md'
-       WHEN 'json' THEN 'json' END AS format FROM m2""")
+def _in_unequal_files(df: DataFrame, order: list, spread: str, n_files: int = 7) -> DataFrame:
+    """``df`` in file order by ``order``: ranges of a column that grows with the order, so files differ in size."""
+    return df.repartitionByRange(n_files, F.col(spread), *order).sortWithinPartitions(*order)
+
+
+@register("scan_manifest", f"""WITH {_MANIFEST_SQL},
+dense AS (SELECT line_no, row_number() OVER (ORDER BY line_no) AS dense_no FROM m0 WHERE value IS NOT NULL)
+SELECT dense_no AS line_no, url, ref_file, CASE regexp_extract(ref_file, '[^.]*$') WHEN 'rst' THEN 'rst' WHEN 'md' THEN 'md'
+       WHEN 'json' THEN 'json' END AS format FROM m2 JOIN dense USING (line_no)""")
 def q_scan_manifest(spark, d):
+    """A folder of manifest files of unequal size, its lines numbered through."""
     path = scratch_path(spark, "manifest")
-    M.manifest_lines_from_pages(read_table(spark, d, "pages")).select("value").write.text(path)
-    return M.scan_manifest(spark, path).select("url", "ref_file", "format")
+    lines = M.manifest_lines_from_pages(read_table(spark, d, "pages")).withColumn("spread", F.floor(F.log2(F.col("line_no") + 1)))
+    _in_unequal_files(lines, ["line_no"], "spread").select("value").write.text(path)
+    return M.scan_manifest(spark, path).select("line_no", "url", "ref_file", "format")
+
+
+@register("input_pos", _F2_DOC + """,
+p AS (SELECT *, row_number() OVER (ORDER BY title DESC, page_id) - 1 AS input_pos FROM ok)
+SELECT input_pos, page_id, title FROM p""")
+def q_input_pos(spark, d):
+    """Stored recipe records of a folder, in the order in which they stand in its files."""
+    return _stored_recipes(spark, d).select("input_pos", "page_id", F.col("recipe.title").alias("title"))
+
+
+def _stored_recipes(spark, d) -> DataFrame:
+    """The JSON-LD recipes stored by falling title, so that input order is not key order."""
+    path = scratch_path(spark, "recipe-files")
+    rec = _f2_recipes(spark, d).withColumn("title", F.col("recipe.title"))
+    order = [F.col("title").desc(), F.col("page_id")]
+    rec.repartitionByRange(7, *order).sortWithinPartitions(*order).select("page_id", "recipe.*").write.json(path)
+    return RJ.scan_recipe_json(spark, path, pos="input_pos")
+
+
+@register("filename_collision_input_order", _F2_DOC + """,
+p AS (SELECT *, row_number() OVER (ORDER BY title DESC, page_id) - 1 AS input_pos FROM ok)
+SELECT 'dish_' || substr(author, 1, 3) || '.md' AS filename, max(input_pos) AS input_pos, arg_max(page_id, input_pos) AS page_id, count(*) AS n_candidates
+FROM p GROUP BY 1""")
+def q_filename_collision_input_order(spark, d):
+    """Which stored record's document is left under each name: the last one in input order."""
+    rec = _stored_recipes(spark, d)
+    docs = RD.render_docs(rec.withColumn("key", F.struct("input_pos", "page_id")), ["md"], key="key")
+    named = docs.join(rec.select(F.struct("input_pos", "page_id").alias("key"), F.col("recipe.author").alias("author")), "key")
+    named = named.select(F.col("key.input_pos").alias("input_pos"), F.col("key.page_id").alias("page_id"), "format", "body",
+                         F.concat(F.lit("dish_"), F.substring("author", 1, 3), F.lit(".md")).alias("filename"))
+    won = RD.filename_collision(named, "input_pos").select("filename", "input_pos", "n_candidates")
+    return won.join(named.select("input_pos", "page_id"), "input_pos").select("filename", "input_pos", "page_id", "n_candidates")
 
 
 @register("manifest_write", f"WITH {_MANIFEST_SQL} SELECT url, ref_file FROM m2")
@@ -656,16 +727,24 @@ def q_manifest_append(spark, d):
 
 def _run_inputs(spark, d):
     """Tests over the JSON-LD pages, their rendered documents and references: the
-    document itself with other blanks, changed for ``page_id % 5 = 0``, absent for ``page_id % 7 = 3``."""
+    document itself with other blanks, changed for ``page_id % 5 = 0``, absent for ``page_id % 7 = 3``.
+
+    Every address was captured twice (``captured`` 0 and 1); the older document holds
+    something else.  Documents are rendered and written once."""
     pages = FX.ldjson_pages(spark, d).select("page_id", "url")
     tests = M.parse_manifest(M.manifest_lines_from_pages(pages))
     docs = RD.render_docs(_f2_recipes(spark, d), ["json", "md", "rst"]).join(pages, "page_id")
+    path = scratch_path(spark, "run-documents")
+    twice = F.array(F.concat(F.lit("as it was "), "body"), F.col("body"))
+    docs.select("page_id", "url", "format", F.posexplode(twice).alias("captured", "body")).write.parquet(path)
+    docs = spark.read.parquet(path)
     ext = F.element_at(F.array(F.lit("rst"), F.lit("md"), F.lit("json")), (F.col("page_id") % 3 + 1).cast("int"))
     named = pages.withColumn("format", ext).withColumn("ref_file", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit("."), ext))
     body = F.coalesce(F.replace(F.col("body"), F.lit("\n"), F.lit(" \n\n")), F.lit("what was there before"))
-    reference = (named.where("page_id % 7 <> 3").join(docs.select("page_id", "format", "body"), ["page_id", "format"], "left")
+    now = docs.where("captured = 1").select("page_id", "format", "body")
+    reference = (named.where("page_id % 7 <> 3").join(now, ["page_id", "format"], "left")
                  .select("ref_file", F.when(F.col("page_id") % 5 == 0, F.concat(body, F.lit("\nchanged"))).otherwise(body).alias("body")))
-    return tests, docs.select("url", "format", "body"), reference
+    return tests, docs.select("url", "format", "captured", "body"), reference
 
 
 _RUN_SQL = f"""WITH {_F2_BASE},
@@ -678,19 +757,20 @@ run AS (SELECT page_id, page_id * 2 + CASE WHEN page_id % 10 = 0 OR page_id % 7
 SELECT line_no, url, ref_file, CASE WHEN page_id % 7 = 3 THEN 'MISSING' WHEN reason IS NOT NULL THEN 'ERROR'
        WHEN page_id % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, reason IS NULL AS has_output FROM run""")
 def q_golden_run(spark, d):
-    return G.golden_run(*_run_inputs(spark, d))
+    return G.golden_run(*_run_inputs(spark, d), order_col="captured")
 
 
 @register("golden_new_references", _RUN_SQL + "SELECT ref_file FROM run WHERE reason IS NULL AND page_id % 7 = 3")
 def q_golden_new_references(spark, d):
     tests, docs, reference = _run_inputs(spark, d)
-    return G.golden_missing(G.golden_run(tests, docs, reference), G.produced(tests, docs)).where("length(body) > 0").select("ref_file")
+    verdicts = G.golden_run(tests, docs, reference, "captured")
+    return G.golden_missing(verdicts, G.produced(tests, docs, "captured")).where("length(body) > 0").select("ref_file")
 
 
 @register("golden_reset", _RUN_SQL + "SELECT ref_file FROM run WHERE reason IS NULL")
 def q_golden_reset(spark, d):
     tests, docs, _ = _run_inputs(spark, d)
-    return G.golden_reset(tests, docs).where("length(body) > 0").select("ref_file")
+    return G.golden_reset(tests, docs, "captured").where("body not like 'as it was%'").select("ref_file")
 
 
 def _golden_inputs(spark, d):
@@ -731,8 +811,34 @@ def _verdicts(spark, d):
 
 register("golden_diff", f"WITH {_GOLDEN_SQL} SELECT line_no, url, ref_file, status FROM g2")(
     lambda spark, d: _verdicts(spark, d).select("line_no", "url", "ref_file", "status"))
-register("golden_join", f"WITH {_GOLDEN_SQL} SELECT line_no, ref_file, (status <> 'MISSING') AS has_reference FROM g2")(
-    lambda spark, d: _verdicts(spark, d).select("line_no", "ref_file", (F.col("status") != G.MISSING).alias("has_reference")))
+
+
+def _golden_sides(spark, d):
+    """As ``_golden_inputs``, but every document's reference exists: where the test names an absent
+    file, the document's own file is named by no test.  Each ``doc_id % 3 = 0`` file was written
+    twice, its older body first."""
+    tests, actual, _ = _golden_inputs(spark, d)
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    did = F.col("doc_id")
+    name = F.concat(F.lit("doc_"), did.cast("string"), F.lit(".rst"))
+    tests = tests.withColumn("ref_file", F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("new_"), "ref_file")).otherwise(F.col("ref_file")))
+    written = F.when(did % 3 == 0, F.array(F.concat(F.lit("before "), "text"), F.col("text"))).otherwise(F.array("text"))
+    reference = docs.select(name.alias("ref_file"), F.posexplode(written).alias("written_pos", "body"))
+    return tests, actual, reference
+
+
+@register("golden_join", f"""WITH {_GOLDEN_SQL},
+t AS (SELECT line_no, url, CASE WHEN line_no % 7 = 3 THEN 'new_' || ref_file ELSE ref_file END AS ref_file, act FROM g2),
+r AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.rst' AS ref_file, text AS body FROM documents),
+j AS (SELECT coalesce(t.ref_file, r.ref_file) AS ref_file, line_no, url, act, r.body, t.ref_file IS NOT NULL AS is_test, r.ref_file IS NOT NULL AS is_ref
+      FROM t FULL JOIN r ON t.ref_file = r.ref_file)
+SELECT ref_file, line_no, url, CASE WHEN is_test AND is_ref THEN 'both' WHEN is_test THEN 'test' ELSE 'reference' END AS side,
+       act IS NOT NULL AS has_output, coalesce(length(body) > 0, false) AS has_reference,
+       is_test AND is_ref AND line_no % 5 <> 0 AS same FROM j""")
+def q_golden_join(spark, d):
+    return G.golden_join(*_golden_sides(spark, d), order_col="written_pos")
+
+
 register("golden_missing", f"WITH {_GOLDEN_SQL} SELECT ref_file, act AS body FROM g2 WHERE status = 'MISSING'")(
     lambda spark, d: G.golden_missing(_verdicts(spark, d), _golden_inputs(spark, d)[1]))
 register("status_counts", f"WITH {_GOLDEN_SQL} SELECT status, count(*) AS n_tests FROM g2 GROUP BY status")(

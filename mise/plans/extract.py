@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions.text import clean_text
 from ..operators import ldjson as L
+from ..operators import microdata as MD
 from ..operators import sites as S
 
 REASON_NO_LDJSON = "no_ldjson"
@@ -23,15 +24,29 @@ REASON_NO_NEXT_DATA = "no_next_data"
 REASON_NO_STORE = "no_inline_store"
 REASON_EMPTY_TITLE = "empty_title"
 
-def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
+# Whether, and in which order, the second extractor (microdata) is asked.
+FALLBACK_NONE, FALLBACK_DEFAULT, FALLBACK_FORCED = "none", "default", "forced"
+EXTRACTOR_OF_ROUTE = {U.ROUTE_LDJSON: "ldjson", U.ROUTE_NEXT_DATA: "next_data", U.ROUTE_INLINE_STORE: "inline_store",
+                      U.ROUTE_DOM_A: "dom", U.ROUTE_DOM_B: "dom"}
+EXTRACTOR_SECOND = "microdata"
+
+
+def extract(pages: DataFrame, key: str = "page_id", fallback: str = FALLBACK_NONE) -> DataFrame:
     """``(page_id, url, domain, publisher, route, recipe, reason)``; exactly one of
-    ``recipe`` / ``reason`` is set per page."""
+    ``recipe`` / ``reason`` is set per page.
+
+    ``fallback`` adds the second extractor and the column ``extractor``, the one that made the
+    recipe: ``default`` asks it for JSON-LD pages without a recipe candidate (a candidate
+    that turns out broken stays a reject); ``forced`` asks it first on JSON-LD and inline-store
+    pages and falls through to the route's own extractor where it fails.
+    """
     routed = U.route_pages(pages)
     route, html = F.col("route"), F.col("html")
     layout = F.when(route == U.ROUTE_DOM_A, F.lit("a")).when(route == U.ROUTE_DOM_B, F.lit("b"))
     routed = S.add_inline_store_content(routed, F.when(route == U.ROUTE_INLINE_STORE, html), "_store")
     df = routed.select(
         key, "url", "domain", "publisher", "route",
+        *([] if fallback == FALLBACK_NONE else ["html"]),
         L.scripts_of(F.when(route == U.ROUTE_LDJSON, html)).alias("_scripts"),
         S.next_data_document(F.when(route == U.ROUTE_NEXT_DATA, html)).alias("_nd"),
         "_store",
@@ -44,6 +59,8 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     df = S.add_inline_store_recipe(df, "_store")
     df = S.add_dom_recipe(df, "_dom", "_layout")
     df = df.withColumn("recipe", F.coalesce("_rec_ld", "_rec_nd", "_rec_st", "_rec_dom"))
+    if fallback != FALLBACK_NONE:
+        df = _with_second_extractor(df, fallback)
     df = df.withColumn("_title_ok", F.coalesce(clean_text(F.col("recipe.title")), F.lit("")) != "")
     is_ld = route == U.ROUTE_LDJSON
     reason = (F.when(is_ld & (F.coalesce(F.size("_scripts"), F.lit(0)) == 0), F.lit(REASON_NO_LDJSON))
@@ -54,9 +71,29 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
               .when(F.col("_layout").isNotNull() & ~F.coalesce(F.col("_dom.ok"), F.lit(False)),
                     F.coalesce(F.col("_dom.reason"), F.lit("dom_parse_error")))
               .when(~F.col("_title_ok"), F.lit(REASON_EMPTY_TITLE)))
+    if fallback != FALLBACK_NONE:
+        reason = F.when(~F.col("_second"), reason).when(~F.col("_title_ok"), F.lit(REASON_EMPTY_TITLE))
     df = df.withColumn("reason", reason)
-    return df.select(key, "url", "domain", "publisher", "route",
-                     F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason")
+    out = df.select(key, "url", "domain", "publisher", "route",
+                    F.when(F.col("reason").isNull(), F.col("recipe")).alias("recipe"), "reason",
+                    *([] if fallback == FALLBACK_NONE else [F.when(F.col("reason").isNull(), F.col("extractor")).alias("extractor")]))
+    return out
+
+
+def _with_second_extractor(df: DataFrame, fallback: str) -> DataFrame:
+    """Fall through from one extractor to the other; ``_second`` says that the second one made the recipe."""
+    on_ld = F.col("route") == U.ROUTE_LDJSON
+    if fallback == FALLBACK_FORCED:
+        asked = on_ld | (F.col("route") == U.ROUTE_INLINE_STORE)
+    elif fallback == FALLBACK_DEFAULT:
+        asked = on_ld & F.col("_cand.raw").isNull()
+    else:
+        raise ValueError(f"unknown fallback {fallback!r}")
+    df = MD.add_microdata_recipe(df, F.when(asked, F.col("html")), "_rec_md")
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in EXTRACTOR_OF_ROUTE.items() for x in kv]), F.col("route"))
+    return (df.withColumn("_second", F.col("_rec_md").isNotNull())
+            .withColumn("extractor", F.when(F.col("_second"), F.lit(EXTRACTOR_SECOND)).otherwise(own))
+            .withColumn("recipe", F.coalesce("_rec_md", "recipe")).drop("html"))
 
 
 def spread_for_cores(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -9,6 +9,8 @@ page, no grouping), so their size grows with the scale factor:
 * ``site_pages``    (F7) from ``documents``: one page per document on the
   next-data, inline-store and the two DOM layouts; the whole text becomes the
   directions.
+* ``chain_pages``   from ``part``: a JSON recipe, a microdata recipe, both, neither, or a
+  broken JSON recipe beside a microdata one, on a JSON-LD or an inline-store host.
 * ``remapped_pages`` (F1) ``pages`` with the host swapped for a known publisher
   domain by ``page_id % 13``.
 """
@@ -26,7 +28,7 @@ from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
 FIXTURE_VERSION = "v4"
-FIXTURE_TABLES = {"ldjson_pages": ["part"], "site_pages": ["documents"]}
+FIXTURE_TABLES = {"ldjson_pages": ["part"], "site_pages": ["documents"], "chain_pages": ["part"]}
 # Files per derived corpus: a crawl arrives as many files, so scans get
 # parallel splits (a single small parquet file is one row group, one task).
 FIXTURE_FILES_PER_CORE = 2
@@ -167,6 +169,36 @@ def build_ldjson_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def chain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages for the fall-through between extractors (materialised once per scale factor)."""
+    return materialized(spark, sf_dir, "chain_pages", build_chain_pages)
+
+
+def build_chain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per ``part`` row: ``p_partkey % 5`` is 0 JSON only, 1 microdata only, 2 both,
+    3 neither, 4 broken JSON beside microdata; ``p_partkey % 3 = 0`` is an inline-store page."""
+    p = read_table(spark, sf_dir, "part")
+    k, name, brand, ptype = F.col("p_partkey"), F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    s = F.col("p_size").cast("string")
+    ld = _cat('{"@type":"Recipe","name":', jq(name), ',"totalTime":"PT', s, 'M","recipeIngredient":[', jq(brand), "],",
+              F.when(k % 5 == 4, F.lit('"tool":"oven"}')).otherwise(_cat('"recipeInstructions":[', jq(_cat("Mix ", name)), "]}")))
+    store = _cat('{"hed":', jq(name), ',"formattedPrepTime":"PT', s, 'M","ingredientGroups":[{"ingredients":[{"description":', jq(brand),
+                 '}]}],"preparationGroups":[{"steps":[{"description":', jq(_cat("Mix ", name)), "}]}]}")
+    on_store = k % 3 == 0
+    own = F.when(~on_store, _script(k, ld)).otherwise(_cat(
+        "<script>\nroot.__INITIAL_STATE__.store = {", '"content":', store, F.when(k % 5 == 4, F.lit("")).otherwise(F.lit("}")), ";\n</script>"))
+    item = _cat('<div itemscope itemtype="https://schema.org/Recipe"><h1 itemprop="name"> Micro ', html_escape(name), "\n</h1>",
+                '<span itemprop="author" itemscope itemtype="https://schema.org/Person"><b itemprop="name">Cook</b></span>',
+                '<time itemprop="totalTime" datetime="PT', s, 'M">soon</time><meta itemprop="recipeYield" content="', s, ' servings">',
+                "<ul><li itemprop=\"recipeIngredient\">", html_escape(ptype), "</li><li itemprop='recipeIngredient'><b>", html_escape(brand), "</b> &amp; salt</li></ul>",
+                '<div itemprop="recipeInstructions"><p>Chop <i>', html_escape(name), "</i></p><p>Bake<br>Serve &lt;hot&gt;</p></div></div>")
+    head = F.when(k % 5 == 1, F.lit("")).when(k % 5 == 3, F.lit("")).otherwise(own)
+    body = F.when((k % 5 == 0) | (k % 5 == 3), F.lit("")).otherwise(item)
+    host = F.when(on_store, F.lit("www.epicurious.com")).otherwise(F.lit("recipes.example.org"))
+    return p.select(k.alias("page_id"), _cat("https://", host, "/r/", k.cast("string")).alias("url"),
+                    _cat("<!DOCTYPE html><html><head><title>", html_escape(name), "</title>", head, "</head><body>", body, "</body></html>").alias("html"))
+
+
 def remapped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 with the host replaced by the ``page_id % 13``-th known domain (or an unknown one)."""
     pages = read_table(spark, sf_dir, "pages")

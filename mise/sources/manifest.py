@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordinals import with_input_pos
+
 # --- fixed values -----------------------------------------------------------
 # POSIX [[:space:]] (what the manifest trimming strips).
 POSIX_SPACE = r"[ \t\n\x0B\f\r]"
@@ -33,11 +35,9 @@ def parse_manifest(lines: DataFrame, value: str = "value", line_no: str = "line_
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Read a manifest text file (or folder of them) and parse it.
 
-    Line numbers come from ``monotonically_increasing_id`` (increasing in file
-    order within each split), so they order lines but are not dense.
+    ``line_no`` counts all lines from 1 in file order, comments and blank lines included.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return parse_manifest(lines)
+    return parse_manifest(with_input_pos(spark.read.text(path), "line_no", first=1))
 
 
 def manifest_append(loaded: DataFrame, extra: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.recipes import RECIPE_DDL
 from ..session import scratch_path
+from .ordinals import with_input_pos
 
 
 def sink_json(recipes: DataFrame, spark: SparkSession, path: str | None = None, key: str = "page_id") -> str:
@@ -26,14 +27,16 @@ def sink_recipe_files(recipes: DataFrame, spark: SparkSession, path: str | None
     return path
 
 
-def scan_recipe_json(spark: SparkSession, path: str, key: str = "page_id", multi_line: bool = False) -> DataFrame:
+def scan_recipe_json(spark: SparkSession, path: str, key: str = "page_id", multi_line: bool = False,
+                     pos: str | None = None) -> DataFrame:
     """Stored recipe records -> ``(key, recipe)``, schema given (no inference pass).
 
-    ``multi_line=True`` reads pretty-printed single-record files.  A record without a
-    key gets one from its file, its place in it and its content, so that it stays
-    apart from others and keeps it when it is read again.
+    ``multi_line=True`` reads pretty-printed single-record files.  ``pos`` names a
+    column for the record's dense position in input order.  A record without a key has
+    its position as key.
     """
     df = spark.read.schema(f"{key} bigint, {RECIPE_DDL}").option("multiLine", multi_line).json(path)
+    own = pos or "_input_pos"
     recipe = F.struct(*[c for c in df.columns if c != key])
-    own = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.to_json(recipe))
-    return df.select(F.coalesce(F.col(key), own).alias(key), recipe.alias("recipe"))
+    placed = with_input_pos(df, own)
+    return placed.select(F.coalesce(F.col(key), F.col(own)).alias(key), *([own] if pos else []), recipe.alias("recipe"))

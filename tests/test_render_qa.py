@@ -178,8 +178,19 @@ def test_collision_without_positions_or_hot_names(spark):
                                "page_id bigint, filename string, format string, body string")
     got = {r.filename: (r.page_id, r.body, r.n_candidates) for r in RD.filename_collision(df).collect()}
     assert got == {"a.md": (None, "x", 1), "b.md": (1, "y", 2)}
-    plan = RD.filename_collision(df)._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan
+    # Bodies are only aggregated after the join that leaves the winners.
+    plan = RD.filename_collision(df)._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.split("\n") if "Aggregate" in line]
+    assert len(aggregates) == 3 and not any("body" in line for line in aggregates[1:])
+
+
+def test_collision_leaves_one_row_per_name(spark):
+    rows = [(None, "a.md", "md", "x"), (None, "a.md", "md", "x"), (None, "a.md", "md", "w"), (7, "b.md", "md", "y"), (7, "b.md", "md", "y"),
+            (7, "b.md", "rst", "z"), (2, "b.md", "md", "q"), (1, "c.md", None, None), (0, None, "md", "n")]
+    df = spark.createDataFrame(rows, "page_id bigint, filename string, format string, body string")
+    got = RD.filename_collision(df).collect()
+    assert sorted((str(r.filename), r.page_id, r.n_candidates) for r in got) == [("None", 0, 1), ("a.md", None, 3), ("b.md", 7, 4), ("c.md", 1, 1)]
+    assert sorted(got, key=str) == sorted(RD.filename_collision(df.repartition(5)).collect(), key=str)
 
 
 def test_appended_manifest_lines_stay_apart(spark):
@@ -206,6 +217,32 @@ def test_explicit_output_name(spark):
     assert {r.filename: (r.page_id, r.n_candidates) for r in RD.filename_collision(docs).collect()} == {"all.md": (2, 3), "all.md.rst": (2, 3)}
 
 
+def test_golden_gives_one_verdict_whatever_repeats(spark):
+    tests = spark.createDataFrame([(1, "u1", "a.md", "md"), (2, "u1", "b.md", "md"), (3, "u2", "a.md", "md")],
+                                  "line_no bigint, url string, ref_file string, format string")
+    docs = spark.createDataFrame([(1, "u1", "md", "old"), (5, "u1", "md", "new"), (None, "u1", "md", "unset"), (2, "u2", "md", "two"), (2, "u2", "md", "two")],
+                                 "pos bigint, url string, format string, body string")
+    refs = spark.createDataFrame([(1, "a.md", "old"), (2, "a.md", "new"), (1, "b.md", "new  \n")], "pos bigint, ref_file string, body string")
+    got = sorted((r.line_no, r.status) for r in G.golden_run(tests, docs, refs, "pos").collect())
+    assert got == [(1, "PASS"), (2, "PASS"), (3, "FAIL")]
+    assert sorted(tuple(r) for r in G.produced(tests, docs, "pos").collect()) == [(1, "new"), (2, "new"), (3, "two")]
+    # Tests run in line order; the last one that writes a file leaves it.
+    assert sorted(tuple(r) for r in G.golden_reset(tests, docs, "pos").collect()) == [("a.md", "two"), ("b.md", "new")]
+    actual = spark.createDataFrame([(1, "old"), (1, "new"), (3, None)], "line_no bigint, body string")
+    assert G.golden_diff(tests, actual, refs, "pos").count() == 3
+
+
+def test_golden_join_keeps_what_stands_alone(spark):
+    tests = spark.createDataFrame([(1, "u1", "a.md"), (2, "u2", "a.md"), (3, "u3", "new.md"), (4, "u4", None)], "line_no bigint, url string, ref_file string")
+    actual = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "line_no bigint, body string")
+    refs = spark.createDataFrame([("a.md", "x "), ("orphan.md", "o"), ("empty.md", ""), ("orphan.md", "o")], "ref_file string, body string")
+    got = sorted((str(r.ref_file), r.line_no or 0, r.side, r.has_output, r.has_reference, r.same) for r in G.golden_join(tests, actual, refs).collect())
+    assert got == [("None", 4, "test", False, False, False), ("a.md", 1, "both", True, True, True), ("a.md", 2, "both", True, True, False),
+                   ("empty.md", 0, "reference", False, False, False), ("new.md", 3, "test", True, False, False),
+                   ("orphan.md", 0, "reference", False, True, False)]
+    assert G.golden_join(tests.limit(0), actual.limit(0), refs.limit(0)).count() == 0
+
+
 def test_reset_and_write_back(spark, tmp_path):
     tests = spark.createDataFrame([(1, "u1", "a.md", "md"), (2, "u2", "a.md", "md"), (3, "u3", "b.md", "md"), (4, "u1", "c.rst", "rst")],
                                   "line_no bigint, url string, ref_file string, format string")
