@@ -5,8 +5,8 @@ tokenizers library gives for that prefix, so "how many tokens" and "where must t
 be cut to fit a budget" are look-ups; nothing is encoded again.
 
 White space separates units, and a prefix differs from the whole text in its last
-unit only, so a text's table is two levels deep: the count before each unit, and within a
-unit the counts of its prefixes (kept for units that come again).  Inside a unit the
+unit only, so a text's table is two levels deep: a total for each unit, and within a unit
+the counts of its prefixes, closed from the unit's programme when they are asked for.  Inside a unit the
 library's pieces (letter runs, single digits, other runs, contractions) are a dynamic
 programme over their symbols: a sequence of BPE tokens is the encoding of its text exactly
 when each neighbouring pair is, so the last token of a prefix is the one vocabulary entry
@@ -30,7 +30,7 @@ import json
 import os
 import unicodedata
 from array import array
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -43,10 +43,12 @@ from .common import map_rows, per_process
 MODEL_PATH = "/opt/tokenizers/word_bpe_49k.json"
 MAX_MODEL_BYTES = 64 << 20
 LIMIT = 2048
-# Kept in a worker process: characters of units and pieces with their counts, and token pairs.
-KEPT_CHARS = 10_000_000
+# Kept in a worker process: bytes of units and pieces with their counts, and token pairs.
+KEPT_BYTES = 240 << 20
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 128
+ENTRY_BYTES = 180
+BLOCK_CHARS = 1 << 20
 
 # --- fixed values (of the tokenizer's file) -----------------------------------
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
@@ -70,6 +72,14 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _reach(tokens: dict[str, int]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for t in tokens:
+        if len(t) > 2:
+            out[t[-3:]] = max(len(t), out.get(t[-3:], 0))
+    return out
+
+
 class Merges:
     """Which tokens stand next to each other in an encoding, by the vocabulary's merge ranks."""
 
@@ -78,6 +88,8 @@ class Merges:
         self.plain = {t: i for t, i in vocab.items() if not t.endswith(suffix)}
         self.ends = {t[:-len(suffix)]: i for t, i in vocab.items() if t.endswith(suffix) and len(t) > len(suffix)}
         self.longest = max(map(len, (*self.plain, *self.ends)))
+        # How far back a token can begin, by the three symbols that it ends in.
+        self.reach, self.reach_end = _reach(self.plain), _reach(self.ends)
         self.rank: dict[tuple[int, int], int] = {}
         # The merge that makes a token: its rank, left and right part.
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -181,7 +193,7 @@ class Reader:
         kind, counter = self.counter.kind(char), self.counter
         quote = self.quote + char if self.quote else ""
         if quote in CONTRACTIONS:
-            self.done, self.open = self.before_quote, counter.piece(quote)[-1]
+            self.done, self.open = self.before_quote, counter.piece_total(quote)
             self.kind, self.piece, self.quote = CLOSED, None, ""
             return
         if kind != self.kind or kind not in (LETTER, OTHER):
@@ -194,6 +206,29 @@ class Reader:
             self.open = self.piece.push(counter.symbols(char))
 
 
+class Kept:
+    """Bounded memory of what is often asked: the older half goes when the newer one is full."""
+
+    def __init__(self, most_bytes: int):
+        self.most, self.size, self.new, self.old = most_bytes // 2, 0, {}, {}
+
+    def get(self, key: str) -> object:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: object, more: int = 0) -> None:
+        if len(key) > LONGEST_KEPT:
+            return
+        self.size += len(key) + more + ENTRY_BYTES
+        if self.size > self.most:
+            self.old, self.new, self.size = self.new, {}, len(key) + more + ENTRY_BYTES
+        self.new[key] = value
+
+
 class Counter:
     """Prefix counts of units and texts for one tokenizer file."""
 
@@ -210,14 +245,13 @@ class Counter:
         self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_rx = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.unit_rx = regex.compile(f"[^{SPACE}]+")
+        self.unit_rx, self.space_rx = regex.compile(f"[^{SPACE}]+"), regex.compile(f"[{SPACE}]")
         self.piece_rx = regex.compile(rf"\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.bytes = byte_symbols()
         self.kinds: dict[str, int] = {}
         self.spelt: dict[str, str] = {}
-        self.pieces: dict[str, tuple] = {}
-        self.units: dict[str, tuple] = {}
-        self.kept = 0
+        # Totals of units and pieces, and the counts of all prefixes of those that were asked for them.
+        self.units, self.pieces, self.prefixes = Kept(KEPT_BYTES // 2), Kept(KEPT_BYTES // 4), Kept(KEPT_BYTES // 4)
 
     def symbols(self, char: str) -> str:
         found = self.spelt.get(char)
@@ -235,68 +269,73 @@ class Counter:
                                         else OTHER if pieces("!" + char) == 1 else NUMBER)
         return found
 
-    def _keep(self, box: dict[str, tuple], key: str, counts: tuple) -> None:
-        if len(key) > LONGEST_KEPT:
-            return
-        self.kept += len(key) + 8
-        if self.kept > KEPT_CHARS:
-            self.pieces.clear()
-            self.units.clear()
-            self.kept = len(key) + 8
-        box[key] = counts
-
     def piece(self, chars: str) -> tuple:
         """Counts of each prefix of one piece, each as a piece of its own."""
-        found = self.pieces.get(chars)
+        found = self.prefixes.get(chars)
         if found is None:
             parts = [self.symbols(c) for c in chars]
             found = tuple(self._programme("".join(parts), [len(p) for p in parts]))
-            self._keep(self.pieces, chars, found)
+            self.prefixes.put(chars, found, 8 * len(found))
+        return found
+
+    def piece_total(self, chars: str) -> int:
+        found = self.pieces.get(chars)
+        if found is None:
+            symbols = chars if chars.isascii() and chars.isprintable() else "".join([self.symbols(c) for c in chars])
+            found = self._programme(symbols, [len(symbols)])[0]
+            self.pieces.put(chars, found)
         return found
 
     def _programme(self, symbols: str, sizes: list[int]) -> list[int]:
-        """``Piece`` in one go: the counts after each character of ``sizes`` symbols."""
+        """``Piece`` in one go: the counts after each group of ``sizes`` symbols, closed there."""
         merges = self.merges
-        plain, ends, follows, longest = merges.plain.get, merges.ends.get, merges.follows, merges.longest
+        plain, ends, known, apart = merges.plain.get, merges.ends.get, merges.known.get, merges.follows
+        reach, reach_end = merges.reach.get, merges.reach_end.get
         last, count, closed, i = [NONE], [0], [], 0
         for size in sizes:
             for i in range(i + 1, i + size + 1):
-                low = max(0, i - longest)
-                for j in range(low, i):
+                low = i - reach(symbols[i - 3:i], 2) if i > 2 else 0
+                for j in range(low if low > 0 else 0, i):
                     token = plain(symbols[j:i])
-                    if token is not None and follows(last[j], token):
-                        last.append(token)
-                        count.append(count[j] + 1)
-                        break
-            for j in range(low, i):
+                    if token is not None:
+                        fits = known(last[j] << 32 | token) if j else True
+                        if fits or fits is None and apart(last[j], token):
+                            last.append(token)
+                            count.append(count[j] + 1)
+                            break
+            low = i - reach_end(symbols[i - 3:i], 2) if i > 2 else 0
+            for j in range(low if low > 0 else 0, i):
                 token = ends(symbols[j:i])
-                if token is not None and follows(last[j], token):
+                if token is not None and (not j or apart(last[j], token)):
                     closed.append(count[j] + 1)
                     break
         if len(last) != len(symbols) + 1 or len(closed) != len(sizes):
             raise ValueError(f"the vocabulary cannot encode {symbols[:80]!r}")
         return closed
 
+    def _is_plain(self, chars: str) -> bool:
+        return max(chars) < LATIN_END and "'" not in chars and DOTTED_I not in chars and not self.special_rx.search(chars)
+
     def unit(self, chars: str) -> tuple:
         """Counts of each prefix of one unit (a run without white space)."""
-        found = self.units.get(chars)
-        if found is None:
-            plain = max(chars) < LATIN_END and "'" not in chars and DOTTED_I not in chars and not self.special_rx.search(chars)
-            found = self._plain_unit(chars) if plain else self._any_unit(chars)
-            self._keep(self.units, chars, found)
-        return found
-
-    def _plain_unit(self, chars: str) -> tuple:
-        pieces = self.piece_rx.findall(chars.lower())
-        if len(pieces) == 1:
-            return self.piece(pieces[0])
+        if not self._is_plain(chars):
+            return self._any_unit(chars)
         out, done = [], 0
-        for p in pieces:
-            counts = self.piece(p)
-            out += [done + n for n in counts]
+        for p in self.piece_rx.findall(chars.lower()):
+            out += [done + n for n in self.piece(p)]
             done = out[-1]
         return tuple(out)
 
+    def unit_total(self, chars: str) -> int:
+        found = self.units.get(chars)
+        if found is None:
+            if self._is_plain(chars):
+                found = sum([self.piece_total(p) for p in self.piece_rx.findall(chars.lower())])
+            else:
+                found = self._any_unit(chars)[-1]
+            self.units.put(chars, found)
+        return found
+
     def _any_unit(self, chars: str) -> tuple:
         out: list[int] = []
         reader, at = Reader(self), 0
@@ -327,51 +366,61 @@ class Counter:
             out.append(reader.tokens)
 
     def table(self, text: str) -> Table:
-        starts, before, units, total = array("q"), array("q"), [], 0
-        known, unit = self.units.get, self.unit
-        for hit in self.unit_rx.finditer(text):
-            chars = hit.group()
-            counts = known(chars) or unit(chars)
-            starts.append(hit.start())
-            before.append(total)
-            units.append(counts)
-            total += counts[-1]
-        return Table(len(text), total, starts, before, units)
+        totals, kept, at = array("i"), self.units, 0
+        while at < len(text):
+            # Units of a block of about BLOCK_CHARS, which ends at white space.
+            end = self.space_rx.search(text, at + BLOCK_CHARS)
+            end = end.start() if end else len(text)
+            for chars in self.unit_rx.findall(text, at, end):
+                n = kept.new.get(chars)
+                totals.append(self.unit_total(chars) if n is None else n)
+            at = end
+        return Table(self, text, totals)
 
 
 class Table:
-    """Exact token count of every prefix of one text, in two levels."""
+    """Exact token count of every prefix of one text: a total for each unit, and prefixes of a unit as they are asked for."""
 
-    def __init__(self, n_chars: int, total: int, starts: array, before: array, units: list[tuple]):
-        self.n_chars, self.total, self.starts, self.before, self.units = n_chars, total, starts, before, units
+    def __init__(self, counter: Counter, text: str, totals: array):
+        self.counter, self.text, self.totals, self.total = counter, text, totals, sum(totals)
+
+    def _units(self) -> Iterator:
+        return self.counter.unit_rx.finditer(self.text)
 
     def at(self, n: int) -> int:
         """Tokens of the first ``n`` characters."""
-        k = bisect_right(self.starts, n - 1) - 1
-        if k < 0:
-            return 0
-        inside = min(n - self.starts[k], len(self.units[k]))
-        return self.before[k] + self.units[k][inside - 1]
+        before = 0
+        for hit, total in zip(self._units(), self.totals):
+            if hit.start() >= n:
+                return before
+            if hit.end() > n:
+                return before + self.counter.unit(hit.group())[n - hit.start() - 1]
+            before += total
+        return before
 
     def longest_within(self, budget: int) -> int:
         """Characters of the longest prefix with at most ``budget`` tokens."""
         if self.total <= budget:
-            return self.n_chars
-        k = bisect_right(self.before, budget) - 1
-        if k < 0:
+            return len(self.text)
+        if budget < 0:
             return 0
-        # Units before this one fit, units after it begin beyond the budget; within it counts may fall again.
-        left = budget - self.before[k]
-        inside = next((i + 1 for i in range(len(self.units[k]) - 1, -1, -1) if self.units[k][i] <= left), 0)
-        return self.starts[k] + inside
+        before = 0
+        for hit, total in zip(self._units(), self.totals):
+            if before + total > budget:
+                # The units after this one begin beyond the budget; within it counts may fall again.
+                counts = self.counter.unit(hit.group())
+                return hit.start() + next((i for i in range(len(counts), 0, -1) if before + counts[i - 1] <= budget), 0)
+            before += total
+        return len(self.text)
 
     def counts(self) -> array:
         """Counts of all prefixes, the empty one first."""
-        out = array("i", bytes(4))
-        for k, counts in enumerate(self.units):
-            out.extend([self.before[k]] * (self.starts[k] + 1 - len(out)))
-            out.extend([self.before[k] + n for n in counts])
-        out.extend([self.total] * (self.n_chars + 1 - len(out)))
+        out, before = array("i", [0]), 0
+        for hit, total in zip(self._units(), self.totals):
+            out.extend([before] * (hit.start() + 1 - len(out)))
+            out.extend([before + n for n in self.counter.unit(hit.group())])
+            before += total
+        out.extend([before] * (len(self.text) + 1 - len(out)))
         return out
 
 
