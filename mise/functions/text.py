@@ -116,7 +116,11 @@ def _minutes_text_sql(m: str, d: str) -> str:
 
 
 def _sql_functions() -> dict[str, tuple[str, str, str]]:
+    from .wrapping import wrapped_groups_sql
+
     return {
+        "mise_wrap_groups": ("grs ARRAY<ARRAY<STRING>>, md STRING, bl STRING, af BOOLEAN, wd INT", "STRING",
+                             wrapped_groups_sql("grs", "md", "bl", "af", "wd")),
         "mise_py_strip": ("x STRING", "STRING", _py_strip_sql("x")),
         "mise_strip_tags": ("x STRING", "STRING", _strip_tags_sql("x", False)),
         "mise_strip_tags_nl": ("x STRING", "STRING", _strip_tags_sql("x", True)),

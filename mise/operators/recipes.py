@@ -95,8 +95,8 @@ def author_rule(author: Column, publisher: Column) -> Column:
             .otherwise(author))
 
 
-def flat_recipe(recipes: DataFrame, key: str = "page_id", sep: str = " | ") -> DataFrame:
-    """Scalar view of a recipe struct column ``recipe`` (for checks and export)."""
+def flat_recipe(recipes: DataFrame, key: str = "page_id", sep: str = " | ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scalar view of a recipe struct column ``recipe`` (for checks and export), with the columns of ``keep``."""
     r = F.col("recipe")
     ingr = F.flatten(H.transform(r["ingredient_groups"], lambda g: g["ingredients"]))
     dirs = F.flatten(H.transform(r["direction_groups"], lambda g: g["directions"]))
@@ -110,6 +110,7 @@ def flat_recipe(recipes: DataFrame, key: str = "page_id", sep: str = " | ") -> D
         F.coalesce(F.size(dirs), F.lit(0)).alias("n_directions"),
         F.coalesce(F.array_join(dirs, sep), F.lit("")).alias("directions"),
         F.coalesce(F.array_join(r["notes"], sep), F.lit("")).alias("notes"),
+        *keep,
     )
 
 
@@ -145,3 +146,39 @@ def assemble_groups(titles: Column, items: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.zip_with(titles, items, lambda t, i: F.struct(
         F.when(n > 1, F.coalesce(t, F.lit(""))).otherwise(F.lit("")).alias("title"), F.coalesce(i, none).alias("ingredients")))
+
+
+# Items that one task gathers at a time; a longer group comes together from such chunks.
+NEST_CHUNK = 1000
+
+
+def nest_items(flat: DataFrame, key: str = "page_id", chunk: int = NEST_CHUNK) -> DataFrame:
+    """Flat rows ``(key, section, group_pos, group_title, item_no, item)`` back to
+    ``(key, ingredient_groups, direction_groups)``: the inverse of ``flatten_items``.
+
+    Rows may come in any order.  Items are ordered by ``item_no`` (rows with one number by their text,
+    null first), groups by ``group_pos``; numbers need not be dense.  An ingredient group's title is
+    kept only when the recipe has more than one ingredient group.  A group without items has
+    no rows and does not come back.
+
+    Two levels, each ordered by the sort keys it carries.  Chunks of ``chunk``
+    numbers of a group are gathered and sorted first, so the rows of one very long group
+    are dealt to many tasks and only its sorted chunks meet.
+    """
+    part = F.floor((F.col("item_no") - 1) / chunk).alias("_part")
+    rows = flat.select(key, "section", "group_pos", part, F.struct("item_no", "item").alias("_it"),
+                       F.when(F.col("group_title") != "", F.struct("item_no", "group_title")).alias("_title"))
+    pieces = rows.groupBy(key, "section", "group_pos", "_part").agg(
+        F.transform(F.array_sort(F.collect_list("_it")), lambda x: x["item"]).alias("_items"), F.min("_title").alias("_title"))
+    groups = pieces.groupBy(key, "section", "group_pos").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_items"))), lambda x: x["_items"])).alias("items"),
+        F.coalesce(F.min("_title")["group_title"], F.lit("")).alias("title"))
+    nested = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "group_pos", "title", "items"))).alias("_g"))
+
+    def of(section: str, title: str, items: str, titled: Column) -> Column:
+        own = F.filter("_g", lambda g: g["section"] == section)
+        return F.transform(own, lambda g: F.struct(F.when(titled, g["title"]).otherwise(F.lit("")).alias(title), g["items"].alias(items)))
+
+    several = F.size(F.filter("_g", lambda g: g["section"] == "ingredients")) > 1
+    return nested.select(key, of("ingredients", "title", "ingredients", several).alias("ingredient_groups"),
+                         of("directions", "group", "directions", F.lit(True)).alias("direction_groups"))

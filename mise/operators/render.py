@@ -2,23 +2,18 @@
 
 Rendering is a projection over the recipe row: headers, info and source
 lines are string expressions; list blocks are ``transform`` + ``array_join``
-over the nested arrays.  Line wrapping at 75 columns is native (a greedy
-regex, exact for single-spaced text without hyphens or over-long words) and
-falls back to Python's ``textwrap`` through one Arrow UDF that receives NULL
-for every block the native path already handles.
+over the nested arrays.  Lines are wrapped at 75 columns by an in-row fold
+(``functions.wrapping``), so no part of a document leaves the JVM.
 """
 
 from __future__ import annotations
 
-import textwrap
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import hof as H
-from ..functions.text import clean_text, output_filename, title_filename
+from ..functions.jsontext import pretty_json
+from ..functions.text import clean_text, output_filename, register_sql_functions, title_filename
 from ..functions.urls import url_domain
 
 # --- fixed values -----------------------------------------------------------
@@ -64,86 +59,17 @@ def source_line(url: Column, author: Column, fmt: str) -> Column:
 
 
 # ------------------------------------------------------------------ wrapping
-def _native_ok(text: Column, width: int) -> Column:
-    """Greedy regex wrap equals textwrap for single-spaced text with no hyphen
-    and no word longer than the width."""
-    # textwrap breaks only at ASCII whitespace and after hyphens.  Written as a
-    # negative test of flat classes: a repeated group would recurse per word
-    # in java.util.regex and overflow the stack on long texts.
-    # A word of other Unicode spaces only is dropped by textwrap at a line's ends.
-    return ~text.rlike(r"(?d)[\t\n\x0B\f\r\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]|  |^ | $|-") \
-        & ~text.rlike(r"[^ ]{%d,}" % (width + 1))
-
-
-def _native_wrap(text: Column, width: int) -> Column:
-    out = F.regexp_replace(text, r"(?d)(.{1,%d})(?: +|$)" % width, "$1\n")
-    return F.split(F.regexp_replace(out, "(?d)\n$", ""), "\n")
-
-
-def _prefixed_lines(text: Column, prefix: Column) -> Column:
-    """Native textwrap(text, 75, initial_indent=prefix, subsequent_indent=spaces)."""
-    p = F.char_length(prefix)
-    pad = F.repeat(F.lit(" "), p)
-    lines = (F.when(p == 0, _native_wrap(text, WRAP_WIDTH))
-             .when(p == 3, _native_wrap(text, WRAP_WIDTH - 3))
-             .when(p == 4, _native_wrap(text, WRAP_WIDTH - 4))
-             .otherwise(_native_wrap(text, WRAP_WIDTH - 5)))
-    return H.transform(lines, lambda l, i: F.concat(F.when(i == 0, prefix).otherwise(pad), l))
-
-
-def _native_ok_prefixed(text: Column, prefix: Column) -> Column:
-    p = F.char_length(prefix)
-    return (text == "") | (p.isin(0, 3, 4, 5) & (
-        F.when(p == 0, _native_ok(text, WRAP_WIDTH)).when(p == 3, _native_ok(text, WRAP_WIDTH - 3))
-         .when(p == 4, _native_ok(text, WRAP_WIDTH - 4)).otherwise(_native_ok(text, WRAP_WIDTH - 5))))
-
-
-def _py_groups(groups, mode: str, bullet: str, blank_after: bool) -> str:
-    out = []
-    for items in groups:
-        for n, item in enumerate(list(items) if items is not None else [], 1):
-            prefix = f"{n}. " if mode == "numbered" else (bullet + " " if mode == "bullet" else "")
-            for line in textwrap.wrap(item or "", width=WRAP_WIDTH, initial_indent=prefix,
-                                      subsequent_indent=" " * len(prefix)):
-                out.append(line + "\n")
-            if blank_after:
-                out.append("\n")
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def wrap_groups_udf(groups: pd.Series, mode: pd.Series, bullet: pd.Series, blank: pd.Series) -> pd.Series:
-    """Exact textwrap of a whole block (only rows the native path cannot take)."""
-    return pd.Series([None if g is None else _py_groups(list(g), m, b, bool(k))
-                      for g, m, b, k in zip(groups, mode, bullet, blank)], dtype=object)
-
-
 def wrap_groups(groups: Column, mode: str, bullet: str = "", blank_after: bool = False) -> Column:
     """Wrapped lines of a list of item lists, each line followed by a newline.
 
     ``numbered``: prefix ``n. `` restarting in every group (directions);
     ``plain``: no prefix; ``bullet``: ``<bullet> `` prefix.  ``blank_after``
-    adds an empty line after every item (notes).
+    adds an empty line after every item (notes).  Lines after an item's first are
+    indented by the length of its prefix.
     """
-    def prefix(i):
-        if mode == "numbered":
-            return F.concat((i + 1).cast("string"), F.lit(". "))
-        if mode == "bullet":
-            return F.lit(bullet + " ")
-        return F.lit("")
-
-    empty = F.array().cast("array<string>")
-    ok = H.forall(groups, lambda g: H.forall(
-        H.transform(F.coalesce(g, empty), lambda x, i: _native_ok_prefixed(F.coalesce(x, F.lit("")), prefix(i))),
-        lambda b: b))
-    item_text = lambda x, i: F.concat(
-        F.array_join(H.transform(F.when(F.coalesce(x, F.lit("")) == "", empty).otherwise(_prefixed_lines(x, prefix(i))),
-                                 lambda l: F.concat(l, F.lit("\n"))), ""),
-        F.lit("\n" if blank_after else ""))
-    native = F.array_join(H.transform(groups, lambda g: F.array_join(
-        H.transform(F.coalesce(g, empty), item_text), "")), "")
-    slow = wrap_groups_udf(F.when(~ok, groups), F.lit(mode), F.lit(bullet), F.lit(blank_after))
-    return F.when(groups.isNull(), F.lit("")).when(ok, native).otherwise(slow)
+    register_sql_functions()
+    wrapped = F.call_function("mise_wrap_groups", groups, F.lit(mode), F.lit(bullet), F.lit(blank_after), F.lit(WRAP_WIDTH))
+    return F.coalesce(wrapped, F.lit(""))
 
 
 # ----------------------------------------------------------------- documents
@@ -206,7 +132,8 @@ def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str =
                 recipe: str = "recipe", outfile: str | None = None) -> DataFrame:
     """``(key, format, filename, body)``: one document per recipe and format.
 
-    No format given -> rst; recipes with an empty title produce no document.
+    No format given -> rst; recipes with an empty title produce no document.  JSON is
+    indented by four and in ASCII, unset fields left out.
     ``outfile`` names every document (the last one written stays, see
     ``filename_collision``); without it the title does.
     Narrow: fan-out is a generator over a literal array, no shuffle.
@@ -215,7 +142,7 @@ def render_docs(recipes: DataFrame, formats: list[str] | None = None, key: str =
     staged = add_documents_staging(recipes.filter(_s(F.col(recipe)["title"]) != ""), recipe)
     body = F.lit(None).cast("string")
     for f in fmts:
-        b = F.to_json(F.col(recipe)) if f == "json" else render_body(f, recipe)
+        b = pretty_json(recipe, recipes.schema[recipe].dataType) if f == "json" else render_body(f, recipe)
         body = F.when(F.col("format") == f, b).otherwise(body)
     out = (staged.withColumn("format", F.explode(F.array(*[F.lit(f) for f in fmts])))
            .withColumn("body", body)

@@ -351,60 +351,61 @@ def _sites_extracted(spark, d) -> DataFrame:
 
 
 def _sites_flat(spark, d) -> DataFrame:
-    ex = _sites_extracted(spark, d)
-    return _flat(X.recipes_of(ex)).join(ex.select("page_id", "route"), "page_id")
+    return R.flat_recipe(X.recipes_of(_sites_extracted(spark, d)), keep=("route",))
 
 
 def _ws(words_expr: str, fn) -> str:
     return f"list_transform({words_expr}, lambda w: {fn('w')})"
 
 
-_ND_INGR = ("list_transform(words, lambda w, i: " +
+_ND_INGR = ("list_transform(lines, lambda w, i: " +
             O.strip_tags("CAST(i AS VARCHAR) || ' ' || (CASE WHEN (i - 1) % 2 = 0 THEN 'cup' ELSE '' END) || ' ' || "
                          + O.clean_text("w") + " || (CASE WHEN (i - 1) % 3 = 0 THEN ', chopped' ELSE '' END)", True) + ")")
 _F7_BASE = f"""
-f7 AS (SELECT doc_id AS d, string_split(text, chr(10)) AS lines FROM documents),
-f7a AS (SELECT d, lines, lines[1] AS l1, string_split(lines[1], ' ') AS words FROM f7),
-f7b AS (SELECT *, array_to_string(words[1:6], ' ') AS title0 FROM f7a),
-nd AS (SELECT d AS page_id, 'next_data' AS route,
+f7 AS (SELECT doc_id AS d, text AS t, string_split(text, chr(10)) AS lines FROM documents),
+f7b AS (SELECT *, lines[1] AS title0 FROM f7),
+nd AS (SELECT d, d * 4 AS page_id, 'next_data' AS route,
   'https://' || {O.pick('d', FX.NEXT_DATA_DOMAINS)} || '/recipes/' || CAST(d AS VARCHAR) AS url,
-  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text('l1'), True)} AS description,
+  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text('t'), True)} AS description,
   CAST(d % 8 + 1 AS VARCHAR) || ' servings' AS yield, '' AS preptime, '' AS cooktime,
   CASE WHEN d % 3 = 0 THEN 'TBD' ELSE CAST(d % 90 + 5 AS VARCHAR) || ' minutes' END AS totaltime,
   CASE WHEN d % 2 = 0 THEN {O.publisher(O.pick('d', FX.NEXT_DATA_DOMAINS))} ELSE 'Test Kitchen ' || CAST(d % 5 AS VARCHAR) END AS author,
   CASE WHEN d % 3 = 0 THEN 2 ELSE 1 END AS n_ingredient_groups,
   CASE WHEN d % 3 = 0 THEN list_append({_ND_INGR}, '1 pinch salt') ELSE {_ND_INGR} END AS ingr,
   {_ws('lines', lambda l: O.strip_tags(O.clean_text(l), True))} AS dirs,
-  {O.strip_tags(O.clean_text("'<p>' || l1 || '</p>'"), True)} AS notes
-  FROM f7b WHERE d % 4 = 0),
-st AS (SELECT d AS page_id, 'inline_store' AS route, 'https://www.epicurious.com/recipes/' || CAST(d AS VARCHAR) AS url,
-  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text("'<p>' || l1 || '</p>'"))} AS description,
+  {O.strip_tags(O.clean_text("'<p>*** ' || t || '</p>'"), True)} AS notes
+  FROM f7b),
+st AS (SELECT d, d * 4 + 1 AS page_id, 'inline_store' AS route, 'https://www.epicurious.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  {O.clean_text('title0')} AS title, {O.strip_tags(O.clean_text("'<p>' || t || '</p>'"))} AS description,
   'Serves ' || CAST(d % 6 + 1 AS VARCHAR) AS yield,
   {O.minutes_text('(d % 50)', '')} AS preptime, {O.minutes_text('((d % 4) * 60 + d % 60)', '')} AS cooktime,
   {O.minutes_text('(d % 50 + (d % 4) * 60 + d % 60)')} AS totaltime,
   CASE WHEN d % 3 = 2 THEN 'Epicurious Staff' ELSE 'Epicurious (Cook ' || CAST(d % 7 AS VARCHAR) || ')' END AS author,
   CASE WHEN d % 2 = 0 THEN 2 ELSE 1 END AS n_ingredient_groups,
-  CASE WHEN d % 2 = 0 THEN list_append({_ws('words', lambda w: O.strip_tags(O.clean_text(w)))}, 'salt &amp; pepper')
-       ELSE {_ws('words', lambda w: O.strip_tags(O.clean_text(w)))} END AS ingr,
+  CASE WHEN d % 2 = 0 THEN list_append({_ws('lines', lambda w: O.strip_tags(O.clean_text(w)))}, 'salt &amp; pepper')
+       ELSE {_ws('lines', lambda w: O.strip_tags(O.clean_text(w)))} END AS ingr,
   {_ws('lines', lambda l: O.strip_tags(O.clean_text(l)))} AS dirs, '' AS notes
-  FROM f7b WHERE d % 4 = 1),
-da AS (SELECT d AS page_id, 'dom_saveur' AS route, 'https://www.saveur.com/recipes/' || CAST(d AS VARCHAR) AS url,
-  title0 AS title, l1 AS description, 'Makes ' || CAST(d % 6 + 1 AS VARCHAR) AS yield, '' AS preptime,
+  FROM f7b),
+da AS (SELECT d, d * 4 + 2 AS page_id, 'dom_saveur' AS route, 'https://www.saveur.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  title0 AS title, t AS description, 'Makes ' || CAST(d % 6 + 1 AS VARCHAR) AS yield, '' AS preptime,
   {O.minutes_text('(d % 120)', '')} AS cooktime, {O.minutes_text('(d % 120)')} AS totaltime,
   'Saveur' AS author, 1 AS n_ingredient_groups,
-  {_ws('words', O.leaf_text)} AS ingr, {_ws('lines', O.leaf_text)} AS dirs, '' AS notes
-  FROM f7b WHERE d % 4 = 2),
-db AS (SELECT d AS page_id, 'dom_squarespace' AS route, 'https://www.thecookingguy.com/recipes/' || CAST(d AS VARCHAR) AS url,
-  title0 || ' ' AS title, l1 AS description, 'Serves ' || CAST(d % 6 + 1 AS VARCHAR) AS yield,
+  {_ws('lines', O.leaf_text)} AS ingr, {_ws('lines', O.leaf_text)} AS dirs, '' AS notes
+  FROM f7b),
+db AS (SELECT d, d * 4 + 3 AS page_id, 'dom_squarespace' AS route, 'https://www.thecookingguy.com/recipes/' || CAST(d AS VARCHAR) AS url,
+  title0 || ' ' AS title, t AS description, 'Serves ' || CAST(d % 6 + 1 AS VARCHAR) AS yield,
   '' AS preptime, '' AS cooktime, '' AS totaltime, 'Sam the Cooking Guy (Sam Zien)' AS author, 1 AS n_ingredient_groups,
-  CASE WHEN d % 8 = 7 THEN {_ws('words', O.leaf_text)} ELSE ['Serves ' || CAST(d % 6 + 1 AS VARCHAR), {O.leaf_text('l1')}] END AS ingr,
-  CASE WHEN d % 8 = 7 THEN {_ws('words', O.leaf_text)} ELSE {_ws('lines', O.leaf_text)} END AS dirs, '' AS notes
-  FROM f7b WHERE d % 4 = 3),
+  CASE WHEN d % 2 = 1 THEN {_ws('lines', O.leaf_text)} ELSE ['Serves ' || CAST(d % 6 + 1 AS VARCHAR), {O.leaf_text('t')}] END AS ingr,
+  {_ws('lines', O.leaf_text)} AS dirs, '' AS notes
+  FROM f7b),
 f7x AS (
-  SELECT page_id, route, url, title, description, yield, preptime, cooktime, totaltime, author,
+  SELECT d, page_id, route, url, title, description, yield, preptime, cooktime, totaltime, author,
          CAST(n_ingredient_groups AS INTEGER) AS n_ingredient_groups,
          CAST(len(ingr) AS INTEGER) AS n_ingredients, array_to_string(ingr, ' | ') AS ingredients,
-         CAST(len(dirs) AS INTEGER) AS n_directions, array_to_string(dirs, ' | ') AS directions, notes, ingr, dirs
+         CAST(len(dirs) AS INTEGER) AS n_directions, array_to_string(dirs, ' | ') AS directions, notes, ingr, dirs,
+         CASE WHEN n_ingredient_groups = 1 THEN [{{'title': '', 'items': ingr}}]
+              WHEN route = 'next_data' THEN [{{'title': 'For the base', 'items': ingr[1:len(ingr) - 1]}}, {{'title': 'To finish', 'items': ingr[len(ingr):]}}]
+              ELSE [{{'title': '', 'items': ingr[1:len(ingr) - 1]}}, {{'title': '', 'items': ingr[len(ingr):]}}] END AS igroups
   FROM (SELECT * FROM nd UNION ALL SELECT * FROM st UNION ALL SELECT * FROM da UNION ALL SELECT * FROM db))
 """
 
@@ -455,20 +456,24 @@ def q_em_dash_to_space(spark, d):
         (F.locate(S.EM_DASH, out) == 0).alias("dash_free"))
 
 
-@register("assemble_groups", f"""WITH {_F7_BASE},
-g AS (SELECT page_id, route, d FROM f7x JOIN f7b ON f7b.d = f7x.page_id)
-SELECT page_id, CAST(0 AS INTEGER) AS group_pos,
-       CASE WHEN route = 'next_data' AND d % 3 = 0 THEN 'For the base' ELSE '' END AS group_title,
-       CAST(CASE WHEN route = 'dom_squarespace' AND d % 8 <> 7 THEN 2 ELSE len(f7b.words) END AS INTEGER) AS n_items
-FROM g JOIN f7b USING (d)
-UNION ALL
-SELECT page_id, CAST(1 AS INTEGER), CASE WHEN route = 'next_data' THEN 'To finish' ELSE '' END, CAST(1 AS INTEGER)
-FROM g WHERE (route = 'next_data' AND d % 3 = 0) OR (route = 'inline_store' AND d % 2 = 0)""")
+@register("assemble_groups", f"""WITH {_F7_BASE}
+SELECT page_id, CAST(i - 1 AS INTEGER) AS group_pos, igroups[i].title AS group_title, CAST(len(igroups[i].items) AS INTEGER) AS n_items
+FROM (SELECT page_id, igroups, unnest(range(1, len(igroups) + 1)) AS i FROM f7x)""")
 def q_assemble_groups(spark, d):
-    rec = X.recipes_of(_sites_extracted(spark, d))
-    return rec.select("page_id", F.posexplode("recipe.ingredient_groups").alias("group_pos", "g")) \
-        .select("page_id", "group_pos", F.col("g.title").alias("group_title"),
-                F.size("g.ingredients").alias("n_items"))
+    """Groups put together from flat rows, one for each item."""
+    flat = R.flatten_items(X.recipes_of(_sites_extracted(spark, d)))
+    return R.nest_items(flat).select("page_id", F.posexplode("ingredient_groups").alias("group_pos", "g")) \
+        .select("page_id", "group_pos", F.col("g.title").alias("group_title"), F.size("g.ingredients").alias("n_items"))
+
+
+@register("nest_items", f"""WITH {_F7_BASE}
+SELECT page_id, array_to_string([g.title || ': ' || array_to_string(g.items, ' | ') for g in igroups], chr(10)) AS ingredients, directions FROM f7x""")
+def q_nest_items(spark, d):
+    """Flat item rows, dealt anew without any order, back to whole nested lists."""
+    flat = R.flatten_items(X.recipes_of(_sites_extracted(spark, d))).repartition("item")
+    groups = F.transform("ingredient_groups", lambda g: F.concat(g["title"], F.lit(": "), F.array_join(g["ingredients"], " | ")))
+    return R.nest_items(flat).select("page_id", F.array_join(groups, "\n").alias("ingredients"),
+                                     F.array_join(F.flatten(F.transform("direction_groups", lambda g: g["directions"])), " | ").alias("directions"))
 
 
 @register("flatten_items", f"""WITH {_F7_BASE}
@@ -566,11 +571,6 @@ def q_filename_collision(spark, d):
     return RD.filename_collision(docs).select("filename", "page_id", "n_candidates")
 
 
-for _fmt in ["md", "rst", "json"]:
-    register(f"render_{_fmt}")((lambda fmt: lambda spark, d: RD.render_docs(
-        _sites_recipes(spark, d).unionByName(_f2_recipes(spark, d)), [fmt]))(_fmt))
-
-
 def _sink_query(fmt: str):
     def q(spark, d):
         docs = RD.render_docs(_f2_recipes(spark, d), [fmt])
@@ -580,37 +580,81 @@ def _sink_query(fmt: str):
     return q
 
 
-def _document_sql(fmt: str) -> str:
-    """Whole documents of the JSON-LD recipes, whose lines are all shorter than the wrapping width."""
+# Recipes of both corpora as documents need them; ``notes`` is NULL where there are none.
+_F2_SOURCE = """SELECT 1 AS corpus, page_id, title, description, yield, preptime, totaltime, cooktime, url, author,
+  [{'title': '', 'items': string_split(ingredients, ' | ')}] AS igroups, string_split(directions, ' | ') AS dirs, CAST(NULL AS VARCHAR) AS notes, false AS timeless FROM f2x WHERE reason IS NULL"""
+_F7_SOURCE = """SELECT 2 AS corpus, page_id, title, description, yield, preptime, totaltime, cooktime, url, author, igroups, dirs,
+  CASE WHEN route = 'next_data' THEN notes END AS notes, route = 'dom_squarespace' AS timeless FROM f7x"""
+
+
+def _document_sql(fmt: str, both: bool = False) -> str:
+    """Whole documents: of the JSON-LD recipes, or of ``both`` corpora."""
+    source = f"{_F2_SOURCE} UNION ALL {_F7_SOURCE}" if both else _F2_SOURCE
+    base = f"WITH RECURSIVE {_F2_BASE}, {_F7_BASE}" if both else f"WITH RECURSIVE {_F2_BASE}"
+    name = f"regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.{fmt}' AS filename"
+    if fmt == "json":
+        scalars = [("url", None), ("title", None), ("description", None), ("yield", None), ("preptime", "NOT timeless"),
+                   ("cooktime", "NOT timeless"), ("totaltime", "NOT timeless"), ("author", None)]
+        fields = [f"CASE WHEN {when or 'true'} THEN '\"{c}\": ' || {O.json_text(c)} END" for c, when in scalars]
+
+        def group(title: str, items: str, texts: str) -> str:
+            inner = O.json_list(f"[{O.json_text('y')} for y in {texts}]", 3)
+            pad = "chr(10) || '" + " " * 12 + "'"
+            return f"'{{' || {pad} || '\"{title}\": ' || {O.json_text('g.title')} || ',' || {pad} || '\"{items}\": ' || {inner} || chr(10) || '        }}'"
+        fields.append("'\"ingredient_groups\": ' || " + O.json_list(f"[{group('title', 'ingredients', 'g.items')} for g in igroups]", 1))
+        fields.append("'\"direction_groups\": ' || " + O.json_list(f"[{group('group', 'directions', 'g.items')} for g in [{{'title': '', 'items': dirs}}]]", 1))
+        fields.append(f"CASE WHEN notes IS NOT NULL THEN '\"notes\": ' || {O.json_list('[' + O.json_text('notes') + ']', 1)} END")
+        return f"""{base}, src AS ({source}),
+named AS (SELECT *, {O.clean_text('title')} AS shown FROM src)
+SELECT page_id, 'json' AS format, {name.replace('title', 'shown')},
+       '{{' || chr(10) || '    ' || concat_ws(',' || chr(10) || '    ', {', '.join(fields)}) || chr(10) || '}}' AS body FROM named"""
+
     def head(text: str, level: int) -> str:
         if fmt == "md":
             return f"'{'#' * (level + 1)} ' || {text} || chr(10) || chr(10)"
         return f"{text} || chr(10) || repeat('{'=-^'[level - 1]}', CAST(length({text}) AS BIGINT)) || chr(10) || chr(10)"
     who = f"(CASE WHEN author = '' THEN {O.url_domain('url')} ELSE author END)"
-    source = f"'Source: [' || {who} || '](' || url || ')'" if fmt == "md" else f"'Source: `' || {who} || ' <' || url || '>`__'"
+    link = f"'Source: [' || {who} || '](' || url || ')'" if fmt == "md" else f"'Source: `' || {who} || ' <' || url || '>`__'"
     line = "regexp_replace(info, '[^|]', '-', 'g')" if fmt == "md" else "replace(regexp_replace(info, '[^|]', '-', 'g'), '|', '+')"
     info = f"(CASE WHEN info = '|' THEN '' ELSE {line} || chr(10) || info || chr(10) || {line} || chr(10) || chr(10) END)"
     bullet = "*" if fmt == "md" else "-"
-    items = f"array_to_string(['{bullet} ' || x || chr(10) for x in string_split(ingredients, ' | ')], '')"
-    steps = "array_to_string([CAST(i AS VARCHAR) || '. ' || x || chr(10) for x, i in string_split(directions, ' | ')], '')"
-    return _F2_DOC + f""",
-doc AS (SELECT *, {_INFO_SQL} AS info FROM (SELECT *, {O.clean_text('preptime')} AS p, {O.clean_text('totaltime')} AS t,
-        {O.clean_text('yield')} AS y FROM ok))
-SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.{fmt}' AS filename,
-       {head('title', 1)} || {info} || {source} || chr(10) || chr(10) || description || chr(10) || chr(10) ||
-       {head("'Ingredients'", 2)} || {items} || chr(10) || {head("'Directions'", 2)} || {steps} AS body FROM doc"""
+    items = (f"array_to_string([(CASE WHEN g.title = '' THEN '' ELSE (CASE WHEN gi > 1 THEN chr(10) ELSE '' END) || {head('g.title', 3)} END) || "
+             f"array_to_string(['{bullet} ' || y || chr(10) for y in g.items], '') for g, gi in igroups], '')")
+    cleaned = ", ".join(f"{O.clean_text(c)} AS {n}" for c, n in
+                        [("title", "title"), ("description", "description"), ("preptime", "p"), ("totaltime", "t"), ("yield", "y"), ("url", "url"), ("author", "author")])
+    return f"""{base}, src AS MATERIALIZED ({source}),
+doc AS MATERIALIZED (SELECT corpus, page_id, igroups, dirs, notes, row_number() OVER (ORDER BY corpus, page_id) * 1000000 AS did, {cleaned} FROM src),
+part AS MATERIALIZED (SELECT did + 1 AS wid, description AS x, '' AS p FROM doc UNION ALL SELECT did + 2, replace(notes, '***', ''), '' FROM doc WHERE notes IS NOT NULL
+         UNION ALL SELECT did + 10 + i, dirs[i], CAST(i AS VARCHAR) || '. ' FROM (SELECT did, dirs, unnest(range(1, len(dirs) + 1)) AS i FROM doc)),
+{O.wrapped_ctes('part', 'wrapped')},
+steps AS (SELECT wid // 1000000 * 1000000 AS did, string_agg(body, '' ORDER BY wid) AS body FROM wrapped WHERE wid % 1000000 > 10 GROUP BY 1),
+lined AS (SELECT doc.*, {_INFO_SQL} AS info, coalesce(a.body, '') AS about, coalesce(s.body, '') AS steps, coalesce(n.body, '') AS said FROM doc
+          LEFT JOIN wrapped AS a ON a.wid = did + 1 LEFT JOIN wrapped AS n ON n.wid = did + 2 LEFT JOIN steps AS s ON s.did = doc.did)
+SELECT page_id, '{fmt}' AS format, {name},
+       {head('title', 1)} || {info} || {link} || chr(10) || chr(10) || about || chr(10) ||
+       {head("'Ingredients'", 2)} || {items} || chr(10) || {head("'Directions'", 2)} || steps ||
+       (CASE WHEN notes IS NULL THEN '' ELSE chr(10) || {head("'Notes'", 2)} || said || chr(10) END) AS body FROM lined"""
+
+
+for _fmt in ["md", "rst", "json"]:
+    register(f"render_{_fmt}", _document_sql(_fmt, both=True))((lambda fmt: lambda spark, d: RD.render_docs(
+        _sites_recipes(spark, d).unionByName(_f2_recipes(spark, d)), [fmt]))(_fmt))
 
 
 for _fmt in ["md", "rst"]:
-    register(f"sink_{_fmt}", _document_sql(_fmt))(_sink_query(_fmt))
+    register(f"sink_{_fmt}", f"SELECT page_id, filename, body FROM ({_document_sql(_fmt)})")(_sink_query(_fmt))
 
 
-@register("doc_wrap")
+@register("doc_wrap", f"""WITH RECURSIVE
+d AS MATERIALIZED (SELECT row_number() OVER () * 1000000 AS did, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+part AS MATERIALIZED (SELECT did + i AS wid, lines[i] AS x, CAST(i AS VARCHAR) || '. ' AS p FROM (SELECT did, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+{O.wrapped_ctes('part', 'wrapped')},
+blocks AS (SELECT wid // 1000000 * 1000000 AS did, string_agg(body, '' ORDER BY wid) AS block FROM wrapped GROUP BY 1)
+SELECT doc_id, coalesce(block, '') AS block FROM d LEFT JOIN blocks USING (did)""")
 def q_doc_wrap(spark, d):
     """Directions of every document line wrapped at 75 with numbered prefixes."""
     docs = read_table(spark, d, "documents")
-    block = RD.wrap_groups(F.array(F.split("text", "\n")), "numbered")
-    return docs.select("doc_id", F.size(F.split(block, "\n")).alias("n_lines"), F.length(block).alias("n_chars"))
+    return docs.select("doc_id", RD.wrap_groups(F.array(F.split("text", "\n")), "numbered").alias("block"))
 
 
 _RECIPE_JSON_SQL = "'{' || " + " || ',' || ".join(
@@ -627,8 +671,7 @@ def q_sink_json(spark, d):
     return back.select(F.get_json_object("value", "$.page_id").cast("bigint").alias("page_id"), F.col("value").alias("line"))
 
 
-@register("render_json_ldjson", _F2_DOC + f"""
-SELECT page_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') || '.json' AS filename, {_RECIPE_JSON_SQL} AS body FROM ok""")
+@register("render_json_ldjson", f"SELECT page_id, filename, body FROM ({_document_sql('json')})")
 def q_render_json_ldjson(spark, d):
     return RD.render_docs(_f2_recipes(spark, d), ["json"]).select("page_id", "filename", "body")
 

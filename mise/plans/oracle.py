@@ -107,3 +107,52 @@ def route(domain: str) -> str:
 def author_rule(author: str, pub: str) -> str:
     return (f"(CASE WHEN {pub} <> '' AND {author} <> '' AND {author} <> {pub} AND NOT contains({author}, {pub}) "
             f"THEN {pub} || ' (' || {author} || ')' ELSE {author} END)")
+
+
+# Where a word may be divided; U+0001 marks the places (RE2 has no look-around, so each rule runs twice).
+_LT, _WP, _WD = r"[\p{L}\p{Nl}\p{No}_]", r"""[\p{L}\p{N}_!"''&.,?]""", r"[\p{L}\p{N}_]"
+_DIVISIONS = [(f"({_LT}{_LT}-)({_LT}-?{_LT})", "\\1\x01\\2")] * 2 + [(f"({_LT}-{_WP}-)({_LT}-?{_LT})", "\\1\x01\\2")] * 2 + \
+             [(f"({_WP})(-{{2,}})({_WD})", "\\1\x01\\2\x01\\3")] * 2
+
+
+def divided(e: str) -> str:
+    """The text with white space as blanks and a mark wherever a hyphenated word may be divided."""
+    e = f"regexp_replace({e}, '[\\t\\n\\x0B\\f\\r]', ' ', 'g')"
+    for pattern, to in _DIVISIONS:
+        e = f"regexp_replace({e}, '{pattern}', {lit(to)}, 'g')"
+    return e
+
+
+def wrapped_ctes(src: str, out: str, width: int = 75) -> str:
+    """CTEs that wrap ``src(wid, x, p)``: text x after prefix p; ``out(wid, body)`` has the lines of each.
+
+    Chunks have running ends; the line that begins at a chunk reaches to the last chunk which
+    ends within the width.  Lines follow from line to line, a blank chunk between them goes.
+    (Words longer than a line, and tabs, do not occur in the given tables.)
+    """
+    return f"""{out}_c AS (
+  SELECT wid, width, i, ch, ch[1] = ' ' AS blank, length(ch) AS n, sum(length(ch)) OVER (PARTITION BY wid ORDER BY i) AS upto
+  FROM (SELECT wid, {width} - length(p) AS width, unnest(chs) AS ch, unnest(range(1, len(chs) + 1)) AS i
+        FROM (SELECT wid, p, regexp_extract_all({divided('x')}, ' +|[^ \x01]+') AS chs FROM {src}))),
+{out}_l AS MATERIALIZED (SELECT *, max(i) OVER (PARTITION BY wid ORDER BY upto RANGE BETWEEN CURRENT ROW AND (width - n) FOLLOWING) AS stop FROM {out}_c),
+{out}_n AS MATERIALIZED (SELECT a.wid, a.i, a.stop, CASE WHEN b.blank THEN a.stop + 2 ELSE a.stop + 1 END AS following
+           FROM {out}_l AS a LEFT JOIN {out}_l AS b ON b.wid = a.wid AND b.i = a.stop + 1),
+{out}_s AS (SELECT wid, i, stop, following FROM {out}_n WHERE i = 1
+            UNION ALL SELECT n.wid, n.i, n.stop, n.following FROM {out}_s AS s JOIN {out}_n AS n ON n.wid = s.wid AND n.i = s.following),
+{out}_t AS (SELECT c.wid, s.i AS line, string_agg(CASE WHEN c.blank AND c.i = s.stop THEN '' ELSE c.ch END, '' ORDER BY c.i) AS text
+            FROM {out}_l AS c ASOF JOIN {out}_s AS s ON c.wid = s.wid AND c.i >= s.i WHERE c.i <= s.stop GROUP BY ALL),
+{out} AS (SELECT t.wid, string_agg((CASE WHEN line = 1 THEN p ELSE repeat(' ', length(p)) END) || text || chr(10), '' ORDER BY line) AS body
+          FROM {out}_t AS t JOIN {src} AS x ON x.wid = t.wid WHERE text <> '' GROUP BY ALL)"""
+
+
+def json_text(e: str) -> str:
+    """A JSON string in ASCII."""
+    unit = ("CASE WHEN regexp_matches(c, '^[ -~]') THEN c WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c)) "
+            "ELSE printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END")
+    return f"array_to_string([{unit} for c in regexp_extract_all(to_json({e})::VARCHAR, '[ -~]+|[^ -~]')], '')"
+
+
+def json_list(items: str, level: int) -> str:
+    """A list of JSON texts, indented by four at ``level``."""
+    pad, outer = "chr(10) || '" + " " * (4 * (level + 1)) + "'", "chr(10) || '" + " " * (4 * level) + "'"
+    return f"(CASE WHEN len({items}) = 0 THEN '[]' ELSE '[' || {pad} || array_to_string({items}, ',' || {pad}) || {outer} || ']' END)"

@@ -6,9 +6,8 @@ page, no grouping), so their size grows with the scale factor:
 
 * ``ldjson_pages``  (F2) from ``part``: one JSON-LD page per part, in nine
   script layouts (object, list, @graph, malformed, list-then-object, ...).
-* ``site_pages``    (F7) from ``documents``: one page per document on the
-  next-data, inline-store and the two DOM layouts; the whole text becomes the
-  directions.
+* ``site_pages``    (F7) from ``documents``: each document on the next-data, the
+  inline-store and the two DOM layouts, with its whole text in every longer field.
 * ``chain_pages``   from ``part``: a JSON recipe, a microdata recipe, both, neither, or a
   broken JSON recipe beside a microdata one, on a JSON-LD or an inline-store host.
 * ``remapped_pages`` (F1) ``pages`` with the host swapped for a known publisher
@@ -27,7 +26,7 @@ from ..functions.urls import PUBLISHERS
 from ..session import ensure_checkpoint_dir
 from .tables import read_table
 
-FIXTURE_VERSION = "v4"
+FIXTURE_VERSION = "v5"
 FIXTURE_TABLES = {"ldjson_pages": ["part"], "site_pages": ["documents"], "chain_pages": ["part"]}
 # Files per derived corpus: a crawl arrives as many files, so scans get
 # parallel splits (a single small parquet file is one row group, one task).
@@ -213,20 +212,17 @@ def html_escape(c: Column) -> Column:
 
 
 def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one site-specific recipe page per ``documents`` row (``page_id = doc_id``).
+    """four pages per ``documents`` row, one of each layout (``page_id = doc_id * 4 + variant``).
 
-    ``doc_id % 4`` picks the layout: 0 next-data (three hosts), 1 inline store,
-    2 DOM layout A, 3 DOM layout B (``doc_id % 8 = 7`` without the row wrapper).
-    Title = first six words of the first line, description = first line,
-    ingredients = the words of the first line, directions = every line.
+    Variants: 0 next-data (three hosts), 1 inline store, 2 DOM layout A, 3 DOM layout B
+    (odd documents without the row wrapper).  Title = the first line; description, notes, ingredients
+    (one for each line) and directions (likewise) hold the whole text.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = F.col("doc_id")
-    lines = F.split(F.col("text"), "\n")
-    l1 = F.get(lines, 0)
-    words = F.split(l1, " ")
-    title = F.array_join(F.slice(words, 1, 6), " ")
-    variant = d % 4
+    docs = (read_table(spark, sf_dir, "documents").select("doc_id", "text")
+            .withColumn("variant", F.explode(F.array(*[F.lit(v) for v in range(4)]))))
+    d, variant, text = F.col("doc_id"), F.col("variant"), F.col("text")
+    lines = F.split(text, "\n")
+    title = F.get(lines, 0)
 
     # next-data document (nested struct -> JSON keeps field order)
     item = lambda w, i: F.struct(F.struct(
@@ -235,7 +231,7 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, F.lit(", chopped")).otherwise(F.lit("")).alias("postText"),
         F.struct(F.struct(w.alias("title")).alias("fields")).alias("ingredient")).alias("fields"))
     group_main = F.struct(F.struct(F.lit("For the base").alias("title"),
-                                   H.transform(words, item).alias("recipeIngredientItems")).alias("fields"))
+                                   H.transform(lines, item).alias("recipeIngredientItems")).alias("fields"))
     group_finish = F.struct(F.struct(F.lit("To finish").alias("title"), F.array(F.struct(F.struct(
         F.lit("1").alias("qty"), F.lit("pinch").alias("preText"), F.lit("").alias("postText"),
         F.struct(F.struct(F.lit("salt").alias("title")).alias("fields")).alias("ingredient")).alias("fields")))
@@ -245,8 +241,8 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((d % 8 + 1).cast("string"), F.lit(" servings")).alias("yields"),
         F.when(d % 3 == 0, F.lit("")).otherwise(F.concat((d % 90 + 5).cast("string"), F.lit(" minutes")))
          .alias("recipeTimeNote"),
-        F.concat(F.lit("<p>"), l1, F.lit("</p>")).alias("headnote"),
-        F.struct(F.struct(l1.alias("description"),
+        F.concat(F.lit("<p>*** "), text, F.lit("</p>")).alias("headnote"),
+        F.struct(F.struct(text.alias("description"),
                           F.when(d % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Test Kitchen "), (d % 5).cast("string")))
                           .alias("source")).alias("fields")).alias("metaData"),
         F.when(d % 3 == 0, F.array(group_main, group_finish)).otherwise(F.array(group_main)).alias("ingredientGroups"),
@@ -261,13 +257,13 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(d % 3 == 1, _cat('{"name":', jq(_cat("Cook ", (d % 7).cast("string"))), "}"))
               .otherwise(F.lit('"Epicurious Staff"')))
     ingr_groups = F.to_json(F.when(d % 2 == 0, F.array(
-        F.struct(F.lit("Main").alias("hed"), H.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")),
+        F.struct(F.lit("Main").alias("hed"), H.transform(lines, lambda w: F.struct(w.alias("description"))).alias("ingredients")),
         F.struct(F.lit("Sauce").alias("hed"), F.array(F.struct(F.lit("salt &amp; pepper").alias("description"))).alias("ingredients"))))
         .otherwise(F.array(F.struct(F.lit("Main").alias("hed"),
-                                    H.transform(words, lambda w: F.struct(w.alias("description"))).alias("ingredients")))))
+                                    H.transform(lines, lambda w: F.struct(w.alias("description"))).alias("ingredients")))))
     prep_groups = F.to_json(F.array(F.struct(F.lit("Steps").alias("hed"),
                                              H.transform(lines, lambda l: F.struct(l.alias("description"))).alias("steps"))))
-    content = _cat('{"hed":', jq(title), ',"dek":', jq(_cat("<p>", l1, "</p>")),
+    content = _cat('{"hed":', jq(title), ',"dek":', jq(_cat("<p>", text, "</p>")),
                    ',"servingSizeInfo":{"servingSizeDescription":', jq(_cat("Serves ", (d % 6 + 1).cast("string"))), "}",
                    ',"formattedPrepTime":"PT', (d % 50).cast("string"), 'M"',
                    ',"formattedCookTime":"PT', (d % 4).cast("string"), "H", (d % 60).cast("string"), 'M"',
@@ -282,22 +278,22 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = lambda cls, arr: F.array_join(H.transform(arr, lambda x: _cat('<li class="', cls, '">', html_escape(x), "</li>")), "")
     a_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), "</title></head><body><article>",
                   '<h1 class="entry-title">', html_escape(title), "</h1>",
-                  '<div property="description"><p>', html_escape(l1), "</p></div>",
+                  '<div property="description"><p>', html_escape(text), "</p></div>",
                   '<div class="yield"><span>Makes\u2014', (d % 6 + 1).cast("string"), "</span></div>",
                   '<div class="cook-time"><meta content="PT', (d % 120).cast("string"), 'M"></div>',
-                  "<ul>", li("ingredient", words), "</ul><ol>", li("instruction", lines), "</ol></article></body></html>")
+                  "<ul>", li("ingredient", lines), "</ul><ol>", li("instruction", lines), "</ol></article></body></html>")
 
     # DOM layout B
     plain_li = lambda arr: F.array_join(H.transform(arr, lambda x: _cat("<li>", html_escape(x), "</li>")), "")
-    paras = _cat("<p>Serves\u2014", (d % 6 + 1).cast("string"), "</p><p>", html_escape(l1), "</p>")
+    paras = _cat("<p>Serves\u2014", (d % 6 + 1).cast("string"), "</p><p>", html_escape(text), "</p>")
     b_rows = _cat('<div class="sqs-layout"><div class="row"><div class="sqs-block"><div class="sqs-block-content">',
                   paras, "</div></div></div></div>",
                   '<div class="sqs-block"><div class="sqs-block-content"><ul>', plain_li(lines),
                   '<li class="note">not a step</li></ul></div></div>')
-    b_flat = _cat('<div class="sqs-block"><div class="sqs-block-content">', paras, "<ul>", plain_li(words),
+    b_flat = _cat('<div class="sqs-block"><div class="sqs-block-content">', paras, "<ul>", plain_li(lines),
                   '<li class="note">skip</li></ul></div></div>')
     b_html = _cat("<!DOCTYPE html><html><head><title>", html_escape(title), " | SAM THE COOKING GUY</title></head><body>",
-                  F.when(d % 8 == 7, b_flat).otherwise(b_rows), "</body></html>")
+                  F.when(d % 2 == 1, b_flat).otherwise(b_rows), "</body></html>")
 
     domain = (F.when(variant == 0, _pick(d, NEXT_DATA_DOMAINS))
               .when(variant == 1, F.lit("www.epicurious.com"))
@@ -305,5 +301,5 @@ def build_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.lit("www.thecookingguy.com")))
     html = (F.when(variant == 0, nd_html).when(variant == 1, st_html)
             .when(variant == 2, a_html).otherwise(b_html))
-    return docs.select(d.alias("page_id"), _cat("https://", domain, "/recipes/", d.cast("string")).alias("url"),
+    return docs.select((d * 4 + variant).alias("page_id"), _cat("https://", domain, "/recipes/", d.cast("string")).alias("url"),
                        html.alias("html"))
