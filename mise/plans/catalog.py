@@ -684,6 +684,7 @@ def q_scan_recipe_json(spark, d):
 
 # ----------------------------------------------------------------------- QA
 from ..operators import golden as G  # noqa: E402
+from ..operators import linediff as LD  # noqa: E402
 from ..sources import manifest as M  # noqa: E402
 
 _MANIFEST_SQL = """
@@ -888,6 +889,36 @@ register("status_counts", f"WITH {_GOLDEN_SQL} SELECT status, count(*) AS n_test
     lambda spark, d: G.status_counts(_verdicts(spark, d)))
 
 
+def _edited_inputs(spark, d):
+    """Documents as reference files and as output, each with a line of its own: the output's is put
+    after line ``doc_id % 7``, the reference's after line ``doc_id % 4`` (or at the end); those
+    of ``doc_id % 3 = 0`` differ in blanks only."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    did = F.col("doc_id")
+
+    def with_line(word: str, after) -> object:
+        at = F.least(after, F.size("lines"))
+        own = F.array(F.concat(F.lit(word + " "), did.cast("string"), F.lit(" \t")))
+        return F.array_join(F.concat(F.slice("lines", 1, at), own, F.slice("lines", at + 1, F.size("lines"))), "\n")
+    ref_file = F.concat(F.lit("doc_"), did.cast("string"), F.lit(".rst"))
+    tests = docs.select(did.alias("line_no"), F.concat(F.lit("https://docs.example/"), did.cast("string")).alias("url"), ref_file.alias("ref_file"))
+    same = did % 3 == 0
+    actual = docs.select(did.alias("line_no"), F.when(same, F.array_join("lines", " \n\n")).otherwise(with_line("NEW", did % 7)).alias("body"))
+    reference = docs.select(ref_file.alias("ref_file"), F.when(same, F.array_join("lines", "\n")).otherwise(with_line("OLD", did % 4)).alias("body"))
+    return tests, actual, reference
+
+
+@register("golden_edits", """WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 3 <> 0),
+e AS (SELECT doc_id, '-' AS side, least(doc_id % 4, n) + 1 AS position, 'OLD ' || CAST(doc_id AS VARCHAR) AS text FROM d
+      UNION ALL SELECT doc_id, '+', least(doc_id % 7, n) + 1, 'NEW ' || CAST(doc_id AS VARCHAR) FROM d)
+SELECT doc_id AS line_no, 'https://docs.example/' || CAST(doc_id AS VARCHAR) AS url, 'doc_' || CAST(doc_id AS VARCHAR) || '.rst' AS ref_file,
+       side, position, text FROM e""")
+def q_golden_edits(spark, d):
+    """Lines that turn a failed test's reference file into what it produced."""
+    tests, actual, reference = _edited_inputs(spark, d)
+    return LD.failed_edits(G.golden_diff(tests, actual, reference), actual, reference)
+
+
 def _coverage_sql() -> str:
     return f"""WITH {_F2_BASE}, {_F7_BASE}
 SELECT route, sum(n_pages) AS n_pages, sum(n_recipes) AS n_recipes, sum(n_rejected) AS n_rejected FROM (
