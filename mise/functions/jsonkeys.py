@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import hof as H
-from .text import clean_text, register_sql_functions
+from .text import clean_text, register_sql_functions, sql_str
 
 
 def vtype(v: Column) -> Column:
@@ -71,84 +70,78 @@ def occurrences(text: Column, needle: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / n).cast("int")
 
 
-def _dfs_first(node, key):
-    """Pre-order search in key insertion order; a matched value is not entered;
-    only dict elements of lists are entered (no list-in-list)."""
-    for k, v in node.items():
-        if k == key:
-            return True, v
-        subs = [v] if isinstance(v, dict) else (
-            [d for d in v if isinstance(d, dict)] if isinstance(v, list) else [])
-        for d in subs:
-            found, val = _dfs_first(d, key)
-            if found:
-                return True, val
-    return False, None
+# --- fixed values -----------------------------------------------------------
+# A masked JSON text as strings, brackets and what stands between them.
+TOKEN_RX = r'"[^"]*+"|[{}\[\]]|[^"{}\[\]]++'
+COLON_RX = r"^[ \t\r\n]*:"
+SCALAR_RX = r"^[ \t\r\n]*:[ \t\r\n]*([^ \t\r\n,]*)"
+# ---------------------------------------------------------------------------
+_SEARCH, _KEY, _VALUE, _INSIDE, _FOUND, _OVER = range(6)
 
 
-def _find_keys(raw: pd.Series, keys: tuple[str, ...]) -> pd.DataFrame:
-    """JSON text of the first value under each key; every text is parsed once."""
-    out: dict[str, list] = {k: [] for k in keys}
-    for s in raw:
-        try:
-            obj = json.loads(s) if s is not None else None
-        except ValueError:
-            obj = None
-        for key in keys:
-            found, val = _dfs_first(obj, key) if isinstance(obj, dict) else (False, None)
-            out[key].append(json.dumps(val, ensure_ascii=False) if found and val is not None else None)
-    return pd.DataFrame(out, dtype=object)
+def find_key_sql(raw: str, key: str) -> str:
+    """JSON text of the first value under ``key`` in a JSON object's text, as a fold over its tokens.
 
-
-def _udf_for(keys: tuple[str, ...]):
-    @F.pandas_udf(", ".join(f"`{k}` string" for k in keys))
-    def find(raw: pd.Series) -> pd.DataFrame:
-        return _find_keys(raw, keys)
-    return find
-
-
-_UDFS: dict[tuple[str, ...], object] = {}
-
-
-def find_keys_first_udf(raw: Column, keys: tuple[str, ...]) -> Column:
-    """Exact first-match search of several keys (Arrow-batched Python, stdlib ``json``)."""
-    if keys not in _UDFS:
-        _UDFS[keys] = _udf_for(keys)
-    return _UDFS[keys](raw)
-
-
-def _is_fast(raw: Column, key: str, top_v: Column) -> Column:
-    """The quoted key does not occur, or it occurs once and the top level holds it."""
-    n = occurrences(raw, json.dumps(key))
-    return (n == 0) | ((n == 1) & top_v.isNotNull())
-
-
-def find_keys_residual(raw: Column, tops: dict[str, Column]) -> Column:
-    """Struct of the searched values for texts that the native paths cannot settle.
-
-    Python UDFs are evaluated for every row regardless of CASE branches, so a text
-    all of whose keys take a fast path is handed over as NULL.
+    The state holds the open brackets, so it follows the text in pre-order: a key counts in an
+    object that stands in objects and lists only, not in a list directly inside a list.
+    A found value is not searched; if its object repeats the key the last one counts.
     """
-    fast = F.lit(True)
-    for key, top in tops.items():
-        fast = fast & _is_fast(raw, key, top)
-    return find_keys_first_udf(F.when(~fast, raw), tuple(tops))
-
-
-def find_key_first(raw: Column, key: str, top_v: Column, top_raw: Column, residual: Column | None = None) -> Column:
-    """JSON text of the first value under ``key`` anywhere in ``raw`` (DFS order).
-
-    Native fast paths: the quoted key does not occur -> NULL; it occurs once
-    and the top level holds it -> that top-level value.  Only the residual
-    rows (several occurrences, or nested only) go through the Arrow UDF;
-    ``residual`` is its value where the caller staged it for several keys.
+    names = ("stack", "dead", "pos", "phase", "home", "start", "val")
+
+    def state(**new: str) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {new.get(n, 's.' + n)}" for n in names) + ")"
+
+    pos = "s.pos + length(t)"
+    is_key = (f"t = concat('\"', {key}, '\"') AND right(s.stack, 1) = '{{' AND s.dead = 0 "
+              f"AND (s.phase = {_SEARCH} OR s.phase = {_FOUND} AND length(s.stack) = s.home)")
+    scalar = _let("v", f"regexp_extract(t, {sql_str(SCALAR_RX)}, 1)", (
+        f"CASE WHEN v <> '' THEN {state(pos=pos, val='v', phase=str(_FOUND))} ELSE {state(pos=pos, phase=str(_VALUE))} END"))
+    after_key = (f"CASE WHEN t RLIKE {sql_str(COLON_RX)} THEN {scalar} "
+                 f"ELSE {state(pos=pos, phase=f'CASE WHEN s.val IS NULL THEN {_SEARCH} ELSE {_FOUND} END')} END")
+    opened = state(pos=pos, stack="concat(s.stack, t)",
+                   dead="CASE WHEN s.dead = 0 AND t = '[' AND right(s.stack, 1) = '[' THEN length(s.stack) + 1 ELSE s.dead END",
+                   phase=f"CASE WHEN s.phase = {_VALUE} THEN {_INSIDE} ELSE s.phase END",
+                   start=f"CASE WHEN s.phase = {_VALUE} THEN s.pos ELSE s.start END")
+    shorter = "length(s.stack) - 1"
+    ends_value = f"s.phase = {_INSIDE} AND {shorter} = s.home"
+    closed = state(pos=pos, stack=f"left(s.stack, {shorter})", dead="CASE WHEN s.dead = length(s.stack) THEN 0 ELSE s.dead END",
+                   phase=f"CASE WHEN {ends_value} THEN {_FOUND} WHEN s.phase = {_FOUND} AND {shorter} < s.home THEN {_OVER} ELSE s.phase END",
+                   val=f"CASE WHEN {ends_value} THEN substr({raw}, s.start + 1, s.pos - s.start + 1) ELSE s.val END")
+    step = (f"CASE WHEN s.phase = {_OVER} THEN s WHEN t IN ('{{', '[') THEN {opened} WHEN t IN ('}}', ']') THEN {closed} "
+            f"WHEN s.phase = {_KEY} THEN {after_key} "
+            f"WHEN s.phase = {_VALUE} AND left(t, 1) = '\"' THEN {state(pos=pos, val=f'substr({raw}, s.pos + 1, length(t))', phase=str(_FOUND))} "
+            f"WHEN {is_key} THEN {state(pos=pos, phase=str(_KEY), home='length(s.stack)')} ELSE {state(pos=pos)} END")
+    # Escaped backslashes and quotes are masked, length for length, so that a quote always ends a string.
+    masked = f"replace(replace({raw}, '\\\\\\\\', '\\u0001\\u0001'), '\\\\\"', '\\u0001\\u0001')"
+    zero = f"named_struct('stack', '', 'dead', 0, 'pos', 0, 'phase', {_SEARCH}, 'home', 0, 'start', 0, 'val', CAST(NULL AS STRING))"
+    val = f"aggregate(regexp_extract_all({masked}, {sql_str(TOKEN_RX)}, 0), {zero}, (s, t) -> {step}, s -> s.val)"
+    # Objects and lists without the white space between their parts.
+    tidy = _let("w", val, "CASE WHEN left(w, 1) IN ('{', '[') THEN from_json(concat('{\"v\":', w, '}'), 'v STRING').v ELSE nullif(w, 'null') END")
+    return f"CASE WHEN ltrim({raw}) LIKE '{{%' THEN {tidy} END"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def search_key(raw: Column, key: str) -> Column:
+    """JSON text of the first value under ``key`` anywhere in an object's text; NULL for none,
+    for a JSON null and for texts that are no JSON object."""
+    register_sql_functions()
+    return F.call_function("mise_find_key", F.when(is_whole_json(raw), raw), F.lit(key))
+
+
+def find_key_first(raw: Column, key: str, top_v: Column, top_raw: Column) -> Column:
+    """JSON text of the first value under ``key`` anywhere in ``raw`` (pre-order).
+
+    Where the quoted key does not occur, or occurs once and the top level holds it, the parsed
+    top-level field is the answer; other texts (several occurrences, or nested only) are searched.
     """
     n = occurrences(raw, json.dumps(key))
-    if residual is None:
-        residual = find_keys_residual(raw, {key: top_v})[key]
     return (F.when(n == 0, F.lit(None).cast("string"))
             .when((n == 1) & top_v.isNotNull(), json_text(top_v, top_raw))
-            .otherwise(residual))
+            .otherwise(search_key(raw, key)))
 
 
 def first_typed_element(list_text: Column, type_value: str = "Recipe") -> Column:

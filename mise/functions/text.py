@@ -116,9 +116,11 @@ def _minutes_text_sql(m: str, d: str) -> str:
 
 
 def _sql_functions() -> dict[str, tuple[str, str, str]]:
+    from .jsonkeys import find_key_sql
     from .wrapping import wrapped_groups_sql
 
     return {
+        "mise_find_key": ("raw STRING, ky STRING", "STRING", find_key_sql("raw", "ky")),
         "mise_wrap_groups": ("grs ARRAY<ARRAY<STRING>>, md STRING, bl STRING, af BOOLEAN, wd INT", "STRING",
                              wrapped_groups_sql("grs", "md", "bl", "af", "wd")),
         "mise_py_strip": ("x STRING", "STRING", _py_strip_sql("x")),

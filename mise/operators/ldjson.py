@@ -165,9 +165,8 @@ def add_ldjson_recipe(df: DataFrame, cand: str, url: str = "url", publisher: str
                        .when(J.v_is_array(a), F.coalesce(J.v_string(a, "$[0].name"), F.lit("")))
                        .when(J.v_is_object(a), F.coalesce(J.v_string(a, "$.name"), F.lit("")))
                        .otherwise(F.lit(""))),
-        "_ld_deep": J.find_keys_residual(c, {k: v[k] for k in DEEP_KEYS}),
     })
-    found = {k: J.find_key_first(c, k, v[k], raw[k], F.col("_ld_deep")[k]) for k in DEEP_KEYS}
+    found = {k: J.find_key_first(c, k, v[k], raw[k]) for k in DEEP_KEYS}
     df = df.withColumns({"_ld_ingr_t": found["recipeIngredient"],
                          "_ld_steps_t": F.coalesce(found["itemListElement"], found["recipeInstructions"])})
     df = df.withColumn("_ld_reason", F.when(c.isNotNull() & F.col("_ld_ingr_t").isNull(), F.lit(REASON_NULL_INGREDIENTS))
@@ -192,5 +191,5 @@ def add_ldjson_recipe(df: DataFrame, cand: str, url: str = "url", publisher: str
         ingredient_groups=R.single_ingredient_group(_ingredient_items(F.col("_ld_ingr_t"))),
         direction_groups=R.single_direction_group(_instruction_steps(F.col("_ld_steps_t"))))
     df = df.withColumn(out, F.when(c.isNotNull(), rec))
-    return df.drop("_ldv", "_ldr", "_ld_deep", "_ld_total_s", "_ld_cook_s", "_ld_prep_s", "_ld_author", "_ld_ingr_t",
+    return df.drop("_ldv", "_ldr", "_ld_total_s", "_ld_cook_s", "_ld_prep_s", "_ld_author", "_ld_ingr_t",
                    "_ld_steps_t", "_ld_total_m", "_ld_cook_m", "_ld_prep_m", "_ld_prep", "_ld_total", "_ld_cook")

@@ -1,9 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from mise.functions import jsonkeys as J
-from mise.functions.jsonkeys import _dfs_first
 from mise.plans import extract as X
 from mise.operators import ldjson as L
 
@@ -96,6 +96,48 @@ def test_item_list_element_first_section_only(spark):
     assert r.author == "Ann"  # unknown publisher: author kept as is
 
 
+def _dfs_first(node, key):
+    """First value under a key in key order; a list's elements are entered only where they are objects."""
+    for k, v in node.items():
+        if k == key:
+            return True, v
+        for d in [v] if isinstance(v, dict) else [x for x in v if isinstance(x, dict)] if isinstance(v, list) else []:
+            found, value = _dfs_first(d, key)
+            if found:
+                return True, value
+    return False, None
+
+
+def _random_value(rnd, depth=0):
+    r = rnd.random()
+    if depth > 4 or r < 0.35:
+        return rnd.choice([1, -2.5, True, None, "k", '"k":1', "a\\", '\\"', "x, y", "{", "]:[", "é🙂", ":", "", "k\\\\"])
+    if r < 0.65:
+        return {rnd.choice(["k", "a", "b", 'c"', "kk", ":k", "\\k", ""]): _random_value(rnd, depth + 1) for _ in range(rnd.randint(0, 4))}
+    return [_random_value(rnd, depth + 1) for _ in range(rnd.randint(0, 4))]
+
+
+def test_key_search_equals_python_on_random_texts(spark):
+    rnd = random.Random(2)
+    docs = [json.dumps(_random_value(rnd), ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1]), separators=rnd.choice([None, (",", ":")]))
+            for _ in range(1500)]
+    docs += ['{"k":1,"a":{"k":2},"k":[3]}', '{"a":{"k":"x","b":1,"k":{"z" : [1, 2]}},"k":5}', '{"k" : null}', "{bad", "", '{"a":1} x', '[{"k":1}]',
+             None, '  {"a":[[{"k":1}],{"k" :2}]}', '{"x":"k","k":"y"}', '{"a":' * 300 + '{"k":7}' + "}" * 300, '{"l":[' + '{"a":"k"},' * 5000 + '{"k":9}]}']
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, raw string")
+    out = df.select("i", J.search_key(F.col("raw"), "k").alias("o"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got, found = {r.i: r.o for r in out.collect()}, 0
+    for i, text in enumerate(docs):
+        try:
+            node = json.loads(text) if text is not None else None
+        except ValueError:
+            node = None
+        want = _dfs_first(node, "k")[1] if isinstance(node, dict) else None
+        assert (json.loads(got[i]) if got[i] is not None else None) == want, text
+        found += want is not None
+    assert found > 100
+
+
 def test_find_key_first_against_python(spark):
     docs = [{"a": {"recipeIngredient": ["nested"]}, "recipeIngredient": ["top"]},
             {"recipeIngredient": ["top"], "b": {"recipeIngredient": ["later"]}},
