@@ -498,6 +498,7 @@ def q_split_instructions(spark, d):
 
 # ------------------------------------------------------------- rendering
 from ..operators import render as RD  # noqa: E402
+from ..sources import document_files as DF  # noqa: E402
 from ..sources import recipe_json as RJ  # noqa: E402
 
 
@@ -657,6 +658,13 @@ def q_doc_wrap(spark, d):
     return docs.select("doc_id", RD.wrap_groups(F.array(F.split("text", "\n")), "numbered").alias("block"))
 
 
+@register("document_files", f"""SELECT filename, arg_max(body, page_id) AS body FROM ({_document_sql('md')}) GROUP BY filename""")
+def q_document_files(spark, d):
+    """Markdown documents written as one file each, the last one of each name, and read back."""
+    path = DF.write_document_files(RD.render_docs(_f2_recipes(spark, d), ["md"]), scratch_path(spark, "document-files"))
+    return DF.scan_document_files(spark, path)
+
+
 _RECIPE_JSON_SQL = "'{' || " + " || ',' || ".join(
     [f"'\"{c}\":' || to_json({c})" for c in ("url", "title", "description", "yield", "preptime", "cooktime", "totaltime", "author")]
     + ["'\"ingredient_groups\":[{\"title\":\"\",\"ingredients\":' || to_json(string_split(ingredients, ' | ')) || '}]'",
