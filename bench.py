@@ -35,7 +35,11 @@ def main() -> None:
 
     # Inputs that exist before the job in production (captured pages).
     ld_pages = FX.ldjson_pages(spark, sf_dir)
-    site_pages = FX.site_pages(spark, sf_dir)
+    # One layout for each document, as many pages as documents (the corpus holds all four).
+    one_layout = scratch_path(spark, "bench-site-pages")
+    (FX.site_pages(spark, sf_dir).where("page_id % 4 = floor(page_id / 4) % 4")
+     .repartition(int(cpus) * FX.FIXTURE_FILES_PER_CORE).write.parquet(one_layout))
+    site_pages = spark.read.parquet(one_layout)
 
     def extract_ldjson():
         ex = X.run_extraction(ld_pages, scratch_path(spark, "bench-ld"))

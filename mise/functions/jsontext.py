@@ -17,6 +17,7 @@ from .text import sql_str
 INDENT = 4
 # --- fixed values -----------------------------------------------------------
 RUN_RX = "[ -~]+|[^ -~]+"
+PLAIN_RX = r'^[ !#-\[\]-~]*\z'
 SHORT_ESCAPES = [("\\u0008", "\\b"), ("\\u0009", "\\t"), ("\\u000a", "\\n"), ("\\u000c", "\\f"), ("\\u000d", "\\r")]
 # ---------------------------------------------------------------------------
 
@@ -28,7 +29,8 @@ def string_sql(x: str, var: str = "jr") -> str:
         units = f"replace({units}, {sql_str(long)}, {sql_str(short)})"
     plain = f"replace(replace({var}, {sql_str(chr(92))}, {sql_str(chr(92) * 2)}), {sql_str(chr(34))}, {sql_str(chr(92) + chr(34))})"
     runs = f"transform(regexp_extract_all({x}, {sql_str(RUN_RX)}, 0), {var} -> CASE WHEN {var} RLIKE '^[ -~]' THEN {plain} ELSE {units} END)"
-    return f"coalesce(concat('\"', array_join({runs}, ''), '\"'), 'null')"
+    return (f"CASE WHEN {x} IS NULL THEN 'null' WHEN {x} RLIKE {sql_str(PLAIN_RX)} THEN concat('\"', {x}, '\"') "
+            f"ELSE concat('\"', array_join({runs}, ''), '\"') END")
 
 
 def _nested(x: str, kind: T.DataType, level: int, inside: list[str] | str, brackets: str) -> str:

@@ -121,8 +121,8 @@ def _sql_functions() -> dict[str, tuple[str, str, str]]:
 
     return {
         "mise_find_key": ("raw STRING, ky STRING", "STRING", find_key_sql("raw", "ky")),
-        "mise_wrap_groups": ("grs ARRAY<ARRAY<STRING>>, md STRING, bl STRING, af BOOLEAN, wd INT", "STRING",
-                             wrapped_groups_sql("grs", "md", "bl", "af", "wd")),
+        "mise_wrap_groups": ("grs ARRAY<ARRAY<STRING>>, md STRING, bl STRING, af BOOLEAN", "STRING",
+                             wrapped_groups_sql("grs", "md", "bl", "af")),
         "mise_py_strip": ("x STRING", "STRING", _py_strip_sql("x")),
         "mise_strip_tags": ("x STRING", "STRING", _strip_tags_sql("x", False)),
         "mise_strip_tags_nl": ("x STRING", "STRING", _strip_tags_sql("x", True)),

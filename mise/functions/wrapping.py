@@ -26,8 +26,13 @@ CHUNK_RX = (rf" +|(?<={PUNCTUATED})-{{2,}}(?={WORD})"
 BLANK_RX = f"^{WS_CLASS}*$"
 ENDS_BLANK_RX = f"{WS_CLASS}$"
 TAB_STOP = 8
+WIDTH = 75
+# Texts with any of these take the fold.
+UNEVEN_RX = rf"{WS_CLASS[:-1]}&&[^ ]]|  |^ | $|-"
 # ---------------------------------------------------------------------------
 BLOCK = 1024
+# Lengths of prefixes for which texts of plain words have an expression of their own.
+PLAIN_PREFIXES = (0, 2, 3, 4, 5)
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -91,11 +96,16 @@ def wrapped_sql(x: str, prefix: str, width: int) -> str:
     # All of it fits on the first line, and no blank ends it.
     short = f"length(v.t) <= v.width AND NOT v.t RLIKE {sql_str(ENDS_BLANK_RX)}"
     values = (f"named_struct('t', {spaced_sql(x)}, 'prefix', {prefix}, 'pad', repeat(' ', length({prefix})), 'width', {width} - length({prefix}))")
-    body = f"CASE WHEN v.t = '' THEN '' WHEN {short} THEN concat(v.prefix, v.t, '\\n') ELSE {long} END"
+    # Words between single blanks, none divided or too long: the fold comes to what this expression takes line by line.
+    plain = f"NOT v.t RLIKE {sql_str(UNEVEN_RX)} AND NOT v.t RLIKE {sql_str(f'[^ ]{{{width - PLAIN_PREFIXES[-1] + 1},}}')}"
+    by_width = " ".join(f"WHEN {p} THEN regexp_replace(v.t, {sql_str(f'(.{{1,{width - p}}})(?: |$)')}, concat('$1\\n', v.pad))" for p in PLAIN_PREFIXES)
+    even = _let("e", f"concat(v.prefix, CASE length(v.prefix) {by_width} END)", "left(e, length(e) - length(v.pad))")
+    body = (f"CASE WHEN v.t = '' THEN '' WHEN {short} THEN concat(v.prefix, v.t, '\\n') "
+            f"WHEN length(v.prefix) IN ({', '.join(map(str, PLAIN_PREFIXES))}) AND {plain} THEN {even} ELSE {long} END")
     return _let("v", values, body)
 
 
-def wrapped_groups_sql(groups: str, mode: str, bullet: str, blank_after: str, width: int) -> str:
+def wrapped_groups_sql(groups: str, mode: str, bullet: str, blank_after: str, width: int = WIDTH) -> str:
     """All items of a list of lists: ``numbered`` from 1 in each list, after a ``bullet``, or ``plain``."""
     prefix = f"CASE {mode} WHEN 'numbered' THEN concat(CAST(n + 1 AS STRING), '. ') WHEN 'bullet' THEN concat({bullet}, ' ') ELSE '' END"
     item = _let("pf", prefix, f"concat({wrapped_sql('y', 'pf', width)}, CASE WHEN {blank_after} THEN '\\n' ELSE '' END)")

@@ -17,7 +17,6 @@ from ..functions.text import clean_text, output_filename, register_sql_functions
 from ..functions.urls import url_domain
 
 # --- fixed values -----------------------------------------------------------
-WRAP_WIDTH = 75
 RST_LEVEL_CHARS = ["=", "-", "^"]
 BULLET = {"md": "*", "rst": "-"}
 FORMATS = ["json", "md", "rst"]
@@ -68,7 +67,7 @@ def wrap_groups(groups: Column, mode: str, bullet: str = "", blank_after: bool =
     indented by the length of its prefix.
     """
     register_sql_functions()
-    wrapped = F.call_function("mise_wrap_groups", groups, F.lit(mode), F.lit(bullet), F.lit(blank_after), F.lit(WRAP_WIDTH))
+    wrapped = F.call_function("mise_wrap_groups", groups, F.lit(mode), F.lit(bullet), F.lit(blank_after))
     return F.coalesce(wrapped, F.lit(""))
 
 
@@ -100,12 +99,13 @@ def add_documents_staging(recipes: DataFrame, recipe: str = "recipe") -> DataFra
         "_desc": _s(r["description"]),
         "_notes": H.transform(r["notes"], lambda n: F.replace(F.coalesce(n, F.lit("")), F.lit("***"), F.lit(""))),
     })
+    several = F.size("_notes") > 1
     return staged.withColumns({
         "_desc_block": wrap_groups(F.array(F.array(F.col("_desc"))), "plain"),
         "_dir_block": wrap_groups(dir_groups, "numbered"),
-        "_notes_one": wrap_groups(F.array(F.col("_notes")), "plain", blank_after=True),
-        "_notes_md": wrap_groups(F.array(F.col("_notes")), "bullet", BULLET["md"], blank_after=True),
-        "_notes_rst": wrap_groups(F.array(F.col("_notes")), "bullet", BULLET["rst"], blank_after=True),
+        "_notes_one": wrap_groups(F.array(F.when(~several, F.col("_notes"))), "plain", blank_after=True),
+        "_notes_md": wrap_groups(F.array(F.when(several, F.col("_notes"))), "bullet", BULLET["md"], blank_after=True),
+        "_notes_rst": wrap_groups(F.array(F.when(several, F.col("_notes"))), "bullet", BULLET["rst"], blank_after=True),
     })
 
 
@@ -156,18 +156,17 @@ def filename_collision(docs: DataFrame, order_col: str = "page_id") -> DataFrame
     per file name wins: exactly one row for each name.
 
     Unset positions come first.  Of documents at one position the one with the greatest digest
-    of format and body wins, and equal documents are one.  Last position, count and digest are
-    hash aggregates without bodies: a file name shared by a third of all rows leaves one
-    small row per task.  Only winners' bodies are then fetched.
+    of format and body wins, and equal documents are one.  Last position and count are a
+    hash aggregate without bodies: a file name shared by a third of all rows leaves one
+    small row per task.  Bodies at a last position are then fetched and, where a name
+    has several there, reduced within each task before they meet.
     """
-    held = docs.select("filename", order_col, "format", "body").withColumn("_digest", F.xxhash64("format", "body"))
-    keys = held.select(F.col("filename").alias("_name"), F.col(order_col).alias("_pos"), F.col("_digest").alias("_dig"))
-    last = keys.groupBy("_name").agg(F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("n_candidates"))
-    at_last = keys.join(last.withColumnRenamed("_name", "_n"), F.col("_name").eqNullSafe(F.col("_n")) & F.col("_pos").eqNullSafe(F.col("_last")))
-    won = at_last.groupBy("_name", "_pos", "n_candidates").agg(F.max("_dig").alias("_dig"))
-    same = (F.col("filename").eqNullSafe(F.col("_name")) & F.col(order_col).eqNullSafe(F.col("_pos")) & (F.col("_digest") == F.col("_dig")))
-    return (held.join(won, same).dropDuplicates(["filename"])
-            .select("filename", order_col, "format", "body", "n_candidates"))
+    last = (docs.groupBy("filename").agg(F.max(order_col).alias("_last"), F.count(F.lit(1)).alias("n_candidates"))
+            .withColumnRenamed("filename", "_name"))
+    held = docs.select("filename", order_col, "format", "body", F.xxhash64("format", "body").alias("_digest"))
+    same = F.col("filename").eqNullSafe(F.col("_name")) & F.col(order_col).eqNullSafe(F.col("_last"))
+    won = held.join(last, same).groupBy("filename").agg(F.max(F.struct("_digest", "format", "body", order_col, "n_candidates")).alias("_won"))
+    return won.select("filename", *[F.col("_won").getField(c).alias(c) for c in (order_col, "format", "body", "n_candidates")])
 
 
 def sink_documents(docs: DataFrame, path: str) -> str:
