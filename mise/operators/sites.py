@@ -342,7 +342,7 @@ def _dom_rows(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
             page.feed(h)
             page.close()
             recs.append(_dom_a(page) if lay == "a" else _dom_b(page))
-        except Exception:  # noqa: BLE001 - an unparseable page becomes a reject
+        except (AssertionError, ValueError):  # what the parser raises on broken declarations and references
             recs.append({"ok": False, "reason": "dom_parse_error"})
     cols = ["ok", "reason", "title", "description", "yield", "cook", "ingredients", "directions"]
     return pd.DataFrame([{c: r.get(c) for c in cols} for r in recs], columns=cols)
@@ -359,11 +359,8 @@ def add_dom_recipe(df: DataFrame, fields: str, layout: str, url: str = "url",
     """Add the recipe struct from the DOM fields struct column."""
     f = F.col(fields)
     df = df.withColumn("_dm_cook", iso_minutes(f["cook"]))
-    # prep starts at 0 and total = prep + cook, so the prep rule leaves prep at 0.
+    # These pages have a cooking time only: no preparation, and the total is the cooking time.
     df = df.withColumns({"_dm_prep": F.lit(0), "_dm_total": F.col("_dm_cook")})
-    df = df.withColumn("_dm_prep", F.when((F.col("_dm_prep") == 0) & (F.col("_dm_total") > 0)
-                                          & (F.col("_dm_cook") > 0),
-                                          F.col("_dm_total") - F.col("_dm_cook")).otherwise(F.col("_dm_prep")))
     is_a = F.col(layout) == "a"
     times = R.staged_time_fields("_dm")
     none = F.lit(None).cast("string")

@@ -98,12 +98,12 @@ def _with_second_extractor(df: DataFrame, fallback: str) -> DataFrame:
 
 def spread_for_cores(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Extraction is CPU-bound per page and map-only, so its parallelism is the
-    number of input splits.  Pages that arrive in fewer files than there are
-    cores are hash-distributed by page key first; with enough files, the normal
-    case for a large crawl, the plan stays shuffle-free.  Only the file listing is
-    looked at, and no output column depends on the split."""
+    number of input splits.  Pages that arrive in fewer splits than there are
+    cores are hash-distributed by page key first; with enough splits, the normal
+    case for a large crawl, the plan stays shuffle-free.  Only the number of planned
+    splits is looked at, and no output column depends on it."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if len(pages.inputFiles()) >= cores:
+    if pages._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return pages
     return pages.repartition(cores, key)
 
@@ -122,12 +122,17 @@ def run_extraction(pages: DataFrame, out_path: str, key: str = "page_id") -> Dat
 
 
 _SESSION_CACHE: dict[tuple, str] = {}
+# Tables that a named corpus comes from.
+CORPUS_TABLES = {"ldjson": ["part"], "sites": ["documents"], "pages": ["pages"]}
 
 
 def extracted(spark, name: str, pages_fn, sf_dir: str, key: str = "page_id") -> DataFrame:
-    """Extraction table of a named corpus, written once per session."""
+    """Extraction table of a named corpus, written once per session and state of its tables' files."""
     from ..session import scratch_path
-    ck = (spark.sparkContext.applicationId, name, sf_dir)
+    from ..sources.fixtures import listing_digest
+
+    files = listing_digest(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in CORPUS_TABLES[name]])
+    ck = (spark.sparkContext.applicationId, name, sf_dir, files)
     if ck not in _SESSION_CACHE:
         path = scratch_path(spark, f"extracted-{name}")
         run_extraction(pages_fn(spark, sf_dir), path, key)
