@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,13 +94,34 @@ def per_process(name: str, key: object, make: Callable[[], object]) -> object:
     return box[name][1]
 
 
-def hash_sample(df: DataFrame, cols: list[str], n: int) -> DataFrame:
-    """About ``n`` rows picked by a hash of ``cols``, the same ones each time."""
-    total = df.count()
-    if total <= n:
-        return df
-    share = int((1 << 30) * n / total)
-    return df.where(F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) < share).limit(4 * n)
+def hash_sample(df: DataFrame, cols: list[str], n: int, by: str | None = None) -> DataFrame:
+    """The rows with the ``n`` smallest different hashes of ``cols``, in each group of ``by`` if given; written.
+
+    Equal ``cols`` count once, however many rows hold them, so the size is exactly ``n`` or the number of
+    different ones, and the same rows come out whatever the partitions.  Only rows below a
+    bound on the hash are looked at closer; it is raised until every group has its share.
+    """
+    spark, group = df.sparkSession, by or "__all"
+    rows = df.withColumn("__all", F.lit(0)).withColumn("__h", F.xxhash64(*cols))
+    # A group is known by its rows; the caller bounds how many groups there are.
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    want = {r[group]: r["__n"] for r in sizes.collect()}
+    share = {g: min(1.0, 4 * n / size) for g, size in want.items()}
+    while True:
+        bounds = spark.createDataFrame([(g, -(1 << 63) + min((1 << 64) - 1, int(s * (1 << 64)))) for g, s in share.items()],
+                                       T.StructType([T.StructField("__g", rows.schema[group].dataType), T.StructField("__most", T.LongType())]))
+        low = rows.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("__g"))).where("__h <= __most")
+        one = low.groupBy(group, "__h").agg(F.max(F.struct(*df.columns)).alias("__row"))
+        if by:
+            one = one.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy("__h"))).where(F.col("__k") <= n)
+        else:
+            one = one.orderBy("__h").limit(n)
+        found = written(one.select("__row.*"), "sample")
+        have = {r[0]: r[1] for r in (found.groupBy(by).count().collect() if by else [(0, found.count())])}
+        short = [g for g, s in share.items() if s < 1 and have.get(g, 0) < n]
+        if not short:
+            return found
+        share.update({g: min(1.0, 16 * share[g]) for g in short})
 
 
 def crc_mod3(doc_id: Column) -> Column:

@@ -3,7 +3,8 @@
 A text is the average of the embeddings of its subwords (hashed byte n-grams of
 its lower-cased letters, word edges marked); a linear softmax on the average gives
 the language.  Embeddings and softmax are trained together in numpy by stochastic
-gradient descent on a bounded sample.  Softmax and average are both linear, so a
+gradient descent on a bounded sample of different texts, equally many for each
+language.  Softmax and average are both linear, so a
 trained model folds into one score row per bucket, and a text's scores are the
 mean of its subwords' rows.
 
@@ -12,7 +13,8 @@ score under which the held-back errors lie too thick (accuracy below ``TARGET``)
 ``rejected`` marks predictions below it.
 
 Null texts and texts without a letter are ``und`` with score 0 (and rejected); an
-empty training table gives ``und`` everywhere.
+empty training table gives ``und`` everywhere.  Repeated rows have equal results and count once in
+training; an empty table gives an empty one.  Other columns stay; one that is named like a new one is replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ ORDERS = (2, 3)
 EPOCHS = 4
 RATE = 0.5
 TRAIN_ROWS = 3000
+MAX_LANGS = 256
 SLICE_BYTES = 1 << 19
 TARGET = 0.9
 UNKNOWN = "und"
@@ -120,21 +123,22 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[bytes, str]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 7) -> Model:
-    """A model from (text, language) rows; every fifth row is held back to calibrate it."""
+    """A model from (text, language) rows; every fifth of a language is held back to calibrate it."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)))
     at = {lang: k for k, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)
-    bags = []
+    held, fit, seen = [], [], dict.fromkeys(langs, 0)
     for raw, lang in rows:
         counts = np.zeros(BUCKETS, np.int64)
         for part in slices_of(raw):
             counts += np.bincount(buckets_of(part), minlength=BUCKETS)
         ids = np.flatnonzero(counts)
         if len(ids):
-            bags.append((ids, counts[ids] / counts.sum(), at[lang]))
-    held, fit = bags[::5], [b for i, b in enumerate(bags) if i % 5] or bags
+            # Every fifth of a language, so that each keeps rows to learn from.
+            seen[lang] += 1
+            (fit if seen[lang] % 5 else held).append((ids, counts[ids] / counts.sum(), at[lang]))
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
     soft = np.zeros((dim, len(langs)))
     steps, step = max(1, epochs * len(fit)), 0
@@ -154,6 +158,22 @@ def train(rows: list[tuple[bytes, str]], epochs: int = EPOCHS, rate: float = RAT
     return calibrate(model, held)
 
 
+def rejection(score: np.ndarray, right: np.ndarray, target: float) -> float:
+    """The score under which accuracy, fitted as a rising function of the score, is below ``target``."""
+    blocks: list[list[float]] = []  # (highest score, rows, right ones), pooled until accuracy rises
+    for s in np.unique(score):
+        at = score == s
+        blocks.append([float(s), int(at.sum()), int(right[at].sum())])
+        while len(blocks) > 1 and blocks[-1][2] * blocks[-2][1] <= blocks[-2][2] * blocks[-1][1]:
+            top = blocks.pop()
+            blocks[-1] = [top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
+    low = [b[0] for b in blocks if b[2] < target * b[1]]
+    if not low:
+        return 0.0
+    above = score[score > low[-1]]
+    return float((low[-1] + (above.min() if len(above) else 1.0)) / 2)
+
+
 def calibrate(model: Model, held: list) -> Model:
     """Temperature by held-back likelihood; rejection where held-back accuracy falls below TARGET."""
     if not held:
@@ -178,21 +198,22 @@ def calibrate(model: Model, held: list) -> Model:
     model.temperature = float(grid[int(np.argmin(loss))])
     p = probs(model.temperature)
     score, right = p.max(1), p.argmax(1) == truth
-    order = np.argsort(-score, kind="stable")
-    bins = np.array_split(order, max(1, len(order) // 20))
-    low = [score[b].max() for b in bins if right[b].mean() < TARGET]
-    if low:
-        above = score[score > max(low)]
-        model.reject_below = float((max(low) + (above.min() if len(above) else 1.0)) / 2)
+    model.reject_below = rejection(score, right, TARGET)
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model trained on about ``rows`` rows of ``docs``, picked by a hash of the text."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, max_langs: int = MAX_LANGS) -> Model:
+    """A model trained on ``rows`` different texts, as many of each language as of any other.
+
+    Texts are picked by their hash and repeated ones count once, so no language is missing however
+    often a text comes.  Of more than ``max_langs`` languages the most frequent are learnt.
+    """
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    sample = hash_sample(known, ["t"], rows)
-    found = sorted((r.t.encode(), r.l) for r in sample.toLocalIterator())
-    return train(found)
+    langs = [r.l for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()]
+    if not langs:
+        return train([])
+    sample = hash_sample(known.where(F.col("l").isin(langs)), ["t"], -(-rows // len(langs)), by="l")
+    return train(sorted((r.t.encode(), r.l) for r in sample.toLocalIterator()))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -74,3 +74,45 @@ def test_rejection_is_calibrated():
     model = L.train(rows)
     clear, mixed = model.predict(b"qqq zzz xxx"), model.predict(b"abc def ghi")
     assert clear[0] == "clear" and not clear[2] and mixed[2] and mixed[1] < clear[1]
+
+
+TEXTS = {"aa": "lorem ipsum dolor sit amet consectetur", "bb": "der schnelle braune Fuchs springt", "cc": "le renard brun saute par dessus", "dd": "el zorro salta sobre el perro"}
+
+
+def test_few_texts_repeated_often_are_all_learnt(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(sorted(TEXTS.items()) * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model.langs == sorted(TEXTS)
+    got = {(r.lang, r.lang_pred) for r in L.predict(docs, model).select("lang", "lang_pred").distinct().collect()}
+    assert got == {(lang, lang) for lang in TEXTS}
+
+
+def test_a_text_with_most_rows_leaves_room_for_others(spark):
+    rows = [(0, TEXTS["aa"], "aa")] * 9000 + [(i, f"{TEXTS['aa']} {i}", "aa") for i in range(50)] + [(i, f"{t} {i}", lang) for lang, t in TEXTS.items() if lang != "aa" for i in range(3)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=40)
+    assert model.langs == sorted(TEXTS)
+
+
+def test_most_frequent_languages_where_there_are_too_many(spark):
+    rows = [(i, f"text of language {i % 40}", f"l{i % 40:02d}") for i in range(400)] + [(1, "more", "l07")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=3)
+    assert model.langs == ["l00", "l01", "l07"]
+
+
+def test_hash_sample_is_exact_and_the_same_for_any_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from mise.llm.common import hash_sample
+    rows = [(f"t{i % 700}", "g" if i % 3 else None, i % 7) for i in range(5000)] + [("hot", "g", 1)] * 4000 + [(None, "g", 2)]
+    df = spark.createDataFrame(rows, "t string, g string, x int")
+    hashes = sorted({(r.h, r.t) for r in df.select("t", F.xxhash64("t").alias("h")).collect()}, key=lambda p: p[0])
+    for n in (1, 10, 300, 701, 5000):
+        for parts in (1, 9):
+            got = [r.t for r in hash_sample(df.repartition(parts), ["t"], n).collect()]
+            assert sorted(got, key=str) == sorted((t for _, t in hashes[:n]), key=str)
+    grouped = hash_sample(df, ["t"], 5, by="g").collect()
+    for g in ("g", None):
+        own = {t for t, gg, _ in rows if gg == g}
+        assert {r.t for r in grouped if r.g == g} == {t for _, t in [h for h in hashes if h[1] in own][:5]}
+    assert hash_sample(df.limit(0), ["t"], 5).count() == 0 and hash_sample(df.limit(0), ["t"], 5, by="g").count() == 0
