@@ -6,16 +6,22 @@ leftmost and non-overlapping per kind.  Further candidates are looser patterns:
 obfuscated e-mail, local phone numbers, social-security shapes, long account
 numbers, given names with a surname.
 
-Every candidate is voted on by labelers - the strict pattern, a gazetteer (mail
-domains, given names, dial codes) and the words around it - each for, against or
-abstaining.  Expectation-maximisation estimates each labeler's reliability and
+Every candidate is voted on by labelers - the strict pattern of its kind (dial plans, card
+issuers and their lengths, reserved addresses), a gazetteer (mail domains, given names), the words
+around it, a label right before it and the shape of its digits - each for, against or abstaining.  Expectation-maximisation estimates each labeler's reliability and
 the share of personal data per kind from the counts of vote patterns, which are
 exact over all documents and as few as the patterns.  The posteriors then train a
 logistic span classifier on span features (kind, digits, neighbours), again
 from counts of feature patterns; candidates at or above ``ACCEPT`` are added.
 
+All of it is linear in a text: offsets and overlaps are running sums, minima and maxima in blocks
+of ``BLOCK`` spans, and what a labeler sees around a span is at most ``CONTEXT`` characters of the
+text between it and its neighbours of the same kind.
+
 A null text counts as empty.  Positions are code points, ends exclusive.  Spans of
 one kind do not overlap; a further candidate that overlaps a base span is left out.
+Equal texts have equal spans; an empty table gives an empty one.  Only the id and the text are read, so
+other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -62,25 +68,71 @@ HINTS = {
 LIKE = {"email_at": "email", "phone_local": "phone"}
 AGAINST = r"(?i)\b(?:version|v|isbn|issn|doi|figure|fig|table|section|chapter|example|rfc)\b"
 MAIL_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co")
-LABELERS = ("pattern", "gazetteer", "context")
+LABELERS = ("pattern", "gazetteer", "context", "label", "shape")
+BLOCK = 256
+# A label that ends right before the span.
+LABELS = {
+    "email": r"(?i)(?:e-?mail|mail|mailto|correo|courriel)",
+    "ip": r"(?i)(?:ip|host|server|client|address|login from|addr)",
+    "card": r"(?i)(?:card|card no|card number|visa|mastercard|amex|karte|carte|tarjeta)",
+    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono)",
+    "ssn": r"(?i)(?:ssn|social security number|social security)",
+    "account": r"(?i)(?:iban|account|konto|compte|cuenta)",
+    "name": r"(?i)(?:mr|mrs|ms|dr|herr|frau|mme|name|señor|señora)",
+}
+# Digits of national numbers by country code; the first digit after +1 is 2 to 9.
+DIAL_PLANS = r"^(?:1[2-9][0-9]{9}|33[1-9][0-9]{8}|34[6-9][0-9]{8}|44[1-9][0-9]{8,9}|49[1-9][0-9]{5,12}|39[0-9]{8,11}|31[1-9][0-9]{8}|41[1-9][0-9]{8}|43[1-9][0-9]{4,12}|61[2-9][0-9]{8}|81[1-9][0-9]{8,9}|86[1-9][0-9]{9,10}|91[6-9][0-9]{9})$"
+# Issuers' first digits with the lengths of their cards.
+CARD_PLANS = (r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}"
+              r"|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|3(?:0[0-5]|[68][0-9])[0-9]{11}|35[0-9]{14})$")
+RESERVED_IP = r"^(?:0|127|255|22[4-9]|23[0-9])\.|(?:^|\.)0[0-9]"
+# One digit repeated, or digits in counting order.
+DULL_DIGITS = r"^([0-9])\1+$|^(?:0?123456789|9876543210?)"
 EM_STEPS = 50
 FIT_STEPS = 300
 ACCEPT = 0.5
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<(start, end, match)> of a pattern, in code points: the text between matches gives the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (an expression inside a lambda is computed each time)."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
+def running(items: Column, value, begin: Column, join) -> Column:
+    """array<(item, before)>: each item with the joined values of all items before it.
+
+    Two levels, so that no step copies more than a block's or the blocks' results.
+    """
+    def carried(values: Column, start: Column, of) -> Column:
+        """array<(item, before)> of one block."""
+        typed = F.struct(start.alias("at"), F.transform(F.slice(values, 1, 0), lambda x: F.struct(x.alias("item"), start.alias("before"))).alias("out"))
+        return F.aggregate(values, typed, lambda acc, x: F.struct(
+            join(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("item"), acc["at"].alias("before")))).alias("out")),
+            lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+        totals = F.transform(blocks, lambda b: F.struct(
+            b.alias("block"), F.aggregate(F.slice(b, 2, BLOCK), value(F.get(b, 0)), lambda acc, x: join(acc, value(x))).alias("total")))
+        some = let(totals, lambda t: F.flatten(F.transform(carried(t, begin, lambda x: x["total"]), lambda x: carried(x["item"]["block"], x["before"], value))))
+        return F.when(F.size(v) > 0, some).otherwise(carried(v, begin, value))
+
+    return let(items, whole)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<(start, end, match, before, after)> of a pattern, in code points; what stands
+    around a match comes from the pieces of the text between matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between")), lambda s: F.transform(
+        s["found"], lambda m, i: F.struct(
+            m.alias("match"), F.length(F.get(s["between"], i)).alias("gap"),
+            F.right(F.get(s["between"], i), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(s["between"], i + 1), F.lit(CONTEXT)).alias("after"))))
+    placed = running(pieces, lambda x: x["gap"] + F.length(x["match"]), F.lit(0), lambda a, b: a + b)
+    return F.transform(placed, lambda x: F.struct(
+        (x["before"] + x["item"]["gap"]).alias("start"), (x["before"] + x["item"]["gap"] + F.length(x["item"]["match"])).alias("end"),
+        x["item"]["match"].alias("match"), x["item"]["before"].alias("before"), x["item"]["after"].alias("after")))
 
 
 def _digits(match: Column) -> Column:
@@ -109,7 +161,7 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,match:string,before:string,after:string>>"
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -117,20 +169,35 @@ def _spans(text: Column, kind: str) -> Column:
     need = NEEDS.get(kind, "digit")
     there = text.rlike("[0-9]") if need == "digit" else text.contains(need) if need else text.rlike(pattern)
     found = F.transform(F.filter(_matches(text, pattern), lambda m: _valid(kind, m["match"]) if kind in PATTERNS else F.lit(True)),
-                        lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match")))
+                        lambda m: F.struct(F.lit(kind).alias("kind"), *[m[c].alias(c) for c in ("start", "end", "match", "before", "after")]))
     return F.when(there, found).otherwise(F.array().cast(SPAN))
 
 
+def _apart_from(extra: Column, base: Column) -> Column:
+    """The spans of ``extra`` that overlap none of ``base``."""
+    def marked(spans: Column, own: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span")))
+
+    ordered = F.array_sort(F.concat(marked(base, True), marked(extra, False)))
+    ends = running(ordered, lambda x: F.when(x["own"], x["end"]).otherwise(0), F.lit(0), lambda a, b: F.greatest(a, b))
+    far = F.lit((1 << 31) - 1)
+    both = running(F.reverse(ends), lambda x: F.when(x["item"]["own"], x["item"]["start"]).otherwise(far), far, lambda a, b: F.least(a, b))
+    # Base spans that begin before it end before it; those that begin after it begin beyond its end.
+    free = F.filter(both, lambda x: ~x["item"]["item"]["own"] & (x["item"]["before"] <= x["item"]["item"]["start"])
+                    & (x["before"] >= x["item"]["item"]["end"]))
+    return F.transform(F.reverse(free), lambda x: x["item"]["item"]["span"])
+
+
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` spans and voted ``candidates`` (base and further)."""
     t = F.coalesce(F.col(text), F.lit(""))
     cols = {f"__{k}": _spans(t, k) for k in KINDS}
     found = docs.withColumns(cols)
-    found = found.withColumn("base", F.concat(*[F.col(f"__{k}") for k in BASE_KINDS]))
-    extra = F.filter(F.concat(*[F.col(f"__{k}") for k in EXTRA]), lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    found = found.withColumn("__extra", extra)
-    voted = F.transform(F.concat("base", "__extra"), lambda s: _voted(t, s))
-    return found.withColumn("candidates", voted).drop(*cols, "__extra")
+    found = found.withColumn("__base", F.concat(*[F.col(f"__{k}") for k in BASE_KINDS])).withColumn("__more", F.concat(*[F.col(f"__{k}") for k in EXTRA]))
+    found = found.withColumn("__extra", F.when(F.size("__more") > 0, _apart_from(F.col("__more"), F.col("__base"))).otherwise(F.col("__more")))
+    voted = F.transform(F.concat("__base", "__extra"), _voted)
+    base = F.transform("__base", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "match")]))
+    return found.withColumn("candidates", voted).withColumn("base", base).drop(*cols, "__base", "__more", "__extra")
 
 
 def _by_kind(kind: Column, of, default: Column) -> Column:
@@ -140,24 +207,26 @@ def _by_kind(kind: Column, of, default: Column) -> Column:
     return out
 
 
-def _voted(text: Column, s: Column) -> Column:
+def _voted(s: Column) -> Column:
     """A span with its votes (1 for, 0 against, -1 abstains) and features."""
-    kind, match = s["kind"], s["match"]
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-    after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+    kind, match, before, after = s["kind"], s["match"], s["before"], s["after"]
     near = F.concat(before, F.lit(" "), after)
-    n = F.length(_digits(match))
-    strict = _by_kind(kind, lambda k: F.lit(1) if k in BASE_KINDS else F.when(n == 10, 1).otherwise(0) if k == "phone_local" else
-                      F.when(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(0) if k == "ssn" else F.lit(-1), F.lit(-1))
+    digits = _digits(match)
+    n = F.length(digits)
+    fits = lambda ok: F.when(ok, 1).otherwise(0)
+    strict = _by_kind(kind, lambda k: fits(digits.rlike(DIAL_PLANS)) if k == "phone" else fits(digits.rlike(CARD_PLANS)) if k == "card" else
+                      F.when(match.rlike(RESERVED_IP), 0).otherwise(1) if k == "ip" else fits(match.rlike("^[A-Za-z0-9]")) if k == "email" else
+                      fits(digits.rlike("^[2-9][0-9]{2}[2-9]")) if k == "phone_local" else
+                      fits(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")) if k == "ssn" else
+                      fits((n >= 10) & match.rlike("^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|IE|LU|PT|PL|SE|DK|FI|NO)")) if k == "account" else F.lit(-1), F.lit(-1))
     ending = F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1))
-    gazetteer = _by_kind(kind, lambda k: F.when(ending.isin(*MAIL_ENDS), 1).otherwise(0) if k.startswith("email") else F.lit(1) if k == "name" else
-                         F.when(match.rlike(r"^\+(?:1|33|34|44|49)(?![0-9])"), 1).otherwise(-1) if k == "phone" else
-                         F.when(match.rlike("^[3-6]"), 1).otherwise(-1) if k == "card" else
-                         F.when(match.rlike(r"^(?:0|127|255)\."), 0).otherwise(-1) if k == "ip" else F.lit(-1), F.lit(-1))
+    gazetteer = _by_kind(kind, lambda k: fits(ending.isin(*MAIL_ENDS)) if k.startswith("email") else F.lit(1) if k == "name" else F.lit(-1), F.lit(-1))
     hinted = _by_kind(kind, lambda k: near.rlike(HINTS[LIKE.get(k, k)]), F.lit(False))
     context = F.when(before.rlike(AGAINST + r"[^A-Za-z]*$"), 0).when(hinted, 1).otherwise(-1)
-    return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                    strict.cast("int").alias("pattern"), gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"),
+    label = F.when(_by_kind(kind, lambda k: before.rlike(LABELS[LIKE.get(k, k)] + r"[\s.:=#(]{1,3}$"), F.lit(False)), 1).otherwise(-1)
+    shape = F.when(digits.rlike(DULL_DIGITS), 0).when(match.rlike("[0-9]") & near.rlike(r"[0-9][.,:/-]?\s?$|[=+*/^%#]\s?$"), 0).otherwise(-1)
+    votes = {"pattern": strict, "gazetteer": gazetteer, "context": context, "label": label, "shape": shape}
+    return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *[v.cast("int").alias(name) for name, v in votes.items()],
                     F.least(n, F.lit(20)).cast("int").alias("digits"), before.rlike(r"(?:^|\s)$").alias("open"), after.rlike(r"^(?:[\s.,;:!?)]|$)").alias("shut"))
 
 

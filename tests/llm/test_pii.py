@@ -83,3 +83,62 @@ def test_query_shape_and_empty_table(spark, make_docs):
     df = op5_pii(spark, "/root/testdata/sf0.001")
     assert df.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     assert P.scan(make_docs([])).count() == 0
+
+
+def test_offsets_and_overlaps_over_many_spans(make_docs):
+    """More spans than a block: starts, ends and overlaps equal a plain scan."""
+    text = " ".join(f"u{i}@m.org {'555-123-4567' if i % 3 else '+1 555-123-4567'} é🙂" for i in range(700))
+    row = P.with_candidates(make_docs([(1, text)])).first()
+    base = [(m.start(), m.end()) for m in re.finditer(r"u[0-9]+@m\.org", text)]
+    assert [(c.start, c.end) for c in row.candidates if c.kind == "email"] == base
+    phones = [(m.start(), m.end()) for m in re.finditer(r"\+1 555-123-4567", text)]
+    assert [(c.start, c.end) for c in row.candidates if c.kind == "phone"] == phones
+    local = [(m.start(), m.end()) for m in re.finditer(r"(?<!1 )555-123-4567", text)]
+    assert sorted((c.start, c.end) for c in row.candidates if c.kind == "phone_local") == local
+
+
+def test_a_text_of_addresses_takes_linear_time(make_docs):
+    import time
+    def seconds(n):
+        text = " ".join(f"user{i}@mail{i % 7}.com 10.0.{i % 256}.7 call 555-123-4{i % 1000:03d}" for i in range(n))
+        start = time.time()
+        assert len(P.with_candidates(make_docs([(1, text)])).select("candidates").first().candidates) == 3 * n
+        return time.time() - start
+    seconds(100)
+    assert seconds(16000) < 60  # 0.8 MB
+
+
+def planted(n):
+    """Texts with further personal data in plain words, and look-alikes; (rows, what should be found)."""
+    import random
+    rng, rows, wanted = random.Random(4), [], set()
+    def digits(k):
+        return "".join(rng.choice("23456789") for _ in range(k))
+    good = {"phone_local": lambda: (rng.choice(["call me by phone: ", "tel. ", "my mobile is "]), f"{digits(3)}-{digits(3)}-{digits(4)}", " any day"),
+            "ssn": lambda: (rng.choice(["SSN: ", "social security number "]), f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "."),
+            "account": lambda: (rng.choice(["IBAN ", "bank account: "]), "DE" + digits(2) + " " + " ".join(digits(4) for _ in range(4)), " please"),
+            "email_at": lambda: (rng.choice(["write e-mail to ", "mail: "]), f"{rng.choice(['bob', 'eve'])}{digits(2)} [at] mail [dot] org", ""),
+            "name": lambda: (rng.choice(["Mr ", "contact Mrs "]), f"{rng.choice(P.GIVEN_NAMES)} Miller", " said")}
+    bad = {"phone_local": lambda: ("part version ", f"{rng.choice(['111-111-1111', '123-456-7890'])}", "=9"), "ssn": lambda: ("see section ", f"000-{digits(2)}-0000", " there"),
+           "account": lambda: ("ISBN ", "XX" + digits(2) + " " + " ".join(digits(4) for _ in range(3)), "/x")}
+    for i in range(n):
+        kind = rng.choice([*good, *bad])
+        real = kind in good and (kind not in bad or rng.random() < 0.6)
+        before, match, after = (good if real else bad)[kind]()
+        lead = rng.choice(["", "some words here ", "é🙂 lorem ipsum "])
+        rows.append((i, lead + before + match + after))
+        if real:
+            wanted.add((i, kind, len(lead + before), len(lead + before + match)))
+    return rows, wanted
+
+
+def test_added_spans_on_planted_extras(make_docs):
+    rows, wanted = planted(400)
+    docs = make_docs(rows)
+    found = P.scan(docs).collect()
+    added = {(r.doc_id, s.kind, s.start, s.end) for r in found for s in r.spans if not s.base}
+    assert len(added & wanted) / len(added) > 0.9 and len(added & wanted) / len(wanted) > 0.9
+    # What expectation-maximisation found is its own: labelers differ from where it began, and from one another.
+    model, weights = P.fit(P.with_candidates(docs))
+    assert any(abs(model.right[name][0] - 0.8) > 0.05 or abs(model.right[name][1] - 0.2) > 0.05 for name in P.LABELERS)
+    assert model.right["pattern"] != model.right["shape"] and weights
