@@ -13,6 +13,20 @@ def op1_chat_quotes(spark, sf_dir):
     return chat_quotes.reply_ordered(read(spark, sf_dir, "conversations"))
 
 
+def chat_quotes_derived(spark, sf_dir):
+    """The given conversations quote nothing: each message quotes an earlier one, line by line, in part or wrapped anew."""
+    said = read(spark, sf_dir, "conversations")
+    before = said.select("conv_id", F.col("turn").alias("quoted"), F.col("text").alias("source"))
+    rows = said.withColumn("quoted", F.col("turn") - 1 - F.col("turn") % 2).join(before, ["conv_id", "quoted"], "left")
+    flat = F.replace("source", F.lit("\n"), F.lit(" "))
+    style = (F.col("conv_id") + F.col("turn")) % 4
+    quote = (F.when(style == 0, F.concat(F.lit("> "), F.replace("source", F.lit("\n"), F.lit("\n> "))))
+             .when(style == 1, F.concat(F.lit("> "), F.array_join(F.slice(F.split(flat, " "), 3, 12), " ")))
+             .when(style == 2, F.concat(F.lit("> "), F.regexp_replace(flat, "((?:[^ ]+ ){6})", "$1\n> "))))
+    quoting = F.coalesce(F.concat(quote, F.lit("\n"), F.col("text")), F.col("text"))
+    return chat_quotes.reply_ordered(rows.select("conv_id", "turn", "role", quoting.alias("text")))
+
+
 def op2_bench_decontam(spark, sf_dir):
     return bench_decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -89,7 +103,73 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_quotes, op2_bench_decontam, op3_quality_rules, op4_license_scans, op5_pii, op6_sentencepiece, op7_toxicity,
-    op8_secret_scans, op9_lang_id, op10_simhash_neardup, op11_vector_codes, op12_fill_in_middle, op13_token_counts, pipeline)}
+    op8_secret_scans, op9_lang_id, op10_simhash_neardup, op11_vector_codes, op12_fill_in_middle, op13_token_counts, pipeline,
+    chat_quotes_derived)}
+
+
+_DERIVED_SQL = r"""derived AS (
+  SELECT a.conv_id, a.turn, a.role, coalesce(CASE (a.conv_id + a.turn) % 4
+      WHEN 0 THEN '> ' || replace(b.text, chr(10), chr(10) || '> ')
+      WHEN 1 THEN '> ' || array_to_string(string_split(replace(b.text, chr(10), ' '), ' ')[3:14], ' ')
+      WHEN 2 THEN '> ' || regexp_replace(replace(b.text, chr(10), ' '), '((?:[^ ]+ ){6})', '\1' || chr(10) || '> ', 'g') END || chr(10) || a.text, a.text) AS text
+  FROM conversations AS a LEFT JOIN conversations AS b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 - a.turn % 2),"""
+
+
+def _chat_sql(table: str, ctes: str = "") -> str:
+    norm = r"lower(trim(regexp_replace({}, '[ \t\n\x0B\f\r>]+', ' ', 'g')))"
+
+    def units(source: str, out: str, keys: str) -> str:
+        """Units of (keys, ls): whole, paragraphs, lines and windows of five words, each once."""
+        return f"""
+{out}_w AS (SELECT {keys}, string_split({norm.format("array_to_string(ls, ' ')")}, ' ') AS w FROM {source}),
+{out}_l AS (SELECT rid0, {keys}, i, line, {norm.format('line')} = '' AS blank FROM (SELECT row_number() OVER () AS rid0, * FROM {source}), LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i)),
+{out}_p AS (SELECT {keys}, string_agg(line, ' ' ORDER BY i) AS u FROM (
+    SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY rid0 ORDER BY i) AS par FROM {out}_l) WHERE NOT blank GROUP BY rid0, par, {keys}),
+{out} AS (
+  SELECT DISTINCT * FROM (
+    SELECT {keys}, u, length(u) AS weight, false AS gram FROM (
+      SELECT {keys}, {norm.format('u')} AS u FROM (
+        SELECT {keys}, array_to_string(ls, ' ') AS u FROM {source} UNION ALL SELECT * FROM {out}_p UNION ALL SELECT {keys}, line FROM {out}_l)) WHERE u <> ''
+    UNION ALL SELECT {keys}, array_to_string(w[i:i + 4], ' '), length(array_to_string(w[i:i + 4], ' ')) // 5, true FROM {out}_w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)))"""
+    return f"""
+WITH RECURSIVE {ctes}""" + r"""
+m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM """ + table + r"""),
+l0 AS (SELECT rid, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM m),
+l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS depth,
+              regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS bare FROM l0),
+l AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY rid ORDER BY i), 0) AS after,
+             i - row_number() OVER (PARTITION BY rid, depth ORDER BY i) AS run FROM l1),
+own AS (SELECT rid, trim(string_agg(bare, chr(10) ORDER BY i)) AS body FROM l
+        WHERE depth = 0 AND NOT (after > 0 AND regexp_matches(line, '(?i)^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb\b.*|el\b.*\bescribió)\s*:\s*$'))
+        GROUP BY rid),
+b AS (SELECT rid, conv_id, turn, role, coalesce(body, '') AS body FROM m LEFT JOIN own USING (rid)),
+runs AS (SELECT rid, conv_id, turn, depth, run, list(bare ORDER BY i) AS ls FROM l WHERE depth > 0 GROUP BY ALL),
+talks AS (SELECT DISTINCT conv_id FROM runs),
+qs AS (SELECT conv_id, turn, depth, ls FROM runs WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+hs AS (SELECT conv_id, turn, string_split(body, chr(10)) AS ls FROM b SEMI JOIN talks USING (conv_id) WHERE turn IS NOT NULL),""" + units(
+        "qs", "q", "conv_id, turn, depth") + "," + units("hs", "h", "conv_id, turn") + r""",
+first AS (SELECT conv_id, u, gram, min(turn) AS reply_to FROM h GROUP BY ALL),
+near AS (SELECT q.conv_id, q.turn, q.depth, q.u, max(h.turn) AS reply_to FROM q JOIN h ON h.conv_id = q.conv_id AND h.u = q.u AND NOT h.gram AND h.turn < q.turn
+         WHERE NOT q.gram AND q.weight < 8 GROUP BY ALL),
+met AS (SELECT q.*, f.reply_to FROM q JOIN first AS f ON f.conv_id = q.conv_id AND f.u = q.u AND f.gram = q.gram
+        WHERE (q.gram OR q.weight >= 8) AND f.reply_to < q.turn
+        UNION ALL SELECT q.*, n.reply_to FROM q JOIN near AS n ON n.conv_id = q.conv_id AND n.turn = q.turn AND n.depth = q.depth AND n.u = q.u WHERE NOT q.gram),
+grams AS (SELECT conv_id, turn, depth, count(*) AS n FROM q WHERE gram GROUP BY ALL),
+c AS (SELECT met.conv_id, met.turn, met.depth, reply_to, sum(CASE WHEN NOT gram THEN weight ELSE 0 END)
+             + CASE WHEN 2 * count(*) FILTER (WHERE gram) >= any_value(n) THEN sum(CASE WHEN gram THEN weight ELSE 0 END) ELSE 0 END AS weight
+      FROM met LEFT JOIN grams AS g ON g.conv_id = met.conv_id AND g.turn = met.turn AND g.depth = met.depth GROUP BY ALL),
+best AS (SELECT conv_id, turn, reply_to FROM c WHERE weight > 0
+         QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth, weight DESC, reply_to DESC) = 1),
+tree AS (SELECT DISTINCT conv_id, reply_to AS turn, reply_to AS thread, 0::BIGINT AS depth, [reply_to] AS path FROM best
+             WHERE NOT EXISTS (SELECT 1 FROM best AS o WHERE o.conv_id = best.conv_id AND o.turn = best.reply_to)
+         UNION ALL SELECT best.conv_id, best.turn, tree.thread, tree.depth + 1, list_append(tree.path, best.turn)
+             FROM tree JOIN best ON best.conv_id = tree.conv_id AND best.reply_to = tree.turn),
+n AS (SELECT rid, count(*) AS n_quotes, max(depth) AS quote_depth FROM runs GROUP BY rid),
+o AS (SELECT b.conv_id, b.turn, b.role, b.body, coalesce(n.n_quotes, 0)::BIGINT AS n_quotes, coalesce(n.quote_depth, 0)::BIGINT AS quote_depth,
+             best.reply_to, coalesce(tree.thread, b.turn) AS thread, coalesce(tree.depth, 0)::BIGINT AS depth, tree.path
+      FROM b LEFT JOIN n ON n.rid = b.rid LEFT JOIN best ON best.conv_id = b.conv_id AND best.turn = b.turn
+      LEFT JOIN tree ON tree.conv_id = b.conv_id AND tree.turn = b.turn)
+SELECT * EXCLUDE (path), row_number() OVER (ORDER BY conv_id NULLS FIRST, thread NULLS FIRST, path NULLS LAST, turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position FROM o"""
 
 
 def _codes_sql() -> str:
@@ -119,38 +199,8 @@ FROM r JOIN c USING (rid), books"""
 
 
 ORACLE = {
-    "op1_chat_quotes": r"""
-WITH RECURSIVE
-m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM conversations),
-l0 AS (SELECT rid, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM m),
-l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS depth,
-              regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS bare FROM l0),
-l AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY rid ORDER BY i), 0) AS after,
-             i - row_number() OVER (PARTITION BY rid, depth ORDER BY i) AS run FROM l1),
-own AS (SELECT rid, trim(string_agg(bare, chr(10) ORDER BY i)) AS body FROM l
-        WHERE depth = 0 AND NOT (after > 0 AND regexp_matches(line, '(?i)^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb\b.*|el\b.*\bescribió)\s*:\s*$'))
-        GROUP BY rid),
-b AS (SELECT rid, conv_id, turn, role, coalesce(body, '') AS body FROM m LEFT JOIN own USING (rid)),
-runs AS (SELECT rid, conv_id, turn, depth, run, string_agg(bare, ' ' ORDER BY i) AS passage FROM l WHERE depth > 0 GROUP BY ALL),
-q0 AS (SELECT conv_id, turn, depth, passage AS u FROM runs UNION ALL SELECT conv_id, turn, depth, bare FROM l WHERE depth > 0),
-q AS (SELECT DISTINCT conv_id, turn, depth, lower(trim(regexp_replace(u, '[ \t\n\x0B\f\r>]+', ' ', 'g'))) AS u FROM q0
-      WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-h0 AS (SELECT conv_id, turn, body AS u FROM b UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM b),
-h AS (SELECT conv_id, u, min(turn) AS reply_to FROM (
-          SELECT conv_id, turn, lower(trim(regexp_replace(u, '[ \t\n\x0B\f\r>]+', ' ', 'g'))) AS u FROM h0)
-      WHERE length(u) >= 8 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-c AS (SELECT q.conv_id, q.turn, q.depth, h.reply_to, sum(length(q.u)) AS weight FROM q JOIN h ON q.conv_id = h.conv_id AND q.u = h.u
-      WHERE length(q.u) >= 8 AND h.reply_to < q.turn GROUP BY ALL),
-best AS (SELECT conv_id, turn, reply_to FROM c
-         QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth, weight DESC, reply_to DESC) = 1),
-chain AS (SELECT conv_id, turn, reply_to AS top, CAST(1 AS BIGINT) AS depth FROM best
-          UNION ALL SELECT chain.conv_id, chain.turn, best.reply_to, chain.depth + 1 FROM chain JOIN best ON best.conv_id = chain.conv_id AND best.turn = chain.top),
-thread AS (SELECT conv_id, turn, min(top) AS thread, max(depth) AS depth FROM chain GROUP BY ALL),
-n AS (SELECT rid, count(*) AS n_quotes, max(depth) AS quote_depth FROM runs GROUP BY rid)
-SELECT b.conv_id, b.turn, b.role, b.body, coalesce(n.n_quotes, 0)::BIGINT AS n_quotes, coalesce(n.quote_depth, 0)::BIGINT AS quote_depth,
-       best.reply_to, coalesce(thread.thread, b.turn) AS thread, coalesce(thread.depth, 0)::BIGINT AS depth
-FROM b LEFT JOIN n ON n.rid = b.rid LEFT JOIN best ON best.conv_id = b.conv_id AND best.turn = b.turn
-LEFT JOIN thread ON thread.conv_id = b.conv_id AND thread.turn = b.turn""",
+    "op1_chat_quotes": _chat_sql("conversations"),
+    "chat_quotes_derived": _chat_sql("derived", _DERIVED_SQL),
     "op3_quality_rules": r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
