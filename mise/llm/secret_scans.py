@@ -3,17 +3,20 @@
 Every whole text is scanned for three kinds (leftmost, non-overlapping per kind):
 ``assign`` (a credential name given a value of 6+ characters), ``access`` (an
 access key id of 20+ characters) and ``hex`` (24+ hex digits).  Then a worklist
-unwraps layers until nothing new comes out: percent and Unicode escapes are
-decoded in place over the whole layer, bytes that are no UTF-8 kept as they are;
+unwraps layers until nothing new comes out: percent escapes, Unicode escapes (``\\u``, ``\\U``, ``\\x``,
+octal, ``%u``, numbered and the common named entities) and UTF-16 are decoded in place over
+the whole layer, bytes that are no UTF-8 kept as they are;
 base64 runs, over line breaks and from each of four alignments, become layers of
 their own, and so does every compressed stream (all members that follow each
-other, also nested) that begins anywhere in a decoded layer.  Each layer is
+other, also nested) that begins anywhere in a decoded layer, and a bare deflate stream that
+is the whole of one.  Each layer is
 rescanned whatever characters it holds, and each layer keeps where its characters
 came from, so that spans are given in the text itself.  A layer met before (equal
 text and origin) is not unwrapped again.  ``n_layers`` and ``max_depth`` count the
 layers that are text without control characters or hold a span.
 
-A null text counts as empty.  A stream that unfolds beyond ``MAX_LAYER_BYTES`` is
+A null text counts as empty; equal texts have equal spans, an empty table gives an empty one.  Other
+columns stay; one that is named like a new one is replaced.  A stream that unfolds beyond ``MAX_LAYER_BYTES`` is
 counted in ``n_oversized`` and taken in parts of about that size that end where no
 span or run goes on; where there is no such place, or a stream inside runs over
 the end of a part, the run gets a span of kind ``unscanned`` and is masked too.
@@ -29,6 +32,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +51,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24+ is found from its first digit
 MIN_VALUE, MIN_ACCESS = 6, 20
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+# Named entities of characters that stand in spans or around them.
+ENTITIES = {"quot": '"', "apos": "'", "amp": "&", "lt": "<", "gt": ">", "colon": ":", "equals": "=", "period": ".", "comma": ",", "sol": "/", "bsol": "\\",
+            "plus": "+", "lowbar": "_", "hyphen": "-", "dash": "-", "semi": ";", "num": "#", "percnt": "%", "dollar": "$", "commat": "@", "excl": "!",
+            "quest": "?", "ast": "*", "lpar": "(", "rpar": ")", "lsqb": "[", "rsqb": "]", "lcub": "{", "rcub": "}", "verbar": "|", "grave": "`",
+            "nbsp": "\xa0", "Tab": "\t", "NewLine": "\n"}
+_NAMED = "&(?:" + "|".join(ENTITIES) + ");"
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+                     r"|%u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[0-3][0-7]{2}|" + _NAMED + ")+")
+# Hexadecimal by the first five groups, then decimal, octal and named.
+ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]+);|(?:%u|\\U)([0-9A-Fa-f]+)"
+                        r"|&#([0-9]+);|\\([0-7]{3})|&([A-Za-z]+);")
+WIDE = re.compile("(?:[\t\n\r -~]\0){4,}|(?:\0[\t\n\r -~]){4,}")
 BREAK = r"[ \t]*+(?:\\r)?(?:\\n|\r?\n|\r)[ \t>]*+"
 # a run of 16+ characters, or one that a line break (also an escaped one, or a quoted line) interrupts
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=BREAK[A-Za-z0-9+/_-]))(?:BREAK[A-Za-z0-9+/_-]++)*+={0,2}"
@@ -58,7 +72,7 @@ BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 MIN_BODY, MIN_BYTES = 16, 12  # the shortest span is an assignment of 12 characters
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
 # bytes without any of these hold neither a span nor a further layer
-WORTH = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:\\r)?(?:\\n|[\r\n])|"
+WORTH = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|%u|\\[uxU0-3]|&[#A-Za-z]|(?:[ -~]\0){4}|(?:\0[ -~]){4}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*(?:\\r)?(?:\\n|[\r\n])|"
                    + MAGIC.pattern)
 # after these no span, escape or base64 run goes on
 SAFE = re.compile(rb"[A-Za-z0-9] (?=[A-Za-z0-9])|[,()!?<|~*@$^`\[\]\x00-\x08\x80-\xff]")
@@ -198,7 +212,8 @@ def percent_pieces(run: str):
 def unicode_pieces(run: str):
     high = None
     for m in ONE_ESCAPE.finditer(run):
-        code = int(next(g for g in m.groups() if g), 10 if m.group(4) else 16)
+        given, kind = m.group(m.lastindex), m.lastindex
+        code = ord(ENTITIES[given]) if kind == 8 else int(given, {6: 10, 7: 8}.get(kind, 16))
         if high and 0xDC00 <= code < 0xE000:
             yield chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end() - high[1]
             high = None
@@ -212,6 +227,13 @@ def unicode_pieces(run: str):
         yield "�", high[1], high[2]
 
 
+def wide_pieces(run: str):
+    """ASCII characters of UTF-16, either byte order."""
+    at = 1 if run[0] == "\0" else 0
+    for k in range(0, len(run), 2):
+        yield run[k + at], k, 2
+
+
 class Stream:
     """The unfolded pieces of the compressed members that follow each other from ``start`` of ``raw``.
     Afterwards ``end`` is where they end; ``dry``: the input ended before the stream did."""
@@ -242,6 +264,39 @@ class Stream:
             self.end = fed - len(d.unused_data)
 
 
+class Deflated(Stream):
+    """A stream without any header that is the whole of ``raw``; ``whole`` once its end was met there."""
+
+    whole = False
+
+    def __iter__(self):
+        d, fed = zlib.decompressobj(-15), 0
+        try:
+            while not d.eof:
+                data = d.unconsumed_tail
+                if not data:
+                    data = self.raw[fed:fed + STEP]
+                    fed += len(data)
+                out = d.decompress(data, PIECE)
+                if out:
+                    yield out
+                elif not data and not d.eof:
+                    return
+        except zlib.error:
+            return
+        self.end = fed - len(d.unused_data)
+        self.whole = self.end + 4 >= len(self.raw)
+
+
+def inflates(raw: bytes) -> bool:
+    """The bytes begin a deflate stream of something that is worth a look (garbage fails at once)."""
+    try:
+        out = zlib.decompressobj(-15).decompress(raw[:1 << 12], 1 << 12)
+    except zlib.error:
+        return False
+    return bool(WORTH.search(out))
+
+
 def streams(raw: bytes):
     at = 0
     while m := MAGIC.search(raw, at):
@@ -285,7 +340,7 @@ def base64_layers(layer: Layer):
             used = n - skip - ((n - skip) % 4 == 1)
             raw = base64.b64decode(body[skip:skip + used] + "=" * (-used % 4))
             text = raw.decode("utf-8", "surrogateescape")
-            if len(raw) >= MIN_BYTES and (WORTH.search(raw) or not ODD.search(text)):
+            if len(raw) >= MIN_BYTES and (WORTH.search(raw) or not ODD.search(text) or inflates(raw)):
                 yield Layer(text, Decoded(layer.source, text, at, spans, skip, skip + used), raw, tail=layer.root(m.end() - 1, m.end())[1])
 
 
@@ -298,7 +353,8 @@ def find_secrets(text: str, most: int = MAX_LAYER_BYTES) -> dict:
 
     def unfolded(layer: Layer, depth: int):
         """The layers of the streams in ``layer``; a stream beyond ``most`` is explored part by part."""
-        for stream in streams(layer.raw):
+        bare = isinstance(layer.source, Decoded) and not MAGIC.match(layer.raw) and inflates(layer.raw)
+        for stream in chain(streams(layer.raw), [Deflated(layer.raw, 0)] if bare else []):
             whole, many, given = None, False, False
             for raw, more, cut in parts(stream, most):
                 given = True
@@ -310,6 +366,8 @@ def find_secrets(text: str, most: int = MAX_LAYER_BYTES) -> dict:
                 if cut:
                     added.add((UNSCANNED, *span))
                 explore(Layer(raw.decode("utf-8", "surrogateescape"), Whole(*span), raw, more), depth)
+            if isinstance(stream, Deflated) and not stream.whole:
+                continue
             n["oversized"] += many
             if layer.partial and stream.dry and given:
                 added.add((UNSCANNED, *layer.root(0, len(layer.text))))
@@ -335,7 +393,8 @@ def find_secrets(text: str, most: int = MAX_LAYER_BYTES) -> dict:
                     layer.raw = layer.text.encode("utf-8", "surrogateescape")
                 work.extend((x, depth + 1) for x in unfolded(layer, depth + 1))
             escapes = [(PERCENT, percent_pieces)] if "%" in layer.text else []
-            escapes += [(UNICODE, unicode_pieces)] if "\\" in layer.text or "&#" in layer.text else []
+            escapes += [(UNICODE, unicode_pieces)] if "\\" in layer.text or "&" in layer.text or "%u" in layer.text else []
+            escapes += [(WIDE, wide_pieces)] if "\0" in layer.text else []
             inner = [x for rx, pieces in escapes if (x := in_place(layer, rx, pieces)) is not None and x.text]
             work.extend((x, depth + 1) for x in [*inner, *base64_layers(layer)])
 

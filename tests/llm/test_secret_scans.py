@@ -140,3 +140,42 @@ def test_oversized_stream_is_scanned_in_parts(make_docs):
         assert {k for k, _, _ in S.find_secrets(run, most=1000)["added"]} == {S.UNSCANNED}
     out = S.with_secrets(make_docs([(1, f"see {run} end")]), most=1000).first()
     assert out.redacted == "see [SECRET] end" and out.n_oversized >= 1 and out.secrets[0].kind == S.UNSCANNED
+
+
+def hits(text):
+    found = S.find_secrets(text)
+    return {(k, text[a:b]) for k, a, b in found["added"]}
+
+
+def test_more_escapes_and_utf16():
+    secret = "token=AbCdEf123"
+    assert ("assign", "token%u003dAbCdEf123") in hits("x token%u003dAbCdEf123 y")
+    assert ("assign", "token\\U0000003dAbCdEf123") in hits("x token\\U0000003dAbCdEf123 y")
+    assert ("assign", "token\\075AbCdEf123") in hits("x token\\075AbCdEf123 y")
+    assert ("assign", "token&equals;AbCdEf123") in hits("x token&equals;AbCdEf123 y")
+    assert ("assign", "token&colon;&nbsp;AbCdEf123") not in hits("x token&colon;&nbsp;AbCdEf123 y")  # a no-break space is no blank
+    for code in ("utf-16-le", "utf-16-be"):
+        run = base64.b64encode(f"powershell {secret} end".encode(code)).decode()
+        (kind, where), = hits(f"cmd -enc {run} !")
+        assert kind == "assign" and where in run
+    assert hits("x".join(["é", *"plain"])) == set() and hits("a\0b\0c\0d\0e\0 words") == set()
+    assert hits("100 %u of &copy; &unknown; \\9 \\08 &colon;") == set()
+
+
+def test_bare_deflate_in_base64():
+    d = zlib.compressobj(wbits=-15)
+    raw = d.compress(b"some words and token=AbCdEf123 and more words " * 3) + d.flush()
+    run = base64.b64encode(raw).decode()
+    assert {k for k, _ in hits(f"payload {run} .")} == {"assign"}
+    inner = base64.b64encode(b"nested " + gzip.compress(b"password: hunter2222 ok")).decode().encode()
+    d = zlib.compressobj(wbits=-15)
+    run = base64.b64encode(d.compress(b"data " + inner) + d.flush()).decode()
+    assert {k for k, _ in hits(f"payload {run} .")} == {"assign"}
+
+
+def test_random_base64_adds_nothing_and_ends():
+    import random
+    rng = random.Random(3)
+    run = base64.b64encode(rng.randbytes(60000)).decode()
+    found = S.find_secrets(run)
+    assert not {s for s in found["added"] if s[0] in ("assign", "access")}
