@@ -1,6 +1,9 @@
 """License scans: a trained paragraph classifier with template comparison.
 
-Paragraphs are the lines of a text.  Features are word 1..3-grams of the ASCII
+Paragraphs are the lines of a text and, for notices that are wrapped (also inside comments),
+blocks: lines with an anchor that follow each other with one line between them at most, joined
+without their marks.  A block stands for its lines where a template confirms it and none of them
+alone.  Features are word 1..3-grams of the ASCII
 words in lower case; a multinomial logistic regression over licence families and
 ``none`` is trained on the licence phrases below (whole, shortened and set among
 corpus words) against the n-grams of the paragraphs of a bounded sample of documents,
@@ -15,7 +18,8 @@ phrases is the threshold of ``unknown``.  A prediction is confirmed when
 ``CONFIRM`` of the n-grams of one of the family's templates stand in the paragraph.
 
 Scoring is SQL expressions only.  Null and empty texts hold no licence; a text with
-equal paragraphs reports each.
+equal paragraphs reports each; equal texts have equal results; an empty table gives an empty one.  Other
+columns stay; one named ``licenses`` is replaced.
 """
 
 from __future__ import annotations
@@ -208,7 +212,7 @@ def _grams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``licenses``: paragraph (0-based line), family, probability, template
+    """``docs`` with ``licenses``: paragraph (0-based first line), n_lines, family, probability, template
     share and whether the template confirms it."""
     every = _literal(sorted(model.weights), "array<string>")
     weights = _literal(model.weights, "map<string,array<double>>")
@@ -218,27 +222,44 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # Whole texts first: the lines of a text without an anchor are not looked at.
     cue = "(?i)(?<![a-z0-9])(?:" + trie(model.anchors) + ")(?![a-z0-9])"
     lines = F.when(F.col(text).rlike(cue), F.split(F.col(text), "\n")).otherwise(F.array().cast("array<string>"))
-    hits = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"))), lambda s: s["p"].rlike(cue))
-    words = F.transform("__hits", lambda s: F.struct(s["paragraph"].alias("paragraph"), _words(s["p"]).alias("words")))
-    gram = F.transform("__words", lambda s: F.struct(s["paragraph"].alias("paragraph"), _grams(s["words"]).alias("grams")))
-    logits = F.transform("__grams", lambda s: F.struct(
-        s["paragraph"].alias("paragraph"), s["grams"].alias("grams"),
-        F.aggregate(F.array_intersect(s["grams"], every), bias, lambda acc, g: F.zip_with(acc, weights[g], lambda a, b: a + b)).alias("z")))
-    scored = F.transform("__logits", lambda s: F.struct(
-        s["paragraph"].alias("paragraph"), s["grams"].alias("grams"),
-        F.get(classes, F.array_position(s["z"], F.array_max(s["z"])).cast("int") - 1).alias("best"),
-        (F.lit(1.0) / F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max(s["z"])))).alias("probability")))
-    shared = F.transform("__scored", lambda s: F.struct(
-        s["paragraph"].cast("long").alias("paragraph"), s["best"].alias("best"), s["probability"].alias("probability"),
-        F.coalesce(F.array_max(F.transform(F.element_at(templates, s["best"]),
-                                           lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t))), F.lit(0.0)).alias("template_share")))
-    final = F.transform(F.filter("__shared", lambda s: s["best"] != NONE), lambda s: F.struct(
-        s["paragraph"].alias("paragraph"),
+    hits = F.filter(F.transform("__lines", lambda p, i: F.struct(i.alias("paragraph"), p.alias("p"))), lambda s: s["p"].rlike(cue))
+    begins = F.filter(F.sequence(F.lit(0), F.size("__hits") - 1), lambda i: (i == 0) | (
+        F.get("__hits", i)["paragraph"] - F.get("__hits", i - 1)["paragraph"] > 2))
+    begins = F.when(F.size("__hits") > 0, begins).otherwise(F.array().cast("array<int>"))
+
+    def group(i: Column, k: Column) -> Column:
+        """A block's lines, after the block itself where it has several."""
+        own = F.slice("__hits", i + 1, F.coalesce(F.get("__begins", k + 1), F.size("__hits")) - i)
+        alone = F.transform(own, lambda h: F.struct(h["paragraph"].alias("paragraph"), F.lit(1).alias("n_lines"), h["p"].alias("p")))
+        first, last = F.get(own, 0)["paragraph"], F.get(own, F.size(own) - 1)["paragraph"]
+        block = F.struct(first.alias("paragraph"), (last - first + 1).alias("n_lines"), F.array_join(F.slice("__lines", first + 1, last - first + 1), " ").alias("p"))
+        return F.when(F.size(own) > 1, F.concat(F.array(block), alone)).otherwise(alone)
+
+    def each(name: str, *kept: str, **new) -> Column:
+        """Every paragraph of every group with ``kept`` fields and new ones."""
+        return F.transform(name, lambda g: F.transform(g, lambda s: F.struct(*[s[c].alias(c) for c in ("paragraph", "n_lines", *kept)], *[f(s).alias(c) for c, f in new.items()])))
+
+    out = docs.withColumn("__lines", lines).withColumn("__hits", hits).withColumn("__begins", begins)
+    out = out.withColumn("__groups", F.transform("__begins", group))
+    out = out.withColumn("__words", each("__groups", words=lambda s: _words(s["p"])))
+    out = out.withColumn("__grams", each("__words", grams=lambda s: _grams(s["words"])))
+    out = out.withColumn("__logits", each("__grams", "grams", z=lambda s: F.aggregate(
+        F.array_intersect(s["grams"], every), bias, lambda acc, g: F.zip_with(acc, weights[g], lambda a, b: a + b))))
+    out = out.withColumn("__scored", each(
+        "__logits", "grams", best=lambda s: F.get(classes, F.array_position(s["z"], F.array_max(s["z"])).cast("int") - 1),
+        probability=lambda s: F.lit(1.0) / F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max(s["z"])))))
+    out = out.withColumn("__shared", each(
+        "__scored", "best", "probability", template_share=lambda s: F.coalesce(F.array_max(F.transform(
+            F.element_at(templates, s["best"]), lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t))), F.lit(0.0))))
+    sure = lambda s: (s["best"] != NONE) & (s["template_share"] >= CONFIRM)
+    picked = F.flatten(F.transform("__shared", lambda g: F.when(F.size(g) == 1, g).when(
+        sure(F.get(g, 0)) & ~F.exists(F.slice(g, 2, F.size(g)), sure), F.slice(g, 1, 1)).otherwise(F.slice(g, 2, F.size(g)))))
+    final = F.transform(F.filter(picked, lambda s: s["best"] != NONE), lambda s: F.struct(
+        s["paragraph"].cast("long").alias("paragraph"), s["n_lines"].cast("long").alias("n_lines"),
         F.when((s["probability"] < model.threshold) & (s["template_share"] < CONFIRM), F.lit(UNKNOWN)).otherwise(s["best"]).alias("family"),
         s["probability"].alias("probability"), s["template_share"].alias("template_share"),
         (s["template_share"] >= CONFIRM).alias("confirmed")))
-    out = docs.withColumn("__hits", hits).withColumn("__words", words).withColumn("__grams", gram).withColumn("__logits", logits).withColumn("__scored", scored).withColumn("__shared", shared)
-    return out.withColumn("licenses", final).drop("__hits", "__words", "__grams", "__logits", "__scored", "__shared")
+    return out.withColumn("licenses", final).drop("__lines", "__hits", "__begins", "__groups", "__words", "__grams", "__logits", "__scored", "__shared")
 
 
 def trie(words: list[str]) -> str:

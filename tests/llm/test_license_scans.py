@@ -78,3 +78,35 @@ def test_an_ordinary_word_of_a_licence_keeps_its_weight(spark, make_docs):
                                      (4, "Her driving license 7 was lost."), (5, "Licensed under the MIT license")]))
     assert [f for _, f, _ in got[1]] == [f for _, f, _ in got[5]] == ["mit"] and got[3] == got[4] == []
     assert [(f, c) for _, f, c in got[2]] == [(L.UNKNOWN, False)]
+
+
+WRAPPED = {
+    "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining", "a copy of this software and associated documentation files (the \"Software\"),", "to deal in it"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License."],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; "])
+def test_wrapped_notices_are_confirmed(model, make_docs, mark):
+    rows = [(i, "\n".join(["words before", "", *[mark + line for line in lines], "", "words after it"])) for i, lines in enumerate(WRAPPED.values())]
+    found = {r.doc_id: r.licenses for r in L.scan(make_docs(rows), model).collect()}
+    for i, (family, lines) in enumerate(WRAPPED.items()):
+        assert {x.family for x in found[i] if x.confirmed} == {family}
+        first = next(x for x in found[i] if x.confirmed)
+        assert 2 <= first.paragraph < 2 + len(lines) and first.n_lines <= len(lines)
+
+
+def test_lines_that_are_notices_themselves_stay_apart(model, make_docs):
+    got = L.scan(make_docs([(1, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nplain\nReleased under the BSD 3-Clause License.")]), model).first().licenses
+    assert [(x.paragraph, x.n_lines, x.family, x.confirmed) for x in got] == [(0, 1, "mit", True), (1, 1, "cc-by-nc", True), (3, 1, "bsd", True)]
+
+
+def test_many_license_lines_take_linear_time(model, make_docs):
+    import time
+    text = "\n".join(["Released under the MIT License.", "some words between them"] * 3000)
+    start = time.time()
+    assert len(L.scan(make_docs([(1, text)]), model).first().licenses) == 3000
+    assert time.time() - start < 60
