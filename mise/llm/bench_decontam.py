@@ -3,14 +3,17 @@
 Test items are cut into chunks of at most ``CHUNK_WORDS`` words; a chunk's BM25
 impacts are divided by its own full score, so a passage scores 1 when it holds
 every term of the chunk.  Training texts are cut into overlapping passages of
-``2 * HALF`` words, and every passage is a query.
+``2 * HALF`` words, so that each chunk lies whole in some passage wherever it stands, and every
+passage is a query.
 
 WAND: a chunk's terms of least weight, up to ``SLACK`` of its score, are
 non-essential - on their own they cannot lift it to ``THRESHOLD`` - so only
 postings of essential terms are walked, and a chunk needs ``THRESHOLD - SLACK``
-from them.  Block-max: chunks are stored in blocks with each term's largest
-essential impact; a passage whose bound for a block stays below that never sees the
-block.  Surviving (passage, block) pairs are scored in full with all their terms,
+from them.  Pivots: each term has its largest impact in any block, and a passage whose terms' largest
+impacts add up to less than the least demanding block needs is skipped before a posting is
+opened.  Block-max: chunks are stored in blocks with each term's largest
+essential impact; sums are taken over the blocks that a passage's postings name, and one whose
+bound stays below its need is not looked into.  Surviving (passage, block) pairs are scored in full with all their terms,
 and every chunk at or above ``THRESHOLD`` is retrieved.  Both bounds are safe: no
 passage above the threshold is lost.
 
@@ -18,14 +21,18 @@ A retrieved item is verified in the text around the passage: its question and it
 answer (the parts around the last '?' if there is one, otherwise its first and
 second half) must each have ``OVERLAP`` of their word 5-grams there.
 
-The index is built from bounded slices of the test items (``INDEX_WORDS`` words
-each), one scan of the texts for each slice.  Null and empty texts and items match
-nothing; equal items are reported each under its own id.
+Frequencies are counted by Spark over all items.  Items are dealt to slices of about
+``INDEX_WORDS`` words by hash, each slice's index is built in a task from its items and the
+frequencies of its words, and the driver passes on one built slice at a time; with several slices the
+texts are scanned once for each and each result is a written table.  Null and empty texts and items match
+nothing; equal items are reported each under its own id, equal texts have equal matches; an empty table of
+either kind gives no match.  Other columns stay; ``clean`` returns all columns unchanged.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -36,11 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, map_rows, together
+from .common import apart, map_rows, together, written
 
 K1, B = 1.2, 0.75
 CHUNK_WORDS = 48
-HALF = 32
+HALF = 48
 THRESHOLD = 0.6
 SLACK = 0.3
 BLOCK = 8
@@ -120,27 +127,44 @@ class Index:
         order = sorted(best)
         self.block = np.array([b for t in order for b in sorted(best[t])], np.int64)
         self.impact = np.array([best[t][b] for t in order for b in sorted(best[t])])
+        self.largest = np.zeros(len(self.vocab) + 1)
+        for t, row in best.items():
+            self.largest[t] = max(row.values())
+        self.least_need = float(self.need.min()) if self.n_blocks else np.inf
 
     def passages(self, ids: np.ndarray, half: np.ndarray, n_half: int, most_cells: int = CELLS) -> Iterator[tuple[int, int]]:
         """(passage, block) pairs whose bound reaches the block's need; passage p is halves p and p + 1.
 
-        Sums are held for a run of halves at a time, so memory follows neither the
-        length of a text nor the size of the index.
+        Postings are opened only for passages whose terms could reach the least need, a run of
+        about ``most_cells`` of them at a time, so cost follows the postings that are opened and
+        memory neither the length of a text nor the size of the index.
         """
-        run = max(1, min(n_half, most_cells // max(1, self.n_blocks)))
-        for first in range(0, n_half, run):
-            lo, hi = np.searchsorted(half, [first, first + run + 1])  # and the half that the run's last passage reaches into
-            some = ids[lo:hi]
-            n = self.count[some]
-            at = np.repeat(np.cumsum(n) - n, n)
-            posting = np.repeat(self.start[some], n) + np.arange(len(at)) - at
-            cell = np.repeat(half[lo:hi] - first, n) * self.n_blocks + self.block[posting]
-            sums = np.bincount(cell, self.impact[posting], minlength=(run + 1) * self.n_blocks).reshape(run + 1, self.n_blocks)
-            bound = sums[:-1] + sums[1:]
-            for p, b in zip(*(x.tolist() for x in np.nonzero(bound >= self.need))):
-                if first + p < n_half:
-                    yield first + p, b
-
+        reach = np.bincount(half, self.largest[ids], minlength=n_half + 1)
+        alive = reach[:-1][:n_half] + np.append(reach[1:], 0.0)[:n_half] >= self.least_need
+        open_half = np.zeros(n_half + 1, bool)
+        open_half[:n_half] |= alive
+        open_half[1:] |= alive
+        wanted = open_half[half] & (self.count[ids] > 0)
+        ids, half = ids[wanted], half[wanted]
+        opened = np.cumsum(self.count[ids])
+        begin = 0  # the next passage
+        while (lo := int(np.searchsorted(half, begin))) < len(half):
+            begin = max(begin, int(half[lo]) - 1)
+            full = int(np.searchsorted(opened, (opened[lo - 1] if lo else 0) + most_cells))
+            end = max(begin, int(half[min(full, len(half) - 1)]) - (1 if full < len(half) else 0))  # the run's last passage
+            hi = int(np.searchsorted(half, end + 1, side="right"))
+            n = self.count[ids[lo:hi]]
+            k = np.repeat(np.cumsum(n) - n, n)
+            posting = np.repeat(self.start[ids[lo:hi]], n) + np.arange(len(k)) - k
+            own, block, impact = np.repeat(half[lo:hi], n), self.block[posting], self.impact[posting]
+            # A half counts for the passage that it begins and for the one before it.
+            passage = np.concatenate((own, own - 1))
+            keep = (passage >= begin) & (passage <= end) & (passage < n_half)
+            cells, where = np.unique((passage * self.n_blocks + np.concatenate((block, block)))[keep], return_inverse=True)
+            bound = np.bincount(where, np.concatenate((impact, impact))[keep], minlength=len(cells))
+            for c in cells[bound >= self.need[cells % max(1, self.n_blocks)]].tolist():
+                yield divmod(c, self.n_blocks)
+            begin = end + 1
 
     def retrieve(self, words: list[bytes], ids: np.ndarray, pairs: list[tuple[int, int]]) -> dict[int, list[tuple[int, float]]]:
         """item -> [(passage, score)] of the chunks at or above the threshold."""
@@ -221,25 +245,38 @@ def chunked(words: list[bytes]) -> list[list[bytes]]:
 
 
 def index_slices(items: DataFrame, item_id: str = "item_id", text: str = "text", most: int = INDEX_WORDS) -> Iterator[Index]:
-    """Indexes over slices of the items, at most about ``most`` words each; frequencies are those of all items."""
-    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).orderBy("i", "t")
-    df: Counter = Counter()
-    n = size = 0
-    for r in rows.toLocalIterator():
-        for c in chunked(words_of(r.t.encode())):
-            df.update(set(c))
-            n += 1
-            size += len(c)
-    part: list[tuple[int, str]] = []
-    held = 0
-    for r in rows.toLocalIterator():
-        part.append((r.i, r.t))
-        held += len(words_of(r.t.encode()))
-        if held >= most:
-            yield Index(part, df, n, size / max(1, n))
-            part, held = [], 0
-    if part and held:
-        yield Index(part, df, n, size / max(1, n))
+    """Indexes over slices of the items of about ``most`` words each; frequencies are those of all items."""
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+
+    def cut():
+        def work(raws):
+            chunks = [chunked(words_of(r)) for r in raws]
+            return [pa.array([[sorted(set(c)) for c in cs] for cs in chunks], pa.list_(pa.list_(pa.binary()))),
+                    pa.array([sum(map(len, cs)) for cs in chunks], pa.int64())]
+        return work
+
+    whole = written(map_rows(rows, "t", [T.StructField("chunks", T.ArrayType(T.ArrayType(T.BinaryType()))), T.StructField("size", T.LongType())], cut), "bm25-items")
+    total = whole.agg(F.sum(F.size("chunks")).alias("n"), F.sum("size").alias("size")).first()
+    if not total.n:
+        return
+    n_slices = -(-total["size"] // most)
+    whole = whole.where(F.size("chunks") > 0).withColumn("slice", F.pmod(F.xxhash64("i", "t"), F.lit(n_slices)).cast("int"))
+    words = whole.select("slice", F.explode("chunks").alias("c")).select("slice", F.explode("c").alias("w"))
+    counted = words.groupBy("slice", "w").agg(F.count("*").alias("n"))
+    df = written(counted.join(counted.groupBy("w").agg(F.sum("n").alias("df")), "w").select("slice", "w", "df"), "bm25-frequencies")
+    n, mean = total.n, total["size"] / total.n
+
+    def build(key, own: pa.Table, frequencies: pa.Table) -> pa.Table:
+        held = sorted(zip(own.column("i").to_pylist(), own.column("t").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        index = Index(held, Counter(dict(zip(frequencies.column("w").to_pylist(), frequencies.column("df").to_pylist()))), n, mean)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "built": pa.array([pickle.dumps(index.__dict__)], pa.binary())})
+
+    built = written(whole.select("slice", "i", "t").groupBy("slice").cogroup(df.groupBy("slice")).applyInArrow(build, "slice int, built binary"), "bm25-slices")
+    for k in range(n_slices):
+        for row in built.where(F.col("slice") == k).collect():
+            index = Index.__new__(Index)
+            index.__dict__.update(pickle.loads(row.built))
+            yield index
 
 
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType()),
@@ -253,7 +290,9 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", name: st
     spark = docs.sparkSession
     out = docs.withColumn(name, F.array().cast(T.ArrayType(MATCH)))
     fresh = f"__{name}"
-    for index in index_slices(items):
+    for k, index in enumerate(index_slices(items)):
+        if k:
+            out = written(out, "bm25-matches")
         shared = spark.sparkContext.broadcast(index)
 
         def make(shared=shared):

@@ -93,3 +93,36 @@ def test_empty_tables(spark, make_docs):
     assert B.matches(make_docs([(1, "a b c")]), no_items).count() == 0
     assert B.clean(make_docs([(1, "a b c")]), no_items).count() == 1
     assert B.matches(make_docs([]), spark.createDataFrame([(1, "a b c d e f")], ITEMS)).count() == 0
+
+
+def test_passages_without_a_pivot_open_no_postings():
+    """A text of common words costs nothing beyond the bound test; runs of any size give the same pairs."""
+    from collections import Counter
+
+    import numpy as np
+    rng = random.Random(9)
+    items = [(i, " ".join([f"rare{i}x{k}" for k in range(10)] + rng.choices(["the", "of", "and", "to"], k=30))) for i in range(400)]
+    df = Counter(w for _, t in items for w in set(B.words_of(t.encode())))
+    index = B.Index(items, df, len(items), 40)
+    common = np.array([index.vocab[w] for w in rng.choices([b"the", b"of", b"and", b"to"], k=5000)])
+    opened = []
+    index.start = type("Spy", (), {"__getitem__": lambda self, k: opened.append(len(k)) or np.zeros(len(k), np.int64)})()
+    assert list(index.passages(common, np.arange(5000) // B.HALF, 106)) == [] and sum(opened) == 0
+
+
+def test_an_exact_copy_is_found_at_every_offset(spark, make_docs):
+    words = ["zeta", "yotta", "xeno", "wolfram"] + ["the", "of", "and"] * 13 + ["vortex", "umbra", "tonic", "sable", "runic"]
+    item = " ".join(words)
+    others = [(k, " ".join(random.Random(k).choices(["the", "of", "and", "a", "in"], k=48))) for k in range(2, 40)]
+    items = spark.createDataFrame([(1, item), *others], ITEMS)
+    docs = make_docs([(k, " ".join([f"f{j % 17}" for j in range(k)] + words + ["g"] * 100)) for k in range(0, 100, 3)])
+    got = {r.doc_id for r in B.matches(docs, items).where("item_id = 1").collect()}
+    assert got == set(range(0, 100, 3))
+
+
+def test_several_slices_give_the_same_through_written_tables(spark, documents, monkeypatch):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted((r.doc_id, r.item_id, r.score) for r in B.matches(documents, items).collect())
+    slices = B.index_slices
+    monkeypatch.setattr(B, "index_slices", lambda rows: slices(rows, most=300))
+    assert sorted((r.doc_id, r.item_id, r.score) for r in B.matches(documents, items).collect()) == whole
