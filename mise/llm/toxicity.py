@@ -10,12 +10,14 @@ of labelled rows (``TRAIN_ROWS``), by gradient ascent with shrinkage.
 
 The labels say toxic or not.  Grades order the toxic ones: 0 for the others,
 then 1..``GRADES - 1`` by the summed log-odds of the document's toxic words, cut at the
-quantiles of the training documents; a toxic label without any toxic word is grade 1.
+quantiles of the training documents; a toxic label without any toxic word is grade 1.  The log-odds that
+grade a document are counted on the other half of the sample, so its own label has no part in them.
 
 ``severity`` is the expected grade, ``grade`` the most likely one, and ``toxic`` holds
 when P(grade >= 1) reaches the threshold that maximises F1 on the training sample.
 Null and empty texts have no features: they get the model's prior.  Without labels of
-both kinds nothing can be learnt and every row is grade 0.
+both kinds nothing can be learnt and every row is grade 0.  Equal texts have equal results; an empty
+table gives an empty one.  Other columns stay; one that is named like a new one is replaced.
 """
 
 from __future__ import annotations
@@ -144,15 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     kind = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("n", T.LongType())]))
     bags = map_rows(labelled.select("toxic", "text", F.xxhash64("text").alias("h")), "text", [T.StructField("bag", kind)], make, keep_text=False)
     bags = written(bags.dropDuplicates(["h", "toxic"]).withColumn("row", F.monotonically_increasing_id()), "toxicity-bags")
-    toxic_rows = {r.row: int(r.toxic) for r in bags.select("row", "toxic").collect()}
+    kept = bags.select("row", "toxic", (F.col("h") % 2 == 0).alias("even")).collect()
+    toxic_rows, even_rows = {r.row: int(r.toxic) for r in kept}, {r.row: r.even for r in kept}
     n_toxic = sum(toxic_rows.values())
     n_other = len(toxic_rows) - n_toxic
     if not n_toxic or not n_other:
         return Model()
-    words = bags.select("row", "toxic", F.explode("bag").alias("e")).select("row", "toxic", "e.w", "e.n")
-    df = words.groupBy("w").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    words = bags.select("row", "toxic", (F.col("h") % 2 == 0).alias("even"), F.explode("bag").alias("e")).select("row", "toxic", "even", "e.w", "e.n")
+    df = words.groupBy("w").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"),
+                                F.count_if(F.col("toxic") & F.col("even")).alias("a_even"), F.count_if(~F.col("toxic") & F.col("even")).alias("b_even"))
     odds = F.log((F.col("a") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("b") + 0.5) / F.lit(n_other + 1.0))
-    picked = df.select("w", "a", odds.alias("o"), (odds * F.sqrt(F.col("a") + F.col("b"))).alias("told")).where(
+    picked = df.select("w", "a", "b", "a_even", "b_even", odds.alias("o"), (odds * F.sqrt(F.col("a") + F.col("b"))).alias("told")).where(
         (F.col("a") >= MIN_TOXIC_DOCS) & (F.col("o") >= MIN_LOG_ODDS)).orderBy(F.desc("told"), "w").limit(VOCABULARY).collect()
     if not picked:
         return Model()
@@ -160,10 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = bags.sparkSession.createDataFrame([(bytearray(w), k) for w, k in vocab.items()], "w binary, k int")
     at = {row: i for i, row in enumerate(sorted(toxic_rows))}
     x = np.zeros((len(at), len(vocab)), np.float32)
-    for r in words.join(F.broadcast(chosen), "w").select("row", "k", "n").collect():
-        x[at[r.row], r.k] = 1 + np.log(r.n)
+    # Columns of numbers, not rows: at most a few words of the vocabulary for each sampled text.
+    cells = words.join(F.broadcast(chosen), "w").select("row", "k", "n").toArrow()
+    x[[at[row] for row in cells.column("row").to_numpy()], cells.column("k").to_numpy()] = 1 + np.log(cells.column("n").to_numpy())
     toxic = np.array([toxic_rows[row] for row in sorted(toxic_rows)])
-    mass = x @ np.array([r.o for r in picked], np.float32)
+    even = np.array([even_rows[row] for row in sorted(toxic_rows)])
+    mass = np.where(even, x @ half_odds(picked, toxic, even, False), x @ half_odds(picked, toxic, even, True))
     felt = mass[(toxic == 1) & (mass > 0)]
     steps = np.quantile(felt, [k / (GRADES - 1) for k in range(1, GRADES - 1)]) if len(felt) else np.zeros(GRADES - 2)
     y = np.where(toxic == 1, 1 + np.searchsorted(steps, mass, side="right"), 0)
@@ -172,6 +178,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return Model({word: float(w[k]) for word, k in vocab.items()}, [float(c) for c in cuts], best_threshold(p, toxic))
 
 
+def half_odds(picked: list, toxic: np.ndarray, even: np.ndarray, of_even: bool) -> np.ndarray:
+    """Log-odds of each word for the toxic label, counted on one half of the sample."""
+    a = np.array([r.a_even if of_even else r.a - r.a_even for r in picked], float)
+    b = np.array([r.b_even if of_even else r.b - r.b_even for r in picked], float)
+    own = toxic[even == of_even]
+    return (np.log((a + 0.5) / (own.sum() + 1)) - np.log((b + 0.5) / (len(own) - own.sum() + 1))).astype(np.float32)
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``severity``, ``grade``, ``p_toxic`` and ``toxic``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -48,3 +48,31 @@ def test_long_text_is_not_diluted(spark, make_docs):
     model = T.fit(docs, labels)
     rows = {r.doc_id: r.toxic for r in T.predict(make_docs([(1, "plain " * 20000), (2, "plain " * 20000 + "AWFUL!"), (3, None)]), model).collect()}
     assert rows == {1: False, 2: True, 3: False}
+
+
+def test_predictions_equal_a_plain_statement(spark, make_docs, odd_rows):
+    """The model's formula by loops over words and grades."""
+    import math
+    import re
+    weights = {b"bad": 1.5, b"^badmin": 0.7, b"worse": -0.4, b"\xc3\xa9vil": 2.0, b"^despic": 1.1}
+    m = T.Model(weights, [0.5, 1.5, 3.0], 0.6)
+    rows = [*odd_rows, (30, "Bad bad badminton, despicable!"), (31, "worse ÉVIL évil évil's"), (32, "BAD " * 5000)]
+    for r in T.predict(make_docs(rows, clash=("severity", "grade", "toxic")), m).collect():
+        counts = {}
+        for w in re.split(rb"[^a-z'\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode())):
+            for f in [w, *(b"^" + w[:k] for k in T.PREFIXES if len(w) >= k)]:
+                if w:
+                    counts[f] = counts.get(f, 0) + 1
+        z = sum(v * (1 + math.log(counts[f])) for f, v in weights.items() if f in counts)
+        below = [0.0, *(1 / (1 + math.exp(z - c)) for c in m.cuts), 1.0]
+        p = [max(0.0, b - a) for a, b in zip(below, below[1:])]
+        assert abs(r.severity - sum(g * x for g, x in enumerate(p))) < 1e-9 and abs(r.p_toxic - (1 - p[0])) < 1e-9
+        assert r.grade == p.index(max(p)) and r.toxic == (1 - p[0] >= 0.6)
+
+
+def test_half_odds_leave_the_other_half_out():
+    from types import SimpleNamespace as N
+    picked = [N(a=10, b=3, a_even=4, b_even=1)]
+    toxic, even = np.array([1, 1, 0, 0, 1, 0]), np.array([True, False, True, False, False, True])
+    assert np.isclose(T.half_odds(picked, toxic, even, True)[0], np.log(4.5 / 2) - np.log(1.5 / 3))
+    assert np.isclose(T.half_odds(picked, toxic, even, False)[0], np.log(6.5 / 3) - np.log(2.5 / 2))
