@@ -12,7 +12,9 @@ units' ids in order, and its two flags hold when they hold for all its units.
 
 The model file is read once on the driver (its size is checked) and shipped to
 the tasks as bytes, so executors need no copy.  A null text gives a null ``ids``
-and zero tokens; an empty text gives empty ids.
+and zero tokens; an empty text gives empty ids; equal texts have equal ids; an empty table gives an empty one.
+Other columns stay; one that is named like a new one is replaced.  The given model is a BPE model; a unigram
+model's lattice runs in the tests only.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 THREADS = 2
 BATCH_BYTES = 1 << 20
-CACHED_UNITS = 800_000
+KEPT_BYTES = 88 << 20  # of units and their ids in a worker process
+ENTRY_BYTES = 230
 # A second normaliser message, merged by protobuf: no character map, no prefix, spaces kept.
 NO_NORMALISER = b"\x1a\x06\x12\x00\x18\x00\x20\x00"
 
@@ -199,7 +202,7 @@ def unit_pattern(pieces: list[str], byte_fallback: bool) -> str:
 class Codec:
     """Encodes whole texts by their units; one in each task."""
 
-    def __init__(self, blob: bytes, cached_units: int = CACHED_UNITS):
+    def __init__(self, blob: bytes, kept_bytes: int = KEPT_BYTES):
         import sentencepiece
 
         self.model = parse_model(blob)
@@ -213,7 +216,7 @@ class Codec:
         self.rx = re.compile(unit_pattern(normal, self.model.byte_fallback))
         self.text_of = [None if kind != NORMAL else p.replace(MARK, " ") for p, _, kind in self.model.pieces]
         self.lead_id = next((i for i, (p, _, _) in enumerate(self.model.pieces) if p == MARK), 0)
-        self.cached_units = cached_units
+        self.kept_bytes, self.held = kept_bytes, 0
         self.known: dict[str, bytes] = {}
         self.bad: dict[str, tuple[bool, bool]] = {}
 
@@ -230,6 +233,7 @@ class Codec:
             plain = [u.replace(MARK, " ") for u in group]
             for u, ids, text, theirs in zip(group, rows, plain, self.lib.encode(plain)):
                 self.known[u] = array("i", ids).tobytes()
+                self.held += ENTRY_BYTES + 2 * len(u) + 4 * len(ids)
                 pieces = [self.text_of[i] for i in ids]
                 back = "".join(pieces) if None not in pieces else self.decode_bytes(ids)
                 if back != text or theirs != ids:
@@ -243,8 +247,8 @@ class Codec:
         """(ids, round trip, parity) of each text."""
         cut = [self.units(t) for t in texts]
         wanted = set(itertools.chain.from_iterable(cut))
-        if len(self.known) + len(wanted) > self.cached_units:
-            self.known, self.bad = {}, {}
+        if self.held > self.kept_bytes:
+            self.known, self.bad, self.held = {}, {}, 0
         self.learn([u for u in wanted if u not in self.known])
         out = []
         for text, units in zip(texts, cut):

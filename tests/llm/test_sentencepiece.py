@@ -35,7 +35,7 @@ def test_a_marker_in_the_text_is_no_round_trip(codec, lib):
 
 
 def test_full_cache_starts_anew(lib):
-    small = S.Codec(S.read_model(), cached_units=50)
+    small = S.Codec(S.read_model(), kept_bytes=12_000)
     texts = ["the quick brown fox", "jumps over the lazy dog " * 9, "again the quick one"]
     for _ in range(3):
         for t in texts:
