@@ -26,9 +26,9 @@ def test_udf_queries_run_outside_the_repo(tmp_path):
         "from pyspark.sql import SparkSession\n"
         "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
         "import __spark_entry__ as E\n"
-        "df = E.queries()['doc_wrap'](spark, '/root/testdata/sf0.001')\n"
+        "df = E.queries()['golden_edits'](spark, '/root/testdata/sf0.001')\n"
         # Aggregate the UDF-derived column so the optimizer cannot prune the UDF away.
-        "print('ROWS', df.filter('n_lines >= 0').count())\n"
+        "print('ROWS', df.filter('position >= 0').count())\n"
         # Extraction writes tables: the checkpoint fallback must work when the
         # session names no spark.checkpoint.dir.
         "print('ENTRY', E.entry(spark).count() > 0)\n" % repo)
@@ -39,4 +39,4 @@ def test_udf_queries_run_outside_the_repo(tmp_path):
     env["SPARK_CONF_DIR"] = str(conf)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
                          timeout=600)
-    assert "ROWS 200" in out.stdout and "ENTRY True" in out.stdout, out.stderr[-2000:]
+    assert "ROWS 266" in out.stdout and "ENTRY True" in out.stdout, out.stderr[-2000:]
