@@ -47,3 +47,10 @@ def test_no_python_worker_and_long_texts(spark):
     start = time.time()
     assert df.first().b == by_hand(text, "")
     assert time.time() - start < 60
+
+
+def test_long_words_are_looked_for_at_word_starts_only():
+    """A search from every character of a word costs the square of the word's length."""
+    from mise.functions.wrapping import wrapped_sql
+
+    assert "(?:^| )[^ ]{71}" in wrapped_sql("x", "p", 75) and "'[^ ]{71,}'" not in wrapped_sql("x", "p", 75)
