@@ -212,3 +212,11 @@ def test_rows_do_not_depend_on_the_split(spark, tmp_path):
         out = X.run_extraction(spark.read.parquet(path), str(tmp_path / f"out{i}"))
         seen.append(sorted(map(str, out.collect())))
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_scripts_are_parsed_once_a_page(spark):
+    """No filter below the generator takes the scripts apart again; pages whose only mention is no script have no rows."""
+    rows = L.extract_ldjson(pages(spark, [(1, "https://a.example/1", script(json.dumps(RECIPE)) * 2), (2, "https://a.example/2", L.LDJSON_MARKER),
+                                          (3, "https://a.example/3", None), (4, "https://a.example/4", "")]))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.page_id, r.pos, r.kind, r.is_candidate) for r in rows.collect()) == [(1, 0, "object", True), (1, 1, "object", True)]
