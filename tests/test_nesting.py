@@ -48,3 +48,12 @@ def test_one_page_with_a_third_of_all_rows(spark):
                                         "cast(id as int) as item_no", "cast(id as string) as item")
     got = R.nest_items(df).where("page_id = 0").first().ingredient_groups[0].ingredients
     assert got == [str(i) for i in range(0, 90_000, 3)]
+
+
+def test_items_cross_the_disk_once(spark, capsys):
+    """One shuffle for all levels; a caller's own deal of the rows stays a shuffle of its own."""
+    df = flat(spark, [(1, "ingredients", 0, "", 1, "x"), (1, "directions", 0, "", 1, "y")])
+    for rows, shuffles in [(df, 1), (df.repartition("item"), 2)]:
+        R.nest_items(rows).explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == shuffles
+        assert nested(rows) == {1: ([("", ["x"])], [("", ["y"])])}
