@@ -54,3 +54,15 @@ def test_long_words_are_looked_for_at_word_starts_only():
     from mise.functions.wrapping import wrapped_sql
 
     assert "(?:^| )[^ ]{71}" in wrapped_sql("x", "p", 75) and "'[^ ]{71,}'" not in wrapped_sql("x", "p", 75)
+
+
+def test_usual_texts_with_a_blank_before_them_take_no_fold(spark):
+    rnd = random.Random(8)
+    words = ["lorem", "é", "ÿ&<(", "x" * 66] + ["y" * n for n in range(68, 77)] + ["a", "bc"] * 10
+    rows = [(i, " " * (i % 2) + " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))), PREFIXES[i % 5]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, x string, p string")
+    got = {r.i: r.o for r in df.select("i", F.expr(W.wrapped_sql("x", "p", 75)).alias("o")).collect()}
+    assert [got[i] for i, _, _ in rows] == [by_hand(t, p) for _, t, p in rows]
+    # What is looked at first: one run over the text, before its tabs, chunks and lines are.
+    first = W.wrapped_sql("x", "p", 75).split("THEN")[0]
+    assert "x RLIKE" in first and "aggregate" not in first and "^ ?" in first
