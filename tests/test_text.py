@@ -128,3 +128,22 @@ def test_strip_tags_of_long_plain_texts(spark):
         return best
 
     assert seconds(T.strip_tags) < seconds(_every_rule) / 2
+
+
+def test_plain_texts_are_told_from_others_in_one_run(spark):
+    """The first look at a text never takes one that a rule changes, and takes the usual ones."""
+    import random
+    import re
+
+    from mise.operators import sitefields as SF
+
+    rnd = random.Random(2)
+    bits = list("ab1.,;:!?'-") + [" "] * 6 + ["é", "ÿ", "½", "Â", "\u00a0", "\u0085", "\t", "\n", "(", ")", "/", "((", "//", "<", "&", "&nbsp;", "日", "’"]
+    texts = sorted({"".join(rnd.choice(bits[:19] if rnd.random() < 0.7 else bits) for _ in range(rnd.randint(0, 12))) for _ in range(4000)})
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", F.col("x").rlike(T.PLAIN_RX).alias("p"), T.strip_tags(F.col("x")).alias("s"),
+                                                                         T.clean_text(F.array(F.col("x"))[0]).alias("c")).collect()
+    for r in got:
+        assert r.s == SF.strip_tags(r.x) and r.c == SF.clean_text(r.x)
+        if re.fullmatch(r"[a-z0-9.,;:!?'é-]+( [a-z0-9.,;:!?'é-]+)*", r.x):
+            assert r.p, r.x
+    assert sum(r.p for r in got) > 500
