@@ -47,3 +47,18 @@ def test_numbers_flags_and_other_types(spark):
     assert df.select(J.pretty_json("r", df.schema["r"].dataType)).first()[0] == json.dumps({"n": 5, "b": True, "l": [1, None]}, indent=4)
     with pytest.raises(TypeError):
         J.pretty_json("d", T.StructType([T.StructField("d", T.DoubleType())]))
+
+
+def test_nothing_is_escaped_by_expressions_and_slices_keep_their_rows(spark):
+    """Batches longer than what is taken at a time, with NULL records, lists and texts in them."""
+    rnd = random.Random(6)
+    records = [None if i % 7 == 3 else {"t": rnd.choice(["é" * (i % 5), None]), "l": None if i % 5 == 1 else [rnd.choice([None, [], ["x", None, "é"]]) for _ in range(i % 4)], "e": {"n": None}}
+               for i in range(3 * J.ROWS_AT_A_TIME + 5)]
+    kind = "struct<t: string, l: array<array<string>>, e: struct<n: int>>"
+    df = spark.createDataFrame(list(enumerate(records)), f"i int, r {kind}").coalesce(1)
+    out = df.select("i", J.pretty_json("r", df.schema["r"].dataType).alias("o"))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: r.o for r in out.collect()}
+    for i, r in enumerate(records):
+        want = None if r is None else {k: v for k, v in {"t": r["t"], "l": r["l"], "e": {}}.items() if v is not None}
+        assert got[i] == json.dumps(want, indent=4)
