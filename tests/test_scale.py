@@ -40,3 +40,19 @@ def _attributes(node):
 def test_all_rows_become_pages(spark, tmp_path):
     _part(spark, tmp_path)
     assert sorted(r.page_id for r in FX.build_ldjson_pages(spark, str(tmp_path)).collect()) == list(range(40))
+
+
+def test_page_texts_are_quoted_without_a_search_from_every_character(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    texts = ["", "plain", "[x]", "a & b", "<b>&amp;</b>", 'say "hi"\\', "]", "[", "né\n日", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", FX.jq(F.col("t")).alias("j"), FX.html_escape(F.col("t")).alias("h"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        t = texts[r.i]
+        assert r.j == json.dumps(t, ensure_ascii=False)
+        assert r.h == (None if t is None else t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+    escaped = df.select("h")._jdf.queryExecution().optimizedPlan().toString()
+    assert escaped.count("Contains") == 3 or escaped.lower().count("contains(") == 3
