@@ -95,3 +95,19 @@ def test_plainly_written_tags_are_read_as_the_parser_reads_them(monkeypatch):
         monkeypatch.delattr(S._Collector, name)
     assert got == [S.dom_page(h, k) for h in pages for k in "ab"]
     assert any(x.get("ok") for x in got)
+
+
+def test_pages_go_to_python_in_small_batches_for_the_extraction_only(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "extract", lambda pages, key: seen.append(spark.conf.get(X.BATCH_BYTES_KEY)) or pages)
+    pages = spark.range(3).selectExpr("id as page_id")
+    before = spark.conf.get(X.BATCH_BYTES_KEY)
+    assert X.run_extraction(pages, str(tmp_path / "a")).count() == 3
+    assert seen == [str(X.BATCH_BYTES)] and spark.conf.get(X.BATCH_BYTES_KEY) == before
+    assert all(".zstd." in f.name for f in (tmp_path / "a").glob("part-*"))
+    spark.conf.set(X.BATCH_BYTES_KEY, "1000000")
+    try:
+        X.run_extraction(pages, str(tmp_path / "b"))
+        assert spark.conf.get(X.BATCH_BYTES_KEY) == "1000000"
+    finally:
+        spark.conf.unset(X.BATCH_BYTES_KEY)
