@@ -62,3 +62,17 @@ def test_nothing_is_escaped_by_expressions_and_slices_keep_their_rows(spark):
     for i, r in enumerate(records):
         want = None if r is None else {k: v for k, v in {"t": r["t"], "l": r["l"], "e": {}}.items() if v is not None}
         assert got[i] == json.dumps(want, indent=4)
+
+
+def test_documents_in_json_go_to_python_in_small_batches(spark):
+    from mise.session import BATCH_BYTES, BATCH_BYTES_KEY
+    df = spark.createDataFrame([(1, {"title": "x"})], f"page_id bigint, recipe struct<{RECIPE_DDL}>")
+    spark.conf.unset(BATCH_BYTES_KEY)
+    try:
+        for own, then in [(None, str(BATCH_BYTES)), ("1000", "1000")]:
+            if own:
+                spark.conf.set(BATCH_BYTES_KEY, own)
+            assert RD.render_docs(df, ["json"]).first().body == json.dumps({"title": "x"}, indent=4)
+            assert spark.conf.get(BATCH_BYTES_KEY) == then
+    finally:
+        spark.conf.unset(BATCH_BYTES_KEY)
