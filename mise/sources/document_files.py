@@ -9,6 +9,8 @@ folder away, so either all files appear under the target or none.
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +26,7 @@ FORMAT = "mise_documents"
 SCHEMA = "shard string, filename string, body string"
 STAGING = "_staging"
 SHARDS = 16
+ABORT_TRIES = 50
 
 
 def _file_system(path: str):
@@ -46,6 +49,9 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        # Tasks make folders in this one only while it stands: one that is being ended makes none after an abort.
+        files, root = _file_system(self.path)
+        files.create_dir(self._stage(root), recursive=True)
 
     def _stage(self, root: str) -> str:
         return f"{root}/{STAGING}-{self.job}"
@@ -53,6 +59,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator) -> Written:
         files, root = _file_system(self.path)
         folder, shards = f"{self._stage(root)}/{uuid.uuid4().hex}", set()
+        files.create_dir(folder, recursive=False)
         try:
             for batch in iterator:
                 for shard, name, body in zip(*(batch.column(c) for c in ("shard", "filename", "body"))):
@@ -61,12 +68,12 @@ class _Writer(DataSourceArrowWriter):
                         raise ValueError(f"not a file name: {own!r}")
                     at = f"{folder}/{shard.as_py()}"
                     if shard.as_py() not in shards:
-                        files.create_dir(at, recursive=True)
+                        files.create_dir(at, recursive=False)
                         shards.add(shard.as_py())
                     with files.open_output_stream(f"{at}/{own}") as out:
                         out.write(body.as_py().encode())
         except BaseException:
-            if shards:
+            with contextlib.suppress(OSError):  # an abort may have been here
                 files.delete_dir(folder)
             raise
         return Written(folder, sorted(shards))
@@ -94,6 +101,10 @@ class _Writer(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         files, root = _file_system(self.path)
+        for _ in range(ABORT_TRIES):  # a file that is just being written keeps its folder
+            with contextlib.suppress(OSError):
+                return self._clear(files, root)
+            time.sleep(0.1)
         self._clear(files, root)
 
     def _clear(self, files, root: str) -> None:

@@ -64,3 +64,19 @@ def test_another_attempt_of_a_task_is_not_seen(tmp_path):
     kept = w.write(iter([batch]))
     w.commit([kept, None])
     assert files_of(path) == {"a.md": "x"} and os.listdir(path) == ["00"]
+
+
+def test_a_task_that_outlives_its_job_writes_nothing(tmp_path):
+    import pyarrow as pa
+    path = str(tmp_path / "out")
+    w = DF._Writer(path, True)
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"shard": ["00"], "filename": ["a.md"], "body": ["x"]})
+        w.abort([])
+        yield pa.RecordBatch.from_pydict({"shard": ["01"], "filename": ["b.md"], "body": ["y"]})
+    with pytest.raises(OSError):
+        w.write(batches())
+    with pytest.raises(OSError):
+        w.write(batches())
+    assert files_of(path) == {} and os.listdir(path) == []
